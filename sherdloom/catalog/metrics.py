@@ -155,9 +155,9 @@ def pose_broadcast(spark, sf):
     f"SELECT 'pred' AS side, name, part_idx, pt_idx, {duck.r('d2', 'd2', 9)} FROM bwd",
 )
 def nearest_neighbours(spark, sf):
-    there, back = M._both_ways(_placed(spark, sf), ["name"])
-    both = there.withColumn("side", F.lit("gt")).unionByName(back.withColumn("side", F.lit("pred")))
-    return both.select("side", *M.PART, "pt_idx", *rounded([F.col("d2")], ["d2"], 9))
+    found = M.placement_distances(_placed(spark, sf), ["name"])
+    side = F.when(F.col("side") == 0, "gt").otherwise("pred")
+    return found.select(side.alias("side"), *M.PART, "pt_idx", *rounded([F.col("d2")], ["d2"], 9))
 
 
 _FIXED = duck.PTS_FIXED + ",\n" + duck.POSE_BODY
@@ -171,7 +171,10 @@ def part_accuracy_fixed(spark, sf):
 
 
 # The last part of objects with three or more parts plays the redundant part.
-_KEEP = "WHERE NOT (part_idx = 2*name AND name >= 1)"
+_KEEP = (
+    "WHERE (name, part_idx) NOT IN "
+    "(SELECT (name, max(part_idx)) FROM vec GROUP BY name HAVING count(*) >= 3)"
+)
 
 
 @query(

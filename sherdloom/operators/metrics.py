@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rot
-from .neighbors import nearest_distance
+from .neighbors import mutual_nearest
 from .ordering import prefix_sum
 
 PART = ["name", "part_idx"]
@@ -124,22 +124,28 @@ def placed_points(points: DataFrame, poses: DataFrame, scaled: bool = False) ->
     )
 
 
-def _both_ways(placed: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    true = placed.select(*PART, "pt_idx", *[F.col(f"g{a}").alias(a) for a in "xyz"])
-    pred = placed.select(*PART, "pt_idx", *[F.col(f"p{a}").alias(a) for a in "xyz"])
+def placement_distances(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """``d2`` of every point to the other placement of its key: side 0 true, 1 predicted."""
+    sides = [
+        placed.select(
+            *PART, "pt_idx", F.lit(n).alias("side"), *[F.col(f"{p}{a}").alias(a) for a in "xyz"]
+        )
+        for n, p in enumerate("gp")
+    ]
     ids = [c for c in [*PART, "pt_idx"] if c not in keys]
-    return (
-        nearest_distance(true, pred, keys, ids),
-        nearest_distance(pred, true, keys, ids),
+    return mutual_nearest(sides[0].unionByName(sides[1]), keys, ids)
+
+
+def _per_part(distances: DataFrame) -> DataFrame:
+    # both directions hold the same number of rows, so this is mean + mean
+    return distances.groupBy(*PART).agg(
+        (F.sum("d2") / F.count_if(F.col("side") == 0)).alias("chamfer")
     )
 
 
 def part_chamfer(placed: DataFrame) -> DataFrame:
     """Chamfer distance of every part between its two placements (mean + mean)."""
-    there, back = _both_ways(placed, PART)
-    both = there.withColumn("side", F.lit(0)).unionByName(back.withColumn("side", F.lit(1)))
-    n = F.count_if(F.col("side") == 0)
-    return both.groupBy(*PART).agg((F.sum("d2") / n).alias("chamfer"))
+    return _per_part(placement_distances(placed, PART))
 
 
 def part_accuracy(chamfer: DataFrame) -> DataFrame:
@@ -152,13 +158,8 @@ def part_accuracy(chamfer: DataFrame) -> DataFrame:
 
 def shape_chamfer(placed: DataFrame) -> DataFrame:
     """Whole-object Chamfer: per point both directions summed, mean per part, then object."""
-    there, back = _both_ways(placed, ["name"])
-    per_part = (
-        there.unionByName(back)
-        .groupBy(*PART)
-        .agg((F.sum("d2") / (F.count(F.lit(1)) / 2)).alias("_cd"))
-    )
-    return per_part.groupBy("name").agg(valid_mean(F.col("_cd")).alias("shape_cd"))
+    per_part = _per_part(placement_distances(placed, ["name"]))
+    return per_part.groupBy("name").agg(valid_mean(F.col("chamfer")).alias("shape_cd"))
 
 
 def flow_losses(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

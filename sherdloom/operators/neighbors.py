@@ -69,13 +69,19 @@ def _number(blocks: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
     """Give blocks one integer ``node`` that stays consecutive along the curve.
 
     Also returns the number of tree levels above the leaves, sized by the key that
-    spans the most blocks; two scalars reach the driver for it.
+    spans the most blocks; three scalars reach the driver for it.
     """
-    loc_bits = int(blocks.agg(F.max("loc")).first()[0] or 0).bit_length()
-    blocks = blocks.withColumn("node", F.shiftleft("pid", loc_bits).bitwiseOR(F.col("loc")))
-    spans = blocks.groupBy(*keys).agg((F.max("node") - F.min("node")).alias("_span"))
-    span_bits = int(spans.agg(F.max("_span")).first()[0] or 0).bit_length()
-    return blocks, max(0, -(-span_bits // FANOUT_BITS) - 1)
+    spans = blocks.groupBy(*keys).agg(
+        F.max("loc").alias("_hi"),
+        (F.max("pid") - F.min("pid")).alias("_pids"),
+        (F.max("loc") - F.min("loc")).alias("_locs"),
+    )
+    top = spans.agg(F.max("_hi"), F.max("_pids"), F.max("_locs")).first()
+    max_loc, pids, locs = (int(v or 0) for v in top)
+    loc_bits = max_loc.bit_length()
+    span_bits = (pids + 1).bit_length() + loc_bits if pids else locs.bit_length()
+    node = F.shiftleft("pid", loc_bits).bitwiseOR(F.col("loc"))
+    return blocks.withColumn("node", node), max(0, -(-span_bits // FANOUT_BITS) - 1)
 
 
 def _gap(lo_a, hi_a, lo_b, hi_b) -> Column:
@@ -171,43 +177,46 @@ def _matcher(keys: list[str], ids: list[str], k: int):
 
 
 def _match(
-    queries: DataFrame, data: DataFrame, keys: list[str], ids: list[str], k: int, block_bits: int
+    q: DataFrame, d: DataFrame, levels: int, keys: list[str], ids: list[T.StructField], k: int
 ) -> DataFrame:
     """Up to k candidates per query location and compared block."""
-    q, _ = _number(_blocks(queries, keys, [], block_bits), keys)
-    d, levels = _number(_blocks(data, keys, ids, block_bits), keys)
     pairs = _candidate_pairs(q, d, keys, k, levels)
+    names = [f.name for f in ids]
     q_points = q.select(
         *keys, F.col("node").alias("q_node"), *[F.col(f"pts.{c}").alias(f"q_{c}") for c in _XYZ]
     )
-    d_points = d.select(*keys, "node", *[F.col(f"pts.{c}").alias(c) for c in [*ids, *_XYZ]])
+    d_points = d.select(*keys, "node", *[F.col(f"pts.{c}").alias(c) for c in [*names, *_XYZ]])
     ready = (
         pairs.join(q_points, [*keys, "q_node"]).join(d_points, [*keys, "node"]).drop("q_node", "node")
     )
     double = T.DoubleType()
     schema = T.StructType(
-        [T.StructField(c, queries.schema[c].dataType) for c in keys]
+        [T.StructField(c, q.schema[c].dataType) for c in keys]
         + [T.StructField(c, double) for c in _XYZ]
-        + [T.StructField(f"n_{c}", data.schema[c].dataType) for c in ids]
+        + [T.StructField(f"n_{f.name}", f.dataType) for f in ids]
         + [T.StructField("d2", double)]
     )
-    return ready.mapInPandas(_matcher(keys, ids, k), schema)
+    return ready.mapInPandas(_matcher(keys, names, k), schema)
 
 
-def nearest_distance(
-    queries: DataFrame, data: DataFrame, keys: list[str], ids: list[str],
+def mutual_nearest(
+    points: DataFrame, keys: list[str], ids: list[str], side: str = "side",
     block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Squared distance ``d2`` of every query point to its nearest data point of its key.
+    """Squared distance ``d2`` of every point to the nearest point of the other side.
 
-    Keys without any data point give no row, as an inner join would.
+    ``side`` is 0 or 1.  Both directions run as one job over one set of blocks.
+    A key with points on one side only gives no row, as an inner join would.
     """
-    at = [*keys, *_XYZ]
-    found = _match(
-        queries.select(*at).distinct(), data.select(*at).distinct(), keys, [], 1, block_bits
-    )
+    within = [side, *keys]
+    at = [*within, *_XYZ]
+    points = points.withColumn(side, F.col(side).cast("int"))
+    blocks = _blocks(points.select(*at).distinct(), within, [], block_bits)
+    mine, levels = _number(blocks, within)
+    other = mine.withColumn(side, F.lit(1) - F.col(side))
+    found = _match(mine, other, levels, within, [], 1)
     nearest = found.groupBy(*at).agg(F.min("d2").alias("d2"))
-    return queries.join(nearest, at).select(*keys, *ids, "d2")
+    return points.join(nearest, at).select(*within, *ids, "d2")
 
 
 def knn(
@@ -224,7 +233,9 @@ def knn(
     # row_number filter is applied before the shuffle as well (window group limit).
     here = Window.partitionBy(*at).orderBy(*ids)
     data = points.withColumn("_c", F.row_number().over(here)).where(F.col("_c") <= k + 1).drop("_c")
-    found = _match(points.select(*at).distinct(), data, keys, ids, k + 1, block_bits)
+    q, _ = _number(_blocks(points.select(*at).distinct(), keys, [], block_bits), keys)
+    d, levels = _number(_blocks(data, keys, ids, block_bits), keys)
+    found = _match(q, d, levels, keys, [points.schema[c] for c in ids], k + 1)
     best = Window.partitionBy(*at).orderBy("d2", *[f"n_{c}" for c in ids])
     top = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
     asked = points.select(*at, *[F.col(c).alias(f"q_{c}") for c in ids]).join(top, at)
