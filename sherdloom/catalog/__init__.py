@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-_AREAS = ("poses", "metrics")
+_AREAS = ("poses", "metrics", "meshes")
 
 
 def _load() -> None:

@@ -28,7 +28,7 @@ ERR = f"""err AS (SELECT name, part_idx, ({_SQ})/3 AS t_mse, sqrt(({_SQ})/3) AS
 )
 def translation_metrics(spark, sf):
     kinds = ("mse", "rmse", "mae")
-    values = [M.valid_mean(M.translation_error(M.PR_T, M.GT_T, k)) for k in kinds]
+    values = [M.valid_mean(M.translation_error(M.pr_t(), M.gt_t(), k)) for k in kinds]
     return fx.poses(spark, sf).groupBy("name").agg(*rounded(values, [f"{k}_t" for k in kinds]))
 
 
@@ -38,7 +38,7 @@ def translation_metrics(spark, sf):
 )
 def rotation_metrics(spark, sf):
     kinds = ("mse", "rmse", "mae")
-    values = [M.valid_mean(M.rotation_error(M.PR_Q, M.GT_Q, k)) for k in kinds]
+    values = [M.valid_mean(M.rotation_error(M.pr_q(), M.gt_q(), k)) for k in kinds]
     return fx.poses(spark, sf).groupBy("name").agg(*rounded(values, [f"{k}_r" for k in kinds]))
 
 
@@ -284,8 +284,8 @@ def leaderboard(spark, sf):
     rows = fx.poses(spark, sf).join(chamfer, M.PART).select(
         (F.col("name") % 2).alias("dataset"), (F.col("name") % 3).alias("subset"),
         (F.col("part_idx") % 2).alias("model"),
-        M.translation_error(M.PR_T, M.GT_T).alias("rmse_t"),
-        M.rotation_error(M.PR_Q, M.GT_Q).alias("rmse_r"),
+        M.translation_error(M.pr_t(), M.gt_t()).alias("rmse_t"),
+        M.rotation_error(M.pr_q(), M.gt_q()).alias("rmse_r"),
         (F.col("chamfer") < M.PART_CD_THRESHOLD).cast("double").alias("part_acc"),
     )
     cols = ("rmse_t", "rmse_r", "part_acc")

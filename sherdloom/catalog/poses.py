@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import rot
-from ..operators.metrics import GT_Q, GT_T, PART, PR_Q, PR_T
+from ..operators.metrics import gt_q, gt_t, PART, pr_q, pr_t
 from . import duck
 from .registry import query
 
-PT = rot.cols("x", "y", "z")
+
+
+def pt():
+    return rot.cols("x", "y", "z")
+
+
 GQ, PQ = duck.q4("gt_q"), duck.q4("pr_q")
 GT, PT_ = duck.v3("gt_t"), duck.v3("pr_t")
 _JOIN = "FROM pts JOIN pose USING (name, part_idx)"
@@ -33,7 +38,7 @@ _RM = duck.matvec(duck.mat(GQ), ("x", "y", "z"))
 )
 def rotate_points(spark, sf):
     df = fx.points(spark, sf).join(fx.poses(spark, sf), PART)
-    return df.select(*PART, "pt_idx", *rounded(rot.rotate(GT_Q, PT), ("rx", "ry", "rz")))
+    return df.select(*PART, "pt_idx", *rounded(rot.rotate(gt_q(), pt()), ("rx", "ry", "rz")))
 
 
 @query(
@@ -44,7 +49,7 @@ def rotate_points(spark, sf):
 )
 def transform_points(spark, sf):
     df = fx.points(spark, sf).join(fx.poses(spark, sf), PART)
-    return df.select(*PART, "pt_idx", *rounded(rot.transform(PR_T, PR_Q, PT), ("wx", "wy", "wz")))
+    return df.select(*PART, "pt_idx", *rounded(rot.transform(pr_t(), pr_q(), pt()), ("wx", "wy", "wz")))
 
 
 @query(
@@ -52,7 +57,7 @@ def transform_points(spark, sf):
     f"WITH {duck.POSE} SELECT name, part_idx, {duck.rs(duck.mat([f'(3*{c})' for c in GQ]), _matrix_names())} FROM pose",
 )
 def quaternion_to_matrix(spark, sf):
-    scaled = rot.scale(GT_Q, F.lit(3.0))  # not unit length on purpose
+    scaled = rot.scale(gt_q(), F.lit(3.0))  # not unit length on purpose
     return fx.poses(spark, sf).select(*PART, *rounded(rot.to_matrix(scaled), _matrix_names()))
 
 
@@ -67,7 +72,7 @@ def _euler_sql(q):
     f"WITH {duck.POSE} SELECT name, part_idx, {duck.rs(_euler_sql(PQ), ('ex', 'ey', 'ez'))} FROM pose",
 )
 def euler_xyz(spark, sf):
-    return fx.poses(spark, sf).select(*PART, *rounded(rot.euler_xyz(PR_Q), ("ex", "ey", "ez")))
+    return fx.poses(spark, sf).select(*PART, *rounded(rot.euler_xyz(pr_q()), ("ex", "ey", "ez")))
 
 
 def _orders_sql() -> str:
@@ -101,7 +106,7 @@ def euler_all_orders(spark, sf):
     df = fx.poses(spark, sf)
     orders = ("xyz", "yzx", "zxy", "xzy", "yxz", "zyx")
     per_order = [
-        F.struct(F.lit(o).alias("axis_order"), *rounded(rot.euler(GT_Q, o), ("ex", "ey", "ez")))
+        F.struct(F.lit(o).alias("axis_order"), *rounded(rot.euler(gt_q(), o), ("ex", "ey", "ez")))
         for o in orders
     ]
     return df.select(*PART, F.inline(F.array(*per_order)))
@@ -114,7 +119,7 @@ def euler_all_orders(spark, sf):
     + duck.rs([GQ[0], f"-{GQ[1]}", f"-{GQ[2]}", f"-{GQ[3]}"], ("iw", "ix", "iy", "iz")) + " FROM pose",
 )
 def quaternion_reorder(spark, sf):
-    last = rot.wxyz_to_xyzw(GT_Q)
+    last = rot.wxyz_to_xyzw(gt_q())
     inverse = rot.conjugate(rot.xyzw_to_wxyz(last))
     return fx.poses(spark, sf).select(
         *PART, *rounded(last, ("s0", "s1", "s2", "s3")), *rounded(inverse, ("iw", "ix", "iy", "iz"))
@@ -136,7 +141,7 @@ _AT = [f"({g} - {m})" for g, m in zip(GT, duck.matvec(duck.mat(_AQ), PT_))]
     + duck.rs(_AT, ("atx", "aty", "atz")) + " FROM align",
 )
 def anchor_alignment(spark, sf):
-    t, q = rot.anchor_alignment(GT_T, GT_Q, PR_T, PR_Q)
+    t, q = rot.anchor_alignment(gt_t(), gt_q(), pr_t(), pr_q())
     return fx.poses(spark, sf).select(
         *PART, *rounded(q, ("aw", "ax", "ay", "az")), *rounded(t, ("atx", "aty", "atz"))
     )
@@ -158,7 +163,7 @@ _LOG_SQL = f"logs AS (SELECT *, {', '.join(f'{e} AS {n}' for e, n in zip(_LOG, (
 )
 def axis_angle_conversions(spark, sf):
     """quaternion -> axis-angle -> quaternion -> matrix -> quaternion."""
-    df = rot.with_tuple(fx.poses(spark, sf), ("lx", "ly", "lz"), rot.log_map(GT_Q))
+    df = rot.with_tuple(fx.poses(spark, sf), ("lx", "ly", "lz"), rot.log_map(gt_q()))
     df = rot.with_tuple(df, ("ew", "ex", "ey", "ez"), rot.exp_map(rot.cols("lx", "ly", "lz")))
     df = rot.with_tuple(df, _matrix_names(), rot.to_matrix(rot.cols("ew", "ex", "ey", "ez")))
     back = rot.matrix_to_quaternion(rot.cols(*_matrix_names()))
@@ -179,7 +184,7 @@ _HALF = ["cos(th/4)"] + [f"sin(th/4)/th*{c}" for c in ("lx", "ly", "lz")]
     + duck.rs(_HALF, ("hw", "hx", "hy", "hz")) + " FROM logs",
 )
 def log_exp_maps(spark, sf):
-    df = rot.with_tuple(fx.poses(spark, sf), ("lx", "ly", "lz"), rot.log_map(GT_Q))
+    df = rot.with_tuple(fx.poses(spark, sf), ("lx", "ly", "lz"), rot.log_map(gt_q()))
     w = rot.cols("lx", "ly", "lz")
     return df.select(
         *PART, *rounded([rot.norm(w)], ["angle"]),
@@ -193,7 +198,7 @@ def log_exp_maps(spark, sf):
 )
 def rotation_6d(spark, sf):
     return fx.poses(spark, sf).select(
-        *PART, *rounded(rot.rotation_6d(PR_Q), [f"d{i}" for i in range(6)])
+        *PART, *rounded(rot.rotation_6d(pr_q()), [f"d{i}" for i in range(6)])
     )
 
 
@@ -207,7 +212,7 @@ _REL = f"rel AS (SELECT *, {', '.join(f'{e} AS {n}' for e, n in zip(_REL_Q, _AQ)
     + duck.rs([f"{p}-{m}" for p, m in zip(PT_, duck.matvec(duck.mat(_AQ), GT))], ("tx", "ty", "tz")) + " FROM rel",
 )
 def reassembly_transform(spark, sf):
-    t, r = rot.relative_pose(GT_T, GT_Q, PR_T, PR_Q)
+    t, r = rot.relative_pose(gt_t(), gt_q(), pr_t(), pr_q())
     return fx.poses(spark, sf).select(
         *PART, *rounded(r, _matrix_names()), *rounded(t, ("tx", "ty", "tz"))
     )
@@ -223,7 +228,7 @@ def reassembly_transform(spark, sf):
 )
 def pose_matrix(spark, sf):
     names = [f"m{i}{j}" for i in range(4) for j in range(4)]
-    return fx.poses(spark, sf).select(*PART, *rounded(rot.pose_matrix(GT_T, GT_Q), names))
+    return fx.poses(spark, sf).select(*PART, *rounded(rot.pose_matrix(gt_t(), gt_q()), names))
 
 
 _REF = """anchor AS (SELECT name, gt_tx AS agx, gt_ty AS agy, gt_tz AS agz,
@@ -251,5 +256,5 @@ def reference_alignment(spark, sf):
 
     poses = fx.poses(spark, sf).withColumn("is_ref", F.col("part_idx") == 0)
     return align_to_reference(poses).select(
-        *PART, *rounded(PR_T, ("tx", "ty", "tz")), *rounded(PR_Q, ("qw", "qx", "qy", "qz"))
+        *PART, *rounded(pr_t(), ("tx", "ty", "tz")), *rounded(pr_q(), ("qw", "qx", "qy", "qz"))
     )

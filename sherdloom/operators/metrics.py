@@ -16,8 +16,22 @@ from .ordering import prefix_sum
 PART = ["name", "part_idx"]
 PART_CD_THRESHOLD = 0.01  # fixed value: a part below it counts as placed
 
-GT_T, GT_Q = rot.cols("gt_tx", "gt_ty", "gt_tz"), rot.cols("gt_qw", "gt_qx", "gt_qy", "gt_qz")
-PR_T, PR_Q = rot.cols("pr_tx", "pr_ty", "pr_tz"), rot.cols("pr_qw", "pr_qx", "pr_qy", "pr_qz")
+
+
+def gt_t():
+    return rot.cols("gt_tx", "gt_ty", "gt_tz")
+
+
+def gt_q():
+    return rot.cols("gt_qw", "gt_qx", "gt_qy", "gt_qz")
+
+
+def pr_t():
+    return rot.cols("pr_tx", "pr_ty", "pr_tz")
+
+
+def pr_q():
+    return rot.cols("pr_qw", "pr_qx", "pr_qy", "pr_qz")
 
 
 def valid_mean(value: Column) -> Column:
@@ -51,8 +65,8 @@ def rotation_error(pred, gt, metric: str = "rmse") -> Column:
 def pose_metrics(poses: DataFrame, metric: str = "rmse") -> DataFrame:
     """Per-object translation and rotation error of valid parts."""
     return poses.groupBy("name").agg(
-        valid_mean(translation_error(PR_T, GT_T, metric)).alias(f"{metric}_t"),
-        valid_mean(rotation_error(PR_Q, GT_Q, metric)).alias(f"{metric}_r"),
+        valid_mean(translation_error(pr_t(), gt_t(), metric)).alias(f"{metric}_t"),
+        valid_mean(rotation_error(pr_q(), gt_q(), metric)).alias(f"{metric}_r"),
     )
 
 
@@ -116,7 +130,7 @@ def placed_points(points: DataFrame, poses: DataFrame, scaled: bool = False) ->
     p = rot.cols("x", "y", "z")
     if scaled:
         p = rot.scale(p, F.col("scale"))
-    true, pred = rot.transform(GT_T, GT_Q, p), rot.transform(PR_T, PR_Q, p)
+    true, pred = rot.transform(gt_t(), gt_q(), p), rot.transform(pr_t(), pr_q(), p)
     return joined.select(
         *PART, "pt_idx",
         *[c.alias(f"g{a}") for c, a in zip(true, "xyz")],
@@ -170,9 +184,9 @@ def flow_losses(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     comps = ("vx", "vy", "vz", "wx", "wy", "wz")
     vec = sum(((F.col(f"f_{c}") - F.col(f"t_{c}")) ** 2 for c in comps), F.lit(0.0)) / 6.0
-    trans = translation_error(PR_T, GT_T, "mse")
-    quat = sum(((a - b) ** 2 for a, b in zip(PR_Q, GT_Q)), F.lit(0.0)) / 4.0
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rot.dot(PR_Q, GT_Q)))
+    trans = translation_error(pr_t(), gt_t(), "mse")
+    quat = sum(((a - b) ** 2 for a, b in zip(pr_q(), gt_q())), F.lit(0.0)) / 4.0
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rot.dot(pr_q(), gt_q())))
     angle = F.degrees(F.acos(cosine))
     return df.groupBy(*(keys or [])).agg(
         F.avg(vec).alias("vec_mse_loss"),

@@ -35,14 +35,18 @@ def _blocks(points: DataFrame, keys: list[str], ids: list[str], block_bits: int)
         F.greatest(*[F.max(c) - F.min(c) for c in _XYZ]).alias("_w"),
     )
     side = float((1 << _GRID_BITS) - 1)
-    cell = [
-        F.when(F.col("_w") > 0, (F.col(c) - F.col(f"_lo{c}")) / F.col("_w") * side)
+    cell = {
+        f"_c{c}": F.when(F.col("_w") > 0, (F.col(c) - F.col(f"_lo{c}")) / F.col("_w") * side)
         .otherwise(0.0)
         .cast("long")
         for c in _XYZ
-    ]
+    }
     # ``box`` is a single aggregate row.
-    laid_out = points.crossJoin(F.broadcast(box)).withColumn("_z", z_encode(*cell))
+    laid_out = (
+        points.crossJoin(F.broadcast(box))
+        .withColumns(cell)
+        .withColumn("_z", z_encode(*[F.col(c) for c in cell]))
+    )
     order = [*keys, "_z", *_XYZ, *ids]
     number = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     numbered = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rot, schedule
-from .metrics import GT_Q, GT_T, PART, PR_Q, PR_T
+from .metrics import gt_q, gt_t, PART, pr_q, pr_t
 
 GT_COLS = ["gt_tx", "gt_ty", "gt_tz", "gt_qw", "gt_qx", "gt_qy", "gt_qz"]
 PR_COLS = ["pr_tx", "pr_ty", "pr_tz", "pr_qw", "pr_qx", "pr_qy", "pr_qz"]
@@ -23,7 +23,7 @@ def align_to_reference(poses: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct(*GT_COLS, *PR_COLS), "part_idx").alias("_a"))
         .select("name", "_a.*")
     )
-    t, q = rot.anchor_alignment(GT_T, GT_Q, PR_T, PR_Q)
+    t, q = rot.anchor_alignment(gt_t(), gt_q(), pr_t(), pr_q())
     names_t, names_q = ("_atx", "_aty", "_atz"), ("_aqw", "_aqx", "_aqy", "_aqz")
     motion = rot.with_tuple(rot.with_tuple(first_ref, names_t, t), names_q, q).select(
         "name", *names_t, *names_q
@@ -33,8 +33,8 @@ def align_to_reference(poses: DataFrame) -> DataFrame:
         poses.join(motion, "name")
         .withColumns(
             {
-                **dict(zip(PR_COLS[:3], rot.transform(at, aq, PR_T))),
-                **dict(zip(PR_COLS[3:], rot.multiply(aq, PR_Q))),
+                **dict(zip(PR_COLS[:3], rot.transform(at, aq, pr_t()))),
+                **dict(zip(PR_COLS[3:], rot.multiply(aq, pr_q()))),
             }
         )
         .drop(*names_t, *names_q)
@@ -76,8 +76,8 @@ def integrate(start: DataFrame, field: DataFrame, steps: DataFrame) -> DataFrame
         return F.struct(path.alias("path"), step.alias("step"), names(values).alias("pose"))
 
     seed = state(
-        F.array(F.struct(F.lit(-1).cast("long").alias("step"), names(PR_T + PR_Q).alias("pose"))),
-        F.lit(-1).cast("long"), PR_T + PR_Q,
+        F.array(F.struct(F.lit(-1).cast("long").alias("step"), names(pr_t() + pr_q()).alias("pose"))),
+        F.lit(-1).cast("long"), pr_t() + pr_q(),
     )
 
     def advance(acc, m):

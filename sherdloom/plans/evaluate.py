@@ -37,14 +37,14 @@ def trajectory_errors(trajectory: DataFrame, poses: DataFrame) -> DataFrame:
     t, q = rot.cols("tx", "ty", "tz"), rot.cols("qw", "qx", "qy", "qz")
     return trajectory.join(poses, M.PART).select(
         *M.PART, "step",
-        M.translation_error(t, M.GT_T).alias("rmse_t"),
-        M.rotation_error(q, M.GT_Q).alias("rmse_r"),
+        M.translation_error(t, M.gt_t()).alias("rmse_t"),
+        M.rotation_error(q, M.gt_q()).alias("rmse_r"),
     )
 
 
 def replay(points: DataFrame, poses: DataFrame) -> DataFrame:
     """Points moved from the true placement to the predicted one, part by part."""
-    t, r = rot.relative_pose(M.GT_T, M.GT_Q, M.PR_T, M.PR_Q)
+    t, r = rot.relative_pose(M.gt_t(), M.gt_q(), M.pr_t(), M.pr_q())
     names_r = [f"_r{i}" for i in range(9)]
     motion = rot.with_tuple(
         rot.with_tuple(poses, ("_mx", "_my", "_mz"), t), names_r, r
