@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-_AREAS = ("poses", "metrics", "meshes")
+_AREAS = ("poses", "metrics", "meshes", "clouds")
 
 
 def _load() -> None:
