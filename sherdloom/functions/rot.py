@@ -244,5 +244,15 @@ def anchor_alignment(gt_t: Vec, gt_q: Vec, pred_t: Vec, pred_q: Vec):
     return sub(gt_t, rotate(q, pred_t)), q
 
 
+def stage(df: DataFrame, tag: str, values: Vec) -> tuple[DataFrame, tuple[Column, ...]]:
+    """Compute ``values`` once as helper columns ``_tag0..`` and refer to them.
+
+    Composed rotations mention their inputs many times; without a stage between
+    them the expression grows with every composition.
+    """
+    names = [f"_{tag}{i}" for i in range(len(values))]
+    return df.withColumns(dict(zip(names, values))), cols(*names)
+
+
 def with_tuple(df: DataFrame, names: Sequence[str], values: Vec) -> DataFrame:
     return df.withColumns(dict(zip(names, values)))

@@ -16,6 +16,7 @@ EXP_RATE = 5.0
 ALPHA_EXP_RATE = 12.0
 COSINE_OFFSET = 0.008
 MAX_BETA = 0.999
+VARIANCE_FLOOR = 1e-20
 
 SIGMA_SCHEDULES = ("linear", "piecewise-linear", "piecewise-quadratic", "exponential")
 
@@ -109,18 +110,23 @@ def beta_table(spark: SparkSession, n: int = 1000, kind: str = "piece_wise") ->
     )
 
 
-# ---- one pose row -------------------------------------------------------------
+# ---- one pose row; composed rotations go through staged columns ------------------
 
 
-def flow_noise(t0, q0, t1, q1, s: Column):
-    """Forward noising at level ``s``: (x_t, q_t, translation field, rotation field)."""
-    w = rot.log_map(rot.normalize(q1))
-    turn = rot.exp_map(rot.scale(w, s))
-    return (
-        tuple((1.0 - s) * a + s * b for a, b in zip(t0, t1)),
-        rot.multiply(turn, q0),
-        rot.sub(t1, t0),
-        w,
+def _finish(df: DataFrame, out, values) -> DataFrame:
+    """Write the results and drop the stages (columns starting with ``_``)."""
+    df = df.withColumns(dict(zip(out, values)))
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def flow_noise(df: DataFrame, t0, q0, t1, q1, s: Column, pose_out, field_out) -> DataFrame:
+    """Forward noising at level ``s``: noised pose and target field as columns."""
+    df, q1 = rot.stage(df, "unit", rot.normalize(q1))
+    df, w = rot.stage(df, "log", rot.log_map(q1))
+    df, turn = rot.stage(df, "turn", rot.exp_map(rot.scale(w, s)))
+    x = tuple((1.0 - s) * a + s * b for a, b in zip(t0, t1))
+    return _finish(
+        df, (*pose_out, *field_out), (*x, *rot.multiply(turn, q0), *rot.sub(t1, t0), *w)
     )
 
 
@@ -132,13 +138,17 @@ def euler_step(t, q, v, w, delta: Column):
     )
 
 
-def langevin_step(t, q, v, w, delta: Column, level: float, z_t, z_r):
+def langevin_step(
+    df: DataFrame, t, q, v, w, delta: Column, level: float, z_t, z_r, out
+) -> DataFrame:
     """Euler step plus the stochastic-path term for given standard normals."""
     spread = level * F.sqrt(-delta)
     t1, q1 = euler_step(t, q, v, w, delta)
-    return (
-        rot.add(t1, rot.scale(z_t, spread)),
-        rot.multiply(q1, rot.exp_map(rot.scale(z_r, spread))),
+    df, q1 = rot.stage(df, "euler", q1)
+    df, z = rot.stage(df, "kick", rot.scale(z_r, spread))
+    df, turn = rot.stage(df, "turn", rot.exp_map(z))
+    return _finish(
+        df, out, (*rot.add(t1, rot.scale(z_t, spread)), *rot.multiply(q1, turn))
     )
 
 
@@ -147,22 +157,21 @@ def denoised(t, q, v, w, s: Column):
     return euler_step(t, q, v, w, -s)
 
 
-def diffusion_noise(t0, q0, e_t, e_r, abar: Column):
+def diffusion_noise(df: DataFrame, t0, q0, e_t, e_r, abar: Column, out) -> DataFrame:
     """Forward diffusion in (translation, rotation vector) coordinates."""
     keep, add = F.sqrt(abar), F.sqrt(1.0 - abar)
-    w = rot.log_map(rot.normalize(q0))
-    return (
-        tuple(keep * a + add * b for a, b in zip(t0, e_t)),
-        rot.exp_map(tuple(keep * a + add * b for a, b in zip(w, e_r))),
-    )
+    df, unit = rot.stage(df, "unit", rot.normalize(q0))
+    df, w = rot.stage(df, "log", rot.log_map(unit))
+    df, mixed = rot.stage(df, "mix", tuple(keep * a + add * b for a, b in zip(w, e_r)))
+    x = tuple(keep * a + add * b for a, b in zip(t0, e_t))
+    return _finish(df, out, (*x, *rot.exp_map(mixed)))
 
 
 def diffusion_step(
-    t, q, out_t, out_r, abar: Column, abar_prev: Column, prediction: str = "epsilon",
-    z_t=None, z_r=None, step: Column | None = None,
-):
+    df: DataFrame, t, q, out_t, out_r, abar: Column, abar_prev: Column, out,
+    prediction: str = "epsilon", z_t=None, z_r=None, step: Column | None = None,
+) -> DataFrame:
     """Reverse diffusion step; noise ``z_*`` is added only where ``step`` > 0."""
-    w = rot.log_map(rot.normalize(q))
     b, b_prev = 1.0 - abar, 1.0 - abar_prev
     a_cur = abar / abar_prev
     b_cur = 1.0 - a_cur
@@ -182,11 +191,14 @@ def diffusion_step(
     def mean(xs, os):
         return tuple(c_start * start(x, o) + c_now * x for x, o in zip(xs, os))
 
+    df, unit = rot.stage(df, "unit", rot.normalize(q))
+    df, w = rot.stage(df, "log", rot.log_map(unit))
     nt, nr = mean(t, out_t), mean(w, out_r)
     if z_t is not None:
         spread = F.when(
-            step > 0, F.sqrt(F.greatest(b_prev / b * b_cur, F.lit(1e-20)))
+            step > 0, F.sqrt(F.greatest(b_prev / b * b_cur, F.lit(VARIANCE_FLOOR)))
         ).otherwise(0.0)
         nt = rot.add(nt, rot.scale(z_t, spread))
         nr = rot.add(nr, rot.scale(z_r, spread))
-    return nt, rot.exp_map(nr)
+    df, nr = rot.stage(df, "next", nr)
+    return _finish(df, out, (*nt, *rot.exp_map(nr)))

@@ -210,3 +210,18 @@ def display_units(df: DataFrame) -> DataFrame:
     )
 
 
+
+
+def diffusion_loss(
+    df: DataFrame, pred: list[str], noise: list[str], is_ref: Column, keys: list[str]
+) -> DataFrame:
+    """Mean squared noise error over the rows that are no reference."""
+    err = sum(((F.col(p) - F.col(n)) ** 2 for p, n in zip(pred, noise)), F.lit(0.0)) / len(pred)
+    return df.where(~is_ref).groupBy(*keys).agg(F.avg(err).alias("mse_loss"))
+
+
+def epoch_means(log: DataFrame) -> DataFrame:
+    """Epoch value of every step metric: the mean of its step rows."""
+    return log.groupBy("stage", "epoch").agg(
+        F.count(F.lit(1)).alias("steps"), F.avg("value").alias("metric_mean")
+    )

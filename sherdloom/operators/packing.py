@@ -43,21 +43,30 @@ def batches(objects: DataFrame, size: int, seed: int | None = DEFAULT_SEED) -> D
     return ranked.withColumn("batch_id", F.floor(F.col("_r") / size).cast("long")).drop("_r")
 
 
-def valid_pairs(parts: DataFrame) -> DataFrame:
-    """All ordered pairs of different parts with points of one object.
+def _part_lists(parts: DataFrame, max_parts: int) -> DataFrame:
+    """(name, part_idx, list of the object's parts); part lists are bounded by the
+    dense width ``max_parts``, which an object may not exceed."""
+    slot = F.when(F.col("part_idx") < max_parts, F.col("part_idx")).otherwise(
+        F.raise_error(F.lit(f"part index above {max_parts}")).cast("long")
+    )
+    return parts.select("name", slot.alias("_s")).groupBy("name").agg(
+        F.sort_array(F.collect_set("_s")).alias("_l")
+    )
 
-    The pair table is the result itself, hence its size.
-    """
-    ok = parts.where("n_points <> 0")
-    left = ok.select("name", F.col("part_idx").alias("i"))
-    right = ok.select("name", F.col("part_idx").alias("j"))
-    return left.join(right, "name").where("i <> j")
+
+def valid_pairs(parts: DataFrame, max_parts: int = 20) -> DataFrame:
+    """Ordered pairs of different parts with points, inside the max_parts square."""
+    lists = _part_lists(parts.where("n_points <> 0"), max_parts)
+    return (
+        lists.withColumn("i", F.explode("_l")).withColumn("j", F.explode("_l"))
+        .where("i <> j").drop("_l")
+    )
 
 
-def complete_graph(parts: DataFrame) -> DataFrame:
-    """Every ordered pair including i = j, the contact graph of ad-hoc inputs."""
-    left = parts.select("name", F.col("part_idx").alias("i"))
-    return left.join(parts.select("name", F.col("part_idx").alias("j")), "name")
+def complete_graph(objects: DataFrame, pad_to: int = 20) -> DataFrame:
+    """The all-ones contact graph of ad-hoc inputs, diagonal and padding included."""
+    width = F.greatest(F.lit(pad_to).cast("long"), F.col("num_parts"))
+    return objects.select("name", width.alias("width"), F.lit(True).alias("complete"))
 
 
 def pad_parts(df: DataFrame, value: Column, max_parts: int, zero: Column, out: str) -> DataFrame:
