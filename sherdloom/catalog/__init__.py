@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-_AREAS = ("poses", "metrics", "meshes", "clouds", "curves", "features", "flows")
+_AREAS = ("poses", "metrics", "meshes", "clouds", "curves", "features", "flows", "tables")
 
 
 def _load() -> None:
