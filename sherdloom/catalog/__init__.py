@@ -6,7 +6,9 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-_AREAS = ("poses", "metrics", "meshes", "clouds", "curves", "features", "flows", "tables")
+_AREAS = (
+    "poses", "metrics", "meshes", "clouds", "curves", "features", "flows", "tables", "streams", "jobs",
+)
 
 
 def _load() -> None:

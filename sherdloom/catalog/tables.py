@@ -237,9 +237,9 @@ def gallery_manifest(spark, sf):
         F.concat(F.lit("nation"), F.col("c_nationkey").cast("string")).alias("subset"),
         F.concat(F.lit("f/"), F.col("c_custkey").cast("string")).alias("folder"), files.alias("files"),
     )
-    # one manifest per customer: a manifest is a single document
+    # one manifest per customer and line: a manifest is a single document
     c.select(F.array(key).alias("idList"), F.create_map(key, entity).alias("entities")).write.json(path)
-    got = GA.read_gallery(spark, path)
+    got = GA.read_gallery(spark, path, multi_line=False)
     return got.withColumn("pos", F.col("pos").cast("long"))
 
 

@@ -16,9 +16,13 @@ MANIFEST = T.StructType(
 )
 
 
-def read_gallery(spark: SparkSession, path: str) -> DataFrame:
-    """(id, dataset, subset, folder, pos, file); an unreadable manifest gives no rows."""
-    docs = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_gallery(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(id, dataset, subset, folder, pos, file); an unreadable manifest gives no rows.
+
+    ``multi_line`` reads one pretty-printed manifest per file, otherwise every line
+    is a manifest.
+    """
+    docs = spark.read.schema(MANIFEST).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     entities = docs.select(F.explode("entities").alias("key", "e")).select("e.*")
     return entities.select(
         "id", "dataset", "subset", "folder", F.posexplode("files").alias("pos", "file")

@@ -96,6 +96,11 @@ def parse_obj(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xyz, dtype="f8").reshape(-1, 3), _fan(polygons)
 
 
+def _plain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Text columns as Python strings, which every Arrow conversion accepts."""
+    return rows.astype({c: object for c in ("path", "kind", "error")})
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
     for pdf in batches:
@@ -106,14 +111,15 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(tri) and (tri.min() < 0 or tri.max() >= len(xyz)):
                     raise ValueError("face index out of range")
             except Exception as problem:  # a bad file becomes a row, not a failed job
-                yield pd.DataFrame([{"path": path, "kind": "error", "error": str(problem)}], columns=columns)
+                row = {"path": path, "kind": "error", "error": str(problem)}
+                yield _plain(pd.DataFrame([row], columns=columns))
                 continue
             for kind, values, names in (("v", xyz, "xyz"), ("f", tri, "abc")):
                 for lo in range(0, len(values), _SLICE):
                     part = pd.DataFrame(values[lo : lo + _SLICE], columns=list(names))
                     part["path"], part["kind"] = path, kind
                     part["idx"] = np.arange(lo, lo + len(part))
-                    yield part.reindex(columns=columns)
+                    yield _plain(part.reindex(columns=columns))
 
 
 def mesh_rows(files: DataFrame) -> DataFrame:

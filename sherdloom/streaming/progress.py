@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..session import fresh_path
-
 WATERMARK = "10 minutes"
 METRIC_WINDOW = "1 hour"
 RUN_GAP = "30 minutes"
@@ -35,7 +33,7 @@ TYPE_OF = {
 }
 
 
-def read_events(spark: SparkSession, folder: str, files: str = "*.parquet", per_trigger: int = 1) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, files: str = "*.parquet", per_trigger: int = 1000) -> DataFrame:
     """Event files of a folder as a stream."""
     return (
         spark.readStream.schema(EVENT)
@@ -99,28 +97,32 @@ def run_sessions(progress: DataFrame) -> DataFrame:
     )
 
 
-def run_to_end(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over everything available now and return what it wrote.
+def run_available(stream: DataFrame, mode: str, out: str, state: str) -> None:
+    """Process everything that has arrived, write it below ``out`` and stop.
 
-    Append output is read as written.  For update and complete output every
-    micro-batch is written with its number and the newest row per key is kept.
+    Append output is written as it comes.  In update and complete mode every
+    micro-batch goes to a folder of its own number; overwriting that folder makes
+    a replayed batch harmless.
     """
-    spark = stream.sparkSession
-    out, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option(
         "checkpointLocation", state
     )
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
+
         def save(batch: DataFrame, number: int) -> None:
-            # overwriting the batch's own folder makes a replayed batch harmless
             batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(
                 f"{out}/batch={number}"
             )
 
         query = writer.foreachBatch(save).start()
     query.awaitTermination()
+
+
+def written(stream: DataFrame, mode: str, out: str, keys: list[str]) -> DataFrame:
+    """What a stream has written so far; outside append mode the newest row per key."""
+    spark = stream.sparkSession
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
