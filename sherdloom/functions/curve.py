@@ -62,59 +62,77 @@ def binary_to_gray(c: Column) -> Column:
 
 
 def gray_to_binary(c: Column) -> Column:
-    for shift in (32, 16, 8, 4, 2, 1):
-        c = c.bitwiseXOR(F.shiftrightunsigned(c, shift))
-    return c
+    """Every bit becomes the parity of the bits from the top down to it."""
+    shifts = F.array(*[F.lit(k) for k in (32, 16, 8, 4, 2, 1)])
+    return F.aggregate(
+        shifts, _long(c),
+        lambda acc, k: acc.bitwiseXOR(F.call_function("shiftrightunsigned", acc, k)),
+    )
 
 
-def _exchange(df: DataFrame, axes: list[str], bit: int, axis: int) -> DataFrame:
+def _exchange(cell: Column, bit: Column, axis: Column) -> Column:
     """One step of Skilling's transform on the bits below ``bit``.
 
     Where the axis has the bit set, the lower bits of the first axis are inverted;
     elsewhere the lower bits of the two axes are swapped.  The step is its own
-    inverse.
+    inverse.  The cell is a bound lambda variable, so naming it often is free.
     """
-    low = F.lit((1 << bit) - 1)
-    first, this = F.col(axes[0]), F.col(axes[axis])
-    is_set = this.bitwiseAND(F.lit(1 << bit)) != 0
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    mark = F.call_function("shiftleft", one, bit)
+    low = mark - 1
+    first = cell["a0"]
+    this = F.when(axis == 0, first).when(axis == 1, cell["a1"]).otherwise(cell["a2"])
+    is_set = this.bitwiseAND(mark) != 0
     differing = first.bitwiseXOR(this).bitwiseAND(low)
-    df = df.withColumns(
-        {
-            "_m0": F.when(is_set, low).otherwise(differing),
-            "_mi": F.when(is_set, F.lit(0).cast("long")).otherwise(differing),
-        }
+    flip = F.when(is_set, low).otherwise(differing)
+    swap = F.when(is_set, zero).otherwise(differing)
+    return F.struct(
+        first.bitwiseXOR(flip).alias("a0"),
+        F.when(axis == 1, cell["a1"].bitwiseXOR(swap)).otherwise(cell["a1"]).alias("a1"),
+        F.when(axis == 2, cell["a2"].bitwiseXOR(swap)).otherwise(cell["a2"]).alias("a2"),
     )
-    update = {axes[0]: first.bitwiseXOR(F.col("_m0"))}
-    if axis:
-        update[axes[axis]] = this.bitwiseXOR(F.col("_mi"))
-    return df.withColumns(update).drop("_m0", "_mi")
 
 
-def with_hilbert(
-    df: DataFrame, x: str, y: str, z: str, depth: int, out: str
-) -> DataFrame:
-    """Add the Hilbert index of a grid cell with ``depth`` bits per axis."""
-    axes = ["_h0", "_h1", "_h2"]
-    df = df.withColumns({a: _long(F.col(c)) for a, c in zip(axes, (x, y, z))})
-    for bit in range(depth - 1, 0, -1):
-        for axis in range(3):
-            df = _exchange(df, axes, bit, axis)
-    return (
-        df.withColumn("_hg", z_encode(*[F.col(a) for a in axes]))
-        .withColumn(out, gray_to_binary(F.col("_hg")))
-        .drop(*axes, "_hg")
+def _steps(depth: int) -> list[Column]:
+    return [
+        F.struct(F.lit(bit).alias("bit"), F.lit(axis).alias("axis"))
+        for bit in range(depth - 1, 0, -1)
+        for axis in range(3)
+    ]
+
+
+def _cell(x: Column, y: Column, z: Column) -> Column:
+    return F.struct(_long(x).alias("a0"), _long(y).alias("a1"), _long(z).alias("a2"))
+
+
+def _no_step() -> Column:
+    return F.array().cast("array<struct<bit:int,axis:int>>")
+
+
+def hilbert_encode(x: Column, y: Column, z: Column, depth: int) -> Column:
+    """Hilbert index of a grid cell with ``depth`` bits per axis.
+
+    The steps are folded inside one expression.  Written as a chain of columns, a
+    filter on the result would be substituted through the chain and grow with every
+    step.
+    """
+    steps = _steps(depth)
+    folded = F.aggregate(
+        F.array(*steps) if steps else _no_step(), _cell(x, y, z),
+        lambda cell, s: _exchange(cell, s["bit"], s["axis"]),
+        lambda cell: z_encode(cell["a0"], cell["a1"], cell["a2"]),
     )
+    return gray_to_binary(folded)
 
 
-def with_hilbert_cell(df: DataFrame, code: str, depth: int, out: tuple[str, str, str]) -> DataFrame:
-    """Add the grid cell of a Hilbert index: the encoding steps in reverse."""
-    axes = ["_h0", "_h1", "_h2"]
-    df = df.withColumn("_hg", binary_to_gray(F.col(code)))
-    df = df.withColumns(dict(zip(axes, z_decode(F.col("_hg"))))).drop("_hg")
-    for bit in range(1, depth):
-        for axis in (2, 1, 0):
-            df = _exchange(df, axes, bit, axis)
-    return df.withColumns({o: F.col(a) for o, a in zip(out, axes)}).drop(*axes)
+def hilbert_decode(code: Column, depth: int) -> Column:
+    """Struct a0, a1, a2 with the grid cell of a Hilbert index: the steps in reverse."""
+    steps = _steps(depth)[::-1]
+    start = F.transform(F.array(binary_to_gray(_long(code))), lambda g: _cell(*z_decode(g)))[0]
+    return F.aggregate(
+        F.array(*steps) if steps else _no_step(), start,
+        lambda cell, s: _exchange(cell, s["bit"], s["axis"]),
+    )
 
 
 def check_depth(depth: int, batch_bits: int = 0) -> None:
@@ -134,7 +152,7 @@ def with_code(
     if order.startswith("z"):
         df = df.withColumn(out, z_encode(F.col(x), F.col(y), F.col(z)))
     else:
-        df = with_hilbert(df, x, y, z, depth, out)
+        df = df.withColumn(out, hilbert_encode(F.col(x), F.col(y), F.col(z), depth))
     if batch is not None:
         df = df.withColumn(out, F.shiftleft(_long(F.col(batch)), 3 * depth).bitwiseOR(F.col(out)))
     return df
@@ -151,7 +169,9 @@ def with_cell(
     if order == "z":
         df = df.withColumns(dict(zip(out, z_decode(F.col("_c")))))
     elif order == "hilbert":
-        df = with_hilbert_cell(df, "_c", depth, tuple(out))
+        df = df.withColumn("_cell", hilbert_decode(F.col("_c"), depth)).withColumns(
+            {o: F.col(f"_cell.a{i}") for i, o in enumerate(out)}
+        ).drop("_cell")
     else:
         raise ValueError(f"cannot decode curve order {order!r}")
     return df.drop("_c")
