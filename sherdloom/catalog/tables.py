@@ -549,7 +549,7 @@ def pieces_minus_removed(spark, sf):
     "d10_model_comparison",
     f"""WITH {duck.SEG}, two AS (SELECT 'baseline' AS model, gt, score FROM seg UNION ALL SELECT 'hybrid', gt, (score + gt) / 2 FROM seg),
     c AS (SELECT model, count(*) FILTER (score > 0.5 AND gt = 1) AS tp, count(*) FILTER (score > 0.5 AND gt = 0) AS fp, count(*) FILTER (score <= 0.5 AND gt = 1) AS fn FROM two GROUP BY model)
-    SELECT model, {duck.r('2*tp/(2*tp+fp+fn)', 'f1')}, {duck.r('tp/(tp+fn)', 'recall')}, CAST(rank() OVER (ORDER BY 2*tp/(2*tp+fp+fn) DESC, tp/(tp+fn) DESC) - 1 AS BIGINT) AS place FROM c""",
+    SELECT model, {duck.r('2*tp/(2*tp+fp+fn)', 'f1')}, {duck.r('tp/(tp+fn)', 'recall')}, CAST(row_number() OVER (ORDER BY 2*tp/(2*tp+fp+fn) DESC, tp/(tp+fn) DESC, model) - 1 AS BIGINT) AS place FROM c""",
 )
 def model_comparison(spark, sf):
     s = fx.scores(spark, sf)

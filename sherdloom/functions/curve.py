@@ -23,21 +23,32 @@ def _long(c: Column) -> Column:
     return c.cast("long")
 
 
+def _masked_steps(steps) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(m).alias("m")) for k, m in steps])
+
+
 def spread_bits(c: Column) -> Column:
-    """Move bit i to bit 3i."""
-    c = _long(c).bitwiseAND(F.lit(_LOW21))
-    for shift, mask in _SPREAD:
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
-    return c
+    """Move bit i to bit 3i.
+
+    Folded, so the input is named once: codes are built from codes and filtered on,
+    and an expression that repeats its input would multiply each time.
+    """
+    return F.aggregate(
+        _masked_steps(_SPREAD), _long(c).bitwiseAND(F.lit(_LOW21)),
+        lambda acc, s: acc.bitwiseOR(F.call_function("shiftleft", acc, s["k"])).bitwiseAND(s["m"]),
+    )
 
 
 def gather_bits(c: Column) -> Column:
     """Move bit 3i to bit i."""
-    masks = [m for _, m in _SPREAD]
-    c = c.bitwiseAND(F.lit(masks[-1]))
-    for (shift, _), mask in zip(reversed(_SPREAD), [*reversed(masks[:-1]), _LOW21]):
-        c = c.bitwiseOR(F.shiftrightunsigned(c, shift)).bitwiseAND(F.lit(mask))
-    return c
+    shifts = [k for k, _ in reversed(_SPREAD)]
+    masks = [m for _, m in reversed(_SPREAD)]
+    return F.aggregate(
+        _masked_steps(zip(shifts, [*masks[1:], _LOW21])), c.bitwiseAND(F.lit(masks[0])),
+        lambda acc, s: acc.bitwiseOR(
+            F.call_function("shiftrightunsigned", acc, s["k"])
+        ).bitwiseAND(s["m"]),
+    )
 
 
 def z_encode(x: Column, y: Column, z: Column) -> Column:

@@ -114,9 +114,14 @@ def beta_table(spark: SparkSession, n: int = 1000, kind: str = "piece_wise") ->
 
 
 def _finish(df: DataFrame, out, values) -> DataFrame:
-    """Write the results and drop the stages (columns starting with ``_``)."""
-    df = df.withColumns(dict(zip(out, values)))
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    """Write the results and drop the stages (columns starting with ``_``).
+
+    The results pass through a one-row ``inline``: a later filter on them stops
+    there instead of being substituted back through every stage.
+    """
+    keep = [c for c in df.columns if not c.startswith("_") and c not in out]
+    row = F.struct(*[v.alias(n) for v, n in zip(values, out)])
+    return df.select(*keep, F.inline(F.array(row)))
 
 
 def flow_noise(df: DataFrame, t0, q0, t1, q1, s: Column, pose_out, field_out) -> DataFrame:

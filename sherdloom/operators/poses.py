@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import rot, schedule
+from ..functions import rot
 from .metrics import gt_q, gt_t, PART, pr_q, pr_t
 
 GT_COLS = ["gt_tx", "gt_ty", "gt_tz", "gt_qw", "gt_qx", "gt_qy", "gt_qz"]
 PR_COLS = ["pr_tx", "pr_ty", "pr_tz", "pr_qw", "pr_qx", "pr_qy", "pr_qz"]
+POSE = ("tx", "ty", "tz", "qw", "qx", "qy", "qz")
+_MOVE = ("dx", "dy", "dz", "ew", "ex", "ey", "ez")
 STEP_LIMIT = 1 << 16  # a trajectory array is one part's schedule, a parameter
 
 
@@ -52,45 +54,50 @@ def integrate(start: DataFrame, field: DataFrame, steps: DataFrame) -> DataFrame
     """Pose after every integration step, one row per part and step.
 
     ``field`` has one row per part and step, ``steps`` the schedule (step, delta).
-    The steps of a part depend on each other, so they are folded in order inside
+    Quaternions come out standardised.  The steps of a part depend on each other, so they are folded in order inside
     one row; that row holds one schedule, whose length is checked.
     """
-    one = F.struct("step", "vx", "vy", "vz", "wx", "wy", "wz", "delta")
+    # The turn of a step does not depend on the pose, so it is computed row by row;
+    # only adding and multiplying is left for the fold.
+    timed = field.join(F.broadcast(steps.select("step", "delta")), "step")
+    shift = rot.scale(rot.cols("vx", "vy", "vz"), F.col("delta"))
+    timed = rot.with_tuple(timed, ("_sx", "_sy", "_sz"), rot.scale(rot.cols("wx", "wy", "wz"), F.col("delta")))
+    turn = rot.exp_map(rot.cols("_sx", "_sy", "_sz"))
+    checked = F.when(F.col("step") < STEP_LIMIT, F.col("step")).otherwise(
+        F.raise_error(F.lit("schedule longer than the step limit")).cast("long")
+    )
     moves = (
-        field.join(F.broadcast(steps.select("step", "delta")), "step")
-        .withColumn(
-            "step",
-            F.when(F.col("step") < STEP_LIMIT, F.col("step")).otherwise(
-                F.raise_error(F.lit("schedule longer than the step limit"))
-            ),
+        timed.select(
+            *PART, checked.alias("step"),
+            *[v.alias(n) for v, n in zip((*shift, *turn), _MOVE)],
         )
         .groupBy(*PART)
-        .agg(F.sort_array(F.collect_list(one)).alias("_moves"))
+        .agg(F.sort_array(F.collect_list(F.struct("step", *_MOVE))).alias("_moves"))
     )
     df = start.join(moves, PART)
 
     def names(values):
-        return F.struct(*[v.alias(n) for v, n in zip(values, ("tx", "ty", "tz", "qw", "qx", "qy", "qz"))])
+        return F.struct(*[v.alias(n) for v, n in zip(values, POSE)])
 
-    def state(path, step, values):
-        return F.struct(path.alias("path"), step.alias("step"), names(values).alias("pose"))
+    def state(path, pose):
+        return F.struct(path.alias("path"), pose.alias("pose"))
 
-    seed = state(
-        F.array(F.struct(F.lit(-1).cast("long").alias("step"), names(pr_t() + pr_q()).alias("pose"))),
-        F.lit(-1).cast("long"), pr_t() + pr_q(),
-    )
+    first = names(pr_t() + pr_q())
+    seed = state(F.array(F.struct(F.lit(-1).cast("long").alias("step"), first.alias("pose"))), first)
 
     def advance(acc, m):
         p = acc["pose"]
-        t, q = (p["tx"], p["ty"], p["tz"]), (p["qw"], p["qx"], p["qy"], p["qz"])
-        nt, nq = schedule.euler_step(
-            t, q, (m["vx"], m["vy"], m["vz"]), (m["wx"], m["wy"], m["wz"]), m["delta"]
+        moved = rot.add((p["tx"], p["ty"], p["tz"]), (m["dx"], m["dy"], m["dz"]))
+        turned = rot.raw_multiply(
+            (m["ew"], m["ex"], m["ey"], m["ez"]), (p["qw"], p["qx"], p["qy"], p["qz"])
         )
-        here = F.struct(m["step"].alias("step"), names((*nt, *nq)).alias("pose"))
-        return state(F.concat(acc["path"], F.array(here)), m["step"], (*nt, *nq))
+        here = F.struct(m["step"].alias("step"), names((*moved, *turned)).alias("pose"))
+        # the new pose is read back from the grown path, so it is computed once
+        return F.transform(
+            F.array(here),
+            lambda h: state(F.concat(acc["path"], F.array(h)), h["pose"]),
+        )[0]
 
     path = F.aggregate("_moves", seed, advance, lambda acc: acc["path"])
-    return (
-        df.select(*PART, F.explode(path).alias("_p"))
-        .select(*PART, "_p.step", "_p.pose.*")
-    )
+    rows = df.select(*PART, F.explode(path).alias("_p")).select(*PART, "_p.step", "_p.pose.*")
+    return rot.with_tuple(rows, POSE[3:], rot.standardize(rot.cols(*POSE[3:])))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.rand import DEFAULT_SEED
 from ..operators.geometry import feature_columns
 from ..operators.metrics import segmentation_report
+from ..operators.ordering import with_global_rank
 
 THRESHOLD = 0.5  # fixed value, strict
 
@@ -69,17 +70,10 @@ def fused_features(encoder: Column, geometry: list[str]) -> Column:
 
 
 def compare_models(scores: DataFrame) -> DataFrame:
-    """Segmentation report per model, best F1 first, recall breaking ties.
-
-    One row per model; ``place`` counts the models that do better, so no ordering
-    task is needed.
-    """
+    """Segmentation report per model with its place: F1 first, then recall, then name."""
     report = segmentation_report(scores, ["model"])
-    key = F.struct("f1", "recall")
-    other = report.select(key.alias("_o"))
-    # both sides have one row per model, a handful by construction of the input
-    beaten = report.join(F.broadcast(other), F.col("_o") > key, "left")
-    return beaten.groupBy(*report.columns).agg(F.count("_o").alias("place"))
+    keyed = report.withColumns({"_f": -F.col("f1"), "_r": -F.col("recall")})
+    return with_global_rank(keyed, ["_f", "_r", "model"], "place").drop("_f", "_r")
 
 
 def ablation_table(features: DataFrame) -> DataFrame:

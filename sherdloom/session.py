@@ -16,7 +16,6 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         SparkSession.builder.master(f"local[{cores}]")
         .appName("sherdloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -25,6 +24,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+# Runtime settings every job relies on.  Joins on an object or part may meet one key
+# that holds a large share of the rows; adaptive execution splits it, also where
+# that costs a further shuffle.
+SKEW_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the skew settings to a session that may have been built elsewhere."""
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 

@@ -13,6 +13,7 @@ from ..operators.ordering import with_rank
 from ..session import materialize
 
 _SLICE = 1 << 16
+MAX_TEXT_LINES = 1 << 20
 _PLY_TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2",
     "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4",
@@ -165,15 +166,24 @@ def mesh_tables(files: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame,
 
 
 def to_ply(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """(name, part_idx, content): ascii PLY text of every piece, one file per row."""
+    """(name, part_idx, content): ascii PLY text of every piece, one file per row.
+
+    A text of more than ``MAX_TEXT_LINES`` vertices or faces is refused up front.
+    """
+
+    def bounded(idx):
+        return F.when(F.col(idx) < MAX_TEXT_LINES, F.col(idx)).otherwise(
+            F.raise_error(F.lit("piece too large for a text file")).cast("long")
+        ).alias(idx)
+
     v_lines = vertices.groupBy(*PART).agg(
         F.sort_array(
-            F.collect_list(F.struct("v_idx", F.concat_ws(" ", "x", "y", "z").alias("line")))
+            F.collect_list(F.struct(bounded("v_idx"), F.concat_ws(" ", "x", "y", "z").alias("line")))
         ).alias("v")
     )
     f_lines = faces.groupBy(*PART).agg(
         F.sort_array(
-            F.collect_list(F.struct("f_idx", F.concat_ws(" ", F.lit("3"), "a", "b", "c").alias("line")))
+            F.collect_list(F.struct(bounded("f_idx"), F.concat_ws(" ", F.lit("3"), "a", "b", "c").alias("line")))
         ).alias("f")
     )
     header = F.concat(

@@ -347,3 +347,15 @@ def test_store_lookup_reaches_the_scan(spark):
     found = store.lookup(spark, path, 7)
     assert found.count() == 1
     assert "EqualTo(name,7)" in plan_of(found)
+
+
+def test_noised_poses_can_be_filtered_on(spark):
+    """A filter on a composed rotation must not be expanded through its stages."""
+    df = quats(spark, 20).select(
+        *[F.lit(0.1).alias(f"gt_t{c}") for c in "xyz"], *[F.col(c).alias(f"gt_q{c}") for c in "wxyz"]
+    )
+    out, field = [f"o{i}" for i in range(7)], [f"f{i}" for i in range(6)]
+    noised = schedule.flow_noise(
+        df, metrics.gt_t(), metrics.gt_q(), metrics.gt_t(), metrics.gt_q(), F.lit(0.5), out, field
+    )
+    assert noised.where("o3 >= 0 AND o4 < 2 AND f3 < 7").count() == 20
