@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import rot
 from .metrics import PART
@@ -73,7 +73,8 @@ def with_eigenvalues(cov: DataFrame) -> DataFrame:
     return df.withColumn("l1", 3.0 * q - F.col("l0") - F.col("l2")).drop("_q", "_p", "_a")
 
 
-@F.pandas_udf("x double, y double, z double")
+# an explicit type: a DDL string would need a session when the module is loaded
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"]))
 def _smallest_axis(
     batches: Iterator[tuple[pd.Series, ...]],
 ) -> Iterator[pd.DataFrame]:
