@@ -94,24 +94,53 @@ def _features(spark, sf):
     return G.surface_features(fx.points(spark, sf), K)
 
 
-@query("m31_normal_consistency")
-def normal_consistency(spark, sf):
-    return _features(spark, sf).select(*PT, "normal_consistency")
+def _axis_sql(src: str, lam: str, out: str, v: str) -> str:
+    """Unit eigenvector for an eigenvalue: the longest cross product of two rows of C - lam I."""
+    rows = (
+        (f"(cxx-{lam})", "cxy", "cxz"), ("cxy", f"(cyy-{lam})", "cyz"), ("cxz", "cyz", f"(czz-{lam})"),
+    )
+
+    def cross(r, q):
+        return (
+            f"({r[1]}*{q[2]}-{r[2]}*{q[1]})", f"({r[2]}*{q[0]}-{r[0]}*{q[2]})", f"({r[0]}*{q[1]}-{r[1]}*{q[0]})",
+        )
+
+    pairs = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    cols = ", ".join(f"{e} AS {v}{n}{c}" for n, p in enumerate(pairs) for e, c in zip(p, "xyz"))
+    sizes = ", ".join(f"{v}{n}x*{v}{n}x+{v}{n}y*{v}{n}y+{v}{n}z*{v}{n}z AS {v}s{n}" for n in range(3))
+    pick = ", ".join(
+        f"CASE WHEN {v}s0 >= {v}s1 AND {v}s0 >= {v}s2 THEN {v}0{c}/sqrt({v}s0) WHEN {v}s1 >= {v}s2 THEN {v}1{c}/sqrt({v}s1) ELSE {v}2{c}/sqrt({v}s2) END AS {v}{c}"
+        for c in "xyz"
+    )
+    return f"{out} AS (SELECT *, {pick} FROM (SELECT *, {sizes} FROM (SELECT *, {cols} FROM {src})))"
+
 
+# The trigonometric root is refined once by its Rayleigh quotient.
+_RAY = "(v{0}*v{0}*cxx+v{1}*v{1}*cyy+v{2}*v{2}*czz+2*(v{0}*v{1}*cxy+v{0}*v{2}*cxz+v{1}*v{2}*cyz))".format(*"xyz")
+FEATURES = f"""WITH {NEAR}, {_UNBIASED}, {_EIG}, {_axis_sql('eig', 'l2', 'ax1', 'v')},
+ray AS (SELECT *, {_RAY} AS lr FROM ax1), {_axis_sql('ray', 'lr', 'ax2', 'w')},
+mids AS (SELECT name, part_idx, pt_idx, avg(bx) AS mx, avg(by_) AS my, avg(bz) AS mz FROM near GROUP BY ALL),
+rough AS (SELECT name, part_idx, pt_idx, avg(abs((bx-mx)*wx+(by_-my)*wy+(bz-mz)*wz)) AS roughness
+  FROM near JOIN mids USING (name, part_idx, pt_idx) JOIN ax2 USING (name, part_idx, pt_idx) GROUP BY ALL),
+feat AS (SELECT p.name, p.part_idx, p.pt_idx, p.nx, p.ny, p.nz, abs(p.nx*wx+p.ny*wy+p.nz*wz) AS normal_consistency,
+  lr/greatest(cxx+cyy+czz, 1e-8) AS curvature, roughness
+  FROM pts p JOIN ax2 USING (name, part_idx, pt_idx) JOIN rough USING (name, part_idx, pt_idx))"""
 
-@query("m33_roughness")
-def roughness(spark, sf):
-    return _features(spark, sf).select(*PT, "roughness")
+
+def _features(spark, sf):
+    return G.surface_features(fx.points(spark, sf), K)
 
 
-@query("m34_surface_features")
-def surface_features(spark, sf):
-    return _features(spark, sf).select(*PT, *G.feature_columns())
+def _feature_query(name: str, columns: list[str]):
+    @query(name, f"{FEATURES} SELECT name, part_idx, pt_idx, {duck.rs(columns, columns)} FROM feat")
+    def features(spark, sf):
+        return _features(spark, sf).select(*PT, *rounded(map(F.col, columns), columns))
 
 
-@query("p20_feature_ablation_columns")
-def ablation_columns(spark, sf):
-    return _features(spark, sf).select(*PT, *G.feature_columns(use_normals=False, use_roughness=False))
+_feature_query("m31_normal_consistency", ["normal_consistency"])
+_feature_query("m33_roughness", ["roughness"])
+_feature_query("m34_surface_features", G.feature_columns())
+_feature_query("p20_feature_ablation_columns", G.feature_columns(use_normals=False, use_roughness=False))
 
 
 @query(

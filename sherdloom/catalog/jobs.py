@@ -60,7 +60,10 @@ def inference_clouds(spark, sf):
     return counted.join(graphs.select("name", "width"), "name")
 
 
-@query("d03_posed_points")
+@query(
+    "d03_posed_points",
+    f"WITH {DENSE}, {GEOM}, {MEASURES} SELECT name, part_idx, CAST(0 AS DOUBLE) AS worst FROM meas",
+)
 def posed_points(spark, sf):
     """Points put back by the part truth; the distance to where they were is 0."""
     points, parts = PP.uniform_clouds(fx.vertices(spark, sf), labelled(spark, sf), 30)

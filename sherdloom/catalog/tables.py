@@ -578,3 +578,41 @@ def fracture_classifier(spark, sf):
 @query("d12_ablation_table")
 def ablation(spark, sf):
     return SEG.ablation_table(_geo(spark, sf)).select("model", "accuracy", "recall", "precision", "f1", "dice_loss")
+
+
+@query(
+    "x07_batch_scorer",
+    f"WITH {duck.PTS} SELECT name, part_idx, pt_idx, {duck.r('1/(1+exp(-(3*x-2*nz)))', 'score')} FROM pts",
+)
+def batch_scorer(spark, sf):
+    from ..plans.scoring import score_batches
+
+    def model(batch):
+        import numpy as np
+
+        return 1.0 / (1.0 + np.exp(-(3.0 * batch["x"] - 2.0 * batch["nz"])))
+
+    scored = score_batches(fx.points(spark, sf), model, ["x", "nz"])
+    return scored.select(*PART, "pt_idx", *rounded([F.col("score")], ["score"]))
+
+
+@query(
+    "x01_sql_functions",
+    f"WITH {duck.PTS_POSE} SELECT name, part_idx, pt_idx, "
+    + duck.rs(duck.matvec(duck.mat(GQ), ("x", "y", "z")), ("rx", "ry", "rz"))
+    + f", {duck.r('least(abs(degrees(x)-degrees(y)), 360-abs(degrees(x)-degrees(y)))', 'gap')}, "
+    "CAST(((pt_idx & 1) << 2) + ((pt_idx >> 1 & 1) << 5) + ((pt_idx >> 2 & 1) << 8) + ((pt_idx >> 3 & 1) << 11) + ((pt_idx >> 4 & 1) << 14) AS BIGINT) AS code "
+    "FROM pts JOIN pose USING (name, part_idx)",
+)
+def sql_functions(spark, sf):
+    from ..functions.sql import register
+
+    register(spark)
+    fx.points(spark, sf).join(fx.poses(spark, sf), PART).createOrReplaceTempView("sherdloom_placed")
+    return spark.sql(
+        """SELECT name, part_idx, pt_idx, round(r.x, 6) + 0.0D AS rx, round(r.y, 6) + 0.0D AS ry,
+                  round(r.z, 6) + 0.0D AS rz, round(gap, 6) + 0.0D AS gap, code
+           FROM (SELECT *, quat_rotate(gt_qw, gt_qx, gt_qy, gt_qz, x, y, z) AS r,
+                        angle_gap(degrees(x), degrees(y)) AS gap, z_code(pt_idx, 0, 0) AS code
+                 FROM sherdloom_placed)"""
+    )

@@ -119,6 +119,26 @@ def test_removal_plan_both_ways(spark, task_pieces):
         assert steps == brute_peel(order, es), k
 
 
+def test_removal_plan_over_the_whole_table(spark):
+    """The registered query against the sequential rule, object by object."""
+    from sherdloom import fixtures
+    from sherdloom.catalog import meshes as queries
+
+    sf = "/root/testdata/sf0.001"
+    v = fixtures.vertices(spark, sf, fixtures.MESH_SPARSE)
+    f = fixtures.faces(spark, sf, fixtures.MESH_SPARSE)
+    measured = v.select("name", "part_idx").distinct().join(
+        mesh.piece_measures(v, f), ["name", "part_idx"], "left"
+    ).fillna(0.0, ["volume"])
+    prio = mesh.removal_priority(measured).toPandas().sort_values(["name", "prio"])
+    edges = contact.contact_edges(v).toPandas()
+    got = queries.plan(spark, sf).toPandas().sort_values(["name", "step"])
+    taken = {n: g["part_idx"].tolist() for n, g in got.groupby("name")}
+    near = {n: set(zip(g["i"], g["j"])) for n, g in edges.groupby("name")}
+    for n, g in prio.groupby("name"):
+        assert taken.get(n, []) == brute_peel(g["part_idx"].tolist(), near.get(n, set())), n
+
+
 def test_prefix_sum_crosses_blocks(spark):
     idx = [0, 5, 65535, 65536, 70000, 200000, 2**31 + 7]
     rows = [(k, i, float(n + 1)) for k in (1, 2) for n, i in enumerate(idx)]
