@@ -110,16 +110,19 @@ def _prune(pairs: DataFrame, keys: list[str], need: int) -> DataFrame:
     )
     bound = F.min("_far").over(Window.partitionBy(*keys, "q_node"))
     return (
-        pairs.withColumn("_bound", bound)
-        .where(F.col("_near") <= F.col("_bound") * (1.0 + 1e-9))
-        .drop("_near", "_far", "_bound")
+        pairs.withColumn("_bound", bound * (1.0 + 1e-9))
+        .where(F.col("_near") <= F.col("_bound"))
+        .drop("_near", "_far")
     )
 
 
 def _candidate_pairs(
     q: DataFrame, d: DataFrame, keys: list[str], need: int, levels: int
 ) -> DataFrame:
-    """(q_node, node) pairs of blocks that have to be compared."""
+    """(q_node, node, bound) pairs of blocks that have to be compared.
+
+    Every point of the query block has its answers within squared distance ``bound``.
+    """
     box = [f"{e}_{c}" for e in ("lo", "hi") for c in _XYZ]
     q_box = q.select(*keys, F.col("node").alias("q_node"), *[F.col(b).alias(f"q_{b}") for b in box])
     leaves = d.select(*keys, "node", "n", *box)
@@ -145,14 +148,14 @@ def _candidate_pairs(
                 .drop("_up")
             )
         pairs = _prune(pairs, keys, need)
-    return pairs.select(*keys, "q_node", "node")
+    return pairs.select(*keys, "q_node", "node", F.col("_bound").alias("bound"))
 
 
 def _matcher(keys: list[str], ids: list[str], k: int):
     """Arrow-batch function: k best points of one data block for every query location.
 
-    Data points arrive sorted by id, so a stable sort on the distance also settles
-    equal distances by id.
+    Data points arrive sorted by id, so the column number settles equal distances.
+    Points beyond the block's bound cannot be answers and are not sent on.
     """
 
     def match(batches):
@@ -163,16 +166,19 @@ def _matcher(keys: list[str], ids: list[str], k: int):
                     (np.subtract.outer(getattr(row, f"q_{c}"), getattr(row, c))) ** 2 for c in _XYZ
                 )
                 take = min(k, d2.shape[1])
-                if take == 1:
-                    best = d2.argmin(axis=1)[:, None]
-                else:
-                    best = d2.argsort(axis=1, kind="stable")[:, :take]
-                at = np.repeat(np.arange(len(d2)), take)
-                hit = best.ravel()
+                edge = np.partition(d2, take - 1, axis=1)[:, take - 1]
+                at, hit = np.nonzero(d2 <= np.minimum(edge, row.bound)[:, None])
+                dist = d2[at, hit]
+                order = np.lexsort((hit, dist, at))
+                at, hit, dist = at[order], hit[order], dist[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, hit, dist = (v[place < take] for v in (at, hit, dist))
+                if not len(at):
+                    continue
                 part = {c: [getattr(row, c)] * len(at) for c in keys}
                 part.update({c: getattr(row, f"q_{c}")[at] for c in _XYZ})
                 part.update({f"n_{c}": getattr(row, c)[hit] for c in ids})
-                part["d2"] = d2[at, hit]
+                part["d2"] = dist
                 frames.append(pd.DataFrame(part))
             if frames:
                 yield pd.concat(frames, ignore_index=True)
