@@ -56,3 +56,11 @@ def with_row_id(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """
     rid = fresh(df, "rid")
     return materialize(df.withColumn(rid, F.monotonically_increasing_id()), tag), rid
+
+
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """Lower-cased host and path of a URL; both empty without ``://``."""
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
+    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
+    return lower_ascii(host), path

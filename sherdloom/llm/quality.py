@@ -30,10 +30,10 @@ COMMON_OTHER = "a de den der el en et in la le the und".split()
 CLASSES = ("[A-Z]", "[0-9]", "[#*$%&|<>]", "[!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-]", "[^\\x00-\\x7F]", "[aeiou]")
 
 MIN_WORDS = 50
-MAX_CHAR_DISTANCE = 0.35
-MAX_WORD_DISTANCE = 0.60
-MIN_CHARS = 200  # shorter texts are not judged by their characters
-MIN_COMMON = 200  # texts with fewer words are not judged by their common words
+# A distance is too large above limit + slack / sqrt(words): short texts scatter more.
+MAX_CHAR_DISTANCE, CHAR_SLACK = 0.25, 0.8
+MAX_WORD_DISTANCE, WORD_SLACK = 0.20, 0.9
+MIN_CHARS = 200  # shorter texts are not judged by their histograms
 
 
 def _language(lang: Column) -> Column:
@@ -185,7 +185,9 @@ def judge(
     keep: list[str],
     min_words: int = MIN_WORDS,
     max_char_distance: float = MAX_CHAR_DISTANCE,
+    char_slack: float = CHAR_SLACK,
     max_word_distance: float = MAX_WORD_DISTANCE,
+    word_slack: float = WORD_SLACK,
 ) -> tuple[DataFrame, str]:
     """The kept columns and a struct with counts, both distances and the verdict."""
     found, at = profile(docs, keep)
@@ -199,8 +201,10 @@ def judge(
     words = js_distance(_shares(w["words"]), r["ref_words"])
     n_chars = F.aggregate(p["chars"], F.lit(0), lambda a, x: a + x)
     failed = (w["n_words"] < min_words) | (100 * w["n_repeat_words"] > 50 * w["n_words"])
-    off = ((n_chars >= MIN_CHARS) & (chars > max_char_distance)) | (
-        (w["n_words"] >= MIN_COMMON) & (words > max_word_distance)
+    scatter = 1 / F.sqrt(F.greatest(w["n_words"], F.lit(1)))
+    off = (n_chars >= MIN_CHARS) & (
+        (chars > max_char_distance + char_slack * scatter)
+        | (words > max_word_distance + word_slack * scatter)
     )
     verdict = F.struct(
         w["n_words"].alias("n_words"), p["word_chars"].alias("word_chars"),

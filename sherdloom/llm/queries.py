@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import decontam, mixing, quality, sharding, simhash
+from . import brown, decontam, fixity, mixing, pages, pii, quality, sharding, simhash, urls
 from .common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,16 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_url_templates(spark, sf_dir):
+    return urls.judge(urls.labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")))
+
+
+@query()
+def op2_personal_data(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -44,12 +54,33 @@ def op4_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@query()
+def op5_brown_scoring(spark, sf_dir):
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_quality_rules(spark, sf_dir):
     judged, at = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", f"{at}.*")
 
 
+# Archives of 4096 records; the replica's faults follow from a hash of the offset.
+_FIXITY_SQL = """
+    with records as (select page_id, substr(md5(cast(page_id as varchar)), 1, 2) as fault from pages)
+    select cast(floor(page_id / 4096) as bigint) as archive, page_id as "offset",
+        case when fault = '02' then 'missing' else 'changed' end as status
+    from records where fault in ('00', '01', '02', '03') group by all"""
+
+
+@query(_FIXITY_SQL)
+def op7_merkle_fixity(spark, sf_dir):
+    records = table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 4096).alias("archive"), F.col("page_id").alias("offset"), F.col("html").alias("payload")
+    )
+    return fixity.audit(records, fixity.damaged_replica(records))
+
+
 @query()
 def op8_simhash_near_dedup(spark, sf_dir):
     found, at = simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -62,3 +93,9 @@ def op8_simhash_near_dedup(spark, sf_dir):
 @query()
 def op9_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_page_text(spark, sf_dir):
+    texts, at = pages.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return texts.select("page_id", "url", F.col(at).alias("text"), F.length(at).cast("long").alias("n_chars"))
