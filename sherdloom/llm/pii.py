@@ -133,8 +133,9 @@ class Finder:
             elif before.isalnum():
                 continue  # the cue is the end of a longer word
             elif kind == "tel":
-                if (m := _TEL.match(text, end)) and 7 <= sum(c.isdigit() for c in m[0]) <= 15:
-                    out.append(("phone", end, m.end()))
+                gap = _GAP.match(text, end).end()
+                if (m := _TEL.match(text, gap)) and 7 <= sum(c.isdigit() for c in m[0]) <= 15:
+                    out.append(("phone", gap, m.end()))
             elif kind == "number":
                 if m := _NUMBER.match(text, end):
                     out.append(("account", m.start(1), m.end(1)))

@@ -79,7 +79,7 @@ def branch_purity(rows: DataFrame, z: float = Z, prior: float = PRIOR) -> DataFr
         F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")
     )
     leaf = materialize(leaf, "branches")
-    overall = leaf.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("share"))
+    overall = leaf.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("share"))
     leaf = leaf.crossJoin(F.broadcast(overall))  # one row
     rate = (F.col("bad") + prior * F.col("share")) / (F.col("labelled") + prior)
     leaf = leaf.withColumn("rate", rate).withColumn("weight", F.col("labelled") + prior)
