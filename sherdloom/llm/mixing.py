@@ -175,4 +175,5 @@ def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
     )
     taken = taken.select(F.struct("*").alias("taken_" + rid))
     at = taken.columns[0]
-    return rows.join(taken, F.col(rid) == F.col(at)["taken_rid"]).select(*[col(rows, c) for c in docs.columns])
+    # A sorted join at every size: what is shuffled grows evenly with the input.
+    return rows.join(taken.hint("merge"), F.col(rid) == F.col(at)["taken_rid"]).select(*[col(rows, c) for c in docs.columns])

@@ -300,17 +300,23 @@ def groups(prints: DataFrame) -> DataFrame:
         prints.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "parts"
     )
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    return whole.join(least, "component").select("fp", "component", "component_id")
+    return whole.join(least, "component").select("fp", "least", "component", "component_id")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> tuple[DataFrame, str]:
-    """Kept columns with a struct (fp, component, component_id) for every row."""
+def _grouped(docs: DataFrame, keep: list[str], size: int) -> tuple[DataFrame, str, DataFrame]:
+    """Kept columns with fingerprints, written once; and the group of every fingerprint."""
     marked, name = with_fingerprints(docs, keep, size)
     marked = materialize(marked, "prints")
     prints = materialize(
         marked.groupBy(F.col(name).alias("fp")).agg(F.min(F.col("doc_id")).alias("least")), "distinct"
     )
-    found = groups(prints).select(F.struct("*").alias(fresh(marked, "group")))
+    return marked, name, groups(prints)
+
+
+def near_duplicates(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> tuple[DataFrame, str]:
+    """Kept columns with a struct (fp, least, component, component_id) for every row."""
+    marked, name, found = _grouped(docs, keep, size)
+    found = found.select(F.struct("*").alias(fresh(marked, "group")))
     at = found.columns[0]
     return marked.join(found, F.col(name) == F.col(at)["fp"]).drop(name), at
 
@@ -319,9 +325,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, all columns: the one with the smallest doc id.
 
     Among repeated rows of that id, and in groups without any id, the smallest row
-    by all columns stays.
+    by all columns stays.  Texts are shuffled once: rows meet the chosen ids, and the
+    choice among repeated rows keeps that partitioning.
     """
-    grouped, at = near_duplicates(docs, docs.columns)
-    chosen = grouped.where(F.col("doc_id").eqNullSafe(F.col(at)["component_id"]))
-    least = F.min(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]))
-    return chosen.groupBy(F.col(at)["component"].alias("c")).agg(least.alias("row")).select("row.*")
+    marked, name, found = _grouped(docs, docs.columns, SHINGLE)
+    chosen = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
+        F.min(F.struct("fp", "least")).alias("c")
+    ).select(F.struct("c.*").alias(fresh(marked, "chosen")))
+    at = chosen.columns[0]
+    c, fp, doc = F.col(at), F.col(name), F.col("doc_id")
+    least = F.min(F.struct(*[F.col("`" + x.replace("`", "``") + "`") for x in docs.columns])).alias("row")
+    named = marked.where(doc.isNotNull()).join(chosen, (fp == c["fp"]) & (doc == c["least"]))
+    nameless = marked.where(doc.isNull()).join(chosen.where(c["least"].isNull()), fp == c["fp"])
+    return named.groupBy(fp, doc).agg(least).select("row.*").unionByName(
+        nameless.groupBy(fp).agg(least).select("row.*")
+    )
