@@ -6,35 +6,58 @@ DataFrame.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sherdloom.llm import decontam, mixing, quality, sharding, simhash
 from sherdloom.llm.common import table
-from sherdloom.session import materialize, tune
+from sherdloom.session import materialize, recorded, release, tune
+
+# Tables that the last stage of an application left behind.
+_LEFT: dict[str, list[str]] = {}
+
+
+def _stage(body: Callable) -> Callable:
+    """A stage that first deletes what the stage before it wrote for itself.
+
+    Stages hand on written tables, so when one begins, the one before it is over.
+    """
+    @wraps(body)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        release(tune(spark), _LEFT.pop(app, []))
+        with recorded() as paths:
+            out = body(spark, docs, sf_dir)
+        _LEFT[app] = paths
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
     return quality.keep_good(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
     return simhash.keep_one(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
     return mixing.apply_mix(docs)
 
 
+@_stage
 def sharding_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
     return sharding.place(docs, docs.columns)
 
 
@@ -49,11 +72,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs = materialize(docs, "stage")
+            with recorded() as paths:
+                docs = materialize(docs, "stage")
+            release(spark, before)
+            before = paths
     return docs
 
 
