@@ -38,7 +38,7 @@ seg AS (SELECT name, part_idx, pt_idx, frac AS gt, 8*z+4*x AS logit,
 
 
 def mesh(orders: int) -> str:
-    return f"""verts AS (
+    return f"""verts AS MATERIALIZED (
   SELECT name, part_idx, row_number() OVER (PARTITION BY name, part_idx
            ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) - 1 AS v_idx, x, y, z
   FROM (SELECT *, CAST(floor(l_orderkey / {orders}.0) AS BIGINT) AS name,
@@ -46,7 +46,7 @@ def mesh(orders: int) -> str:
                CAST(CAST(floor(l_quantity) AS INT) % 10 AS DOUBLE) AS x,
                CAST(CAST(round(l_discount*100) AS INT) % 6 AS DOUBLE) AS y,
                CAST(CAST(round(l_tax*100) AS INT) % 3 AS DOUBLE) AS z FROM lineitem)),
-faces AS (
+faces AS MATERIALIZED (
   SELECT name, part_idx, v_idx AS f_idx, v_idx AS a, v_idx+1 AS b, v_idx+2 AS c
   FROM (SELECT *, count(*) OVER (PARTITION BY name, part_idx) AS nv FROM verts) WHERE v_idx <= nv-3)"""
 

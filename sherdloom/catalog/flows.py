@@ -107,13 +107,18 @@ def betas(spark, sf):
     return out
 
 
-# The running product of 1 - beta telescopes to alpha_bar wherever beta is not clipped.
-@query(
-    "w10_cumulative_alpha",
-    f"SELECT event_id, {duck.r(_abar('piece_wise', f'(({_I}+1)/1000)') , 'alpha_bar')} FROM events WHERE event_id % 1000 < 900",
-)
+def _running(step: str) -> str:
+    """The running product of 1 - beta: it telescopes to alpha_bar where beta is not clipped.
+
+    Of the 1000 piece-wise steps only the last one is clipped, to 0.999.
+    """
+    now, after = f"(CAST({step} AS DOUBLE)/1000)", f"((CAST({step} AS DOUBLE)+1)/1000)"
+    return f"CASE WHEN {step} = 999 THEN 0.001*({_abar('piece_wise', now)}) ELSE {_abar('piece_wise', after)} END"
+
+
+@query("w10_cumulative_alpha", f"SELECT event_id, {duck.r(_running('(event_id % 1000)'), 'alpha_bar')} FROM events")
 def cumulative_alpha(spark, sf):
-    rows = fx.events(spark, sf).select("event_id", (F.col("event_id") % 1000).alias("step")).where("step < 900")
+    rows = fx.events(spark, sf).select("event_id", (F.col("event_id") % 1000).alias("step"))
     return rows.join(F.broadcast(S.beta_table(spark)), "step").select(
         "event_id", *rounded([F.col("alpha_bar")], ["alpha_bar"])
     )
@@ -311,7 +316,7 @@ def training_timestep(spark, sf):
 
 # ---- diffusion ------------------------------------------------------------------
 
-_AB = f"({_abar('piece_wise', '((name*37 % 900 + 1)/1000.0::DOUBLE)')})"
+_AB = f"({_running('(name*37 % 1000)')})"
 _DIFF = f"""pol AS (SELECT *, {_AB} AS ab, {_polar(GQ, 'g')} FROM pose),
 mix AS (SELECT *, {', '.join(f'sqrt(ab)*2*gh*g{c}+sqrt(1-ab)*{n} AS u{c}' for c, n in zip('xyz', PQ[:3]))} FROM pol),
 dn AS (SELECT *, {', '.join(f'sqrt(ab)*{g}+sqrt(1-ab)*{p} AS x{c}' for g, p, c in zip(GT, PT_, 'xyz'))},
@@ -328,7 +333,7 @@ _DQ = ["cos(un/2)"] + [f"sin(un/2)*u{c}/un" for c in "xyz"]
     ) + " FROM dn",
 )
 def diffusion_noising(spark, sf):
-    df = _training_input(spark, sf).withColumn("train_index", F.col("name") * 37 % 900)
+    df = _training_input(spark, sf).withColumn("train_index", F.col("name") * 37 % 1000)
     df = TR.diffusion_pairs(df, S.beta_table(spark))
     return df.select(*PART, *rounded(map(F.col, TR.NOISED_COLS), TR.NOISED_COLS))
 

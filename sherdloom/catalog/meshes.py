@@ -23,16 +23,16 @@ def _f(spark, sf, orders=fx.MESH_DENSE):
     return fx.faces(spark, sf, orders)
 
 
+# Fixture face f has the corners f, f + 1 and f + 2.
 GEOM = """geom AS (SELECT name, part_idx, f_idx, ux, uy, uz, sqrt(ux*ux+uy*uy+uz*uz) AS len,
     (ax*(by_*cz-bz*cy)+ay*(bz*cx-bx*cz)+az*(bx*cy-by_*cx))/6 AS vol,
     ax, ay, az, bx, by_, bz, cx, cy, cz FROM (
   SELECT *, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS ux, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS uy,
             (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS uz FROM (
-  SELECT f.name, f.part_idx, f.f_idx, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz,
-         w.x AS cx, w.y AS cy, w.z AS cz
-  FROM faces f JOIN verts p ON p.name=f.name AND p.part_idx=f.part_idx AND p.v_idx=f.a
-               JOIN verts q ON q.name=f.name AND q.part_idx=f.part_idx AND q.v_idx=f.b
-               JOIN verts w ON w.name=f.name AND w.part_idx=f.part_idx AND w.v_idx=f.c)))"""
+  SELECT name, part_idx, v_idx AS f_idx, x AS ax, y AS ay, z AS az,
+         lead(x, 1) OVER g AS bx, lead(y, 1) OVER g AS by_, lead(z, 1) OVER g AS bz,
+         lead(x, 2) OVER g AS cx, lead(y, 2) OVER g AS cy, lead(z, 2) OVER g AS cz
+  FROM verts WINDOW g AS (PARTITION BY name, part_idx ORDER BY v_idx)) WHERE cx IS NOT NULL))"""
 MEASURES = """meas AS (SELECT name, part_idx, sum(len)/2 AS area, sum(vol) AS volume FROM geom GROUP BY name, part_idx)"""
 PRIO = """prio AS (SELECT name, part_idx, volume, CAST(CASE WHEN r = 1 THEN n - 1 ELSE r - 2 END AS BIGINT) AS prio FROM (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(volume, 9) DESC, part_idx) AS r,
@@ -41,11 +41,11 @@ SHARED = """spots AS (SELECT DISTINCT name, part_idx, round_even(x, 5) AS x, rou
 common AS (SELECT a.name, a.part_idx, b.part_idx AS other, x, y, z FROM spots a JOIN spots b USING (name, x, y, z) WHERE a.part_idx <> b.part_idx),
 corners AS (SELECT name, part_idx, f_idx, 0 AS slot, a AS v_idx FROM faces UNION ALL SELECT name, part_idx, f_idx, 1, b FROM faces
   UNION ALL SELECT name, part_idx, f_idx, 2, c FROM faces),
-shared AS (SELECT k.name, k.part_idx, k.f_idx, m.other FROM corners k
+shared AS MATERIALIZED (SELECT k.name, k.part_idx, k.f_idx, m.other FROM corners k
   JOIN verts v ON v.name=k.name AND v.part_idx=k.part_idx AND v.v_idx=k.v_idx
   JOIN common m ON m.name=k.name AND m.part_idx=k.part_idx AND m.x=round_even(v.x,5) AND m.y=round_even(v.y,5) AND m.z=round_even(v.z,5)
   GROUP BY ALL HAVING count(DISTINCT slot) = 3),
-labelled AS (SELECT f.name, f.part_idx, f.f_idx, f.a, f.b, f.c, coalesce(max(s.other), -1) AS shared_with
+labelled AS MATERIALIZED (SELECT f.name, f.part_idx, f.f_idx, f.a, f.b, f.c, coalesce(max(s.other), -1) AS shared_with
   FROM faces f LEFT JOIN shared s ON s.name=f.name AND s.part_idx=f.part_idx AND s.f_idx=f.f_idx GROUP BY ALL)"""
 EDGES = """edges AS (SELECT DISTINCT a.name, a.part_idx AS i, b.part_idx AS j FROM verts a JOIN verts b
   ON a.name=b.name AND a.part_idx < b.part_idx AND round_even(a.x,5)=round_even(b.x,5)

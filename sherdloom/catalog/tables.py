@@ -248,11 +248,11 @@ def documents(spark, sf):
     path = fresh_path(spark, "results")
     poses = fx.poses(spark, sf)
     names = poses.select(*PART, F.concat(F.lit("piece_"), "part_idx").alias("piece"))
-    pieces = R.piece_names(names, "pieces").where("chunk = 0").drop("chunk")
+    pieces = R.piece_names(names, "pieces")
     summary = M.pose_metrics(poses).join(
         poses.groupBy("name").agg(F.count(F.lit(1)).alias("num_parts")), "name"
     ).join(pieces, "name").select(
-        "name", "num_parts", F.lit(0.0).alias("part_acc"), "rmse_t", "rmse_r",
+        "name", "chunk", "num_parts", F.lit(0.0).alias("part_acc"), "rmse_t", "rmse_r",
         F.lit(0.0).alias("shape_cd"), F.lit("").alias("removal_pieces"),
         F.lit("").alias("redundant_pieces"), "pieces", F.lit(1.0).alias("mesh_scale"),
     )

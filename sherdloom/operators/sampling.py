@@ -21,11 +21,17 @@ def allocate_budget(parts: DataFrame, num_points: int, min_points: int = 20) ->
     """n_points per part: a floor each, the rest by area, the remainder to the largest.
 
     ``parts`` has ``area``.  The shares of an object add up to ``num_points``.
+    An object whose parts cannot all have the floor is an error.
     """
     totals = parts.groupBy("name").agg(
         F.sum("area").alias("_total"), F.count(F.lit(1)).alias("_p")
     )
     share = F.floor((num_points - min_points * F.col("_p")) * F.col("area") / F.col("_total"))
+    short = F.concat(
+        F.lit(f"{num_points} points cannot give every part {min_points} points: object "),
+        F.col("name").cast("string"), F.lit(" has parts: "), F.col("_p").cast("string"),
+    )
+    share = F.when(F.col("_p") * min_points > num_points, F.raise_error(short).cast("long")).otherwise(share)
     split = parts.join(totals, "name").withColumn("_n", (F.lit(min_points) + share).cast("long"))
     rest = split.groupBy("name").agg(
         (F.lit(num_points) - F.sum("_n")).alias("_rest"),

@@ -17,6 +17,7 @@ RESULT = T.StructType(
         T.StructField("name", T.StringType()),
         T.StructField("chunk", T.LongType()),
         T.StructField("num_parts", T.LongType()),
+        T.StructField("part_ids", T.ArrayType(T.LongType())),
         T.StructField("gt_trans_rots", T.ArrayType(_POSE)),
         T.StructField("pred_trans_rots", T.ArrayType(T.ArrayType(_POSE))),
         *[T.StructField(c, T.DoubleType()) for c in _NUMBERS],
@@ -34,8 +35,11 @@ def result_documents(poses: DataFrame, trajectory: DataFrame, report: DataFrame)
     """One result document per object (and chunk of its parts).
 
     ``trajectory`` is (name, part_idx, step, tx..qz).  The prediction is an array
-    over steps of an array over parts, as result files have it.
+    over steps of an array over parts, as result files have it; ``part_ids`` names the
+    parts in that order, so gaps in the numbering survive.  A report with a ``chunk``
+    column is met chunk by chunk.
     """
+    keys = ["name", "chunk"] if "chunk" in report.columns else ["name"]
     gt = poses.groupBy("name", _chunk().alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("part_idx", F.array(*GT_COLS).alias("p")))).alias("_gt")
     )
@@ -48,8 +52,9 @@ def result_documents(poses: DataFrame, trajectory: DataFrame, report: DataFrame)
         F.sort_array(F.collect_list(F.struct("step", "_s"))).alias("_steps")
     )
     poses_of = lambda a: F.transform(a, lambda s: s["p"])
-    return gt.join(steps, ["name", "chunk"]).join(report, "name").select(
+    return gt.join(steps, ["name", "chunk"]).join(report, keys).select(
         F.col("name").cast("string").alias("name"), "chunk", "num_parts",
+        F.transform("_gt", lambda s: s["part_idx"].cast("long")).alias("part_ids"),
         poses_of(F.col("_gt")).alias("gt_trans_rots"),
         F.transform("_steps", lambda s: poses_of(s["_s"])).alias("pred_trans_rots"),
         *_NUMBERS, *_NAMES, "mesh_scale",
@@ -68,10 +73,10 @@ def final_poses(documents: DataFrame) -> DataFrame:
     """(name, part_idx, truth and last prediction) rows from result documents."""
     last = F.element_at("pred_trans_rots", -1)
     rows = documents.select(
-        "name", "chunk", F.posexplode(F.arrays_zip(F.col("gt_trans_rots").alias("g"), last.alias("p"))).alias("_i", "_z")
+        "name", F.explode(F.arrays_zip(F.col("part_ids").alias("i"), F.col("gt_trans_rots").alias("g"), last.alias("p"))).alias("_z")
     )
     return rows.select(
-        "name", (F.col("chunk") * CHUNK_PARTS + F.col("_i")).alias("part_idx"),
+        "name", F.col("_z.i").alias("part_idx"),
         *[F.col("_z.g")[i].alias(c) for i, c in enumerate(GT_COLS)],
         *[F.col("_z.p")[i].alias(c) for i, c in enumerate(PR_COLS)],
     )
@@ -79,10 +84,10 @@ def final_poses(documents: DataFrame) -> DataFrame:
 
 def trajectory_rows(documents: DataFrame) -> DataFrame:
     """(name, part_idx, step, tx..qz): the nested prediction unfolded twice."""
-    steps = documents.select("name", "chunk", F.posexplode("pred_trans_rots").alias("step", "_poses"))
-    rows = steps.select("name", "chunk", "step", F.posexplode("_poses").alias("_i", "_p"))
+    steps = documents.select("name", "part_ids", F.posexplode("pred_trans_rots").alias("step", "_poses"))
+    rows = steps.select("name", "part_ids", "step", F.posexplode("_poses").alias("_i", "_p"))
     return rows.select(
-        "name", (F.col("chunk") * CHUNK_PARTS + F.col("_i")).alias("part_idx"),
+        "name", F.get("part_ids", F.col("_i")).alias("part_idx"),
         F.col("step").cast("long").alias("step"),
         *[F.col("_p")[i].alias(c) for i, c in enumerate(("tx", "ty", "tz", "qw", "qx", "qy", "qz"))],
     )
