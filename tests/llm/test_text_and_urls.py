@@ -94,8 +94,14 @@ def test_url_templates_learn_bad_branches(spark):
     assert [got[k].template for k in range(2000)] == want
     hot = [r for r in got.values() if r.host == "hot.net"]
     assert all((r.verdict == "block") == (r.path.split("/")[1] in ("spam", "junk")) for r in hot)
-    # similar branches share their labels
-    assert len({r.purity for r in hot if "/spam/" in r.path or "/junk/" in r.path}) <= 2
+
+
+def test_similar_branches_share_their_labels(spark):
+    rows = [("m.net", "", t, int(k < bad)) for t, bad in (("/a", 9), ("/b", 8), ("/c", 0)) for k in range(10)]
+    frame = spark.createDataFrame(rows, "host string, parent string, template string, bad int")
+    got = {r.template: (r.labelled, r.purity) for r in urls.branch_purity(frame).collect()}
+    assert got["/a"] == got["/b"] and got["/a"][0] == 20 and got["/c"][0] == 10
+    assert got["/a"][1] == pytest.approx((17 + urls.PRIOR * 17 / 30) / (20 + urls.PRIOR))
 
 
 # --- personal data -----------------------------------------------------------------
