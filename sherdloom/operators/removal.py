@@ -115,6 +115,7 @@ def removal_plan(
     so the last piece always stays.  ``priority`` is (name, part_idx, prio),
     ``edges`` is (name, i, j).
     """
+    name_type = priority.schema["name"].dataType.simpleString()
     sizes = priority.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
     sized = materialize(priority.join(sizes, "name"), "priority")
     small = sized.where(F.col("_n") <= task_pieces).select(*PART, "prio")
@@ -123,7 +124,7 @@ def removal_plan(
     plan = (
         small.groupBy("name")
         .cogroup(near.groupBy("name"))
-        .applyInPandas(_peel, "name long, step long, part_idx long")
+        .applyInPandas(_peel, f"name {name_type}, step long, part_idx long")
     )
     big = sized.where(F.col("_n") > task_pieces)
     if big.isEmpty():
