@@ -15,17 +15,45 @@ from .metrics import PART
 TASK_PIECES = 1024
 
 
-def _splits(neigh: list[set], alive: set) -> bool:
-    """True unless the alive pieces form exactly one component."""
-    if not alive:
-        return True
-    start = next(iter(alive))
-    seen, todo = {start}, [start]
-    while todo:
-        todo_next = neigh[todo.pop()] & alive - seen
-        seen |= todo_next
-        todo.extend(todo_next)
-    return len(seen) != len(alive)
+def _removable(neigh: list[set], alive: set) -> set:
+    """Pieces whose removal leaves exactly one component, found in one pass.
+
+    In a connected rest those are all but the cut points; in a rest of two components
+    a piece that is a component of its own.
+    """
+    parts: list[set] = []
+    cuts: set = set()
+    depth: dict[int, int] = {}
+    low: dict[int, int] = {}
+    for root in sorted(alive):
+        if root in depth:
+            continue
+        depth[root] = low[root] = 0
+        seen, branches = {root}, 0
+        walk = [(root, -1, iter(neigh[root] & alive))]
+        while walk:
+            at, up, rest = walk[-1]
+            step = next((n for n in rest if n != up), None)
+            if step is None:
+                walk.pop()
+                if up >= 0:
+                    low[up] = min(low[up], low[at])
+                    if up == root:
+                        branches += 1
+                    elif low[at] >= depth[up]:
+                        cuts.add(up)
+            elif step in depth:
+                low[at] = min(low[at], depth[step])
+            else:
+                depth[step] = low[step] = depth[at] + 1
+                seen.add(step)
+                walk.append((step, at, iter(neigh[step] & alive)))
+        if branches > 1:
+            cuts.add(root)
+        parts.append(seen)
+    if len(parts) == 1:
+        return alive - cuts if len(alive) > 1 else set()
+    return {p for part in parts if len(part) == 1 for p in part} if len(parts) == 2 else set()
 
 
 def _peel(pieces: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -40,7 +68,7 @@ def _peel(pieces: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
             neigh[at[j]].add(at[i])
     alive, taken = set(range(len(order))), []
     while True:
-        pick = next((p for p in sorted(alive) if not _splits(neigh, alive - {p})), None)
+        pick = min(_removable(neigh, alive), default=None)
         if pick is None:
             break
         alive.discard(pick)
