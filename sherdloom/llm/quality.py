@@ -32,7 +32,7 @@ CLASSES = ("[A-Z]", "[0-9]", "[#*$%&|<>]", "[!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-]",
 MIN_WORDS = 50
 # A distance is too large above limit + slack / sqrt(words): short texts scatter more.
 MAX_CHAR_DISTANCE, CHAR_SLACK = 0.25, 0.8
-MAX_WORD_DISTANCE, WORD_SLACK = 0.20, 0.9
+MAX_WORD_DISTANCE, WORD_SLACK = 0.20, 1.0
 MIN_CHARS = 200  # shorter texts are not judged by their histograms
 
 
