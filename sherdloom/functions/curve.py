@@ -155,7 +155,11 @@ def with_code(
     df: DataFrame, order: str, depth: int, grid=("gx", "gy", "gz"), batch: str | None = None,
     out: str = "code",
 ) -> DataFrame:
-    """Curve code of a grid cell; ``-trans`` swaps x and y, the batch takes the high bits."""
+    """Curve code of a grid cell; ``-trans`` swaps x and y, the batch takes the high bits.
+
+    A cell index outside ``[0, 2**depth)`` or a batch that does not fit above it is an
+    error: its bits would run into its neighbours' and two cells share a code.
+    """
     if order not in ORDERS:
         raise ValueError(f"unknown curve order {order!r}")
     check_depth(depth)
@@ -164,9 +168,15 @@ def with_code(
         df = df.withColumn(out, z_encode(F.col(x), F.col(y), F.col(z)))
     else:
         df = df.withColumn(out, hilbert_encode(F.col(x), F.col(y), F.col(z), depth))
+    fits = F.lit(True)
+    for c in grid:
+        fits = fits & (F.col(c) >= 0) & (F.col(c) < 1 << depth)
+    code = F.col(out)
     if batch is not None:
-        df = df.withColumn(out, F.shiftleft(_long(F.col(batch)), 3 * depth).bitwiseOR(F.col(out)))
-    return df
+        code = F.shiftleft(_long(F.col(batch)), 3 * depth).bitwiseOR(code)
+        fits = fits & (F.col(batch) >= 0) & (_long(F.col(batch)) < 1 << (CODE_BITS - 3 * depth))
+    wrong = F.raise_error(F.lit(f"a cell or batch does not fit a curve of depth {depth}")).cast("long")
+    return df.withColumn(out, F.when(~fits, wrong).otherwise(code))
 
 
 def with_cell(

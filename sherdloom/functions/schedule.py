@@ -61,6 +61,7 @@ def sigma_table(
 def sigma_lookup(df: DataFrame, schedule: DataFrame, timestep: str = "timestep") -> DataFrame:
     """Attach sigma by timestep; where a timestep occurs twice the second match wins.
 
+    A timestep that the schedule does not have is an error.
     ``schedule`` has one row per scheduled step (a parameter), hence the broadcast.
     """
     nth = F.row_number().over(Window.partitionBy("timestep").orderBy("step"))
@@ -72,7 +73,10 @@ def sigma_lookup(df: DataFrame, schedule: DataFrame, timestep: str = "timestep")
         .where(F.col("_n") == F.least(F.col("_of"), F.lit(2)))
         .select(F.col("timestep").alias(timestep), "sigma")
     )
-    return df.join(F.broadcast(picked), timestep)
+    unknown = F.concat(F.lit("timestep not in the schedule: "), F.col(timestep).cast("string"))
+    return df.join(F.broadcast(picked), timestep, "left").withColumn(
+        "sigma", F.coalesce("sigma", F.raise_error(unknown).cast("double"))
+    )
 
 
 def stochastic_epsilon(s: Column, level: float = 0.1, floor: float = 0.01) -> Column:

@@ -76,11 +76,14 @@ def prefix_sum(
     ``idx`` is a non-negative integer, unique inside its key, below
     ``2**(16*levels)``.  Sums are first taken per block of 2**16 positions, the
     blocks are summed by the same rule one level up, and rows only meet inside
-    their own block, so every window is bounded whatever the key holds.
+    their own block, so every window is bounded whatever the key holds.  An index
+    beyond the range is an error.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
-    df = df.withColumn("_v", value)
+    beyond = (F.col(idx) < 0) | (F.col(idx) >= 1 << (_LEVEL_BITS * levels))
+    wrong = F.raise_error(F.lit(f"{idx} is outside the range of a running sum of {levels} levels"))
+    df = df.withColumn("_v", F.when(beyond, wrong).otherwise(value))
     if levels == 1:
         run = Window.partitionBy(*keys).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum("_v").over(run)).drop("_v")
