@@ -70,3 +70,18 @@ def test_few_points_give_what_they_have(spark):
     pdf = pd.DataFrame({"name": [1, 1, 2], "pt_idx": [0, 1, 0], "x": [0.0, 1, 2], "y": 0.0, "z": 0.0})
     got = N.knn(spark.createDataFrame(pdf), 4, ["name"], ["pt_idx"]).collect()
     assert sorted((r["name"], r.q_pt_idx, r.n_pt_idx) for r in got) == [(1, 0, 1), (1, 1, 0)]
+
+
+def test_pairs_of_blocks_stay_few_beside_a_far_wider_object(spark):
+    rng = np.random.default_rng(5)
+    n, k = 100_000, 16
+    xyz = np.concatenate([rng.uniform(0, 1, (n, 3)), rng.uniform(0, 1e7, (1000, 3))])
+    pdf = pd.DataFrame({"name": np.repeat([1, 2], [n, 1000]), "pt_idx": np.arange(n + 1000)})
+    pdf[["x", "y", "z"]] = xyz
+    points, keys = spark.createDataFrame(pdf), ["name"]
+    blocks, levels = N._number(N._blocks(points, keys, ["pt_idx"], N.BLOCK_BITS), keys)
+    asking = N.with_bound(blocks, blocks, keys, k + 1, levels, N.BLOCK_BITS)
+    pairs = N.candidate_pairs(asking, blocks, keys, k + 1, levels)
+    assert pairs.count() <= 40 * blocks.count()
+    answers = N._match(blocks, blocks, levels, keys, [points.schema["pt_idx"]], k + 1, N.BLOCK_BITS)
+    assert answers.count() == (k + 1) * len(pdf)
