@@ -12,6 +12,11 @@ Fingerprints stand for all their copies, so copies never meet as pairs, and a bu
 gives a spanning forest of its links rather than the links.  Very full buckets are
 cut into tiles that lie in different tasks.
 
+``similarity`` adds links beyond three bits, for texts whose five-word shingles agree
+to that share: then every fingerprint is filed under all pairs it looks up, which
+meets most pairs of that similarity, and a 128-bit fingerprint of the distinct
+five-word shingles, which travels with the first, verifies them.
+
 Defined results: null and empty texts have fingerprint zero and link like others;
 a text of fewer words than a shingle is one shingle; component ids ignore null doc
 ids and are null where no id is reachable; repeated rows share their group.
@@ -19,6 +24,7 @@ ids and are null where no id is reachable; repeated rows share their group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -39,6 +45,10 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 # Fixed value: generator polynomial of the (23, 12) Golay code.
 GENERATOR = 0b110001110101
 TILE_ROWS = 20_000  # filed fingerprints of one bucket that one task holds against lookups
+# Shingles and 64-bit lanes of the fingerprint that verifies similarity.
+SIMILAR_SHINGLE, LANES = 5, ("w0", "w1")
+SIMILARITY = 0.8
+SMALL = 8  # rows of a bucket that are compared by shifting whole batches
 CELLS = 1 << 22  # comparisons held in memory at once
 _LANES = np.uint64(0x0101010101010101)
 
@@ -73,20 +83,53 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones.astype(np.int64) > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> tuple[DataFrame, str]:
-    """The kept columns and the fingerprint as a signed 64-bit number."""
+def _remix(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of hashes, another function for every lane."""
+    h = hashes + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def similarity_lanes(text: str | None) -> list[int]:
+    """Majority bits of the distinct five-word shingles, 64 a lane."""
+    hashes = np.unique(shingle_hashes(text, SIMILAR_SHINGLE))
+    return [majority(_remix(hashes, k)) for k in range(len(LANES))]
+
+
+def similar_bits(similarity: float) -> int:
+    """Lane bits in which two sets of that Jaccard similarity are expected to differ."""
+    return round(64 * len(LANES) * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def with_fingerprints(
+    docs: DataFrame, keep: list[str], size: int = SHINGLE, lanes: bool = False
+) -> tuple[DataFrame, str]:
+    """The kept columns and the fingerprint as a signed 64-bit number.
+
+    With ``lanes`` it is a struct of the fingerprint and its lanes.
+    """
     out = fresh(docs, "fingerprint")
     kept = F.struct(*[col(docs, c) for c in keep])
     frame = docs.select(kept.alias("row"), F.col("text").cast("string").alias("text"))
 
+    names = ("fp", *LANES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = np.array([majority(shingle_hashes(t.as_py(), size)) for t in b.column(1)], np.uint64)
+            marks = np.empty((b.num_rows, len(names) if lanes else 1), np.uint64)
+            for row, t in zip(marks, b.column(1)):
+                row[0] = majority(shingle_hashes(t.as_py(), size))
+                if lanes:
+                    row[1:] = similarity_lanes(t.as_py())
+            cols = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in marks.T]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(marks.view(np.int64))], names=["row", out]
+                [b.column(0), pa.StructArray.from_arrays(cols, names) if lanes else cols[0]], names=["row", out]
             )
 
-    schema = T.StructType([frame.schema["row"], T.StructField(out, T.LongType())])
+    long = T.LongType()
+    kind = T.StructType([T.StructField(n, long) for n in names]) if lanes else long
+    schema = T.StructType([frame.schema["row"], T.StructField(out, kind)])
     return frame.mapInArrow(run, schema).select("row.*", out), out
 
 
@@ -160,7 +203,11 @@ def lookup_keys(prints: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarra
 def forest(filed: np.ndarray, looking: np.ndarray) -> list[tuple[int, int]]:
     """Links of at most MAX_BITS between two lists that connect what all links connect."""
     apart = looking[:, None] ^ filed[None, :]
-    near = (np.bitwise_count(apart) <= MAX_BITS) & (apart != 0)
+    return spanning((np.bitwise_count(apart) <= MAX_BITS) & (apart != 0), filed, looking)
+
+
+def spanning(near: np.ndarray, filed: np.ndarray, looking: np.ndarray) -> list[tuple[int, int]]:
+    """Links out of ``near`` (lookup by filed; used up) that connect what all of it connects."""
     out: list[tuple[int, int]] = []
     open_filed = near.any(0)
     while open_filed.any():
@@ -291,9 +338,123 @@ def links(prints: DataFrame) -> DataFrame:
     )
 
 
-def groups(prints: DataFrame) -> DataFrame:
-    """``prints`` (fp, least: smallest doc id) with component_id, one row per fingerprint."""
-    edges = materialize(links(prints).select(F.lit(0).alias("name"), "i", "j"), "links")
+def _similar(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows (fp, lanes) link, by the fingerprint or by the lanes."""
+    bits = np.bitwise_count(a ^ b)
+    return ((bits[..., 0] <= MAX_BITS) | (bits[..., 1:].sum(-1, dtype=np.int64) <= most)) & (a[..., 0] != b[..., 0])
+
+
+def _link_similar(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Buckets in order: rows (key, tile, side, fp, lanes).
+
+    A bucket of side 0 alone links within itself, a tile with rows of both sides
+    between them.  A bucket may go on in further batches.
+    """
+    key, held, waiting = None, [], []
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        both = np.stack([a, b], 1).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], names=["i", "j"])
+
+    def drain() -> pa.RecordBatch | None:
+        out: list[tuple[int, int]] = []
+        if held:
+            base = np.concatenate(held)
+            ask = np.concatenate(waiting) if waiting else base
+            step = max(1, CELLS // (len(base) * base.shape[1]))
+            for k in range(0, len(ask), step):
+                some = ask[k : k + step]
+                out += spanning(_similar(some[:, None], base[None], most), base[:, 0], some[:, 0])
+        found = np.array(out, np.uint64).reshape(-1, 2)
+        return pairs(found[:, 0], found[:, 1]) if len(found) else None
+
+    for b in batches:
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        if not len(cols[0]):
+            continue
+        keys, tiles, side = cols[:3]
+        rows = np.stack(cols[3:], 1).view(np.uint64)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (tiles[1:] != tiles[:-1])) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
+        wide = ends - starts > SMALL
+        wide[[0, -1]] = True
+        # Narrow buckets inside the batch: all their rows against the next ones.
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        narrow = ~wide[group]
+        for k in range(1, SMALL):
+            at = np.flatnonzero(narrow[:-k] & (group[:-k] == group[k:]))
+            at = at[_similar(rows[at], rows[at + k], most)]
+            if len(at):
+                yield pairs(rows[at, 0], rows[at + k, 0])
+        for lo, hi in zip(starts[wide].tolist(), ends[wide].tolist()):
+            here = (keys[lo], tiles[lo])
+            if here != key:
+                if (found := drain()) is not None:
+                    yield found
+                key, held, waiting = here, [], []
+            split = lo + int(np.searchsorted(side[lo:hi], 1))
+            if split > lo:
+                held.append(rows[lo:split])
+            if hi > split:
+                waiting.append(rows[split:hi])
+    if (found := drain()) is not None:
+        yield found
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """(i, j) links between distinct ``prints`` (fp, lanes), by fingerprint or similarity."""
+    most, names = similar_bits(similarity), ["fp", *LANES]
+
+    def keyed(batches):
+        golay = Golay()
+        for b in batches:
+            values = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(b.num_columns)]
+            for lo in range(0, len(values[0]), 2048):
+                part = [v[lo : lo + 2048] for v in values]
+                at, keys = lookup_keys(part[0].view(np.uint64), golay)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), *[pa.array(p[at]) for p in part]], names=["key", *names]
+                )
+
+    def run(batches):
+        return _link_similar(batches, most)
+
+    longs = ", ".join(f"{n} long" for n in names)
+    rows = prints.select(*names).mapInArrow(keyed, f"key long, {longs}")
+    # A bucket of n rows is cut into m = n / TILE_ROWS parts, and each part meets each.
+    full = materialize(
+        rows.groupBy("key").count().where(F.col("count") > TILE_ROWS).select("key", F.ceil(F.col("count") / TILE_ROWS).cast("int").alias("m")),
+        "full",
+    )
+    zero = F.lit(0)
+    if full.isEmpty():
+        dealt = rows.select("key", zero.cast("long").alias("tile"), zero.alias("side"), *names)
+    else:
+        m, own, part = F.coalesce("m", F.lit(1)), F.col("own"), F.col("part")
+        dealt = (
+            rows.join(full, "key", "left")
+            .withColumn("own", F.pmod(F.xxhash64("fp"), m))
+            .withColumn("part", F.explode(F.sequence(zero, m - 1)))
+            .select(
+                "key", (F.least(own, part) * m + F.greatest(own, part)).cast("long").alias("tile"),
+                (own > part).cast("int").alias("side"), *names,
+            )
+        )
+    return (
+        dealt.repartition(F.col("key"), F.col("tile"))
+        .sortWithinPartitions("key", "tile", "side")
+        .mapInArrow(run, "i long, j long")
+        .distinct()
+    )
+
+
+def groups(prints: DataFrame, similarity: float | None = None) -> DataFrame:
+    """``prints`` (fp, least: smallest doc id) with component_id, one row per fingerprint.
+
+    With a ``similarity``, ``prints`` also carries the lanes.
+    """
+    found = links(prints) if similarity is None else similar_links(prints, similarity)
+    edges = materialize(found.select(F.lit(0).alias("name"), "i", "j"), "links")
     ends = edges.select("name", F.explode(F.array("i", "j")).alias("part_idx")).distinct()
     parts = connected_components(ends, edges).select(F.col("part_idx").alias("fp"), "component")
     whole = materialize(
@@ -303,14 +464,21 @@ def groups(prints: DataFrame) -> DataFrame:
     return whole.join(least, "component").select("fp", "least", "component", "component_id")
 
 
-def _grouped(docs: DataFrame, keep: list[str], size: int) -> tuple[DataFrame, str, DataFrame]:
-    """Kept columns with fingerprints, written once; and the group of every fingerprint."""
-    marked, name = with_fingerprints(docs, keep, size)
+def _grouped(
+    docs: DataFrame, keep: list[str], size: int, similarity: float | None = None
+) -> tuple[DataFrame, str, DataFrame]:
+    """Kept columns with fingerprints, written once; and the group of every fingerprint.
+
+    Texts of one fingerprint are one class; the smallest lanes among them stand for it.
+    """
+    marked, name = with_fingerprints(docs, keep, size, similarity is not None)
     marked = materialize(marked, "prints")
-    prints = materialize(
-        marked.groupBy(F.col(name).alias("fp")).agg(F.min(F.col("doc_id")).alias("least")), "distinct"
-    )
-    return marked, name, groups(prints)
+    fp, least = F.col(name), F.min(F.col("doc_id")).alias("least")
+    if similarity is None:
+        return marked, name, groups(materialize(marked.groupBy(fp.alias("fp")).agg(least), "distinct"))
+    prints = marked.groupBy(fp["fp"].alias("fp")).agg(least, F.min(F.struct(*[fp[n] for n in LANES])).alias("lanes"))
+    prints = materialize(prints.select("fp", "least", "lanes.*"), "distinct")
+    return marked.withColumn(name, fp["fp"]), name, groups(prints, similarity)
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> tuple[DataFrame, str]:
@@ -321,14 +489,17 @@ def near_duplicates(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> tu
     return marked.join(found, F.col(name) == F.col(at)["fp"]).drop(name), at
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
     """One document of each group, all columns: the one with the smallest doc id.
 
+    Groups hold what links within three bits or, unless ``similarity`` is null, by the
+    similarity of five-word shingles.
+
     Among repeated rows of that id, and in groups without any id, the smallest row
     by all columns stays.  Texts are shuffled once: rows meet the chosen ids, and the
     choice among repeated rows keeps that partitioning.
     """
-    marked, name, found = _grouped(docs, docs.columns, SHINGLE)
+    marked, name, found = _grouped(docs, docs.columns, SHINGLE, similarity)
     chosen = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
         F.min(F.struct("fp", "least")).alias("c")
     ).select(F.struct("c.*").alias(fresh(marked, "chosen")))

@@ -182,6 +182,102 @@ def test_full_buckets_are_tiled(spark, monkeypatch):
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, want.values()))
 
 
+def brute_lanes(text):
+    words = SPACED.findall((text or "").translate(LOWER))
+    grams = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    out = []
+    for lane in (1, 2):
+        ones = Counter()
+        for g in grams:
+            h = xxhash.xxh64_intdigest(g.encode(), 42) + lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+            h ^= h >> 31
+            ones.update(b for b in range(64) if h >> b & 1)
+        out.append(sum(1 << b for b in range(64) if 2 * ones[b] > len(grams)))
+    return tuple(out)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_similar_groups(rows):
+    """Smallest doc id of the group of each (doc_id, fingerprint, lanes)."""
+    lanes = {}
+    for _, p, w in rows:
+        lanes[p] = min(lanes.get(p, w), w, key=lambda w: tuple(map(signed, w)))
+    golay, prints = simhash.Golay(), sorted(lanes)
+    at, keys = simhash.lookup_keys(np.array(prints, np.uint64), golay)
+    met = defaultdict(set)
+    for k, key in zip(at.tolist(), keys.tolist()):
+        met[k].add(key)
+    most = simhash.similar_bits(simhash.SIMILARITY)
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, p in enumerate(prints):
+        for b in range(a):
+            q = prints[b]
+            apart = sum((x ^ y).bit_count() for x, y in zip(lanes[p], lanes[q]))
+            if (p ^ q).bit_count() <= 3 or (apart <= most and met[a] & met[b]):
+                parent[find(a)] = find(b)
+    place = {p: k for k, p in enumerate(prints)}
+    least = {}
+    for d, p, _ in sorted(rows):
+        least.setdefault(find(place[p]), d)
+    return {d: least[find(place[p])] for d, p, _ in rows}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for k in rng.choice(len(out), n, replace=False):
+        out[k] = f"edit{rng.integers(1 << 30)}"
+    return out
+
+
+def test_similar_copies_are_caught_and_others_kept(spark):
+    """Of copies of similarity 0.93 nearly all go, of those of 0.87 most; texts below 0.5 stay."""
+    rng = np.random.default_rng(3)
+    texts, near, nearer = [], [], []
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+        texts.append((3 * k, " ".join(words)))
+        # An edit breaks five of 296 shingles in either text.
+        texts.append((3 * k + 1, " ".join(edited(rng, words, 2 if k % 2 else 4))))
+        texts.append((3 * k + 2, " ".join(edited(rng, words, 40))))
+        (nearer if k % 2 else near).append(3 * k + 1)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert {d for d, _ in texts} - {*near, *nearer} <= kept
+    assert len(set(near) - kept) >= 0.7 * len(near)
+    assert len(set(nearer) - kept) >= 0.95 * len(nearer)
+    strict = {r.doc_id for r in simhash.keep_one(docs, None).collect()}
+    assert kept <= strict
+
+
+@pytest.mark.parametrize("tile", [20_000, 16])
+def test_similar_groups_against_brute_force(spark, monkeypatch, tile):
+    """Also with a hot group of near copies, in whole buckets and in tiles."""
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
+    monkeypatch.setattr(simhash, "CELLS", 512)
+    rng = np.random.default_rng(4)
+    hot = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+    texts = [" ".join(edited(rng, hot, int(rng.integers(0, 9)))) for _ in range(120)]
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+        texts += [" ".join(edited(rng, words, int(rng.integers(0, 9)))) for _ in range(2)]
+    rows = [(k, brute_print(t), brute_lanes(t)) for k, t in enumerate([*texts, "", None, "one two"])]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None, "one two"])), "doc_id long, text string")
+    want = brute_similar_groups(rows)
+    assert 2 < len(set(want.values())) < len(rows) - 60
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
+
+
 def test_golay_is_perfect():
     golay = simhash.Golay()
     assert len(set(golay.errors.tolist())) == 2048

@@ -3,7 +3,7 @@
 import hashlib
 from collections import Counter
 
-from test_dedup_chain import SF, SPACED, brute_groups, brute_marks, brute_print, brute_targets, quality_base
+from test_dedup_chain import SF, SPACED, brute_lanes, brute_marks, brute_print, brute_similar_groups, brute_targets, quality_base
 
 import corpus_pipeline
 from sherdloom.llm import quality, sharding
@@ -16,13 +16,9 @@ def test_pipeline_stage_by_stage(spark):
     kept = {r.doc_id for r in judged.select("doc_id", f"{at}.kept").collect() if r.kept}
     assert all(not quality_base(rows[d].text)[-1] for d in kept)
 
-    prints = {d: brute_print(rows[d].text) for d in kept}
-    root = brute_groups(prints.values())
-    least = {}
-    for d in sorted(kept):
-        least.setdefault(root[prints[d]], d)
+    least = set(brute_similar_groups([(d, brute_print(rows[d].text), brute_lanes(rows[d].text)) for d in kept]).values())
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    clean = {r[0] for r in brute_marks([(d, rows[d].text) for d in least.values()], items) if not r[-1]}
+    clean = {r[0] for r in brute_marks([(d, rows[d].text) for d in least], items) if not r[-1]}
 
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == [*source.columns, "slot", "shard"]
