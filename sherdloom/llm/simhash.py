@@ -15,7 +15,10 @@ cut into tiles that lie in different tasks.
 ``similarity`` adds links beyond three bits, for texts whose five-word shingles agree
 to that share: then every fingerprint is filed under all pairs it looks up, which
 meets most pairs of that similarity, and a 128-bit fingerprint of the distinct
-five-word shingles, which travels with the first, verifies them.
+five-word shingles, which travels with the first, estimates it.  With ``verified``
+these meetings only say which fingerprints may belong together: inside such a family
+the shingle sets themselves are compared, each with each, and only pairs whose sets
+agree to the share, or whose fingerprints lie within three bits, are links.
 
 Defined results: null and empty texts have fingerprint zero and link like others;
 a text of fewer words than a shingle is one shingle; component ids ignore null doc
@@ -48,6 +51,8 @@ TILE_ROWS = 20_000  # filed fingerprints of one bucket that one task holds again
 # Shingles and 64-bit lanes of the fingerprint that verifies similarity.
 SIMILAR_SHINGLE, LANES = 5, ("w0", "w1")
 SIMILARITY = 0.8
+FAMILY_ROWS = 1024  # half the fingerprints whose shingle sets one task holds at once
+FILTER_BITS = 1 << 23  # of the filter that spares most texts outside families a shuffle
 SMALL = 8  # rows of a bucket that are compared by shifting whole batches
 CELLS = 1 << 22  # comparisons held in memory at once
 _LANES = np.uint64(0x0101010101010101)
@@ -448,15 +453,142 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def groups(prints: DataFrame, similarity: float | None = None) -> DataFrame:
-    """``prints`` (fp, least: smallest doc id) with component_id, one row per fingerprint.
+def set_links(prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Positions of links that connect what all true links connect.
 
-    With a ``similarity``, ``prints`` also carries the lanes.
+    A true link joins sets that agree to ``similarity`` or prints within MAX_BITS.
+    Sets hold distinct hashes.  Rows of the largest component are left out once all
+    others have met everything: no link between two components can be missing then.
     """
-    found = links(prints) if similarity is None else similar_links(prints, similarity)
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    ends = np.r_[0, np.cumsum(sizes)]
+    owner = np.repeat(np.arange(n), sizes)
+    kinds, at = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = owner[np.argsort(at, kind="stable")]
+    first = np.r_[0, np.cumsum(np.bincount(at, minlength=len(kinds)))]
+    part, todo, out = np.arange(n), np.ones(n, bool), []
+    while True:
+        left = np.flatnonzero(todo & (part != np.bincount(part).argmax()))
+        if not len(left):
+            return out
+        x = int(left[0])
+        todo[x] = False
+        mine = at[ends[x] : ends[x + 1]]
+        runs = first[mine + 1] - first[mine]
+        where = np.repeat(first[mine] - np.r_[0, np.cumsum(runs)[:-1]][: len(runs)], runs) + np.arange(runs.sum())
+        both = np.bincount(holders[where], minlength=n)
+        near = (both > 0) & (both >= similarity * (sizes[x] + sizes - both) - 1e-9)
+        near |= np.bitwise_count(prints ^ prints[x]) <= MAX_BITS
+        others, one = np.unique(part[near], return_index=True)
+        out += [(x, int(y)) for p, y in zip(others, np.flatnonzero(near)[one]) if p != part[x]]
+        part[np.isin(part, others)] = part[x]
+
+
+def _link_sets(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (component, tile, fp, shingles) in order of their tiles, which may go on in further batches."""
+    key, prints, sets = None, [], []
+
+    def drain() -> pa.RecordBatch:
+        fp = np.array(prints, np.int64)
+        found = fp[np.array(set_links(fp.view(np.uint64), sets, similarity), np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], names=["i", "j"])
+
+    for b in batches:
+        values = b.column(3).values.to_numpy().view(np.uint64)
+        ends = b.column(3).offsets.to_numpy()
+        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+        for k, (component, tile, fp) in enumerate(rows):
+            if (component, tile) != key:
+                if len(prints) > 1:
+                    yield drain()
+                key, prints, sets = (component, tile), [], []
+            prints.append(fp)
+            sets.append(values[ends[k] : ends[k + 1]].copy())
+    if len(prints) > 1:
+        yield drain()
+
+
+def _components(found: DataFrame) -> DataFrame:
+    """(fp, component) of every fingerprint with a link."""
     edges = materialize(found.select(F.lit(0).alias("name"), "i", "j"), "links")
     ends = edges.select("name", F.explode(F.array("i", "j")).alias("part_idx")).distinct()
-    parts = connected_components(ends, edges).select(F.col("part_idx").alias("fp"), "component")
+    return connected_components(ends, edges).select(F.col("part_idx").alias("fp"), "component")
+
+
+def verified_links(prints: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(i, j) links between ``prints`` (fp, lanes) that hold on shingle sets or within MAX_BITS.
+
+    ``texts`` has (fp, text) of all rows.  A family is what ``similar_links`` connect;
+    one of n fingerprints is cut into m = n / FAMILY_ROWS parts, and each two meet in
+    a tile of their own.
+    """
+    spark = prints.sparkSession
+    families = materialize(_components(similar_links(prints, similarity)), "families")
+    slot = F.pmod(F.xxhash64("fp"), F.lit(FILTER_BITS))
+    words = families.select(F.floor(slot / 8).alias("at"), (slot % 8).cast("int").alias("bit")).groupBy("at").agg(
+        F.bit_or(F.expr("shiftleft(1, bit)")).alias("bits")
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in words.toLocalIterator():  # no more than FILTER_BITS / 8 rows
+        bits[r["at"]] = r["bits"]
+    shared = spark.sparkContext.broadcast(bits)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            seen, prints_, sets = set(), [], []
+            for k in rows.tolist():
+                one = (b.column(0)[k].as_py(), b.column(1)[k].as_py())
+                if one not in seen:
+                    seen.add(one)
+                    prints_.append(one[0])
+                    sets.append(np.unique(shingle_hashes(one[1], SIMILAR_SHINGLE)).view(np.int64))
+            ends = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *sets])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(prints_, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["fp", "shingles"],
+            )
+
+    size = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / FAMILY_ROWS).cast("int").alias("m"))
+    many = families.join(size, "component")
+    sets = texts.select("fp", "text", slot.alias("slot")).mapInArrow(shingles, "fp long, shingles array<bigint>")
+    # Texts of one fingerprint are one class: the smallest set stands for it.
+    sets = sets.join(many, "fp").groupBy("fp", "component", "m").agg(F.min("shingles").alias("shingles"))
+    own, part, m = F.col("own"), F.col("part"), F.col("m")
+    tiled = (
+        sets.withColumn("own", F.pmod(F.xxhash64("fp"), m))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), m - 1)))
+        .where((m == 1) | (own != part))
+        .select("component", (F.least(own, part) * m + F.greatest(own, part)).cast("long").alias("tile"), "fp", "shingles")
+    )
+
+    def run(batches):
+        return _link_sets(batches, similarity)
+
+    return (
+        tiled.repartition(F.col("component"), F.col("tile"))
+        .sortWithinPartitions("component", "tile")
+        .mapInArrow(run, "i long, j long")
+        .distinct()
+    )
+
+
+def groups(prints: DataFrame, similarity: float | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """``prints`` (fp, least: smallest doc id) with component_id, one row per fingerprint.
+
+    With a ``similarity``, ``prints`` also carries the lanes; with ``texts`` (fp, text)
+    its links are verified.
+    """
+    if similarity is None:
+        found = links(prints)
+    elif texts is None:
+        found = similar_links(prints, similarity)
+    else:
+        found = verified_links(prints, texts, similarity)
+    parts = _components(found)
     whole = materialize(
         prints.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "parts"
     )
@@ -465,7 +597,7 @@ def groups(prints: DataFrame, similarity: float | None = None) -> DataFrame:
 
 
 def _grouped(
-    docs: DataFrame, keep: list[str], size: int, similarity: float | None = None
+    docs: DataFrame, keep: list[str], size: int, similarity: float | None = None, verified: bool = False
 ) -> tuple[DataFrame, str, DataFrame]:
     """Kept columns with fingerprints, written once; and the group of every fingerprint.
 
@@ -478,7 +610,9 @@ def _grouped(
         return marked, name, groups(materialize(marked.groupBy(fp.alias("fp")).agg(least), "distinct"))
     prints = marked.groupBy(fp["fp"].alias("fp")).agg(least, F.min(F.struct(*[fp[n] for n in LANES])).alias("lanes"))
     prints = materialize(prints.select("fp", "least", "lanes.*"), "distinct")
-    return marked.withColumn(name, fp["fp"]), name, groups(prints, similarity)
+    marked = marked.withColumn(name, fp["fp"])
+    texts = marked.select(F.col(name).alias("fp"), F.col("text").cast("string").alias("text")) if verified else None
+    return marked, name, groups(prints, similarity, texts)
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> tuple[DataFrame, str]:
@@ -489,17 +623,18 @@ def near_duplicates(docs: DataFrame, keep: list[str], size: int = SHINGLE) -> tu
     return marked.join(found, F.col(name) == F.col(at)["fp"]).drop(name), at
 
 
-def keep_one(docs: DataFrame, similarity: float | None = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float | None = SIMILARITY, verified: bool = False) -> DataFrame:
     """One document of each group, all columns: the one with the smallest doc id.
 
     Groups hold what links within three bits or, unless ``similarity`` is null, by the
-    similarity of five-word shingles.
+    similarity of five-word shingles: as the lanes estimate it, or with ``verified`` as
+    the shingle sets have it.
 
     Among repeated rows of that id, and in groups without any id, the smallest row
     by all columns stays.  Texts are shuffled once: rows meet the chosen ids, and the
     choice among repeated rows keeps that partitioning.
     """
-    marked, name, found = _grouped(docs, docs.columns, SHINGLE, similarity)
+    marked, name, found = _grouped(docs, docs.columns, SHINGLE, similarity, verified)
     chosen = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
         F.min(F.struct("fp", "least")).alias("c")
     ).select(F.struct("c.*").alias(fresh(marked, "chosen")))
