@@ -2,12 +2,15 @@
 
 Level by level, a path segment stays a branch of its own where it holds a fair share
 of its parent's pages; all other segments of that parent fall into one wildcard.
-Neighbouring branches whose labelled shares of bad pages do not differ more than
-chance allows are merged, and a merged branch is rejected when its share, smoothed
-towards the share of all labelled pages, is too high.  Written rules come first.
+Branches of one parent are
+merged in order of their labelled shares of bad pages while a branch does not differ
+more than chance allows from the pooled share of the group it would join.  Groups
+with too few labels pool with others of their parent, then of its parent and so on.
+A group is rejected when its share, smoothed towards the share of all labelled pages,
+is too high.  Written rules come first.
 
-A parent has no more than ``BRANCHES`` branches, so everything that is gathered per
-parent is bounded; pages of a hot host only meet small tables of branches.
+Branches are counted and joined by shuffle.  Merging sees no branches but their sums
+in bins of share and weight, whose number is bounded.
 
 Defined results: a null url or one without ``://`` has an empty host and path and no
 segments; pages without labels are judged by the branches they fall into; without
@@ -17,7 +20,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .common import url_parts
@@ -29,6 +32,7 @@ Z = 1.64  # standard errors between shares that count as different
 PRIOR = 4.0  # labelled pages that the overall share is worth
 PURITY = 0.6  # smoothed share of bad pages from which a branch is rejected
 LABELLED = 3  # labelled pages that a rejected branch has at least
+BINS = 250  # of a branch's share, with an edge at PURITY
 
 # (host, path, verdict); the longest that fits wins.
 RULES = (
@@ -73,7 +77,32 @@ def templates(pages: DataFrame, levels: int = LEVELS, branches: int = BRANCHES,
     }).drop("segments")
 
 
-def branch_purity(rows: DataFrame, z: float = Z, prior: float = PRIOR) -> DataFrame:
+def merge_starts(bins: DataFrame, z: float) -> DataFrame:
+    """(host, parent, starts): codes of the bins where a new group begins.
+
+    ``bins`` has (host, parent, code, weight, mass: rates times weights, branches).
+    """
+    step = F.array_sort(F.collect_list(F.struct("code", "weight", "mass", "branches")))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("mass"))
+
+    def join(group: Column, x: Column) -> Column:
+        p, m = group["mass"] / group["weight"], group["weight"]
+        q, n = x["mass"] / x["weight"], x["weight"] / x["branches"]  # the mean branch of the bin
+        both = (p * m + q * n) / (m + n)
+        # Rounding may carry a share of 1 past it.
+        spread = F.sqrt(F.greatest(both * (1 - both), F.lit(0.0)) * (1 / m + 1 / n))
+        apart = (m == 0) | (F.abs(q - p) > z * spread + 1e-12)
+        return F.when(apart, F.struct(
+            F.concat(group["starts"], F.array(x["code"])).alias("starts"), x["weight"].alias("weight"), x["mass"].alias("mass"),
+        )).otherwise(F.struct(
+            group["starts"].alias("starts"), (m + x["weight"]).alias("weight"), (group["mass"] + x["mass"]).alias("mass"),
+        ))
+
+    arrays = bins.groupBy("host", "parent").agg(step.alias("bins"))
+    return arrays.select("host", "parent", F.aggregate("bins", start, join)["starts"].alias("starts"))
+
+
+def branch_purity(rows: DataFrame, z: float = Z, prior: float = PRIOR, least: int = LABELLED) -> DataFrame:
     """(host, template, labelled, purity) after merging similar branches of a parent."""
     leaf = rows.groupBy("host", "parent", "template").agg(
         F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")
@@ -81,19 +110,44 @@ def branch_purity(rows: DataFrame, z: float = Z, prior: float = PRIOR) -> DataFr
     leaf = materialize(leaf, "branches")
     overall = leaf.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("labelled")), F.lit(0.0)).alias("share"))
     leaf = leaf.crossJoin(F.broadcast(overall))  # one row
-    rate = (F.col("bad") + prior * F.col("share")) / (F.col("labelled") + prior)
-    leaf = leaf.withColumn("rate", rate).withColumn("weight", F.col("labelled") + prior)
-    # Branches of one parent: no more than BRANCHES, their wildcard and the tail.
-    order = Window.partitionBy("host", "parent").orderBy("rate", "template")
-    p, q, m, n = F.lag("rate").over(order), F.col("rate"), F.lag("weight").over(order), F.col("weight")
-    both = (p * m + q * n) / (m + n)
-    apart = F.abs(q - p) > z * F.sqrt(both * (1 - both) * (1 / m + 1 / n))
-    merged = leaf.withColumn("new", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("branch", F.sum("new").over(order))
-    whole = Window.partitionBy("host", "parent", "branch")
-    labelled, bad = F.sum("labelled").over(whole), F.sum("bad").over(whole)
-    return merged.select(
-        "host", "template", labelled.alias("labelled"),
-        ((bad + prior * F.col("share")) / (labelled + prior)).alias("purity"),
+    weight = F.col("labelled") + prior
+    leaf = leaf.withColumn("rate", (F.col("bad") + prior * F.col("share")) / weight).withColumn("weight", weight)
+    # Share first, then the power of two of the weight.
+    code = F.floor(F.col("rate") * BINS) * 64 + F.floor(F.log2("weight"))
+    leaf = leaf.withColumn("code", code.cast("int"))
+    bins = leaf.groupBy("host", "parent", "code").agg(
+        F.sum("weight").alias("weight"), F.sum(F.col("rate") * F.col("weight")).alias("mass"), F.count(F.lit(1)).alias("branches")
+    )
+    groups = bins.select("host", "parent", "code").join(merge_starts(bins, z), ["host", "parent"]).select(
+        "host", "parent", "code", F.size(F.filter("starts", lambda s: s <= F.col("code"))).alias("branch")
+    )
+    named = materialize(leaf.join(groups, ["host", "parent", "code"]), "named")
+    counts = [F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")]
+    key = ["host", "parent", "branch"]
+    merged = named.join(named.groupBy(*key).agg(*counts), key)
+    columns = ["host", "template", "share", "all_labelled", "all_bad"]
+    settled = [merged.where(F.col("all_labelled") >= least).select(*columns)]
+    # What has too few labels pools with the like at its parent, then one step up.
+    left = merged.where(F.col("all_labelled") < least).select(
+        "host", "template", "share", "labelled", "bad", F.col("parent").alias("at")
+    )
+    left = materialize(left, "left")
+    depth = F.length("at") - F.length(F.replace("at", F.lit("/"), F.lit("")))
+    top = left.agg(F.max(depth)).first()[0]
+    for level in range(-1 if top is None else top, -1, -1):
+        now = left.where(depth == level)
+        pooled = now.join(now.groupBy("host", "at").agg(*counts), ["host", "at"])
+        enough = F.col("all_labelled") >= (least if level else 0)
+        settled.append(pooled.where(enough).select(*columns))
+        up = pooled.where(~enough).withColumn("at", F.regexp_replace("at", "/[^/]*$", "")).select(*left.columns)
+        if level:
+            left = materialize(left.where(depth < level).unionByName(up), "left")
+    whole = settled[0]
+    for part in settled[1:]:
+        whole = whole.unionByName(part)
+    return whole.select(
+        "host", "template", F.col("all_labelled").alias("labelled"),
+        ((F.col("all_bad") + prior * F.col("share")) / (F.col("all_labelled") + prior)).alias("purity"),
     )
 
 
