@@ -1,8 +1,8 @@
 """URL filter: a tree of path templates per host.
 
-Level by level, a path segment stays a branch of its own where it holds a fair share
-of its parent's pages; all other segments of that parent fall into one wildcard.
-Branches of one parent are
+Level by level, a path segment stays a branch of its own where ``SUPPORT`` pages have
+it, however many its parent has; all other segments of that parent fall into one
+wildcard.  Levels go on as deep as so many pages go.  Branches of one parent are
 merged in order of their labelled shares of bad pages while a branch does not differ
 more than chance allows from the pooled share of the group it would join.  Groups
 with too few labels pool with others of their parent, then of its parent and so on.
@@ -20,14 +20,16 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .common import url_parts
 
-LEVELS = 3  # segments that branch; what is deeper is one tail
-BRANCHES = 64  # a branch holds at least 1 / BRANCHES of its parent's pages
-SUPPORT = 5  # and at least so many pages
+LEVELS = 4096  # segments, more than servers take in a path; what is deeper is one tail
+BRANCHES = math.inf  # a branch holds at least 1 / BRANCHES of its parent's pages: no share is asked
+SUPPORT = 5  # a branch holds at least so many pages
 Z = 1.64  # standard errors between shares that count as different
 PRIOR = 4.0  # labelled pages that the overall share is worth
 PURITY = 0.6  # smoothed share of bad pages from which a branch is rejected
@@ -51,30 +53,47 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def templates(pages: DataFrame, levels: int = LEVELS, branches: int = BRANCHES, support: int = SUPPORT) -> DataFrame:
+def templates(pages: DataFrame, levels: int = LEVELS, branches: float = BRANCHES, support: int = SUPPORT) -> DataFrame:
     """``pages`` (host, path, ...) with parent and template of each page's path."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = pages.withColumn("segments", segments).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
     rows = materialize(rows, "urls")
+    done = []
     for level in range(levels):
         here = rows.withColumn("segment", F.get("segments", F.lit(level)))
         child = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.count(F.lit(1)).alias("n"))
         child = materialize(child, "children")
         node = child.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        kept = child.join(node, ["host", "template"]).where(
-            (F.col("n") >= support) & (F.col("n") * branches >= F.col("total"))
-        ).select("host", "template", "segment", F.lit(True).alias("own"))
+        # Below a node with fewer pages no segment can have enough: wildcards to the end.
+        node = materialize(node.where(F.col("total") >= support), "nodes")
+        if node.isEmpty():
+            break
+        fair = F.col("n") >= support
+        if branches != math.inf:
+            fair &= F.col("n") * branches >= F.col("total")
+        kept = child.where(F.col("n") >= support).join(node, ["host", "template"]).where(fair)
+        kept = kept.select("host", "template", "segment", F.lit(True).alias("own"))
+        done.append(here.where("segment is null").drop("segment"))
         name = F.when(F.col("own"), F.col("segment")).otherwise(WILD)
-        rows = here.join(kept, ["host", "template", "segment"], "left").withColumns({
-            "parent": F.when(F.col("segment").isNull(), F.col("parent")).otherwise(F.col("template")),
-            "template": F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name)),
+        rows = here.where("segment is not null").join(kept, ["host", "template", "segment"], "left").withColumns({
+            "parent": F.col("template"), "template": F.concat("template", F.lit("/"), name),
         }).drop("segment", "own")
         rows = materialize(rows, "urls")
+    else:
+        level = levels
     deep = F.size("segments") > levels
-    return rows.withColumns({
+    rest = F.greatest(F.least(F.size("segments"), F.lit(levels)) - level, F.lit(0))
+    wild = F.lit("/" + WILD)
+    rows = rows.withColumns({
+        "parent": F.when(rest > 0, F.concat("template", F.repeat(wild, rest - 1))).otherwise(F.col("parent")),
+        "template": F.concat("template", F.repeat(wild, rest)),
+    }).withColumns({
         "parent": F.when(deep, F.col("template")).otherwise(F.col("parent")),
         "template": F.when(deep, F.concat("template", F.lit("/" + TAIL))).otherwise(F.col("template")),
-    }).drop("segments")
+    })
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows.drop("segments")
 
 
 def merge_starts(bins: DataFrame, z: float) -> DataFrame:
