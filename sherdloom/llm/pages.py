@@ -7,8 +7,9 @@ to page is not the article.  The markup tells what needs no second page: menus,
 headers, footers, forms, adverts, notices and comments go, and lines inside an
 article element stay even where another page repeats them.
 
-A neighbour that shares nearly all lines is a copy, not a sibling, and is passed
-over.  Pages of one path and the same lines are folded to one before pairing.
+A neighbour that shares nearly all lines outside marked elements is a copy, not a
+sibling, and is passed over; a page whose neighbours are all copies asks twice as far
+each time, at last the ends of its host.  Pages of one path and the same lines are folded to one before pairing.
 
 Defined results: null and empty html give an empty text; a null url is its own host
 with an empty path; repeated rows give the same text; unclosed elements end with
@@ -59,7 +60,7 @@ CLOSES = {
 }
 NEIGHBOURS = 2  # pages before and after a page that it may be aligned with
 LONG_LINE = 40  # words from which a shared line is prose that pages quote, not furniture
-COPY_SHARE = 0.8  # a neighbour that shares so much of the shorter page is a copy
+COPY_SHARE = 0.8  # a neighbour that shares so much of the shorter page's open lines is a copy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -219,36 +220,59 @@ def shared_lines(mine: list[int], other: list[int]) -> list[int]:
 def repeated_lines(profiles: DataFrame) -> DataFrame:
     """(key, repeated): lines of each distinct page that a nearest neighbour shares.
 
-    ``profiles`` has (key, host, path, hashes), one row per distinct page.  Pages lie
-    in order of host and path over all tasks; every page is sent to the positions of
-    its neighbours, so a host of any size is spread like others.
+    ``profiles`` has (key, host, path, hashes, open: which of them are), one row per
+    distinct page.  Pages lie in order of host and path over all tasks; every page with
+    open lines asks for the positions of its neighbours, so a host of any size is
+    spread like others.
     """
     ranked = with_global_rank(profiles, ["host", "path", "key"], "place")
-    near = ranked.select(
-        F.explode(F.sequence(F.lit(-NEIGHBOURS), F.lit(NEIGHBOURS))).alias("step"), "place", "host", "path", "hashes"
-    ).select((F.col("place") + F.col("step")).alias("place"), (-F.col("step")).alias("step"), "host", "path", "hashes")
-    near = near.where("step <> 0").select("place", F.col("host").alias("near_host"), "step", F.col("hashes").alias("other"))
+    ranked = materialize(ranked.select("place", "host", "key", "hashes", "open"), "ranked")
+    size = F.aggregate("open", F.lit(0), lambda n, x: n + x.cast("int"))
+    others = ranked.select(F.col("place").alias("at"), F.col("hashes").alias("other"), size.alias("other_open"))
+    ends = ranked.groupBy("host").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    asks = materialize(ranked.where(F.exists("open", lambda x: x)).join(ends, "host").drop("host"), "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, shared = [], []
             for r in b.to_pylist():
-                mine = r["hashes"]
+                mine, open_ = r["hashes"], r["open"]
                 for n in sorted(r["others"], key=lambda n: (abs(n["step"]), n["step"])):
                     both = shared_lines(mine, n["other"])
-                    if len(both) < COPY_SHARE * min(len(mine), len(n["other"])):
-                        if both:
-                            key.append(r["key"])
-                            shared.append(sorted({mine[k] for k in both}))
+                    least = min(sum(open_), n["other_open"] or len(mine))
+                    if sum(open_[k] for k in both) < COPY_SHARE * least:
+                        key.append(r["key"])
+                        shared.append(sorted({mine[k] for k in both}))
                         break
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, b.schema.field("key").type), pa.array(shared, pa.list_(pa.int64()))],
                 names=["key", "repeated"],
             )
 
-    met = ranked.select("place", "host", "key", "hashes").join(near, "place").where("host = near_host")
-    grouped = met.groupBy("place", "key", "hashes").agg(F.collect_list(F.struct("step", "other")).alias("others"))
-    return grouped.select("key", "hashes", "others").mapInArrow(run, "key string, repeated array<bigint>")
+    found, far = [], NEIGHBOURS
+    steps = [k for n in range(1, NEIGHBOURS + 1) for k in (-n, n)]
+    while True:
+        near = asks.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in steps])).alias("ask"))
+        at = F.col("place") + F.col("ask")
+        if far > NEIGHBOURS:  # past the end of the host its last page answers
+            at = F.greatest(F.least(at, F.col("high")), F.col("low"))
+        near = near.withColumn("at", at).where("at between low and high and at <> place")
+        met = near.withColumn("step", F.col("at") - F.col("place")).join(others, "at")
+        grouped = met.groupBy("place", "key", "hashes", "open").agg(
+            F.collect_list(F.struct("step", "other", "other_open")).alias("others")
+        )
+        answer = grouped.select("key", "hashes", "open", "others").mapInArrow(run, "key string, repeated array<bigint>")
+        found.append(materialize(answer, "repeated"))
+        reach = F.greatest(F.col("place") - F.col("low"), F.col("high") - F.col("place")) > far
+        asks = materialize(asks.where(reach).join(found[-1].select("key"), "key", "left_anti").select(*asks.columns), "asks")
+        if asks.isEmpty():
+            break
+        far *= 2
+        steps = [-far, far]
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def extract(pages: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
@@ -259,7 +283,7 @@ def extract(pages: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, hashes, digests = [], [], []
+            kept, hashes, opens, digests = [], [], [], []
             for h, p, t in zip(b.column(1), b.column(2), b.column(3)):
                 found = lines(t.as_py())
                 keys = line_keys(found)
@@ -268,10 +292,11 @@ def extract(pages: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
                     for (x, s), k in zip(found, keys) if s != ASIDE_LINE
                 ])
                 hashes.append(keys)
-                digests.append(hashlib.md5(repr((h.as_py(), p.as_py(), keys)).encode()).hexdigest())
+                opens.append([s == OPEN for _, s in found])
+                digests.append(hashlib.md5(repr((h.as_py(), p.as_py(), keys, opens[-1])).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(kept, line), pa.array(hashes, pa.list_(pa.int64())), pa.array(digests, pa.string())],
-                names=["row", "host", "path", "lines", "hashes", "key"],
+                [b.column(0), b.column(1), b.column(2), pa.array(kept, line), pa.array(hashes, pa.list_(pa.int64())), pa.array(opens, pa.list_(pa.bool_())), pa.array(digests, pa.string())],
+                names=["row", "host", "path", "lines", "hashes", "open", "key"],
             )
 
     line = pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_()), ("hash", pa.int64())]))
@@ -279,12 +304,14 @@ def extract(pages: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
         F.struct(*[col(pages, c) for c in keep]).alias("row"), host.alias("host"), path.alias("path"), html.alias("html")
     )
     rest = T.StructType.fromDDL(
-        "host string, path string, lines array<struct<text:string,open:boolean,hash:bigint>>, hashes array<bigint>, key string"
+        "host string, path string, lines array<struct<text:string,open:boolean,hash:bigint>>, hashes array<bigint>, open array<boolean>, key string"
     )
     schema = T.StructType([frame.schema["row"], *rest])
     parsed = materialize(frame.mapInArrow(parse, schema), "parsed")
-    profiles = parsed.where(F.size("hashes") > 0).groupBy("key", "host", "path").agg(F.first("hashes").alias("hashes"))
-    repeated = repeated_lines(profiles.select("host", "path", "hashes", "key"))
+    profiles = parsed.where(F.size("hashes") > 0).groupBy("key", "host", "path").agg(
+        F.first("hashes").alias("hashes"), F.first("open").alias("open")
+    )
+    repeated = repeated_lines(profiles.select("host", "path", "hashes", "open", "key"))
     # Only pages with open lines can lose one: the others skip the join, texts and all.
     asks = F.exists("lines", lambda x: x["open"])
     none = F.lit(None).cast("array<bigint>")
