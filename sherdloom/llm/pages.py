@@ -226,7 +226,6 @@ def repeated_lines(profiles: DataFrame) -> DataFrame:
     spread like others.
     """
     ranked = with_global_rank(profiles, ["host", "path", "key"], "place")
-    ranked = materialize(ranked.select("place", "host", "key", "hashes", "open"), "ranked")
     size = F.aggregate("open", F.lit(0), lambda n, x: n + x.cast("int"))
     others = ranked.select(F.col("place").alias("at"), F.col("hashes").alias("other"), size.alias("other_open"))
     ends = ranked.groupBy("host").agg(F.min("place").alias("low"), F.max("place").alias("high"))
