@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import brown, decontam, fixity, mixing, pages, pii, quality, sharding, simhash, urls
+from . import brown, decontam, fixity, licences, mixing, pages, pii, quality, sharding, simhash, tokalign, urls, variants
 from .common import table
 
 QUERIES: dict = {}
@@ -99,3 +99,18 @@ def op9_mixing(spark, sf_dir):
 def op10_page_text(spark, sf_dir):
     texts, at = pages.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return texts.select("page_id", "url", F.col(at).alias("text"), F.length(at).cast("long").alias("n_chars"))
+
+
+@query()
+def op11_licence_scan(spark, sf_dir):
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_token_alignment(spark, sf_dir):
+    return tokalign.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_spelling_variants(spark, sf_dir):
+    return variants.report(table(spark, sf_dir, "documents"))
