@@ -144,11 +144,12 @@ def _mark_by_join(docs, windows, keep, out):
         (F.col("s.text") == F.col("t")) & (F.col("s.width") == F.col("wd")),
         "left_semi",
     )
-    spans = met.groupBy("rid").agg(F.array_sort(F.collect_set("s")).alias("found"))
+    met_rid, found = fresh(rows, "met_rid"), fresh(rows, "found")
+    spans = met.groupBy(F.col("rid").alias(met_rid)).agg(F.array_sort(F.collect_set("s")).alias(found))
     empty = F.expr("cast(array() AS array<struct<at:int,width:int,text:string>>)")
-    got = rows.join(spans.withColumnRenamed("rid", "met_rid"), F.col(rid) == F.col("met_rid"), "left")
+    got = rows.join(spans, F.col(rid) == F.col(met_rid), "left")
     whole = let(
-        F.coalesce("found", empty),
+        F.coalesce(found, empty),
         lambda s: F.struct(
             F.size(normal_words(F.col("text"))).cast("long").alias("n_words"),
             _covered(s).alias("n_hit"),
@@ -161,9 +162,10 @@ def _mark_by_join(docs, windows, keep, out):
 def report(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """One row per document: counts and the ids of the items found in it."""
     marked, at, windows = mark(docs, benchmark, ["doc_id"], **parameters)
-    # A number of its own for every row, given before the spans become rows.
-    rows = marked.withColumn("rid", F.monotonically_increasing_id()).select(
-        "doc_id", "rid",
+    # A number of its own for every row, written before the spans become rows.
+    marked, rid = with_row_id(marked, "marks")
+    rows = marked.select(
+        "doc_id", F.col(rid).alias("rid"),
         F.col(at)["n_words"].alias("n_words"), F.col(at)["n_hit"].alias("n_hit"),
         F.explode_outer(
             F.array_distinct(

@@ -70,6 +70,7 @@ def place(docs: DataFrame, keep: list[str], names: list[str] | None = None, slot
     rows = docs.select(
         *[col(docs, c) for c in keep], slot_of(col(docs, "doc_id"), col(docs, "text"), slots).alias(slot)
     )
-    held = pd.DataFrame({"held_" + slot: np.arange(slots), shard: lookup_table(names, slots)})
-    table = docs.sparkSession.createDataFrame(held, f"held_{slot} long, {shard} int")
-    return rows.join(F.broadcast(table), F.col(slot) == F.col("held_" + slot)).drop("held_" + slot)
+    at = fresh(rows, "held_slot")
+    held = pd.DataFrame({at: np.arange(slots), shard: lookup_table(names, slots)})
+    table = docs.sparkSession.createDataFrame(held, f"{at} long, {shard} int")
+    return rows.join(F.broadcast(table), F.col(slot) == F.col(at)).drop(at)
