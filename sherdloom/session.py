@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
-_RECORDERS: list[list[str]] = []
+# Recorders are those of the running thread: jobs in other threads note their own tables.
+_RECORDERS: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -79,7 +81,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    for paths in _RECORDERS:
+    for paths in _RECORDERS.get():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,11 +90,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def recorded() -> Iterator[list[str]]:
     """Collects the paths of the tables that are materialized inside the block."""
     paths: list[str] = []
-    _RECORDERS.append(paths)
+    token = _RECORDERS.set((*_RECORDERS.get(), paths))
     try:
         yield paths
     finally:
-        _RECORDERS[:] = [p for p in _RECORDERS if p is not paths]
+        _RECORDERS.reset(token)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
