@@ -7,7 +7,9 @@ DataFrame.  All but the last return the columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,22 +17,31 @@ from sherdloom.llm import decontam, mixing, quality, sharding, simhash
 from sherdloom.llm.common import table
 from sherdloom.session import materialize, recorded, release, tune
 
-# Tables that the last stage of an application left behind.
-_LEFT: dict[str, list[str]] = {}
+# What a stage wrote for itself, by run: its successor may delete it.  A run begins with the
+# first stage and belongs to its thread.
+_RUN: ContextVar[str] = ContextVar("run", default="")
+_LEFT: dict[tuple[str, str], list[str]] = {}
 
 
 def _stage(body: Callable) -> Callable:
-    """A stage that first deletes what the stage before it wrote for itself.
+    """A stage that first deletes what the stages before it wrote for themselves.
 
-    Stages hand on written tables, so when one begins, the one before it is over.
+    Tables that ``docs`` still reads stay: a stage whose result was not written yet goes
+    on working, and a later stage deletes them.  The first stage deletes nothing.
     """
     @wraps(body)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        release(tune(spark), _LEFT.pop(app, []))
+        tune(spark)
+        if run_stage is STAGES[0][1]:
+            _RUN.set(uuid4().hex)
+        key = (spark.sparkContext.applicationId, _RUN.get())
+        left = _LEFT.pop(key, [])
+        read = docs.inputFiles() if left else []
+        held = [p for p in left if any(p.rsplit("/", 1)[1] in file for file in read)]
+        release(spark, [p for p in left if p not in held])
         with recorded() as paths:
             out = body(spark, docs, sf_dir)
-        _LEFT[app] = paths
+        _LEFT[key] = held + paths
         return out
 
     return run_stage
