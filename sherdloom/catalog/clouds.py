@@ -52,20 +52,46 @@ def scale_unscale(spark, sf):
     )
 
 
-@query("w08_shuffle_points")
+_SHUFFLED = duck.shuffled("pt_idx", "n", duck.key(1116, "'shuffle'", "name", "part_idx"))
+
+
+@query(
+    "w08_shuffle_points",
+    f"WITH {duck.PTS} SELECT name, part_idx, pt_idx, {_SHUFFLED} AS order_idx FROM "
+    "(SELECT *, count(*) OVER (PARTITION BY name, part_idx) AS n FROM pts)",
+)
 def shuffle_points(spark, sf):
     return K.shuffle(fx.points(spark, sf)).select(*PART, "pt_idx", "order_idx")
 
 
-@query("m13_random_rotation")
+_OBJECT_TURN, _PART_TURN = duck.quaternion(1116, "'object'", "name"), duck.quaternion(1116, "name", "part_idx")
+_TURNED = ("x", "y", "z", "nx", "ny", "nz", "gt_qw", "gt_qx", "gt_qy", "gt_qz")
+
+
+@query(
+    "m13_random_rotation",
+    f"""WITH {duck.PTS},
+    turns AS (SELECT name, part_idx, {', '.join(f'{v} AS o{c}' for v, c in zip(_OBJECT_TURN, 'wxyz'))},
+      {', '.join(f'{v} AS p{c}' for v, c in zip(_PART_TURN, 'wxyz'))} FROM (SELECT DISTINCT name, part_idx FROM pts)),
+    whole AS (SELECT name, part_idx, pt_idx, pw, px, py, pz,
+      {', '.join(f'{v} AS {c}' for v, c in zip(duck.matvec(duck.mat(('ow', 'ox', 'oy', 'oz')), ('x', 'y', 'z')), ('wx', 'wy', 'wz')))},
+      {', '.join(f'{v} AS {c}' for v, c in zip(duck.matvec(duck.mat(('ow', 'ox', 'oy', 'oz')), ('nx', 'ny', 'nz')), ('mx', 'my', 'mz')))}
+      FROM pts JOIN turns USING (name, part_idx)),
+    centred AS (SELECT * REPLACE ({', '.join(f'w{c} - avg(w{c}) OVER (PARTITION BY name, part_idx) AS w{c}' for c in 'xyz')}) FROM whole)
+    SELECT name, part_idx, pt_idx, {duck.rs(duck.matvec(duck.mat(('pw', 'px', 'py', 'pz')), ('wx', 'wy', 'wz')), _TURNED[:3])},
+      {duck.rs(duck.matvec(duck.mat(('pw', 'px', 'py', 'pz')), ('mx', 'my', 'mz')), _TURNED[3:6])},
+      {duck.rs(('pw', '-px', '-py', '-pz'), _TURNED[6:])} FROM centred""",
+)
 def random_rotation(spark, sf):
     whole = K.rotate_objects(fx.points(spark, sf))
-    return K.rotate_parts(K.recenter(whole)).select(
-        *PART, "pt_idx", *XYZ, "nx", "ny", "nz", "gt_qw", "gt_qx", "gt_qy", "gt_qz"
-    )
+    turned = K.rotate_parts(K.recenter(whole))
+    return turned.select(*PART, "pt_idx", *rounded(map(F.col, _TURNED), _TURNED))
 
 
-@query("m44_seeded_randomness")
+@query(
+    "m44_seeded_randomness",
+    f"WITH {duck.PTS} SELECT name, part_idx, pt_idx, {duck.uniform(1116, 'name', 'part_idx', 'pt_idx')} AS u FROM pts",
+)
 def seeded_randomness(spark, sf):
     return fx.points(spark, sf).select(
         *PART, "pt_idx", hash_uniform(1116, *PART, "pt_idx").alias("u")
@@ -106,7 +132,18 @@ def anchor_eligibility(spark, sf):
     return K.eligible_anchors(part_sizes(spark, sf), 300).select(*PART, "n_points")
 
 
-@query("t08_random_references")
+@query(
+    "t08_random_references",
+    f"""WITH {_SIZES}, can AS (SELECT * FROM sizes WHERE n_points > 0.05*100),
+    fixed AS (SELECT name, arg_min(part_idx, {duck.key(1116, "'anchor'", 'name', 'part_idx')}) AS anchor FROM can GROUP BY name),
+    more AS (SELECT name, part_idx, num_parts, count(*) OVER (PARTITION BY name) AS m,
+      row_number() OVER (PARTITION BY name ORDER BY {duck.key(1116, "'more'", 'name', 'part_idx')}, part_idx) AS r
+      FROM can JOIN fixed USING (name) WHERE part_idx <> anchor),
+    chosen AS (SELECT name, part_idx FROM more WHERE num_parts > 2 AND {duck.uniform(1116, "'if'", 'name')} > 1.0::DOUBLE/num_parts
+      AND r <= floor({duck.uniform(1116, "'how many'", 'name')} * least(m, num_parts - 2)) + 1)
+    SELECT s.name, s.part_idx, n_points, coalesce(s.part_idx = anchor, false) OR c.part_idx IS NOT NULL AS is_ref
+    FROM sizes s LEFT JOIN fixed f ON s.name = f.name LEFT JOIN chosen c ON s.name = c.name AND s.part_idx = c.part_idx""",
+)
 def random_references(spark, sf):
     return K.mark_references(part_sizes(spark, sf), 100, random_anchor=True, multi_ref=True).select(
         *PART, "n_points", "is_ref"
@@ -147,18 +184,107 @@ def _counts(spark, sf, budget=500):
     return S.allocate_budget(measures, budget)
 
 
-@query("t06_uniform_surface_sampling")
+_SAMPLED = ("x", "y", "z", "nx", "ny", "nz")
+
+
+def _sampled_sql(budget: str) -> str:
+    """Draws on the faces of every piece, by whole-number weights."""
+    draw = [duck.uniform(1116, f"'{stream}'", "name", "part_idx", "pt_idx") for stream in ("uniform", "uniform1", "uniform2")]
+    corner = {c: (f"a{c}", f"b{'y_' if c == 'y' else c}", f"c{c}") for c in "xyz"}
+    return f"""WITH {DENSE}, {GEOM}, {MEASURES}, {SHARED}, {_ALLOC.replace('5000', budget)},
+    weighted AS (SELECT *, CAST(ceil(len/2 / max(len/2) OVER (PARTITION BY name, part_idx) * 4294967296) AS BIGINT) AS w FROM geom WHERE len > 0),
+    spans AS (SELECT *, sum(w) OVER (PARTITION BY name, part_idx ORDER BY f_idx) - w AS lo, sum(w) OVER (PARTITION BY name, part_idx) AS total FROM weighted),
+    asks AS (SELECT name, part_idx, unnest(range(0, n_points)) AS pt_idx FROM budget),
+    draws AS (SELECT name, part_idx, pt_idx, CAST(least(floor({draw[0]} * total), total - 1) AS BIGINT) AS pos, {draw[1]} AS r1, {draw[2]} AS r2
+      FROM asks JOIN (SELECT DISTINCT name, part_idx, CAST(total AS BIGINT) AS total FROM spans) USING (name, part_idx)),
+    folded AS (SELECT name, part_idx, pt_idx, pos, CASE WHEN r1 + r2 > 1 THEN 1 - r1 ELSE r1 END AS s, CASE WHEN r1 + r2 > 1 THEN 1 - r2 ELSE r2 END AS t FROM draws),
+    drawn AS (SELECT d.name, d.part_idx, d.pt_idx, f.f_idx,
+      {', '.join(f'{a} + (({b} - {a}) * s + ({c_} - {a}) * t) AS {c}' for c, (a, b, c_) in corner.items())},
+      ux/len AS nx, uy/len AS ny, uz/len AS nz
+      FROM folded d ASOF JOIN spans f ON d.name = f.name AND d.part_idx = f.part_idx AND d.pos >= f.lo)"""
+
+
+@query(
+    "t06_uniform_surface_sampling",
+    f"""{_sampled_sql('500')} SELECT name, part_idx, pt_idx, f_idx, {duck.rs(_SAMPLED, _SAMPLED)},
+    CASE WHEN shared_with <> -1 THEN CAST(1 AS BIGINT) ELSE 0 END AS frac FROM drawn JOIN labelled USING (name, part_idx, f_idx)""",
+)
 def uniform_sampling(spark, sf):
-    return S.sample_surface(
-        fx.vertices(spark, sf), labelled(spark, sf), _counts(spark, sf)
-    ).select(*PART, "pt_idx", "f_idx", *XYZ, "nx", "ny", "nz", "frac")
+    drawn = S.sample_surface(fx.vertices(spark, sf), labelled(spark, sf), _counts(spark, sf))
+    return drawn.select(*PART, "pt_idx", "f_idx", *rounded(map(F.col, _SAMPLED), _SAMPLED), "frac")
+
+
+def _even(spark, sf):
+    return S.sample_surface(fx.vertices(spark, sf), labelled(spark, sf), _counts(spark, sf, 200), "poisson")
 
 
 @query("t07_even_surface_sampling")
 def even_sampling(spark, sf):
-    return S.sample_surface(
-        fx.vertices(spark, sf), labelled(spark, sf), _counts(spark, sf, 200), "poisson"
-    ).select(*PART, "pt_idx", "f_idx", *XYZ, "nx", "ny", "nz", "frac")
+    return _even(spark, sf).select(*PART, "pt_idx", "f_idx", *_SAMPLED, "frac")
+
+
+@query(
+    "t07_even_sampling_invariants",
+    f"""WITH {DENSE}, {GEOM}, {MEASURES}, {_ALLOC.replace('5000', '200')}
+    SELECT name, part_idx, n_points AS n, true AS numbered, true AS spaced, true AS on_surface FROM budget""",
+)
+def even_invariants(spark, sf):
+    """Per piece: as many points as wanted, thinned ones a radius apart, all on the plane of their face."""
+    geometry = G.face_geometry(fx.vertices(spark, sf), fx.faces(spark, sf))
+    counts = _counts(spark, sf, 200)
+    even = S.spread_points(geometry, counts)
+    points = S.sample_even(geometry, counts).join(geometry.drop("area", "volume"), [*PART, "f_idx"])
+    off = F.abs(sum(((F.col(c) - F.col(f"a{c}")) * F.col(f"fn{c}") for c in "xyz"), F.lit(0.0)))
+    whole = points.groupBy(*PART).agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.count_distinct("pt_idx") == F.max("pt_idx") + 1).alias("numbered"),
+        (F.max(off) < 1e-9).alias("on_surface"),
+    )
+    close = S.close_pairs(even).select(*PART, F.lit(False).alias("spaced")).distinct()
+    return whole.join(close, PART, "left").select(*PART, "n", "numbered", F.coalesce("spaced", F.lit(True)).alias("spaced"), "on_surface")
+
+
+def _face_table(spark, sf, budget):
+    """Faces with their corners and the wanted points of their piece, as the table function reads them."""
+    geometry = G.face_geometry(fx.vertices(spark, sf), fx.faces(spark, sf))
+    return geometry.join(_counts(spark, sf, budget).select(*PART, "n_points"), PART)
+
+
+@query(
+    "x01_table_function",
+    f"{_sampled_sql('500')} SELECT name, part_idx, pt_idx, f_idx, {duck.rs(_SAMPLED, _SAMPLED)} FROM drawn",
+)
+def table_function(spark, sf):
+    from ..functions.tables import register
+
+    register(spark)
+    _face_table(spark, sf, 500).createOrReplaceTempView("sherdloom_faces")
+    drawn = spark.sql("SELECT * FROM sample_surface(TABLE(sherdloom_faces) PARTITION BY (name, part_idx), 'uniform', 1116)")
+    return drawn.select(*PART, "pt_idx", "f_idx", *rounded(map(F.col, _SAMPLED), _SAMPLED))
+
+
+@query(
+    "x02_sample_strategies",
+    f"""WITH {DENSE}, {GEOM}, {MEASURES}, {_ALLOC.replace('5000', '200')}
+    SELECT strategy, name, part_idx, n_points AS n_equal FROM budget, (SELECT unnest(['uniform', 'poisson']) AS strategy) s""",
+)
+def sample_strategies(spark, sf):
+    """Points that the table function and the DataFrame sampler have in common, for both strategies."""
+    from ..functions.tables import STRATEGIES, register
+
+    register(spark)
+    _face_table(spark, sf, 200).createOrReplaceTempView("sherdloom_faces")
+    geometry, counts = G.face_geometry(fx.vertices(spark, sf), fx.faces(spark, sf)), _counts(spark, sf, 200)
+    out = None
+    for strategy in STRATEGIES:
+        mine = S.SAMPLERS[strategy](geometry, counts)
+        theirs = spark.sql(f"SELECT * FROM sample_surface(TABLE(sherdloom_faces) PARTITION BY (name, part_idx), '{strategy}', 1116)")
+        key = [*PART, "pt_idx", "f_idx"]
+        places = [f"cast(round({c}, 6) * 1000000 as long) AS {c}" for c in "xyz"]
+        both = mine.selectExpr(*key, *places).join(theirs.selectExpr(*key, *places), [*key, *XYZ])
+        part = both.groupBy(*PART).agg(F.count(F.lit(1)).alias("n_equal")).withColumn("strategy", F.lit(strategy))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

@@ -156,7 +156,14 @@ def clustered_layout(spark, sf):
     return V.clustered(grid(spark, sf), DEPTH).select(*PT, "code")
 
 
-@query("t09_random_curve_order")
+_CURVE_KEY = duck.key(1116, "o", "name")
+
+
+@query(
+    "t09_random_curve_order",
+    f"""WITH {duck.PTS} SELECT name, string_agg(o, ',' ORDER BY {_CURVE_KEY}, o) AS orders
+    FROM (SELECT DISTINCT name FROM pts), (SELECT unnest([{', '.join(f"'{o}'" for o in ORDERS)}]) AS o) g GROUP BY name""",
+)
 def random_curve_order(spark, sf):
     return V.order_permutation(fx.points(spark, sf), ORDERS).select(
         "name", F.array_join("orders", ",").alias("orders")

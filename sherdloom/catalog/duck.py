@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.rand import PRIME, ROUND_FACTORS
+
 VEC = """vec AS (
   SELECT vec_id, CAST(floor(sqrt(CAST(vec_id AS DOUBLE))) AS BIGINT) AS name,
          vec_id - CAST(floor(sqrt(CAST(vec_id AS DOUBLE))) AS BIGINT)
@@ -101,3 +103,33 @@ def hamilton(a, b) -> list[str]:
 
 def signed(q, w: str) -> list[str]:
     return [f"(CASE WHEN {w} < 0 THEN -({c}) ELSE {c} END)" for c in q]
+
+
+def key(*parts) -> str:
+    """60-bit digest of the seed and the keys; text parts come quoted."""
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 15) AS BIGINT)"
+
+
+def uniform(*parts) -> str:
+    return f"(CAST({key(*parts)} >> 7 AS DOUBLE) / 9007199254740992)"
+
+
+def normal(seed, *parts) -> str:
+    u1, u2 = uniform(seed, "'n1'", *parts), uniform(seed, "'n2'", *parts)
+    return f"(sqrt(-2 * ln(1 - {u1})) * cos(2 * pi() * {u2}))"
+
+
+def quaternion(seed, *parts) -> list[str]:
+    u1, u2, u3 = (uniform(seed, f"'q{i}'", *parts) for i in range(3))
+    a, b = f"sqrt(1 - {u1})", f"sqrt({u1})"
+    s, c = f"(2 * pi() * {u2})", f"(2 * pi() * {u3})"
+    return [f"({b} * cos({c}))", f"({a} * sin({s}))", f"({a} * cos({s}))", f"({b} * sin({c}))"]
+
+
+def shuffled(position: str, n: str, key: str) -> str:
+    """Where a position of [0, n) goes under the keyed swap-or-not permutation."""
+    turn = f"((({key}) % {PRIME} * f + (({key}) >> 29) % {PRIME}) % {PRIME})"
+    mirror = f"(({turn} % {n} + {n} - x) % {n})"
+    coin = f"(((greatest(x, {mirror}) + 1) * ({turn} * 48271 % {PRIME} + 1) % {PRIME}) >> 11) % 2"
+    rounds = "[" + ", ".join(f"{f}::BIGINT" for f in ROUND_FACTORS) + "]"
+    return f"list_reduce({rounds}, lambda x, f: CASE WHEN {coin} = 1 THEN {mirror} ELSE x END, CAST({position} AS BIGINT))"

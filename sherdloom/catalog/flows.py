@@ -229,7 +229,19 @@ def euler_step(spark, sf):
     return df.select(*PART, *rounded(t, ("tx", "ty", "tz")), *rounded(q, ("qw", "qx", "qy", "qz")))
 
 
-@query("m17_langevin_step")
+_KICK = [duck.normal(1116, f"'{i}'", "name", "part_idx") for i in range(6)]
+_KICKED = duck.hamilton(_RQ, ("kw", "kx", "ky", "kz"))
+
+
+@query(
+    "m17_langevin_step",
+    f"""WITH {duck.POSE}, {_path_sql(1, '-0.05::DOUBLE')},
+    kicks AS (SELECT *, {', '.join(f'{z} AS z{i}' for i, z in enumerate(_KICK))}, 0.05*sqrt(0.05::DOUBLE) AS spread FROM path WHERE step = 0),
+    turned AS (SELECT *, spread*sqrt(z3*z3+z4*z4+z5*z5) AS angle FROM kicks),
+    kicked AS (SELECT *, cos(angle/2) AS kw, {', '.join(f'sin(angle/2)*spread*z{i + 3}/angle AS k{c}' for i, c in enumerate('xyz'))} FROM turned)
+    SELECT name, part_idx, {duck.rs([f'x{c}+spread*z{i}' for i, c in enumerate('xyz')], ('tx', 'ty', 'tz'))},
+      {duck.rs(duck.signed(_KICKED, _KICKED[0]), ('qw', 'qx', 'qy', 'qz'))} FROM kicked""",
+)
 def langevin_step(spark, sf):
     from ..functions.rand import hash_normal
 
@@ -240,7 +252,8 @@ def langevin_step(spark, sf):
         df, M.pr_t(), M.pr_q(), rot.cols("vx", "vy", "vz"), rot.cols("wx", "wy", "wz"),
         F.lit(-0.05), 0.05, z[:3], z[3:], names,
     )
-    return df.select(*PART, *rounded(map(F.col, names), names))
+    q = rot.standardize(rot.cols(*names[3:]))
+    return df.select(*PART, *rounded(map(F.col, names[:3]), names[:3]), *rounded(q, names[3:]))
 
 
 @query("m17_integrate_20_steps", f"WITH {duck.POSE}, {_PATH} SELECT name, part_idx, {_PATH_OUT} FROM path WHERE step = 19")
@@ -308,10 +321,17 @@ def training_pairs(spark, sf):
     return TR.flow_pairs(_training_input(spark, sf)).select(*PART, *rounded(map(F.col, names), names))
 
 
-@query("m22_training_timestep")
+_DRAWN_NOISE = [*[duck.normal(1116, f"'{c}'", "name", "part_idx") for c in "xyz"], *duck.quaternion(1116, "'noise'", "name", "part_idx")]
+
+
+@query(
+    "m22_training_timestep",
+    f"""WITH {duck.POSE} SELECT name, part_idx, CAST(floor({duck.uniform(1116, "'timestep'", 'name')} * 1000) AS BIGINT) AS train_index,
+    {duck.rs(_DRAWN_NOISE, TR.NOISE_COLS)} FROM pose""",
+)
 def training_timestep(spark, sf):
     df = TR.with_noise(TR.with_timestep(fx.poses(spark, sf)))
-    return df.select(*PART, "train_index", *TR.NOISE_COLS)
+    return df.select(*PART, "train_index", *rounded(map(F.col, TR.NOISE_COLS), TR.NOISE_COLS))
 
 
 # ---- diffusion ------------------------------------------------------------------

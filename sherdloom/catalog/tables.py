@@ -346,7 +346,14 @@ def ordered_batches(spark, sf):
     return P.batches(fx.splits(spark, sf).select("name").distinct(), 32, seed=None)
 
 
-@query("s17_shuffled_batches")
+_BATCH_PLACE = duck.shuffled("r", "n", duck.key(DEFAULT_SEED, "'batches'"))
+
+
+@query(
+    "s17_shuffled_batches",
+    f"""WITH {duck.SPLITS} SELECT name, {_BATCH_PLACE} // 32 AS batch_id FROM (
+      SELECT name, row_number() OVER (ORDER BY name) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT name FROM splits))""",
+)
 def shuffled_batches(spark, sf):
     return P.batches(fx.splits(spark, sf).select("name").distinct(), 32, DEFAULT_SEED)
 

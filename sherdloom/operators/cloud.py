@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rot
-from ..functions.rand import DEFAULT_SEED, hash_key, hash_quaternion, hash_uniform
+from ..functions.rand import DEFAULT_SEED, hash_key, hash_quaternion, hash_uniform, shuffled_position
 from .metrics import PART
 from .ordering import with_rank
 
@@ -55,10 +55,14 @@ def rotate_objects(df: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
 def shuffle(points: DataFrame, seed: int = DEFAULT_SEED, out: str = "order_idx") -> DataFrame:
     """Random 0-based position of every point inside its part.
 
-    A row keeps all its columns, so coordinates, normals and labels move together.
+    ``pt_idx`` numbers the points of a part without gaps; its place in the order is computed from
+    it, so nothing is sorted.  A row keeps all its columns: coordinates, normals and labels move together.
     """
-    keyed = points.withColumn("_h", hash_key(seed, *PART, "pt_idx"))
-    return with_rank(keyed, PART, ["_h", "pt_idx"], out).drop("_h")
+    sizes = points.groupBy(*PART).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", hash_key(seed, F.lit("shuffle"), *PART))
+    gap = F.raise_error(F.lit("points of a part are not numbered without gaps")).cast("long")
+    at = F.when(F.col("pt_idx") < F.col("_n"), F.col("pt_idx")).otherwise(gap)
+    placed = shuffled_position(at, F.col("_n"), F.col("_key"))
+    return points.join(sizes, PART).withColumn(out, placed).drop("_n", "_key")
 
 
 def part_scales(points: DataFrame, zero_as_one: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rand import DEFAULT_SEED, hash_key
+from ..functions.rand import DEFAULT_SEED, key_of, shuffled_position
 from .ordering import explode_range, prefix_sum, with_global_rank
 
 CHUNK = 4096  # rows per packed array
@@ -37,9 +37,15 @@ def object_offsets(objects: DataFrame, order: list) -> DataFrame:
 
 
 def batches(objects: DataFrame, size: int, seed: int | None = DEFAULT_SEED) -> DataFrame:
-    """Batch number of every object; ``seed=None`` keeps name order (no shuffle)."""
-    order = ["name"] if seed is None else [hash_key(seed, "name"), F.col("name")]
-    ranked = with_global_rank(objects, order, "_r")
+    """Batch number of every object; ``seed=None`` keeps name order (no shuffle).
+
+    Shuffled places are computed from the place in name order; no second sort is needed.
+    """
+    ranked = with_global_rank(objects, ["name"], "_r")
+    if seed is not None:
+        total = ranked.agg(F.count(F.lit(1)).alias("_n"))
+        key = F.lit(key_of(seed, "batches")).cast("long")
+        ranked = ranked.crossJoin(F.broadcast(total)).withColumn("_r", shuffled_position(F.col("_r"), F.col("_n"), key)).drop("_n")
     return ranked.withColumn("batch_id", F.floor(F.col("_r") / size).cast("long")).drop("_r")
 
 

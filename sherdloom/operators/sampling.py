@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import rot
 from ..functions.rand import DEFAULT_SEED, hash_key, hash_uniform
 from ..session import materialize
+from .asof import with_last_mark
 from .mesh import face_geometry
 from .metrics import PART
-from .ordering import explode_range, prefix_sum
+from .ordering import explode_range, prefix_sum, with_rank
 
 OVERSAMPLE = 3  # fixed value: candidates drawn per even sample
-MAX_BINS = 1 << 20
-WEIGHT_UNITS = float(1 << 52)
+WEIGHT_UNITS = float(1 << 32)
 
 
 def allocate_budget(parts: DataFrame, num_points: int, min_points: int = 20) -> DataFrame:
@@ -58,51 +58,41 @@ def cumulative_area(geometry: DataFrame) -> DataFrame:
     return df.withColumn("lo", F.col("hi") - F.col("area"))
 
 
+def _weights(geometry: DataFrame) -> DataFrame:
+    """Faces with area, as whole-number weights and the interval [lo, hi) they cover in their part.
+
+    A weight counts in units of 2**-32 of the part's largest face, rounded up.  Whole numbers add up
+    exactly, so neighbouring intervals meet without a gap that could lose a draw, in any order.
+    """
+    sized = geometry.where("area > 0")
+    largest = sized.groupBy(*PART).agg(F.max("area").alias("_max"))
+    weighted = sized.join(largest, PART).withColumn(
+        "_w", F.ceil(F.col("area") / F.col("_max") * WEIGHT_UNITS).cast("long")
+    )
+    return prefix_sum(weighted, PART, "f_idx", "_w", "hi").withColumn("lo", F.col("hi") - F.col("_w"))
+
+
 def sample_uniform(
     geometry: DataFrame, counts: DataFrame, seed: int = DEFAULT_SEED, stream: str = "uniform"
 ) -> DataFrame:
     """``n_points`` independent surface points per part, faces drawn by area.
 
-    A draw falls into the area interval of its face.  To find it without comparing
-    every draw with every face, the part's total area is cut into as many equal
-    bins as it has draws; faces are listed under the bins they touch and a draw
-    meets only the faces of its own bin.  Both sides stay linear in size.
-    Barycentric draws with r1 + r2 > 1 are folded back into the triangle.
+    A draw falls into the area interval of its face: draws and interval starts are merged in
+    order, which is linear in both.  Barycentric draws with r1 + r2 > 1 are folded back into
+    the triangle.  Parts without area get no points.
     """
-    sized = geometry.where("area > 0")
-    area = sized.groupBy(*PART).agg(F.sum("area").alias("_area"))
-    # Whole-number weights add up exactly, so neighbouring intervals meet without a
-    # gap that could lose a draw.
-    weighted = sized.join(area, PART).withColumn(
-        "_w", F.ceil(F.col("area") / F.col("_area") * WEIGHT_UNITS).cast("long")
-    )
-    faces = prefix_sum(weighted, PART, "f_idx", "_w", "hi").withColumn("lo", F.col("hi") - F.col("_w"))
+    faces = materialize(_weights(geometry), "weights")
     totals = faces.groupBy(*PART).agg(F.max("hi").alias("_total"))
-    plan = (
-        counts.select(*PART, "n_points")
-        .join(totals, PART)
-        .withColumn("_bins", F.least(F.col("n_points"), F.lit(MAX_BINS)))
-        .where("_bins > 0")
-    )
-
-    def bin_of(at: Column) -> Column:
-        share = F.floor(at / F.col("_total") * F.col("_bins"))
-        return F.greatest(F.lit(0), F.least(share, F.col("_bins") - 1)).cast("long")
-
-    listed = (
-        faces.join(plan.select(*PART, "_total", "_bins"), PART)
-        .withColumn("_b", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
-        .drop("_total", "_bins")
-    )
-    draws = explode_range(plan, "n_points", "pt_idx").withColumn(
-        "_at",
+    plan = counts.select(*PART, "n_points").join(totals, PART)
+    draws = explode_range(plan, "n_points", "pt_idx").select(
+        *PART, "pt_idx",
         F.least(
             F.floor(hash_uniform(seed, F.lit(stream), *PART, "pt_idx") * F.col("_total")),
             F.col("_total") - 1,
-        ),
+        ).cast("long").alias("lo"),
     )
-    draws = draws.select(*PART, "pt_idx", "_at", bin_of(F.col("_at")).alias("_b"))
-    hit = draws.join(listed, [*PART, "_b"]).where("lo <= _at AND _at < hi")
+    hit = with_last_mark(draws, faces, PART, "lo", "f_idx").drop("lo")
+    hit = hit.join(faces.drop("lo", "hi", "_w", "_max"), [*PART, "f_idx"])
     r1 = hash_uniform(seed, F.lit(stream + "1"), *PART, "pt_idx")
     r2 = hash_uniform(seed, F.lit(stream + "2"), *PART, "pt_idx")
     hit = hit.withColumns({"_r1": r1, "_r2": r2}).withColumn("_fold", F.col("_r1") + F.col("_r2") > 1)
@@ -117,90 +107,73 @@ def sample_uniform(
     )
 
 
-def _close_pairs(points: DataFrame) -> DataFrame:
-    """(part, pt_idx, other) both ways for points of a part closer than its radius.
+_CELL = ("_gx", "_gy", "_gz")
 
-    Grid cells are one radius wide, so a partner lies in one of 27 cells; the
-    candidates were drawn at a few per cell.
-    """
-    cell = {f"_g{c}": F.floor(F.col(c) / F.col("radius")).cast("long") for c in "xyz"}
-    at = points.select(*PART, "pt_idx", "x", "y", "z", "radius").withColumns(cell)
+
+def _in_cells(points: DataFrame) -> DataFrame:
+    """The points with the grid cell of one radius that they lie in."""
+    return points.withColumns({g: F.floor(F.col(c) / F.col("radius")).cast("long") for g, c in zip(_CELL, "xyz")})
+
+
+def _around(points: DataFrame) -> DataFrame:
+    """The points under each of the 27 cells around their own, columns renamed to o_*."""
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-    asked = at
-    for c in "xyz":
-        asked = asked.withColumn("_d", F.explode(near)).withColumn(f"_g{c}", F.col(f"_g{c}") + F.col("_d"))
-    asked = asked.drop("_d")
-    other = at.select(
-        *PART, "_gx", "_gy", "_gz", F.col("pt_idx").alias("other"),
-        *[F.col(c).alias(f"o{c}") for c in "xyz"],
-    )
-    gap = rot.sub(rot.cols("x", "y", "z"), rot.cols("ox", "oy", "oz"))
-    return (
-        asked.join(other, [*PART, "_gx", "_gy", "_gz"])
-        .where((F.col("pt_idx") != F.col("other")) & (rot.dot(gap, gap) < F.col("radius") ** 2))
-        .select(*PART, "pt_idx", "other")
-    )
+    out = points
+    for c in _CELL:
+        out = out.withColumn("_d", F.explode(near)).withColumn(c, F.col(c) + F.col("_d"))
+    return out.select(*[F.col(c).alias(f"o_{c}") for c in (*PART, *_CELL, "_h", "pt_idx", "x", "y", "z")])
+
+
+def _met() -> Column:
+    """A point and another one of ``_around`` share a cell and lie within the radius."""
+    gap = rot.sub(rot.cols("x", "y", "z"), rot.cols("o_x", "o_y", "o_z"))
+    met = rot.dot(gap, gap) < F.col("radius") ** 2
+    for c in (*PART, *_CELL):
+        met = met & (F.col(c) == F.col(f"o_{c}"))
+    return met
+
+
+def close_pairs(points: DataFrame) -> DataFrame:
+    """(part, pt_idx, other) for points of a part that lie within their ``radius``."""
+    at = _in_cells(points.select(*PART, "pt_idx", "x", "y", "z", "radius", F.lit(0).cast("long").alias("_h")))
+    found = at.join(_around(at), _met() & (F.col("pt_idx") < F.col("o_pt_idx")))
+    return found.select(*PART, "pt_idx", F.col("o_pt_idx").alias("other"))
 
 
 def thin_out(points: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Largest-priority-first subset with no two points of a part within ``radius``.
+    """A subset with no two points of a part within ``radius``, to which no further point can be added.
 
-    Every round keeps the points that precede all their open neighbours and drops
-    the neighbours of kept points, until no point is open.  The result equals
-    throwing the points one by one in hash order and refusing those too close.
+    In every round each grid cell of one radius puts forward its open point of smallest hash; of
+    those, the ones that precede all others within the radius are kept, and what lies within the
+    radius of a kept point is closed.  A cell puts forward one point however many it holds, so a
+    point meets 27 others at most, also where surfaces lie over each other.  Rounds grow with the
+    logarithm of the number of points.
     """
-    points = materialize(points, "candidates")
-    pairs = materialize(
-        _close_pairs(points).withColumns(
-            {
-                "mine": hash_key(seed, F.lit("prio"), *PART, "pt_idx"),
-                "theirs": hash_key(seed, F.lit("prio"), *PART, "other"),
-            }
-        ),
-        "close",
-    )
     key = [*PART, "pt_idx"]
-    kept = [points.select(*key).join(pairs.select(*key).distinct(), key, "left_anti")]
-    while not pairs.isEmpty():
-        first = (
-            pairs.groupBy(*key)
-            .agg(F.min(F.struct("theirs", "other")).alias("_o"), F.first("mine").alias("_m"))
-            .where(F.struct(F.col("_m").alias("theirs"), F.col("pt_idx").alias("other")) < F.col("_o"))
-            .select(*key)
-        )
-        first = materialize(first, "kept")
-        kept.append(first)
-        lost = pairs.join(first, key, "left_semi").select(*PART, F.col("other").alias("pt_idx"))
-        closed = materialize(first.unionByName(lost).distinct(), "closed")
-        before = pairs
-        pairs = pairs.join(closed, key, "left_anti")
-        pairs = materialize(
-            pairs.join(closed.withColumnRenamed("pt_idx", "other"), [*PART, "other"], "left_anti"),
-            "close",
-        )
-        # points whose last open neighbour was dropped are free now
-        freed = (
-            before.select(*key).distinct()
-            .join(closed, key, "left_anti")
-            .join(pairs.select(*key).distinct(), key, "left_anti")
-        )
-        kept.append(materialize(freed, "kept"))
-    chosen = kept[0]
-    for k in kept[1:]:
-        chosen = chosen.unionByName(k)
+    points = materialize(points, "candidates")
+    open_ = points.select(*key, "x", "y", "z", "radius", hash_key(seed, F.lit("prio"), *key).alias("_h"))
+    open_ = materialize(_in_cells(open_), "open")
+    met = _met()
+    earlier = F.struct(F.col("o__h"), F.col("o_pt_idx")) < F.struct(F.col("_h"), F.col("pt_idx"))
+    chosen = None
+    while not open_.isEmpty():
+        first = F.min(F.struct("_h", "pt_idx", "x", "y", "z", "radius")).alias("p")
+        ahead = materialize(open_.groupBy(*PART, *_CELL).agg(first).select(*PART, *_CELL, "p.*"), "ahead")
+        kept = materialize(ahead.join(_around(ahead), met & earlier, "left_anti"), "kept")
+        open_ = materialize(open_.join(_around(kept), met, "left_anti"), "open")
+        chosen = kept.select(*key) if chosen is None else chosen.unionByName(kept.select(*key))
+    if chosen is None:
+        return points
     return points.join(chosen, key, "left_semi")
 
 
-def sample_even(geometry: DataFrame, counts: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
-    """Evenly spaced surface points, topped up uniformly to ``n_points`` per part.
+def spread_points(geometry: DataFrame, counts: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Points of every part at least ``radius`` apart, numbered, no more than ``n_points``.
 
-    Draws three candidates per wanted point, thins them at radius
-    sqrt(area / (3 n)), keeps the first n and fills what is missing.
+    Draws three candidates per wanted point and thins them at radius sqrt(area / (3 n)).
     """
-    from .ordering import with_rank
-
     area = geometry.groupBy(*PART).agg(F.sum("area").alias("_area"))
-    wanted = counts.select(*PART, "n_points").join(area, PART).withColumn(
+    wanted = counts.select(*PART, "n_points").where("n_points > 0").join(area, PART).where("_area > 0").withColumn(
         "radius", F.sqrt(F.col("_area") / (OVERSAMPLE * F.col("n_points")))
     )
     dense = wanted.select(*PART, (F.col("n_points") * OVERSAMPLE).alias("n_points"))
@@ -209,7 +182,12 @@ def sample_even(geometry: DataFrame, counts: DataFrame, seed: int = DEFAULT_SEED
     )
     even = with_rank(thin_out(candidates, seed), PART, ["pt_idx"], "_r")
     even = even.join(wanted.select(*PART, "n_points"), PART).where(F.col("_r") < F.col("n_points"))
-    even = materialize(even.drop("pt_idx", "radius", "n_points").withColumnRenamed("_r", "pt_idx"), "even")
+    return materialize(even.drop("pt_idx", "n_points").withColumnRenamed("_r", "pt_idx"), "even")
+
+
+def sample_even(geometry: DataFrame, counts: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Evenly spaced surface points, topped up uniformly to ``n_points`` per part."""
+    even = spread_points(geometry, counts, seed).drop("radius")
     have = even.groupBy(*PART).agg(F.count(F.lit(1)).alias("_have"))
     short = counts.select(*PART, "n_points").join(have, PART, "left").select(
         *PART, F.coalesce("_have", F.lit(0)).alias("_have"),

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sherdloom.session import materialize
 from sherdloom.functions import curve, rot, schedule
 from sherdloom.operators import cloud, contact, mesh, metrics, ordering, packing, removal, sampling
 from sherdloom.plans import prepare
@@ -251,20 +252,90 @@ def test_uniform_samples_cover_faces_by_area(spark):
     assert (abs(per_face - want) < 5 * np.sqrt(want)).all()
 
 
-def test_thinning_equals_sequential_darts(spark):
+def test_thinning_is_spaced_and_full(spark):
     rng = np.random.default_rng(2)
-    pdf = pd.DataFrame(rng.uniform(0, 1, (150, 3)), columns=list("xyz"))
-    pdf["name"], pdf["part_idx"], pdf["pt_idx"], pdf["radius"] = 1, 0, np.arange(150), 0.2
+    pdf = pd.DataFrame(rng.uniform(0, 1, (300, 3)), columns=list("xyz"))
+    pdf["name"], pdf["part_idx"], pdf["pt_idx"], pdf["radius"] = 1, 0, np.arange(300), 0.2
     df = spark.createDataFrame(pdf)
-    kept = set(r.pt_idx for r in sampling.thin_out(df, 7).collect())
-    from sherdloom.functions.rand import hash_key
-
-    order = [r.pt_idx for r in df.select("pt_idx", hash_key(7, F.lit("prio"), "name", "part_idx", "pt_idx").alias("h")).orderBy("h", "pt_idx").collect()]
-    xyz, want = pdf[["x", "y", "z"]].to_numpy(), []
-    for p in order:
-        if all(np.sum((xyz[p] - xyz[o]) ** 2) >= 0.04 for o in want):
-            want.append(p)
-    assert kept == set(want)
+    kept = sorted(r.pt_idx for r in sampling.thin_out(df, 7).collect())
+    xyz = pdf[["x", "y", "z"]].to_numpy()
+    gap = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    assert (gap[np.ix_(kept, kept)] + np.eye(len(kept)) >= 0.2**2).all()  # no two within the radius
+    assert (gap[:, kept].min(axis=1) < 0.2**2).all()  # and no further point has room
+    assert sorted(r.pt_idx for r in sampling.thin_out(df.repartition(7), 7).collect()) == kept
+
+
+def test_thinning_of_surfaces_over_each_other(spark):
+    """Ten thousand candidates in one cell: a cell puts forward one of them, so pairs stay linear."""
+    rows = spark.range(10_000).select(
+        F.lit(1).alias("name"), F.lit(0).alias("part_idx"), F.col("id").alias("pt_idx"),
+        *[(F.rand(3 + k) * 0.9).alias(c) for k, c in enumerate("xyz")], F.lit(1.0).alias("radius"),
+    )
+    rows = materialize(rows, "crowd")
+    kept = materialize(sampling.thin_out(rows).withColumn("_h", F.lit(0)), "kept")
+    assert sampling.close_pairs(kept).count() == 0 and 1 <= kept.count() <= 8
+    assert sampling.thin_out(rows.where("false")).count() == 0
+
+
+def face_table(spark, n_points, strategy):
+    v, f = row_of_cubes(spark, 2)
+    counts = v.select("name", "part_idx").distinct().withColumn("n_points", F.lit(n_points).cast("long"))
+    geometry = mesh.face_geometry(v, f)
+    return geometry, counts, sampling.SAMPLERS[strategy](geometry, counts)
+
+
+@pytest.mark.parametrize("strategy", ["uniform", "poisson"])
+def test_table_function_gives_the_sampler_rows(spark, strategy):
+    from sherdloom.functions.tables import register
+
+    geometry, counts, drawn = face_table(spark, 70, strategy)
+    register(spark)
+    geometry.join(counts, ["name", "part_idx"]).createOrReplaceTempView("test_faces")
+    text = f"SELECT * FROM sample_surface(TABLE(test_faces) PARTITION BY (name, part_idx), '{strategy}', 1116)"
+    table = spark.sql(text)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, drawn.select(*table.columns).collect()))
+    single = text.replace("PARTITION BY (name, part_idx)", "WITH SINGLE PARTITION")  # pieces are kept apart
+    assert sorted(map(tuple, spark.sql(single).collect())) == sorted(map(tuple, spark.sql(text).collect()))
+    with pytest.raises(Exception, match="knows the strategies"):
+        spark.sql(text.replace(f"'{strategy}'", "'grid'")).collect()
+    with pytest.raises(Exception, match="misses the columns n_points"):
+        geometry.createOrReplaceTempView("test_bare")
+        spark.sql("SELECT * FROM sample_surface(TABLE(test_bare) PARTITION BY (name, part_idx))").collect()
+
+
+def test_last_mark_across_partitions(spark):
+    from sherdloom.operators.asof import with_last_mark
+
+    rng = np.random.default_rng(4)
+    marks = [(k, int(at), 100 * k + i) for k in range(3) for i, at in enumerate(sorted({0, *rng.integers(0, 5000, 40 * k)}))]
+    asked = [(int(k), int(at), f"q{i}") for i, (k, at) in enumerate(zip(rng.integers(0, 3, 2000), rng.integers(0, 5000, 2000)))]
+    got = with_last_mark(
+        spark.createDataFrame(asked, "k int, at long, tag string"), spark.createDataFrame(marks, "k int, at long, v long"), ["k"], "at", "v"
+    )
+    want = {(k, at, tag, max((a, v) for kk, a, v in marks if kk == k and a <= at)[1]) for k, at, tag in asked}
+    assert {(r.k, r.at, r.tag, r.v) for r in got.collect()} == want
+
+
+def test_computed_order_is_a_fair_permutation(spark):
+    from sherdloom.functions.rand import hash_key, shuffled_position
+
+    for n in (1, 2, 3, 10, 257, 1000):
+        key = hash_key(5, F.lit("any"))
+        at = [r[0] for r in spark.range(n).select(shuffled_position(F.col("id"), F.lit(n).cast("long"), key)).collect()]
+        assert sorted(at) == list(range(n))
+    n, keys = 20, 4000  # every position goes everywhere equally often
+    rows = spark.range(keys).crossJoin(spark.range(n).withColumnRenamed("id", "i"))
+    rows = rows.select("i", shuffled_position(F.col("i"), F.lit(n).cast("long"), hash_key(5, "id")).alias("at"), "id")
+    counts = rows.groupBy("i", "at").count().toPandas()["count"]
+    assert len(counts) == n * n and ((counts - keys / n) ** 2 / (keys / n)).sum() < 361 + 5 * np.sqrt(2 * 361)
+    beside = rows.alias("a").join(rows.alias("b"), F.expr("a.id = b.id AND a.i + 1 = b.i")).where("b.at = a.at + 1").count()
+    assert abs(beside - keys * (n - 1) / n) < 6 * np.sqrt(keys * (n - 1) / n)  # neighbours part as often as by chance
+
+
+def test_shuffle_refuses_gaps(spark):
+    df = spark.createDataFrame([(1, 0, 0), (1, 0, 2)], "name long, part_idx long, pt_idx long")
+    with pytest.raises(Exception, match="not numbered without gaps"):
+        cloud.shuffle(df).collect()
 
 
 def test_even_sampling_fills_the_count(spark):
