@@ -5,29 +5,51 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..operators import mesh
 from ..operators.metrics import PART
 from ..plans import prepare as PP
+from ..session import fresh_path
+from ..sources import mesh_files as MF
 from . import duck
-from .meshes import DENSE, EDGES, GEOM, MEASURES, SHARED, labelled
 from .clouds import _ALLOC
+from .meshes import DENSE, EDGES, GEOM, MEASURES, PRIO, SHARED, labelled
+from .poses import rounded
 from .registry import query
+from .tables import BROKEN, mesh_folder, mesh_folder_tables
 
 
 @query(
     "d02_object_preparation",
-    f"""WITH {DENSE}, {SHARED}, {EDGES}, ne AS (SELECT name, count(*) AS n_edges FROM edges GROUP BY name)
-    SELECT name, count(*) AS n_faces, count(*) FILTER (shared_with <> -1) AS n_fracture, any_value(n_edges) AS n_edges,
-      count(DISTINCT part_idx) - 1 AS n_removals FROM labelled JOIN ne USING (name) GROUP BY name""",
+    f"""WITH {DENSE}, {SHARED}, {EDGES}, {GEOM}, {MEASURES}, {PRIO},
+    f AS (SELECT name, count(*) AS n_faces, count(*) FILTER (shared_with <> -1) AS n_fracture,
+      CAST(sum((f_idx + 1) * (shared_with + 2)) AS BIGINT) AS labels FROM labelled GROUP BY name),
+    e AS (SELECT name, count(*) AS n_edges, CAST(sum(i * 100 + j) AS BIGINT) AS edge_sum FROM edges GROUP BY name),
+    p AS (SELECT name, count(*) AS n_pieces, {duck.r('sum(volume)', 'volume')}, CAST(sum(prio * (part_idx + 1)) AS BIGINT) AS order_sum FROM prio GROUP BY name)
+    SELECT name, n_pieces, volume, n_faces, n_fracture, labels, n_edges, edge_sum, order_sum
+    FROM f JOIN e USING (name) JOIN p USING (name) WHERE NOT {BROKEN}""",
 )
 def object_preparation(spark, sf):
-    made = PP.prepare_objects(fx.vertices(spark, sf), fx.faces(spark, sf))
+    """Mesh files to store tables; objects with a broken file are left out."""
+    folder = mesh_folder(spark, sf)
+    _, vertices, faces, _ = mesh_folder_tables(MF.read_meshes(spark, folder), folder)
+    made = PP.prepare_objects(vertices, faces)
+    store = fresh_path(spark, "prepared")
+    for name, df in made.items():
+        df.write.parquet(f"{store}/{name}")
+    stored = {name: spark.read.parquet(f"{store}/{name}") for name in made}
     one = F.count(F.lit(1))
-    faces = made["faces"].groupBy("name").agg(
-        one.alias("n_faces"), F.count_if(F.col("shared_with") != -1).alias("n_fracture")
+    labelled_ = stored["faces"].groupBy("name").agg(
+        one.alias("n_faces"), F.count_if(F.col("shared_with") != -1).alias("n_fracture"),
+        F.sum((F.col("f_idx") + 1) * (F.col("shared_with") + 2)).alias("labels"),
+    )
+    edges = stored["edges"].groupBy("name").agg(one.alias("n_edges"), F.sum(F.col("i") * 100 + F.col("j")).alias("edge_sum"))
+    order = mesh.removal_priority(stored["measures"])
+    pieces = order.groupBy("name").agg(
+        one.alias("n_pieces"), F.sum("volume").alias("volume"), F.sum(F.col("prio") * (F.col("part_idx") + 1)).alias("order_sum")
+    )
+    return labelled_.join(edges, "name").join(pieces, "name").select(
+        "name", "n_pieces", *rounded([F.col("volume")], ["volume"]), "n_faces", "n_fracture", "labels", "n_edges", "edge_sum", "order_sum"
     )
-    edges = made["edges"].groupBy("name").agg(one.alias("n_edges"))
-    steps = made["removals"].groupBy("name").agg(one.alias("n_removals"))
-    return faces.join(edges, "name").join(steps, "name")
 
 
 @query(

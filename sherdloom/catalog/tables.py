@@ -11,7 +11,7 @@ from ..operators import metrics as M, packing as P
 from ..operators.metrics import PART
 from ..plans import segmentation as SEG
 from ..session import fresh_path
-from ..sources import gallery as GA, meshes as ME, results as R, splits as SP, store as ST
+from ..sources import gallery as GA, mesh_files as MF, meshes as ME, results as R, splits as SP, store as ST
 from . import duck
 from .clouds import _SIZES
 from .flows import _PATH, _trajectory
@@ -78,40 +78,75 @@ def piece_files(spark, sf):
     return SP.piece_files(SP.folder_entries(_files(spark, sf)))
 
 
+# Every tenth object has a file that breaks off, which drops the object.
+BROKEN = "name % 10 = 3"
+_WHOLE = "whole AS (SELECT * FROM verts WHERE NOT name % 10 = 3), whole_faces AS (SELECT * FROM faces WHERE NOT name % 10 = 3)"
+
+
+def mesh_folder(spark, sf):
+    """A folder of mesh files, one folder per object and one file per piece."""
+    folder = fresh_path(spark, "meshes")
+    pieces = ME.to_ply(fx.vertices(spark, sf), fx.faces(spark, sf))
+    broken = pieces.where(BROKEN).select("name").distinct().select(
+        F.concat_ws("/", "name", F.lit("piece_9.ply")).alias("file"),
+        F.lit("ply\nformat ascii 1.0\nelement vertex 9\nproperty double x\n").alias("content"),
+    )
+    MF.write_meshes(
+        pieces.select(F.concat_ws("/", "name", F.concat(F.lit("piece_"), "part_idx", F.lit(".ply"))).alias("file"), "content")
+        .unionByName(broken), folder,
+    )
+    return folder
+
+
+def mesh_folder_tables(rows, folder):
+    """(pieces, vertices, faces, errors) of a folder's rows, objects under their numbers."""
+    return [
+        t.withColumn("name", F.col("name").cast("long"))
+        for t in ME.tables_of(rows, folder.rsplit("/", 1)[1])
+    ]
+
+
 @query(
     "s03_mesh_file_scan",
-    f"WITH {DENSE} SELECT name, part_idx, v_idx, x, y, z, 'v' AS kind FROM verts UNION ALL SELECT name, part_idx, f_idx, CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), 'f' FROM faces",
+    f"""WITH {DENSE}, {_WHOLE} SELECT name, part_idx, v_idx, x, y, z, 'v' AS kind FROM whole
+    UNION ALL SELECT name, part_idx, f_idx, CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE), 'f' FROM whole_faces
+    UNION ALL SELECT DISTINCT name, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'error' FROM verts WHERE {BROKEN}""",
 )
 def mesh_file_scan(spark, sf):
-    text = ME.to_ply(fx.vertices(spark, sf), fx.faces(spark, sf))
-    files = text.select(
-        F.concat_ws("/", "name", F.concat("part_idx", F.lit(".ply"))).alias("path"),
-        F.encode("content", "utf-8").alias("content"),
-    )
-    rows = ME.mesh_rows(files)
-    ids = F.split(F.regexp_replace("path", r"\.ply$", ""), "/")
-    return rows.select(
-        ids[0].cast("long").alias("name"), ids[1].cast("long").alias("part_idx"),
-        F.col("idx").alias("v_idx"),
-        *[F.coalesce(F.col(p), F.col(q).cast("double")).alias(p) for p, q in zip("xyz", "abc")],
-        "kind",
+    folder = mesh_folder(spark, sf)
+    _, vertices, faces, errors = mesh_folder_tables(MF.read_meshes(spark, folder), folder)
+    rows = vertices.withColumn("kind", F.lit("v")).unionByName(
+        faces.select(
+            *PART, F.col("f_idx").alias("v_idx"),
+            *[F.col(p).cast("double").alias(q) for p, q in zip("abc", "xyz")], F.lit("f").alias("kind"),
+        )
     )
+    return rows.unionByName(errors.select("name", F.lit("error").alias("kind")), allowMissingColumns=True)
 
 
 @query(
     "s10_ad_hoc_mesh_list",
-    f"WITH {DENSE}, n AS (SELECT name, CAST(count(DISTINCT part_idx) AS BIGINT) AS num_parts, count(*) AS n_vertices FROM verts GROUP BY name) SELECT name, num_parts, n_vertices, greatest(5, num_parts) AS padded FROM n",
+    f"""WITH {DENSE}, n AS (SELECT name, CAST(count(DISTINCT part_idx) AS BIGINT) AS num_parts, count(*) AS n_vertices, {duck.r('sum(x + 2*y + 3*z)', 'places')}
+      FROM verts WHERE NOT {BROKEN} GROUP BY name),
+    m AS (SELECT name, count(*) AS n_faces, CAST(sum(a + 2*b + 3*c) AS BIGINT) AS corners FROM faces GROUP BY name)
+    SELECT name, num_parts, n_vertices, places, n_faces, corners, greatest(5, num_parts) AS padded FROM n JOIN m USING (name)""",
 )
 def ad_hoc_meshes(spark, sf):
-    text = ME.to_ply(fx.vertices(spark, sf), fx.faces(spark, sf))
-    files = text.select(
-        F.concat_ws("/", F.lit("up"), "name", F.concat(F.lit("piece_"), "part_idx", F.lit(".ply"))).alias("path"),
-        F.encode("content", "utf-8").alias("content"),
+    """The files of a list of paths, which is a table itself."""
+    folder = mesh_folder(spark, sf)
+    listed = MF.read_meshes(spark, folder).select("path").distinct()
+    _, vertices, faces, _ = mesh_folder_tables(MF.read_listed(listed), folder)
+    places = F.col("x") + 2 * F.col("y") + 3 * F.col("z")
+    n = vertices.groupBy("name").agg(
+        F.count_distinct("part_idx").alias("num_parts"), F.count(F.lit(1)).alias("n_vertices"), F.sum(places).alias("places")
+    )
+    m = faces.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_faces"), F.sum(F.col("a") + 2 * F.col("b") + 3 * F.col("c")).alias("corners")
+    )
+    return n.join(m, "name").select(
+        "name", "num_parts", "n_vertices", *rounded([F.col("places")], ["places"]), "n_faces", "corners",
+        F.greatest(F.lit(5).cast("long"), F.col("num_parts")).alias("padded"),
     )
-    _, vertices, _, _ = ME.mesh_tables(files, "up")
-    return vertices.groupBy(F.col("name").cast("long").alias("name")).agg(
-        F.count_distinct("part_idx").alias("num_parts"), F.count(F.lit(1)).alias("n_vertices")
-    ).withColumn("padded", F.greatest(F.lit(5).cast("long"), F.col("num_parts")))
 
 
 def _stored(spark, sf):

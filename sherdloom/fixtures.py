@@ -181,3 +181,56 @@ def faces(spark: SparkSession, sf_dir: str, orders: int = MESH_DENSE) -> DataFra
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
+
+
+# Event type of the table -> type of the progress message.
+MESSAGE_OF = {"view": "transformation", "click": "fracture_segmentation", "purchase": "metrics", "error": "end"}
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress messages (run_id, seq, ts, message) of assembly runs, as JSON text.
+
+    A user's events are a run.  Of 97 events one breaks off, one has a type nobody knows and, if it
+    brings poses, one lacks their rotations.
+    """
+    k = F.get_json_object("props", "$.k").cast("int")
+    parts = F.sequence(F.lit(0), k % 3)
+
+    def per_part(body):
+        return F.transform(parts, body)
+
+    def number(c):
+        return c.cast("double")
+
+    rows = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", k)
+    value, lacks = F.col("value"), F.col("event_id") % 97
+    clouds = per_part(lambda p: F.transform(
+        F.sequence(F.lit(0), (F.col("k") + p) % 4), lambda i: F.array(number(p), number(i), value)
+    ))
+    translation = per_part(lambda p: F.array(value + p, number(F.col("k")), number(p)))
+    rotation = per_part(lambda p: F.array(F.lit(1.0), p / 10, F.col("k") / 100, value / 100))
+    said = [
+        ("mesh_scale", F.to_json(F.struct(F.lit("mesh_scale").alias("type"), value.alias("data")))),
+        ("input", F.to_json(F.struct(F.lit("input").alias("type"), F.struct(
+            clouds.alias("pointclouds"), translation.alias("initial_translation"), rotation.alias("initial_rotation")
+        ).alias("data")))),
+        ("transformation", F.to_json(F.struct(F.lit("transformation").alias("type"), F.struct(
+            translation.alias("translation"), F.when(lacks != 7, rotation).alias("rotation"),
+            (F.col("k") % 21 - 1).alias("step"), F.floor(F.col("k") / 21).alias("iter"),
+        ).alias("data")))),
+        ("fracture_segmentation", F.to_json(F.struct(F.lit("fracture_segmentation").alias("type"), clouds.alias("data")))),
+        ("metrics", F.to_json(F.struct(F.lit("metrics").alias("type"), F.struct(
+            (value / 100).alias("Part Accuracy"), (value * 2).alias("Shape CD (10<sup>-3</sup>)"),
+            number(F.col("k")).alias("RMSE(R) (Degrees)"), (F.col("k") / 10).alias("RMSE(T) (10<sup>-2</sup>)"),
+        ).alias("data")))),
+        ("end", F.lit('{"type": "end", "data": null}')),
+    ]
+    kind = F.create_map(*[F.lit(x) for pair in MESSAGE_OF.items() for x in pair])[F.col("event_type")]
+    kind = F.coalesce(kind, F.when(F.col("k") % 2 == 0, "mesh_scale").otherwise("input"))
+    message = F.coalesce(*[F.when(kind == name, text) for name, text in said])
+    message = (
+        F.when(lacks == 5, F.substring(message, 1, 15))
+        .when(lacks == 6, F.regexp_replace(message, r'"type": ?"\w+"', '"type":"restart"'))
+        .otherwise(message)
+    )
+    return rows.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", message.alias("message"))

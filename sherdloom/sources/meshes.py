@@ -44,13 +44,33 @@ def _ply_header(data: bytes):
     return fmt, elements, body
 
 
+def _triangles(data: bytes, at: int, count: int, props: list) -> tuple[np.ndarray, int] | None:
+    """Faces that are all triangles, read as one table, and where they end; None for others."""
+    fields, corners = [], None
+    for p in props:
+        if p[0] != "list":
+            fields.append((p[-1], _PLY_TYPES[p[0]]))
+        elif p[-1] in ("vertex_indices", "vertex_index"):
+            corners = p[-1]
+            fields += [("_n", _PLY_TYPES[p[1]]), (corners, _PLY_TYPES[p[2]], (3,))]
+        else:
+            return None
+    dtype = np.dtype(fields)
+    if corners is None or at + dtype.itemsize * count > len(data):
+        return None
+    table = np.frombuffer(data, dtype, count, at)
+    if (table["_n"] != 3).any():
+        return None
+    return table[corners].astype("int64").reshape(-1, 3), at + dtype.itemsize * count
+
+
 def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Vertices (V, 3) and triangles (F, 3) of an ascii or little-endian PLY file."""
     fmt, elements, at = _ply_header(data)
     if fmt not in ("ascii", "binary_little_endian"):
         raise ValueError(f"unsupported PLY format {fmt}")
     lines = iter(data[at:].decode("ascii").split("\n")) if fmt == "ascii" else None
-    xyz, polygons = np.empty((0, 3)), []
+    xyz, polygons, triangles = np.empty((0, 3)), [], None
     for name, count, props in elements:
         has_list = any(p[0] == "list" for p in props)
         if lines is not None:
@@ -67,6 +87,8 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             at += dtype.itemsize * count
             if name == "vertex":
                 xyz = np.stack([table[c].astype("f8") for c in "xyz"], axis=1)
+        elif name == "face" and (found := _triangles(data, at, count, props)) is not None:
+            triangles, at = found
         else:
             for _ in range(count):
                 for p in props:
@@ -81,7 +103,7 @@ def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
                             polygons.append([int(v) for v in values])
                     else:
                         at += np.dtype(_PLY_TYPES[p[0]]).itemsize
-    return xyz, _fan(polygons)
+    return xyz, _fan(polygons) if triangles is None else triangles
 
 
 def parse_obj(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +162,18 @@ def read_mesh_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def mesh_tables(files: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(pieces, vertices, faces, errors) of a set of mesh files.
+    """(pieces, vertices, faces, errors) of mesh files given as (path, content)."""
+    return tables_of(mesh_rows(files), root)
+
+
+def tables_of(rows: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pieces, vertices, faces, errors) of the rows of mesh files.
 
     The object is the folder below ``root``, the piece the file stem.  Pieces are
     numbered by length and name, so piece_2 comes before piece_10.  An object with
     an unreadable piece is left out and appears in ``errors``.
     """
-    rows = materialize(mesh_rows(files), "mesh-rows")
+    rows = materialize(rows, "mesh-rows")
     name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     if root:
         name = F.regexp_replace(name, r"^.*?" + root.strip("/") + "/", "")
