@@ -135,9 +135,10 @@ def face_contact_graph(spark, sf):
 # Object n receives the first two pieces of object n+1 as distractors.
 @query(
     "j05_distractor_pieces",
-    f"""WITH {DENSE}, {SHARED}, n AS (SELECT name, max(part_idx)+1 AS np FROM verts GROUP BY name)
+    f"""WITH {DENSE}, {SHARED}, n AS MATERIALIZED (SELECT name, max(part_idx)+1 AS np FROM verts GROUP BY name),
+    foreign_faces AS MATERIALIZED (SELECT name - 1 AS name, part_idx, f_idx, a, b, c FROM faces WHERE part_idx < 2)
     SELECT name, part_idx, f_idx, a, b, c, shared_with, false AS redundant FROM labelled
-    UNION ALL SELECT n.name, np + f.part_idx, f_idx, a, b, c, -1, true FROM n JOIN faces f ON f.name = n.name + 1 AND f.part_idx < 2""",
+    UNION ALL SELECT name, np + part_idx, f_idx, a, b, c, -1, true FROM n JOIN foreign_faces USING (name)""",
 )
 def distractor_pieces(spark, sf):
     sizes = _v(spark, sf).groupBy("name").agg((F.max("part_idx") + 1).alias("num_parts"))
@@ -168,7 +169,7 @@ reach AS (SELECT name, part_idx, part_idx AS root FROM nodes UNION
 @query("a22_connected_components", f"{_CC} SELECT name, part_idx, min(root) AS component FROM reach GROUP BY name, part_idx")
 def connected_components(spark, sf):
     v = _v(spark, sf, fx.MESH_SPARSE)
-    return C.connected_components(v.select(*PART).distinct(), C.contact_edges(v))
+    return C.connected_components(v.select(*PART).distinct(), C.contact_links(v))
 
 
 def plan(spark, sf, orders=fx.MESH_SPARSE):
@@ -178,16 +179,41 @@ def plan(spark, sf, orders=fx.MESH_SPARSE):
     return removal_plan(G.removal_priority(measured), C.contact_edges(v))
 
 
-@query("d01_removal_plan")
+# The pieces left of an object are the bits of a number (fixture objects have seven pieces at most).  Everything
+# reached from the lowest bit is found by spreading seven times; a rest is whole if that is all of it.
+_REACH = """list_reduce(range(7), lambda r, _: r | list_bit_or(list_transform(range(7), lambda p: CASE WHEN r >> p & 1 = 1 THEN nb[p + 1] & m ELSE 0 END)), m & -m)"""
+
+
+def plan_sql(mesh: str) -> str:
+    """Greedy peel: in every step the first piece in order whose removal leaves one component."""
+    return f"""WITH RECURSIVE {mesh}, {GEOM}, {MEASURES}, {EDGES},
+    pieces AS (SELECT DISTINCT name, part_idx FROM verts),
+    vols AS (SELECT name, part_idx, coalesce(volume, 0) AS volume FROM pieces LEFT JOIN meas USING (name, part_idx)),
+    ordered AS (SELECT name, part_idx, CASE WHEN r = 1 THEN n ELSE r - 1 END AS prio FROM (
+      SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(volume, 9) DESC, part_idx) AS r, count(*) OVER (PARTITION BY name) AS n FROM vols)),
+    near AS (SELECT name, p, bit_or(CASE WHEN i = p THEN 1::BIGINT << j WHEN j = p THEN 1::BIGINT << i ELSE 0 END) AS nb
+      FROM (SELECT o.name, g.p, e.i, e.j FROM (SELECT DISTINCT name FROM pieces) o, (SELECT unnest(range(7)) AS p) g LEFT JOIN edges e ON e.name = o.name) GROUP BY ALL),
+    graph AS (SELECT name, list(nb ORDER BY p) AS nb FROM near GROUP BY name),
+    whole AS (SELECT name, m FROM (SELECT name, m, {_REACH} AS r FROM graph, (SELECT unnest(range(1, 128)) AS m) g) WHERE r = m),
+    sets AS (SELECT name, list(part_idx ORDER BY prio) AS pieces_in_order, CAST(sum(1::BIGINT << part_idx) AS BIGINT) AS alive FROM ordered GROUP BY name),
+    good AS (SELECT name, list(m) AS wholes FROM whole GROUP BY name),
+    walk AS (
+      SELECT name, CAST(-1 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS part_idx, alive, pieces_in_order, wholes FROM sets JOIN good USING (name)
+      UNION ALL
+      SELECT name, step + 1, pick, alive - (1::BIGINT << pick), pieces_in_order, wholes FROM (
+        SELECT *, list_filter(pieces_in_order, lambda p: alive >> p & 1 = 1 AND list_contains(wholes, alive - (1::BIGINT << p)))[1] AS pick FROM walk) WHERE pick IS NOT NULL),
+    plan AS (SELECT name, step, part_idx FROM walk WHERE step >= 0)"""
+
+
+@query("d01_removal_plan", f"{plan_sql(SPARSE)} SELECT name, step, part_idx FROM plan")
 def removal_plan_query(spark, sf):
     return plan(spark, sf)
 
 
 @query(
     "j06_piece_removal",
-    # with two removals from complete graphs the first two by priority go
-    f"""WITH {DENSE}, {GEOM}, {MEASURES}, {PRIO} SELECT name, part_idx FROM prio WHERE prio >= 2""",
+    f"{plan_sql(SPARSE)} SELECT name, part_idx FROM pieces WHERE (name, part_idx) NOT IN (SELECT (name, part_idx) FROM plan WHERE step < 2)",
 )
 def piece_removal(spark, sf):
-    pieces = _v(spark, sf).select(*PART).distinct()
-    return C.without_removed(pieces, plan(spark, sf, fx.MESH_DENSE), 2)
+    pieces = _v(spark, sf, fx.MESH_SPARSE).select(*PART).distinct()
+    return C.without_removed(pieces, plan(spark, sf), 2)

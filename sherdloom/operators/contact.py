@@ -10,6 +10,7 @@ from .metrics import PART
 
 DECIMALS = 5  # fixed value: digits kept when vertices are compared
 _POS = ["_rx", "_ry", "_rz"]
+TILE_PIECES = 512  # pieces of one position that meet in one task
 
 
 def _positions(vertices: DataFrame, decimals: int) -> DataFrame:
@@ -20,23 +21,54 @@ def _positions(vertices: DataFrame, decimals: int) -> DataFrame:
     )
 
 
+def _tiled(spots: DataFrame) -> DataFrame:
+    """Spots with the tile of their piece and the number of tiles of their position.
+
+    The m pieces of a position are dealt into m / TILE_PIECES tiles, so that every two tiles
+    can meet in a task of their own; where few pieces meet there is one tile.
+    """
+    crowd = spots.groupBy("name", *_POS).agg(F.ceil(F.count(F.lit(1)) / TILE_PIECES).cast("long").alias("_k"))
+    return spots.join(crowd, ["name", *_POS]).withColumn("_tile", F.pmod(F.hash("part_idx"), F.col("_k")))
+
+
+def _meetings(spots: DataFrame) -> DataFrame:
+    """(name, position, i, j) with i < j for every two pieces that share a position."""
+    tiled = _tiled(spots)
+    pair = F.struct(F.least("_tile", "_o").alias("a"), F.greatest("_tile", "_o").alias("b"))
+    dealt = tiled.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).withColumn("_pair", pair)
+    left = dealt.where("_tile = _pair.a").select("name", *_POS, "_pair", F.col("part_idx").alias("i"))
+    right = dealt.where("_tile = _pair.b").select("name", *_POS, "_pair", F.col("part_idx").alias("j"))
+    met = left.join(right, ["name", *_POS, "_pair"]).where("i <> j AND (_pair.a <> _pair.b OR i < j)")
+    return met.select("name", *_POS, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+
 def common_vertices(vertices: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     """(name, part_idx, other, position) for positions two pieces have in common.
 
     Positions are made distinct per piece before they meet, so a vertex repeated
     many times inside one piece is matched once.
     """
-    spots = _positions(vertices, decimals).select(*PART, *_POS).distinct()
-    others = spots.withColumnRenamed("part_idx", "other")
-    return spots.join(others, ["name", *_POS]).where("part_idx <> other")
+    met = _meetings(_positions(vertices, decimals).select(*PART, *_POS).distinct())
+    both = F.explode(F.array(F.struct(F.col("i").alias("p"), F.col("j").alias("q")), F.struct(F.col("j").alias("p"), F.col("i").alias("q"))))
+    return met.withColumn("_b", both).select("name", *_POS, F.col("_b.p").alias("part_idx"), F.col("_b.q").alias("other"))
 
 
 def contact_edges(vertices: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     """Edges (i < j) between pieces that have a rounded vertex in common."""
     spots = _positions(vertices, decimals).select(*PART, *_POS).distinct()
-    left = spots.withColumnRenamed("part_idx", "i")
-    right = spots.withColumnRenamed("part_idx", "j")
-    return left.join(right, ["name", *_POS]).where("i < j").select("name", "i", "j").distinct()
+    return _meetings(spots).select("name", "i", "j").distinct()
+
+
+def contact_links(vertices: DataFrame, decimals: int = DECIMALS) -> DataFrame:
+    """Edges (i < j) that reach the same pieces as ``contact_edges``, one per piece and position.
+
+    Every piece hangs on the smallest piece of each of its positions; m pieces at one position
+    give m - 1 links instead of m (m - 1) / 2 edges.
+    """
+    spots = _positions(vertices, decimals).select(*PART, *_POS).distinct()
+    lowest = spots.groupBy("name", *_POS).agg(F.min("part_idx").alias("i"))
+    linked = spots.join(lowest, ["name", *_POS]).where("i < part_idx")
+    return linked.select("name", "i", F.col("part_idx").alias("j")).distinct()
 
 
 def shared_faces(vertices: DataFrame, faces: DataFrame, decimals: int = DECIMALS) -> DataFrame:

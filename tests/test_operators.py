@@ -431,15 +431,6 @@ def test_joins_never_become_cross_products(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_store_lookup_reaches_the_scan(spark):
-    path = fresh_path(spark, "store")
-    rows = spark.range(100).select(F.lit("everyday").alias("category"), F.col("id").alias("name"), F.lit(0).alias("part_idx"))
-    store.write_store(rows, path)
-    found = store.lookup(spark, path, 7)
-    assert found.count() == 1
-    assert "EqualTo(name,7)" in plan_of(found)
-
-
 def test_noised_poses_can_be_filtered_on(spark):
     """A filter on a composed rotation must not be expanded through its stages."""
     df = quats(spark, 20).select(
