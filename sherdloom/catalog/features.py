@@ -90,10 +90,6 @@ def local_normals(spark, sf):
     return G.with_local_normal(cov).select(*PT, "pnx", "pny", "pnz")
 
 
-def _features(spark, sf):
-    return G.surface_features(fx.points(spark, sf), K)
-
-
 def _axis_sql(src: str, lam: str, out: str, v: str) -> str:
     """Unit eigenvector for an eigenvalue: the longest cross product of two rows of C - lam I."""
     rows = (

@@ -67,14 +67,20 @@ def sigma_steps(spark, sf):
 
 @query(
     "j12_sigma_lookup",
-    f"SELECT event_id, {duck.r('(event_id % 40 + 1)/40.0', 'sigma')} FROM events",
+    f"SELECT event_id, {duck.r('CASE WHEN event_id % 3 = 0 THEN (event_id % 40 + 1)/80.0 ELSE (event_id % 40 + 1)/40.0 END', 'sigma')} FROM events WHERE event_id % 40 % 3 = event_id % 3",
 )
 def sigma_lookup(spark, sf):
-    table = S.sigma_table(spark, 40)
-    rows = fx.events(spark, sf).select(
+    """Every third timestep of the schedule comes three times; its second sigma counts."""
+    table = S.sigma_table(spark, 40).select("step", "timestep", "sigma")
+    place = F.round(F.col("sigma") * 40).cast("long") - 1
+    third = table.where(place % 3 == 0)
+    again = third.select((F.col("step") + 100).alias("step"), "timestep", (F.col("sigma") / 2).alias("sigma"))
+    more = third.select((F.col("step") + 200).alias("step"), "timestep", (F.col("sigma") / 4).alias("sigma"))
+    rows = fx.events(spark, sf).where("event_id % 40 % 3 = event_id % 3").select(
         "event_id", ((F.col("event_id") % 40 + 1).cast("double") / 40 * 1000).alias("timestep")
     )
-    return S.sigma_lookup(rows, table).select("event_id", *rounded([F.col("sigma")], ["sigma"]))
+    found = S.sigma_lookup(rows, table.unionByName(again).unionByName(more))
+    return found.select("event_id", *rounded([F.col("sigma")], ["sigma"]))
 
 
 def _abar(kind: str, t: str) -> str:
@@ -360,20 +366,26 @@ def diffusion_noising(spark, sf):
 
 
 
+_STEP = "(name*37 % 1000)"
+_REVERSED = f"""sched AS (SELECT *, {_STEP} AS step, {_running(_STEP)} AS ab, CASE WHEN {_STEP} = 0 THEN 1.0::DOUBLE ELSE {_running(f'({_STEP} - 1)')} END AS abp FROM pose),
+pol AS (SELECT *, {_polar(GQ, 'g')}, sqrt(abp)*(1-ab/abp)/(1-ab) AS cs, sqrt(ab/abp)*(1-abp)/(1-ab) AS cn,
+  CASE WHEN step > 0 THEN sqrt(greatest((1-abp)/(1-ab)*(1-ab/abp), 1e-20)) ELSE 0 END AS spread,
+  {', '.join(f"{duck.normal(1116, repr(f'm21{i}'), 'name', 'part_idx')} AS z{i}" for i in range(6))} FROM sched)"""
+
+
 def _reverse_sql(kind: str) -> str:
     o = {c: f"0.3*{p}" for c, p in zip("xyz", PT_)}
     ow = {c: f"0.3*{p}" for c, p in zip("xyz", PQ[1:])}
 
     def start(x, out):
         return {
-            "epsilon": f"({x}-sqrt(0.5)*{out})/sqrt(0.5)",
+            "epsilon": f"({x}-sqrt(1-ab)*{out})/sqrt(ab)",
             "sample": out,
-            "v_prediction": f"sqrt(0.5)*{x}-sqrt(0.5)*{out}",
+            "v_prediction": f"sqrt(ab)*{x}-sqrt(1-ab)*{out}",
         }[kind]
 
-    cs, cn = "(sqrt(0.6)*(1-0.5/0.6)/0.5)", "(sqrt(0.5/0.6)*0.4/0.5)"
-    t = [f"{cs}*({start(g, o[c])})+{cn}*{g}" for g, c in zip(GT, "xyz")]
-    u = [f"{cs}*({start(f'(2*gh*g{c})', ow[c])})+{cn}*2*gh*g{c}" for c in "xyz"]
+    t = [f"cs*({start(g, o[c])})+cn*{g}+z{i}*spread" for i, (g, c) in enumerate(zip(GT, "xyz"))]
+    u = [f"cs*({start(f'(2*gh*g{c})', ow[c])})+cn*2*gh*g{c}+z{i + 3}*spread" for i, c in enumerate("xyz")]
     return f"""SELECT name, part_idx, '{kind}' AS kind, {duck.rs(t, ('tx', 'ty', 'tz'))},
     {duck.rs(duck.signed(['cos(un/2)'] + [f'sin(un/2)*u{c}/un' for c in 'xyz'], 'cos(un/2)'), ('qw', 'qx', 'qy', 'qz'))}
     FROM (SELECT *, sqrt(ux*ux+uy*uy+uz*uz) AS un FROM (SELECT *, {', '.join(f'{e} AS u{c}' for e, c in zip(u, 'xyz'))} FROM pol))"""
@@ -384,18 +396,29 @@ _PRED = ("epsilon", "sample", "v_prediction")
 
 @query(
     "m21_diffusion_reverse_step",
-    f"WITH {duck.POSE}, pol AS (SELECT *, {_polar(GQ, 'g')} FROM pose) " + " UNION ALL ".join(_reverse_sql(k) for k in _PRED),
+    f"WITH {duck.POSE}, {_REVERSED} " + " UNION ALL ".join(_reverse_sql(k) for k in _PRED),
 )
 def diffusion_reverse(spark, sf):
-    df = fx.poses(spark, sf)
+    """One reverse step of every object from its own place in the schedule, with noise above step 0."""
+    from ..functions.rand import hash_normal
+
+    table = S.beta_table(spark).select("step", "alpha_bar")
+    before = table.select((F.col("step") + 1).alias("step"), F.col("alpha_bar").alias("alpha_prev"))
+    schedule = table.join(before, "step", "left").fillna(1.0, ["alpha_prev"])  # as long as the schedule
+    df = fx.poses(spark, sf).withColumn("step", F.col("name") * 37 % 1000).join(F.broadcast(schedule), "step")
+    z = [f"z{i}" for i in range(6)]
+    df = df.withColumns({n: hash_normal(1116, F.lit(f"m21{i}"), *PART) for i, n in enumerate(z)})
     out_t = rot.scale(M.pr_t(), F.lit(0.3))
     out_r = rot.scale(M.pr_q()[1:], F.lit(0.3))
     out = None
     for k in _PRED:
         names = ("tx", "ty", "tz", "qw", "qx", "qy", "qz")
         one = S.diffusion_step(
-            df, M.gt_t(), M.gt_q(), out_t, out_r, F.lit(0.5), F.lit(0.6), names, k
-        ).select(*PART, F.lit(k).alias("kind"), *rounded(map(F.col, names), names))
+            df, M.gt_t(), M.gt_q(), out_t, out_r, F.col("alpha_bar"), F.col("alpha_prev"), names, k,
+            rot.cols(*z[:3]), rot.cols(*z[3:]), F.col("step"),
+        )
+        q = rot.standardize(rot.cols(*names[3:]))
+        one = one.select(*PART, F.lit(k).alias("kind"), *rounded(map(F.col, names[:3]), names[:3]), *rounded(q, names[3:]))
         out = one if out is None else out.unionByName(one)
     return out
 

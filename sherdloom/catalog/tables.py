@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import palette
 from ..functions.rand import DEFAULT_SEED
 from ..operators import metrics as M, packing as P
+from ..operators.contact import contact_edges
 from ..operators.metrics import PART
 from ..plans import segmentation as SEG
 from ..session import fresh_path
 from ..sources import gallery as GA, mesh_files as MF, meshes as ME, results as R, splits as SP, store as ST
 from . import duck
 from .clouds import _SIZES
-from .flows import _PATH, _trajectory
-from .meshes import DENSE
-from .metrics import part_sizes
-from .poses import GQ, GT, rounded
+from .flows import _PATH, _RQ, _trajectory
+from .meshes import DENSE, EDGES
+from .metrics import ERR, _REPORT_SQL, part_sizes
+from .poses import GQ, GT, PQ, PT_, rounded
 from .registry import query
 
 MAIN = ("1-URGENT", "2-HIGH")
@@ -240,19 +243,26 @@ def stage_views(spark, sf):
 
 @query(
     "s11_presampled_export",
-    f"WITH {duck.PTS} SELECT 'train' AS split, count(DISTINCT name) AS num_samples, CAST(21 AS BIGINT) AS num_points, (SELECT count(*) FROM pts) AS n_points, (SELECT sum(frac)::BIGINT FROM pts) AS n_frac FROM pts",
+    f"""WITH {DENSE}, {EDGES}, o AS (SELECT name, count(DISTINCT part_idx) AS num_parts FROM verts GROUP BY name)
+    SELECT 'train' AS split, (SELECT count(*) FROM o) AS num_samples, CAST(21 AS BIGINT) AS num_points, name, num_parts,
+      (SELECT count(*) FROM verts v WHERE v.name = o.name) AS n_points, CAST(coalesce(n_edges, 0) AS BIGINT) AS n_edges, CAST(coalesce(edge_sum, 0) AS BIGINT) AS edge_sum
+    FROM o LEFT JOIN (SELECT name, count(*) AS n_edges, sum(i * 100 + j) AS edge_sum FROM edges GROUP BY name) e USING (name)""",
 )
 def presampled_export(spark, sf):
+    """Vertices as points, with the contact graph of their pieces."""
     path = fresh_path(spark, "export")
-    pts = fx.points(spark, sf)
+    pts = fx.vertices(spark, sf).withColumnRenamed("v_idx", "pt_idx")
     parts = pts.groupBy(*PART).agg(F.count(F.lit(1)).alias("n_points"))
-    edges = parts.select("name", F.col("part_idx").alias("i"), (F.col("part_idx") + 1).alias("j"))
+    edges = contact_edges(pts)
     ST.export_sampled(pts, parts, edges, path, {"split": "train", "num_points": 21})
     meta = spark.read.json(f"{path}/dataset_meta")
-    totals = spark.read.parquet(f"{path}/points").agg(
-        F.count(F.lit(1)).alias("n_points"), F.sum("frac").alias("n_frac")
+    whole = spark.read.parquet(f"{path}/parts").groupBy("name").agg(
+        F.count(F.lit(1)).alias("num_parts"), F.sum("n_points").alias("n_points")
+    )
+    graph = spark.read.parquet(f"{path}/edges").groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_edges"), F.sum(F.col("i") * 100 + F.col("j")).alias("edge_sum")
     )
-    return meta.crossJoin(F.broadcast(totals)).select("split", "num_samples", "num_points", "n_points", "n_frac")
+    return whole.join(graph, "name", "left").fillna(0, ["n_edges", "edge_sum"]).crossJoin(F.broadcast(meta))
 
 
 @query(
@@ -279,51 +289,82 @@ def gallery_manifest(spark, sf):
     return got.withColumn("pos", F.col("pos").cast("long"))
 
 
-def documents(spark, sf):
-    """Result documents of every object, written as JSON and read back."""
+def _last_poses(spark, sf):
+    """True poses beside the last ones of the trajectory, which the documents are about."""
+    end = _trajectory(spark, sf).where("step = 19").select(*PART, *[F.col(c).alias(f"pr_{c}") for c in ("tx", "ty", "tz", "qw", "qx", "qy", "qz")])
+    return fx.poses(spark, sf).select(*PART, *R.GT_COLS).join(end, PART)
+
+
+def _write_documents(spark, sf):
+    """Poses, metrics of the last poses, and the pieces taken away or added, of every object.
+
+    The pieces of an object stand in a row; the plan takes the first one away, and the last of
+    three pieces or more is redundant.
+    """
+    from ..operators.removal import removal_plan
+    from ..plans.evaluate import evaluation_report
+
     path = fresh_path(spark, "results")
-    poses = fx.poses(spark, sf)
+    poses = _last_poses(spark, sf)
+    report = evaluation_report(fx.points(spark, sf), poses, part_sizes(spark, sf), F.col("redundancy")).drop("num_parts")
     names = poses.select(*PART, F.concat(F.lit("piece_"), "part_idx").alias("piece"))
-    pieces = R.piece_names(names, "pieces")
-    summary = M.pose_metrics(poses).join(
-        poses.groupBy("name").agg(F.count(F.lit(1)).alias("num_parts")), "name"
-    ).join(pieces, "name").select(
-        "name", "chunk", "num_parts", F.lit(0.0).alias("part_acc"), "rmse_t", "rmse_r",
-        F.lit(0.0).alias("shape_cd"), F.lit("").alias("removal_pieces"),
-        F.lit("").alias("redundant_pieces"), "pieces", F.lit(1.0).alias("mesh_scale"),
-    )
+    sizes = part_sizes(spark, sf).select(*PART, "num_parts", "redundancy")
+    row = names.select("name", F.col("part_idx").alias("i"), (F.col("part_idx") + 1).alias("j"))
+    row = row.join(names.select("name", F.col("part_idx").alias("j")), ["name", "j"], "left_semi")
+    plan = removal_plan(names.select(*PART, F.col("part_idx").alias("prio")), row).where("step = 0")
+    redundant = names.join(sizes, PART).where("part_idx >= num_parts - redundancy")
+    listed = R.piece_names(names, "pieces")
+    for rows, out in ((names.join(plan, PART, "left_semi"), "removal_pieces"), (redundant, "redundant_pieces")):
+        listed = listed.join(R.piece_names(rows.select(*PART, "piece"), out), ["name", "chunk"], "left")
+    summary = listed.fillna("", ["removal_pieces", "redundant_pieces"]).join(report, "name").join(
+        sizes.select("name", "num_parts").distinct(), "name"
+    ).withColumn("mesh_scale", F.lit(1.0))
     R.write_results(R.result_documents(poses, _trajectory(spark, sf), summary), path)
     return R.read_results(spark, path)
 
 
+def documents(spark, sf):
+    """Result documents of every object, written as JSON and read back."""
+    return fx.cached(spark, sf, "documents", lambda: _write_documents(spark, sf))
+
+
+# The evaluation of the last poses: they take the place of the predicted ones.
+_LAST = f"""{_PATH}, last AS (SELECT name, part_idx, {', '.join(GT + GQ)}, {', '.join(f'{v} AS {c}' for v, c in zip(('xx', 'xy', 'xz', *_RQ), PT_ + PQ))} FROM path WHERE step = 19)"""
+_LAST_REPORT = re.sub(r"\bpose\b", "last", f"{ERR}, {_REPORT_SQL}")
+_DOCUMENTS = f"""WITH {duck.PTS_POSE}, {_LAST}, {_LAST_REPORT},
+told AS (SELECT name, count(*) AS num_parts, string_agg('piece_' || part_idx, ',' ORDER BY part_idx) AS pieces,
+  CASE WHEN count(*) >= 2 THEN 'piece_0' ELSE '' END AS removal_pieces,
+  CASE WHEN count(*) >= 3 THEN 'piece_' || (count(*) - 1) ELSE '' END AS redundant_pieces FROM pose GROUP BY name)"""
+_MEASURED = ("part_acc", "rmse_t", "rmse_r", "shape_cd")
+
+
 @query(
     "s13_result_documents",
-    f"WITH {duck.POSE} SELECT CAST(name AS VARCHAR) AS name, CAST(0 AS BIGINT) AS chunk, count(*) AS num_parts, count(*) AS n_gt, CAST(21 AS BIGINT) AS n_steps, "
-    f"string_agg('piece_' || part_idx, ',' ORDER BY part_idx) AS pieces, {duck.r('sum(gt_tx)', 'sum_tx')} FROM pose GROUP BY name",
+    f"{_DOCUMENTS} SELECT CAST(name AS VARCHAR) AS name, CAST(0 AS BIGINT) AS chunk, num_parts, num_parts AS n_gt, CAST(21 AS BIGINT) AS n_steps, "
+    f"pieces, removal_pieces, redundant_pieces, {duck.rs(_MEASURED, _MEASURED)}, {duck.r('(SELECT sum(gt_tx) FROM pose p WHERE p.name = told.name)', 'sum_tx')} FROM told JOIN report USING (name)",
 )
 def result_documents(spark, sf):
     first = F.aggregate("gt_trans_rots", F.lit(0.0), lambda a, p: a + p[0])
     return documents(spark, sf).select(
         "name", "chunk", "num_parts", F.size("gt_trans_rots").cast("long").alias("n_gt"),
-        F.size("pred_trans_rots").cast("long").alias("n_steps"), "pieces", *rounded([first], ["sum_tx"]),
+        F.size("pred_trans_rots").cast("long").alias("n_steps"), "pieces", "removal_pieces", "redundant_pieces",
+        *rounded([*map(F.col, _MEASURED), first], (*_MEASURED, "sum_tx")),
     )
 
 
 @query(
     "s14_assembly_documents",
-    f"WITH {duck.POSE}, {_PATH} SELECT CAST(name AS BIGINT) AS name, count(*) AS num_parts, {duck.r('sum(xx)', 'sum_tx')}, {duck.r('sum(gt_tx)', 'sum_gt')} FROM path WHERE step = 19 GROUP BY name",
+    f"{_DOCUMENTS} SELECT l.name, part_idx, num_parts, redundant_pieces, {duck.rs(_MEASURED, _MEASURED)}, {duck.rs((*PT_, *GT), (*R.PR_COLS[:3], *R.GT_COLS[:3]))} FROM last l JOIN told USING (name) JOIN report USING (name)",
 )
 def assembly_documents(spark, sf):
     path = fresh_path(spark, "assembly")
     R.write_assemblies(documents(spark, sf), path)
-    back = spark.read.json(path)
-
-    def total(c):
-        return F.aggregate(c, F.lit(0.0), lambda a, p: a + p[0])
-
-    return back.select(
-        F.col("name").cast("long").alias("name"), "num_parts",
-        *rounded([total("pred_transform"), total("gt_transform")], ("sum_tx", "sum_gt")),
+    back = R.read_assemblies(spark, path)
+    poses = R.assembly_poses(back)
+    about = back.select("name", "chunk", "num_parts", "redundant_pieces", *_MEASURED)
+    names = [*_MEASURED, *R.PR_COLS[:3], *R.GT_COLS[:3]]
+    return poses.join(about, ["name", "chunk"]).select(
+        F.col("name").cast("long").alias("name"), "part_idx", "num_parts", "redundant_pieces", *rounded(map(F.col, names), names)
     )
 
 
@@ -347,15 +388,17 @@ def json_round_trip(spark, sf):
 
 @query(
     "d09_reassembly_replay",
-    f"""WITH {duck.PTS_POSE}, back AS (SELECT name, part_idx, pt_idx, {', '.join(f'{e} AS u{c}' for e, c in zip(duck.matvec(
+    f"""WITH {duck.PTS_POSE}, {_LAST}, back AS (SELECT name, part_idx, pt_idx, {', '.join(f'{e} AS u{c}' for e, c in zip(duck.matvec(
         [duck.mat(GQ)[3*j+i] for i in range(3) for j in range(3)], [f'({p}-{t})' for p, t in zip('xyz', GT)]), 'xyz'))},
-      pr_qw, pr_qx, pr_qy, pr_qz, pr_tx, pr_ty, pr_tz FROM pts JOIN pose USING (name, part_idx))
+      pr_qw, pr_qx, pr_qy, pr_qz, pr_tx, pr_ty, pr_tz FROM pts JOIN last USING (name, part_idx))
     SELECT name, part_idx, pt_idx, {duck.rs([f'{m}+{t}' for m, t in zip(duck.matvec(duck.mat(duck.q4('pr_q')), ('ux', 'uy', 'uz')), duck.v3('pr_t'))], 'xyz')} FROM back""",
 )
 def reassembly_replay(spark, sf):
+    """Points moved as the stored documents say."""
     from ..plans.evaluate import replay
 
-    return replay(fx.points(spark, sf), fx.poses(spark, sf)).select(
+    stored = R.final_poses(documents(spark, sf)).withColumn("name", F.col("name").cast("long"))
+    return replay(fx.points(spark, sf), stored).select(
         *PART, "pt_idx", *rounded(map(F.col, "xyz"), "xyz")
     )
 
@@ -611,16 +654,30 @@ def _geo(spark, sf):
 
 @query("d11_fracture_classifier")
 def fracture_classifier(spark, sf):
+    """Scores of the points of held-out objects."""
     from ..operators.geometry import feature_columns
 
-    rows = _geo(spark, sf)
-    model = SEG.train_classifier(rows, feature_columns())
-    return SEG.score_points(model, rows).select(*PART, "pt_idx", "gt", "score")
+    training, test = SEG.held_out(_geo(spark, sf))
+    model = SEG.train_classifier(training, feature_columns())
+    return SEG.score_points(model, test).select(*PART, "pt_idx", "gt", "score")
+
+
+_HELD_OUT = f"{duck.uniform(DEFAULT_SEED, repr('held out'), 'name')} < 0.3"
+
+
+@query(
+    "d11_held_out_points",
+    f"WITH {duck.SEG} SELECT name, part_idx, pt_idx, gt, true AS scored FROM seg WHERE {_HELD_OUT}",
+)
+def held_out_points(spark, sf):
+    """Every point of a held-out object has a label and a probability; no object is on both sides."""
+    rows = fracture_classifier(spark, sf)
+    return rows.select(*PART, "pt_idx", "gt", F.col("score").between(0, 1).alias("scored"))
 
 
 @query("d12_ablation_table")
 def ablation(spark, sf):
-    return SEG.ablation_table(_geo(spark, sf)).select("model", "accuracy", "recall", "precision", "f1", "dice_loss")
+    return SEG.ablation_table(_geo(spark, sf)).select("head", "model", "accuracy", "recall", "precision", "f1", "dice_loss")
 
 
 @query(

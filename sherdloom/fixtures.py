@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cached(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
+def cached(spark: SparkSession, sf_dir: str, kind: str, build) -> DataFrame:
     """Inputs several queries share are written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _CACHE:
@@ -159,7 +159,7 @@ def vertices(spark: SparkSession, sf_dir: str, orders: int = MESH_DENSE) -> Data
             "name", "part_idx", "v_idx", "x", "y", "z"
         )
 
-    return _cached(spark, sf_dir, f"vertices{orders}", build)
+    return cached(spark, sf_dir, f"vertices{orders}", build)
 
 
 def faces(spark: SparkSession, sf_dir: str, orders: int = MESH_DENSE) -> DataFrame:

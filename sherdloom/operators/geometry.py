@@ -33,8 +33,11 @@ def neighbour_rows(points: DataFrame, k: int = K, block_bits: int = 8) -> DataFr
     return found.join(other, [*PART, "n_pt_idx"]).withColumnRenamed("q_pt_idx", "pt_idx")
 
 
-def local_covariance(neighbours: DataFrame, unbiased: bool = True) -> DataFrame:
-    """Covariance of the neighbours; divisor k-1 (at least 1), or k when not ``unbiased``."""
+def local_covariance(neighbours: DataFrame, unbiased: bool = True, around: tuple[str, ...] = ()) -> DataFrame:
+    """Covariance of the neighbours; divisor k-1 (at least 1), or k when not ``unbiased``.
+
+    ``around`` names columns to keep of every neighbour, as an array of k structs at most.
+    """
     pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
     n = F.count(F.lit(1))
     divisor = F.greatest(n - 1, F.lit(1)) if unbiased else n
@@ -45,9 +48,16 @@ def local_covariance(neighbours: DataFrame, unbiased: bool = True) -> DataFrame:
         *[
             (F.covar_pop(f"b{p[0]}", f"b{p[1]}") * n / divisor).alias(f"c{p}") for p in pairs
         ],
+        *([F.collect_list(F.struct(*around)).alias("around")] if around else []),
     )
 
 
+def _mean_around(value) -> Column:
+    """Mean of ``value`` over the neighbours kept in ``around``."""
+    total = F.aggregate("around", F.lit(0.0), lambda acc, b: acc + value(b))
+    return total / F.size("around")
+
+
 def with_eigenvalues(cov: DataFrame) -> DataFrame:
     """l0 >= l1 >= l2 of the symmetric 3x3 matrix, in closed form.
 
@@ -120,17 +130,17 @@ def surface_features(points: DataFrame, k: int = K, block_bits: int = 8) -> Data
     Points with fewer than two neighbours get zeros throughout.
     """
     near = neighbour_rows(points, k, block_bits)
-    local = with_local_normal(with_eigenvalues(local_covariance(near))).where(
+    local = with_local_normal(with_eigenvalues(local_covariance(near, around=("bx", "by", "bz")))).where(
         F.col("k") >= MIN_NEIGHBOURS
     )
     axis, mid = rot.cols("pnx", "pny", "pnz"), rot.cols("mx", "my", "mz")
-    off = rot.sub(rot.cols("bx", "by", "bz"), mid)
-    rough = (
-        near.join(local.select(*PT, "pnx", "pny", "pnz", "mx", "my", "mz"), PT)
-        .groupBy(*PT)
-        .agg(F.avg(F.abs(rot.dot(off, axis))).alias("roughness"))
+
+    def off_plane(b):
+        return F.abs(rot.dot(rot.sub(tuple(b[c] for c in ("bx", "by", "bz")), mid), axis))
+
+    shaped = local.select(
+        *PT, "pnx", "pny", "pnz", curvature().alias("curvature"), _mean_around(off_plane).alias("roughness")
     )
-    shaped = local.select(*PT, "pnx", "pny", "pnz", curvature().alias("curvature")).join(rough, PT)
     df = points.join(shaped, PT, "left").withColumn("_ok", F.col("curvature").isNotNull())
     consistency = F.abs(rot.dot(rot.cols("nx", "ny", "nz"), axis))
     ok = F.col("_ok")
@@ -147,16 +157,16 @@ def surface_features(points: DataFrame, k: int = K, block_bits: int = 8) -> Data
 def notes_features(points: DataFrame, k: int = K, block_bits: int = 8) -> DataFrame:
     """Alternative set: surface variation, mean curvature, 1 - mean normal agreement."""
     near = neighbour_rows(points, k, block_bits)
-    values = with_eigenvalues(local_covariance(near, unbiased=False))
+    values = with_eigenvalues(local_covariance(near, unbiased=False, around=("bnx", "bny", "bnz")))
     total = F.col("l0") + F.col("l1") + F.col("l2")
     shaped = values.select(
-        *PT,
+        *PT, "around",
         F.when(total > VARIANCE_FLOOR, F.col("l2") / total).otherwise(0.0).alias("surface_variation"),
         ((F.col("l0") - F.col("l2")) / 2.0).alias("mean_curvature"),
     )
+
+    def agree(b):
+        return rot.dot(rot.cols("nx", "ny", "nz"), tuple(b[c] for c in ("bnx", "bny", "bnz")))
+
     own = points.select(*PT, "nx", "ny", "nz")
-    agree = rot.dot(rot.cols("nx", "ny", "nz"), rot.cols("bnx", "bny", "bnz"))
-    consistency = near.join(own, PT).groupBy(*PT).agg(
-        (1.0 - F.avg(agree)).alias("normal_consistency")
-    )
-    return shaped.join(consistency, PT)
+    return shaped.join(own, PT).withColumn("normal_consistency", 1.0 - _mean_around(agree)).drop("around", "nx", "ny", "nz")

@@ -367,7 +367,8 @@ def mutual_nearest(
     """
     within = ["_of", *keys]
     at = [*within, *_XYZ]
-    points = points.withColumn("_of", F.col(side).cast("int"))
+    # Box, range sample, blocks and the last join all read the points: written once.
+    points = materialize(points.withColumn("_of", F.col(side).cast("int")), "sides")
     blocks = _blocks(points.select(*at).distinct(), within, [], block_bits)
     mine, levels = _number(blocks, within)
     other = mine.withColumn("_of", F.lit(1) - F.col("_of"))
@@ -384,7 +385,7 @@ def knn(
     are ordered by id.  Keys with fewer than k+1 points give what they have.
     """
     at = [*keys, *_XYZ]
-    points = points.select(*at, *ids)
+    points = materialize(points.select(*at, *ids), "located")  # read by box, sample, blocks and join
     # k+1 answers per location, one of which may be the asking point itself; the
     # row_number filter is applied before the shuffle as well (window group limit).
     here = Window.partitionBy(*at).orderBy(*ids)

@@ -8,7 +8,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rand import DEFAULT_SEED
+from ..functions.rand import DEFAULT_SEED, hash_uniform
 from ..operators.geometry import feature_columns
 from ..operators.metrics import segmentation_report
 from ..operators.ordering import with_global_rank
@@ -76,12 +76,20 @@ def compare_models(scores: DataFrame) -> DataFrame:
     return with_global_rank(keyed, ["_f", "_r", "model"], "place").drop("_f", "_r")
 
 
-def ablation_table(features: DataFrame) -> DataFrame:
-    """Report of one classifier per feature set."""
+def held_out(points: DataFrame, share: float = 0.3, seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows: whole objects go to one side, by a digest of their name."""
+    draw = hash_uniform(seed, F.lit("held out"), "name")
+    return points.where(draw >= share), points.where(draw < share)
+
+
+def ablation_table(features: DataFrame, kinds: tuple[str, ...] = ("logistic", "mlp")) -> DataFrame:
+    """Report on held-out objects of one classifier per head and feature set."""
+    training, test = held_out(features)
     out = None
-    for name, switches in ABLATIONS.items():
-        columns = feature_columns(**switches)
-        scored = score_points(train_classifier(features, columns), features)
-        one = segmentation_report(scored).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    for kind in kinds:
+        for name, switches in ABLATIONS.items():
+            columns = feature_columns(**switches)
+            scored = score_points(train_classifier(training, columns, kind=kind), test)
+            one = segmentation_report(scored).withColumns({"head": F.lit(kind), "model": F.lit(name)})
+            out = one if out is None else out.unionByName(one)
     return out

@@ -93,19 +93,43 @@ def trajectory_rows(documents: DataFrame) -> DataFrame:
     )
 
 
+ASSEMBLY = T.StructType(
+    [
+        T.StructField("name", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("num_parts", T.LongType()),
+        T.StructField("part_ids", T.ArrayType(T.LongType())),
+        *[T.StructField(c, T.DoubleType()) for c in _NUMBERS],
+        T.StructField("gt_transform", T.ArrayType(_POSE)), T.StructField("pred_transform", T.ArrayType(_POSE)),
+        *[T.StructField(c, T.StringType()) for c in _NAMES], T.StructField("mesh_scale", T.DoubleType()),
+    ]
+)
+
+
 def assembly_documents(documents: DataFrame) -> DataFrame:
     """Final poses and metrics per object, without the trajectory."""
-    return documents.select(
-        "name", "chunk", *_NUMBERS, "num_parts",
-        F.col("gt_trans_rots").alias("gt_transform"),
-        F.element_at("pred_trans_rots", -1).alias("pred_transform"),
-        *_NAMES, "mesh_scale",
-    )
+    return documents.withColumns(
+        {"gt_transform": F.col("gt_trans_rots"), "pred_transform": F.element_at("pred_trans_rots", -1)}
+    ).select(*ASSEMBLY.names)
 
 
 def write_assemblies(documents: DataFrame, path: str) -> None:
-    """One folder per object, as the assembly view expects."""
-    assembly_documents(documents).write.mode("overwrite").partitionBy("name").json(path)
+    """One line per object (and chunk), clustered by name: as many files as tasks, not as objects."""
+    assembly_documents(documents).repartitionByRange("name", "chunk").sortWithinPartitions("name", "chunk").write.mode(
+        "overwrite"
+    ).json(path)
+
+
+def read_assemblies(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ASSEMBLY).json(path)
+
+
+def assembly_poses(assemblies: DataFrame) -> DataFrame:
+    """(name, chunk, part_idx, truth and prediction) rows; part ids keep their gaps."""
+    rows = assemblies.select("name", "chunk", F.explode(F.arrays_zip("part_ids", "gt_transform", "pred_transform")).alias("_z"))
+    return rows.select(
+        "name", "chunk", F.col("_z.part_ids").alias("part_idx"),
+        *[F.col("_z.gt_transform")[i].alias(c) for i, c in enumerate(GT_COLS)],
+        *[F.col("_z.pred_transform")[i].alias(c) for i, c in enumerate(PR_COLS)],
+    )
 
 
 def write_metrics_csv(metrics: DataFrame, path: str) -> None:
