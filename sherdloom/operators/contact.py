@@ -10,7 +10,7 @@ from .metrics import PART
 
 DECIMALS = 5  # fixed value: digits kept when vertices are compared
 _POS = ["_rx", "_ry", "_rz"]
-TILE_PIECES = 512  # pieces of one position that meet in one task
+TILE_PIECES = 512  # piece numbers of a list of pieces at one position
 
 
 def _positions(vertices: DataFrame, decimals: int) -> DataFrame:
@@ -22,41 +22,43 @@ def _positions(vertices: DataFrame, decimals: int) -> DataFrame:
 
 
 def _tiled(spots: DataFrame) -> DataFrame:
-    """Spots with the tile of their piece and the number of tiles of their position.
-
-    The m pieces of a position are dealt into m / TILE_PIECES tiles, so that every two tiles
-    can meet in a task of their own; where few pieces meet there is one tile.
-    """
-    crowd = spots.groupBy("name", *_POS).agg(F.ceil(F.count(F.lit(1)) / TILE_PIECES).cast("long").alias("_k"))
-    return spots.join(crowd, ["name", *_POS]).withColumn("_tile", F.pmod(F.hash("part_idx"), F.col("_k")))
+    """(name, position, tile, pieces): the pieces of a position in lists of TILE_PIECES numbers."""
+    tile = F.floor(F.col("part_idx") / TILE_PIECES).cast("long").alias("_tile")
+    return spots.groupBy("name", *_POS, tile).agg(F.sort_array(F.collect_set("part_idx")).alias("_pieces"))
 
 
 def _meetings(spots: DataFrame) -> DataFrame:
-    """(name, position, i, j) with i < j for every two pieces that share a position."""
+    """(name, position, i, j) with i < j for every two pieces that share a position.
+
+    Pieces of one list meet inside their row.  Objects of more pieces have several lists, and every
+    two lists of a position are a row that is dealt to a task of its own before its pieces meet.
+    """
     tiled = _tiled(spots)
-    pair = F.struct(F.least("_tile", "_o").alias("a"), F.greatest("_tile", "_o").alias("b"))
-    dealt = tiled.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).withColumn("_pair", pair)
-    left = dealt.where("_tile = _pair.a").select("name", *_POS, "_pair", F.col("part_idx").alias("i"))
-    right = dealt.where("_tile = _pair.b").select("name", *_POS, "_pair", F.col("part_idx").alias("j"))
-    met = left.join(right, ["name", *_POS, "_pair"]).where("i <> j AND (_pair.a <> _pair.b OR i < j)")
-    return met.select("name", *_POS, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    one = tiled.where(F.size("_pieces") > 1).select(
+        "name", *_POS, "_pieces", F.posexplode("_pieces").alias("_at", "i")
+    ).select("name", *_POS, "i", F.explode(F.expr("slice(_pieces, _at + 2, size(_pieces))")).alias("j"))
+    upper = tiled.where("_tile > 0").select("name", *_POS, F.col("_tile").alias("_upper"), F.col("_pieces").alias("_others"))
+    two = tiled.join(upper, ["name", *_POS]).where("_tile < _upper").repartition("name", *_POS, "_tile", "_upper")
+    two = two.select("name", *_POS, "_others", F.explode("_pieces").alias("i")).select(
+        "name", *_POS, "i", F.explode("_others").alias("j")
+    )
+    return one.unionByName(two)
 
 
 def common_vertices(vertices: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     """(name, part_idx, other, position) for positions two pieces have in common.
 
-    Positions are made distinct per piece before they meet, so a vertex repeated
-    many times inside one piece is matched once.
+    The lists of a position name a piece once, so a vertex repeated many times
+    inside one piece is matched once.
     """
-    met = _meetings(_positions(vertices, decimals).select(*PART, *_POS).distinct())
+    met = _meetings(_positions(vertices, decimals).select(*PART, *_POS))
     both = F.explode(F.array(F.struct(F.col("i").alias("p"), F.col("j").alias("q")), F.struct(F.col("j").alias("p"), F.col("i").alias("q"))))
     return met.withColumn("_b", both).select("name", *_POS, F.col("_b.p").alias("part_idx"), F.col("_b.q").alias("other"))
 
 
 def contact_edges(vertices: DataFrame, decimals: int = DECIMALS) -> DataFrame:
     """Edges (i < j) between pieces that have a rounded vertex in common."""
-    spots = _positions(vertices, decimals).select(*PART, *_POS).distinct()
-    return _meetings(spots).select("name", "i", "j").distinct()
+    return _meetings(_positions(vertices, decimals).select(*PART, *_POS)).select("name", "i", "j").distinct()
 
 
 def contact_links(vertices: DataFrame, decimals: int = DECIMALS) -> DataFrame:

@@ -138,8 +138,11 @@ def placed_points(points: DataFrame, poses: DataFrame, scaled: bool = False) ->
     )
 
 
-def placement_distances(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """``d2`` of every point to the other placement of its key: side 0 true, 1 predicted."""
+def placement_distances(placed: DataFrame, keys: list[str], written: bool = False) -> DataFrame:
+    """``d2`` of every point to the other placement of its key: side 0 true, 1 predicted.
+
+    ``written`` says that ``placed`` is a written table, which may be read several times.
+    """
     sides = [
         placed.select(
             *PART, "pt_idx", F.lit(n).alias("side"), *[F.col(f"{p}{a}").alias(a) for a in "xyz"]
@@ -147,7 +150,7 @@ def placement_distances(placed: DataFrame, keys: list[str]) -> DataFrame:
         for n, p in enumerate("gp")
     ]
     ids = [c for c in [*PART, "pt_idx"] if c not in keys]
-    return mutual_nearest(sides[0].unionByName(sides[1]), keys, ids)
+    return mutual_nearest(sides[0].unionByName(sides[1]), keys, ids, written=written)
 
 
 def _per_part(distances: DataFrame) -> DataFrame:
@@ -157,9 +160,9 @@ def _per_part(distances: DataFrame) -> DataFrame:
     )
 
 
-def part_chamfer(placed: DataFrame) -> DataFrame:
+def part_chamfer(placed: DataFrame, written: bool = False) -> DataFrame:
     """Chamfer distance of every part between its two placements (mean + mean)."""
-    return _per_part(placement_distances(placed, PART))
+    return _per_part(placement_distances(placed, PART, written))
 
 
 def part_accuracy(chamfer: DataFrame) -> DataFrame:
@@ -170,9 +173,9 @@ def part_accuracy(chamfer: DataFrame) -> DataFrame:
     )
 
 
-def shape_chamfer(placed: DataFrame) -> DataFrame:
+def shape_chamfer(placed: DataFrame, written: bool = False) -> DataFrame:
     """Whole-object Chamfer: per point both directions summed, mean per part, then object."""
-    per_part = _per_part(placement_distances(placed, ["name"]))
+    per_part = _per_part(placement_distances(placed, ["name"], written))
     return per_part.groupBy("name").agg(valid_mean(F.col("chamfer")).alias("shape_cd"))
 
 

@@ -358,7 +358,7 @@ def _match(
 
 def mutual_nearest(
     points: DataFrame, keys: list[str], ids: list[str], side: str = "side",
-    block_bits: int = BLOCK_BITS,
+    block_bits: int = BLOCK_BITS, written: bool = False,
 ) -> DataFrame:
     """Squared distance ``d2`` of every point to the nearest point of the other side.
 
@@ -367,8 +367,9 @@ def mutual_nearest(
     """
     within = ["_of", *keys]
     at = [*within, *_XYZ]
-    # Box, range sample, blocks and the last join all read the points: written once.
-    points = materialize(points.withColumn("_of", F.col(side).cast("int")), "sides")
+    points = points.withColumn("_of", F.col(side).cast("int"))
+    if not written:  # box, range sample, blocks and the last join all read the points
+        points = materialize(points, "sides")
     blocks = _blocks(points.select(*at).distinct(), within, [], block_bits)
     mine, levels = _number(blocks, within)
     other = mine.withColumn("_of", F.lit(1) - F.col("_of"))

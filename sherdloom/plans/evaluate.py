@@ -20,8 +20,8 @@ def evaluation_report(
     kept_poses = poses.join(kept, M.PART, "left_semi")
     placed = materialize(M.placed_points(points, kept_poses), "placed")
     errors = M.pose_metrics(kept_poses, "rmse")
-    accuracy = M.part_accuracy(M.part_chamfer(placed))
-    shape = M.shape_chamfer(placed)
+    accuracy = M.part_accuracy(M.part_chamfer(placed, written=True))
+    shape = M.shape_chamfer(placed, written=True)
     return accuracy.join(errors, "name").join(shape, "name")
 
 
