@@ -10,8 +10,9 @@ those are rounded to the nearest total.
 
 Defined results: a null text has size zero; the null source comes last; a source
 without words has target zero; documents of size zero are moved like others and take
-no words; repeated rows are drawn each for itself; an empty table gives no rows.
-Draws depend on the seed, the doc id and the size, not on partitions.
+no words; repeated rows are drawn each for itself and spread over the blocks like others; an
+empty table gives no rows; the length of a text does not matter.  Draws and blocks depend on the
+seed, a hash of id and text, and the rank among equal rows, not on partitions.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.ordering import with_global_rank
+from ..operators.ordering import with_global_rank, with_rank
 from ..session import materialize
 from .common import col, fresh, with_row_id
 
@@ -105,7 +106,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _settle(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "doc_id", "size", "rid"], ignore_index=True)
+        pdf = pdf.sort_values(["draw", "key", "nth", "rid"], ignore_index=True)
         size = pdf["size"].to_numpy(float)
         p = flight(pdf["p"].to_numpy(float), size, pdf["draw"].to_numpy(float))
         pdf["p"] = landing(p, size) if last else p
@@ -115,7 +116,11 @@ def _settle(last: bool):
 
 
 def mix(rows: DataFrame, rid: str = "rid", weights=WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """(rid, doc_id, size, source_size, target, copies) for rows (rid, doc_id, source, size)."""
+    """(rid, doc_id, size, source_size, target, copies) for rows (rid, doc_id, source, size, key).
+
+    ``key`` is a hash of the row's content; equal rows are told apart by their rank.
+    """
+    rows = with_rank(rows, ["key"], [rid], "nth")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     sources = materialize(sources, "mix")
     goals = source_targets(sources.select("source", "source_size"), weights, most).join(
@@ -123,12 +128,12 @@ def mix(rows: DataFrame, rid: str = "rid", weights=WEIGHTS, most: int = MOST, bl
         F.col("source").eqNullSafe(F.col("s")),
     ).drop("s").withColumnRenamed("source", "goal_source")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11) / F.lit(float(1 << 53))
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "nth"), 11) / F.lit(float(1 << 53))
     open_ = rows.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).select(
         F.col(rid).alias("rid"), F.col("doc_id"), "source", "size", "source_size", "target",
         F.floor(want).alias("base"), (want - F.floor(want)).alias("p"), draw.alias("draw"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "size", F.when(F.col("doc_id").isNull(), F.col(rid))), F.col("blocks")).alias("block"),
-        "blocks",
+        F.pmod(F.xxhash64(F.lit(seed + 1), "key", "nth"), F.col("blocks")).alias("block"),
+        "blocks", "key", "nth",
     )
     schema = open_.schema
     settled = None
@@ -150,17 +155,20 @@ def mix(rows: DataFrame, rid: str = "rid", weights=WEIGHTS, most: int = MOST, bl
     )
 
 
-def sized(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str, str]:
-    """The kept columns, each row with its number and its words counted; both names."""
-    name = fresh(docs, "size_in_words")
+def sized(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, str, DataFrame]:
+    """The kept columns, each row with a number and its column's name; and narrow rows for ``mix``."""
+    name = fresh(docs, "sized")
     words = F.regexp_count(F.coalesce(col(docs, "text"), F.lit("")), F.lit(r"[^ \t-\r]+")).cast("long")
-    rows, rid = with_row_id(docs.select(*[col(docs, c) for c in keep], words.alias(name)), "sized")
-    return rows, rid, name
+    key = F.xxhash64(col(docs, "doc_id"), col(docs, "source"), col(docs, "text"))
+    marked = docs.select(*[col(docs, c) for c in keep], F.struct(words.alias("size"), key.alias("key")).alias(name))
+    rows, rid = with_row_id(marked, "sized")
+    at = F.col(name)
+    narrow = rows.select(F.col(rid).alias("rid"), "doc_id", "source", at["size"].alias("size"), at["key"].alias("key"))
+    return rows, rid, narrow
 
 
 def report(docs: DataFrame, **parameters) -> DataFrame:
-    rows, rid, size = sized(docs, ["doc_id", "source"])
-    narrow = rows.select(F.col(rid).alias("rid"), "doc_id", "source", F.col(size).alias("size"))
+    *_, narrow = sized(docs, ["doc_id", "source"])
     return mix(narrow, **parameters).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
@@ -168,8 +176,7 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
 
 def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it."""
-    rows, rid, size = sized(docs, docs.columns)
-    narrow = rows.select(F.col(rid).alias("rid"), "doc_id", "source", F.col(size).alias("size"))
+    rows, rid, narrow = sized(docs, docs.columns)
     taken = mix(narrow, **parameters).where("copies > 0").select(
         F.col("rid").alias("taken_rid"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("taken_copy")
     )

@@ -430,8 +430,7 @@ def test_mix_many_blocks_and_odd_sources(spark):
     rows = [(k, "w " * int(rng.integers(0, 40)), None, [None, "a", "b", "é", "A", "zero"][min(4, k % 7)], 1) for k in range(900)]
     rows += [(900, None, None, "zero", 0), (901, " ", None, "zero", 0), (None, "q r", None, "a", 1), (None, "q r", None, "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    rows_, rid, size = mixing.sized(docs, ["doc_id", "source"])
-    narrow = rows_.select(F.col(rid).alias("rid"), "doc_id", "source", F.col(size).alias("size"))
+    *_, narrow = mixing.sized(docs, ["doc_id", "source"])
     mixed = mixing.mix(narrow, block=32).select("*", (F.col("copies") * F.col("size")).alias("taken"))
     out = mixed.join(narrow.select("rid", "source"), "rid").collect()
     assert len(out) == len(rows)
@@ -441,6 +440,30 @@ def test_mix_many_blocks_and_odd_sources(spark):
     assert mixed.columns == docs.columns
 
 
+def test_repeated_rows_spread_over_blocks(spark, monkeypatch):
+    """Thousands of equal rows, with or without an id, are no single group; partitions do not matter."""
+    rows = [(None, "same words here", "hot")] * 3000 + [(7, "same words here", "hot")] * 3000
+    rows += [(k, "w " * (k % 50), "hot") for k in range(100, 600)] + [(k, "w " * (k % 9), "cold") for k in range(600, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = spark.sparkContext.accumulator(0)
+    settle = mixing._settle
+
+    def watched(last):
+        body = settle(last)
+
+        def run(pdf):
+            seen.add(1 if len(pdf) > 4 * 256 else 0)
+            return body(pdf)
+
+        return run
+
+    monkeypatch.setattr(mixing, "_settle", watched)
+    tell = lambda df: sorted((str(r.doc_id), r.size, r.taken) for r in mixing.report(df, block=256).collect())
+    one = tell(docs.repartition(5))
+    assert seen.value == 0 and len(one) == len(rows)
+    assert tell(docs.repartition(3, "source")) == one
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     p, size = rng.random(500), rng.integers(0, 900, 500).astype(float)
