@@ -7,8 +7,8 @@ records that were changed or lost.
 
 Defined results: a null payload differs from an empty one; records without an offset
 or archive make a branch of their own; several records at one offset are one leaf
-that holds them as a multiset, so their order does not matter but their number does;
-two empty replicas agree.
+that holds them as a multiset, so their order does not matter but their number does; two
+empty replicas agree; the length of a payload does not matter, nor do other columns.
 """
 
 from __future__ import annotations
@@ -81,6 +81,14 @@ def audit(mine: DataFrame, other: DataFrame, bits: int = FAN_BITS) -> DataFrame:
     return found.select("archive", F.col("node").alias("offset"), status.alias("status"))
 
 
+def page_records(pages: DataFrame, size: int = 4096) -> DataFrame:
+    """Pages as archive records of ``size`` each: the whole record, url and body, is the payload."""
+    return pages.select(
+        F.floor(F.col("page_id") / size).alias("archive"), F.col("page_id").alias("offset"),
+        F.to_json(F.struct("url", "html")).alias("payload"),
+    )
+
+
 def damaged_replica(records: DataFrame) -> DataFrame:
     """A replica with faults that follow from a hash of the offset, for audits.
 

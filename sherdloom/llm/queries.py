@@ -75,9 +75,7 @@ _FIXITY_SQL = """
 
 @query(_FIXITY_SQL)
 def op7_merkle_fixity(spark, sf_dir):
-    records = table(spark, sf_dir, "pages").select(
-        F.floor(F.col("page_id") / 4096).alias("archive"), F.col("page_id").alias("offset"), F.col("html").alias("payload")
-    )
+    records = fixity.page_records(table(spark, sf_dir, "pages"))
     return fixity.audit(records, fixity.damaged_replica(records))
 
 

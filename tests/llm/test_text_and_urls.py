@@ -306,6 +306,13 @@ def test_audit_finds_planted_faults(spark):
     assert [tuple(r) for r in fixity.audit(mine, nulls).collect()] == [(None, None, "changed")]
 
 
+def test_changed_urls_are_found(spark):
+    rows = spark.createDataFrame([(k, f"http://a.org/{k}", "same", k) for k in range(40)], "page_id long, url string, html string, hash int")
+    moved = rows.withColumn("url", F.when(F.col("page_id") == 7, "http://b.org/7").when(F.col("page_id") != 9, F.col("url")))
+    got = fixity.audit(fixity.page_records(rows), fixity.page_records(moved)).collect()
+    assert sorted(map(tuple, got)) == [(0, 7, "changed"), (0, 9, "changed")]
+
+
 # --- pages -------------------------------------------------------------------------
 
 
