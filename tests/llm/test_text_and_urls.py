@@ -218,7 +218,7 @@ def test_lm_odd_rows(spark):
     rows = [(None, None), (None, "a b"), (1, ""), (2, "Ä ä 12 word"), (2, "Ä ä 12 word"), (3, "x " * 5000), (4, "a b a b")]
     rows += [(k, f"the w{k} of w{k % 7}") for k in range(10, 60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rid": F.lit(1), "word": F.lit("w")})
-    got = brown.score(frame, frequent=6, classes=3, rounds=2).collect()
+    got = brown.score(frame, least=2, core_share=0.005, classes=3).collect()
     same_scores(got, brute_lm(rows))
     assert brown.score(frame.where("false")).count() == 0
     nothing = frame.where("doc_id = 3").withColumn("doc_id", F.lit(7).cast("long"))  # any fold
@@ -229,7 +229,7 @@ def test_model_is_a_distribution(spark):
     """Over all words, an unknown one of each form and the end, probabilities sum to one."""
     rows = [(f"the w{k} of w{k % 7} Ä{k % 3} 5",) for k in range(40)]
     frame = spark.createDataFrame(rows, "text string")
-    model, rare = brown.fit(frame, frequent=5, classes=3, rounds=1)
+    model, rare = brown.fit(frame, least=2, core_share=0.1, classes=3)
     s = model.symbols
     of = model.of
     emit = np.zeros(len(model.step))
