@@ -225,6 +225,41 @@ def test_lm_odd_rows(spark):
     assert brown.score(nothing).count() == 1
 
 
+def test_lm_score_against_brute_force(spark):
+    """Given the classes, counts, transitions and emissions follow from the texts alone."""
+    rows = [(k, f"the w{k % 9} of w{k % 7} and r{k} Ä{k % 3} the the") for k in range(60)] + [(60, None), (61, "x " * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    training = [t for k, t in rows if zlib.crc32(str(k).encode()) % 10]
+    parameters = {"least": 3, "core_share": 0.04, "classes": 3}
+    model, _ = brown.fit(spark.createDataFrame([(t,) for t in training], "text string"), **parameters)
+    end, total = 3 + brown.FORMS, 4 + brown.FORMS
+    n = Counter(w for t in training for w in brown._words(t))
+    clustered = {w: int(model.of[k]) for k, w in enumerate(model.symbols.words)}
+    assert set(clustered) == {w for w in n if n[w] >= 3} and max(clustered.values()) < 3
+    assert sum(n[w] < 0.04 * sum(n.values()) for w in clustered) > 0  # some are outside the core
+
+    def class_of(w):
+        return clustered.get(w, 3 + brown.form_class(w))
+
+    grid = Counter()
+    for t in training:
+        c = [end, *map(class_of, brown._words(t)), end]
+        grid.update(zip(c, c[1:]))
+    leaves = Counter()
+    for (a, _), k in grid.items():
+        leaves[a] += k
+    mass, kinds = Counter(), Counter()
+    for w, k in n.items():
+        mass[class_of(w)] += k
+        kinds[class_of(w)] += 1
+    for r in brown.score(frame, **parameters).collect():
+        words = brown._words(dict(rows)[r.doc_id])
+        c = [end, *map(class_of, words), end]
+        want = sum(math.log10((grid[p] + 0.1) / (leaves[p[0]] + 0.1 * total)) for p in zip(c, c[1:]))
+        want += sum(math.log10((n[w] + 0.1) / (mass[class_of(w)] + 0.1 * (kinds[class_of(w)] + 1))) for w in words)
+        assert r.score == pytest.approx(want)
+
+
 def test_model_is_a_distribution(spark):
     """Over all words, an unknown one of each form and the end, probabilities sum to one."""
     rows = [(f"the w{k} of w{k % 7} Ä{k % 3} 5",) for k in range(40)]
