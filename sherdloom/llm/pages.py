@@ -5,7 +5,9 @@ ordered by URL path; each is aligned with its nearest neighbours by longest comm
 subsequence, and the lines that both share are deleted: what a site repeats from page
 to page is not the article.  The markup tells what needs no second page: menus,
 headers, footers, forms, adverts, notices and comments go, and lines inside an
-article element stay even where another page repeats them.
+article element stay even where another page repeats them.  Article elements that
+hold fewer words than the unmarked rest of their page are teasers: such a page is
+left to differencing as a whole.
 
 A neighbour that shares nearly all lines outside marked elements is a copy, not a
 sibling, and is passed over; a page whose neighbours are all copies asks twice as far
@@ -13,7 +15,8 @@ each time, at last the ends of its host.  Pages of one path and the same lines a
 
 Defined results: null and empty html give an empty text; a null url is its own host
 with an empty path; repeated rows give the same text; unclosed elements end with
-their parent; an empty table gives no rows.
+their parent; a page is read whole, however long, and lines that it repeats many
+times are aligned in bounded memory; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -33,7 +36,7 @@ from .common import col, fresh, url_parts
 
 # Fixed values of HTML: elements without content, with raw content, and block elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object canvas audio video".split())
+RAW = set("script style noscript template iframe textarea title svg object canvas audio video".split())
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
@@ -42,7 +45,7 @@ BLOCKS = set(
 # Elements that hold no article text, wherever they stand.
 ASIDE = set("nav footer aside form header menu dialog head button select search label".split())
 ASIDE_ROLE = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-# Words of class and id names that mark what surrounds an article.
+# Class and id names that mark what surrounds an article.
 ASIDE_NAME = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disqus feedback footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice "
@@ -51,16 +54,22 @@ ASIDE_NAME = set(
 )
 ARTICLE = set("article main".split())
 ARTICLE_NAME = set("articlebody".split())
-# A class name with one of these words says what a page has, not what an element is.
-STATE_NAME = set("closed has no open with".split())
+# Words that make longer names of those (site-header, ad-slot, related-posts); a name
+# with any other word (share-price, related-work, comments-open) marks nothing.
+PLACE_NAME = set(
+    "area articles bar block body bottom box btn button buttons card cards container content desktop fixed floating "
+    "form global group icon icons inner item items large left link links list main mobile outer page pages panel "
+    "posts primary right row secondary section site slot small sticky stories thread top unit wrap wrapper x".split()
+)
+OWN_NAME = set("article entry post story".split())  # post-footer surrounds, post-header is the article's own heading
 # An opening tag of the first closes an open element of the second.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
 NEIGHBOURS = 2  # pages before and after a page that it may be aligned with
-LONG_LINE = 40  # words from which a shared line is prose that pages quote, not furniture
 COPY_SHARE = 0.8  # a neighbour that shares so much of the shorter page's open lines is a copy
+ALIGNED = 4096  # lines of either page that one table of an alignment holds
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -77,9 +86,21 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element surrounds the article, and whether it is the article."""
-    aside, article = tag in ASIDE, tag in ARTICLE
+def _surrounds(name: str, inside: bool) -> bool:
+    """Whether a class or id name marks what surrounds an article."""
+    words = set(_NAME.findall(_CAMEL.sub("-", name).lower()))
+    marks = words & ASIDE_NAME
+    if not marks or not all(w in PLACE_NAME or w in OWN_NAME or w.isdigit() for w in words - marks):
+        return False
+    return marks != {"header"} or not (inside or words & OWN_NAME)
+
+
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element surrounds the article, and whether it is the article.
+
+    ``inside`` says that it stands inside an article element, whose headers are its own.
+    """
+    aside, article = tag in ASIDE and not (tag == "header" and inside), tag in ARTICLE
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -88,9 +109,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
                 aside |= role in ASIDE_ROLE
                 article |= role in ARTICLE
             elif name in ("class", "id") and tag not in ("body", "html", *ARTICLE):
-                for word in value.split():
-                    parts = _NAME.findall(_CAMEL.sub("-", word).lower())
-                    aside |= not ASIDE_NAME.isdisjoint(parts) and STATE_NAME.isdisjoint(parts)
+                aside |= any(_surrounds(word, inside) for word in value.split())
             elif name == "itemprop":
                 article |= value.strip().lower() in ARTICLE_NAME
             elif name in ("aria-hidden", "hidden") and value.lower() in ("true", "hidden"):
@@ -107,13 +126,16 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     """(text, standing) of every text block of a page.
 
     A block stands INSIDE an article element, ASIDE of it (what surrounds an article),
-    or OPEN.  On a page with an article element nothing is open.
+    or OPEN.  Beside article elements that hold the most words of these two, only a
+    main heading (h1) before the first of them is open, and the other lines are aside;
+    where the open lines hold more, the elements are teasers and their lines are open.
     """
     page = page or ""
     found: list[tuple[str, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, surrounds, article: both inherited
-    standing = OPEN
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, surrounds, article, h1: these inherited
+    headings: set[int] = set()  # lines of h1 elements
+    standing, heading = OPEN, False
     at = 0
 
     def flush():
@@ -121,6 +143,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
             held.clear()
             if text:
+                if heading:
+                    headings.add(len(found))
                 found.append((text, standing))
 
     while True:
@@ -159,19 +183,26 @@ def lines(page: str | None) -> list[tuple[str, int]]:
                     k -= 1
                 if k >= 0 and (stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ())):
                     del stack[k:]
-            _, aside, article = stack[-1] if stack else ("", False, False)
-            own_aside, own_article = _marks(tag, rest)
-            if tag == "header" and article and not aside:  # the article's own heading
-                own_aside = False
-            stack.append((tag, aside or own_aside, article or own_article))
-        _, aside, article = stack[-1] if stack else ("", False, False)
+            _, aside, article, h1 = stack[-1] if stack else ("", False, False, False)
+            own_aside, own_article = _marks(tag, rest, article and not aside)
+            stack.append((tag, aside or own_aside, article or own_article, h1 or tag == "h1"))
+        _, aside, article, h1 = stack[-1] if stack else ("", False, False, False)
         now = ASIDE_LINE if aside else INSIDE if article else OPEN
         if now != standing:
             flush()
             standing = now
+        heading = h1
     flush()
-    if any(x == INSIDE for _, x in found):
-        found = [(t, ASIDE_LINE if x == OPEN else x) for t, x in found]
+    inside = [k for k, (_, x) in enumerate(found) if x == INSIDE]
+    if inside:
+        words = [0, 0]
+        for t, x in found:
+            if x != ASIDE_LINE:
+                words[x] += len(t.split())
+        if words[OPEN] > words[INSIDE]:
+            return [(t, OPEN if x == INSIDE else x) for t, x in found]
+        own = {k for k in headings if k < inside[0]}
+        found = [(t, ASIDE_LINE if x == OPEN and k not in own else x) for k, (t, x) in enumerate(found)]
     return found
 
 
@@ -179,6 +210,65 @@ def line_keys(found: list[tuple[str, int]]) -> list[int]:
     return [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True) for t, _ in found]
 
 
+def _masks(lines_: list[int]) -> dict[int, int]:
+    """One number per distinct line, with a bit for every place that holds it."""
+    masks: dict[int, int] = {}
+    for k, x in enumerate(lines_):
+        masks[x] = masks.get(x, 0) | 1 << k
+    return masks
+
+
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence with ``b``, for every prefix of ``a``.
+
+    A column of the alignment table is a number with one bit a line of ``a``, clear
+    where the length grows; sums carry from one stretch of ``a`` into the next.
+    """
+    carries, grows = bytearray(len(b)), [np.zeros(1, np.int64)]
+    for first in range(0, len(a), ALIGNED):
+        part = a[first : first + ALIGNED]
+        masks, width = _masks(part), len(part)
+        full = column = (1 << width) - 1
+        for j, x in enumerate(b):
+            met = column & masks.get(x, 0)
+            total = column + met + carries[j]
+            carries[j] = total >> width
+            column = (total & full) | (column - met)
+        bits = np.frombuffer(column.to_bytes((width + 7) // 8, "little"), np.uint8)
+        grows.append(1 - np.unpackbits(bits, bitorder="little")[:width].astype(np.int64))
+    return np.concatenate(grows).cumsum()
+
+
+def _common(a: list[int], b: list[int], at: int) -> list[int]:
+    """Positions, plus ``at``, in ``a`` of a longest common subsequence with ``b``."""
+    if not a or not b:
+        return []
+    if len(b) == 1:
+        return [at + a.index(b[0])] if b[0] in a else []
+    if max(len(a), len(b)) > ALIGNED:
+        # Halves of b meet the two parts of a between which the lengths add up to most.
+        half = len(b) // 2
+        cut = int((_prefix_lengths(a, b[:half]) + _prefix_lengths(a[::-1], b[: half - 1 : -1])[::-1]).argmax())
+        return _common(a[:cut], b[:half], at) + _common(a[cut:], b[half:], at + cut)
+    masks = _masks(a)
+    full = (1 << len(a)) - 1
+    columns = [full]
+    for x in b:
+        column = columns[-1]
+        met = column & masks.get(x, 0)
+        columns.append(((column + met) & full) | (column - met))
+    run, i, j = [], len(a) - 1, len(b)
+    while i >= 0 and j:
+        if columns[j] >> i & 1:  # no longer with this line of a
+            i -= 1
+        else:
+            j -= 1
+            if columns[j] >> i & 1:  # grows by this pair of lines
+                run.append(at + i)
+                i -= 1
+    return run[::-1]
+
+
 def shared_lines(mine: list[int], other: list[int]) -> list[int]:
     """Positions in ``mine`` of a longest common subsequence with ``other``."""
     head = 0
@@ -187,34 +277,14 @@ def shared_lines(mine: list[int], other: list[int]) -> list[int]:
     tail = 0
     while tail < min(len(mine), len(other)) - head and mine[-1 - tail] == other[-1 - tail]:
         tail += 1
-    kept = list(range(head))
     # Lines without a partner on the other page cannot be part of it.
     there = set(other[head : len(other) - tail])
-    a = [k for k in range(head, len(mine) - tail) if mine[k] in there]
-    here = {mine[k] for k in a}
+    places = [k for k in range(head, len(mine) - tail) if mine[k] in there]
+    a = [mine[k] for k in places]
+    here = set(a)
     b = [x for x in other[head : len(other) - tail] if x in here]
-    # Positions of each line on the other page, then a longest rising run through them.
-    where: dict[int, list[int]] = {}
-    for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    ends: list[int] = []
-    node: list[tuple[int, int]] = []  # (position in mine, node before)
-    last: list[int] = []
-    for k in a:
-        for j in reversed(where[mine[k]]):
-            n = bisect_left(ends, j)
-            node.append((k, last[n - 1] if n else -1))
-            if n == len(ends):
-                ends.append(j)
-                last.append(len(node) - 1)
-            else:
-                ends[n] = j
-                last[n] = len(node) - 1
-    run, at = [], last[-1] if last else -1
-    while at >= 0:
-        run.append(node[at][0])
-        at = node[at][1]
-    return kept + run[::-1] + list(range(len(mine) - tail, len(mine)))
+    run = [places[k] for k in _common(a, b, 0)]
+    return [*range(head), *run, *range(len(mine) - tail, len(mine))]
 
 
 def repeated_lines(profiles: DataFrame) -> DataFrame:
@@ -287,7 +357,7 @@ def extract(pages: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
                 found = lines(t.as_py())
                 keys = line_keys(found)
                 kept.append([
-                    {"text": x, "open": s == OPEN and len(x.split()) < LONG_LINE, "hash": k}
+                    {"text": x, "open": s == OPEN, "hash": k}
                     for (x, s), k in zip(found, keys) if s != ASIDE_LINE
                 ])
                 hashes.append(keys)
