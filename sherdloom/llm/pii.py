@@ -4,12 +4,14 @@ An Aho-Corasick automaton finds the anchors of a text in one pass: at-signs, sch
 plus signs, digits and identifier cues.  Small deterministic parsers expand each
 anchor to its boundaries and validate what they find.  Base kinds (email, ip, card,
 phone) give exactly the leftmost, non-overlapping matches of their patterns; the cues
-add spans: mail, telephone and login addresses behind a scheme, spelled-out
-addresses, IBANs with right check digits, and numbers behind a cue such as SSN.
+add spans: telephone numbers, logins and profile pages behind a scheme, handles behind
+an at-sign, spelled-out addresses, IBANs with right check digits, numbers behind a cue
+such as SSN, passwords and keys, and postal addresses by their street.  Cues are found
+in any case of A-Z.
 
 Defined results: null and empty texts have no spans; repeated rows are searched each
 for itself; a phone candidate or digit run that fails its check is dropped without
-another try; an empty table gives no rows.
+another try; a text is read whole, however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import col
 
-KINDS = ("email", "ip", "card", "phone", "account", "address")  # in the order of ties
+KINDS = ("email", "ip", "card", "phone", "account", "address", "place", "secret")  # in the order of ties
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -38,11 +40,48 @@ _SPELLED = re.compile(
 _GAP = re.compile(r"[ \t:=#-]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
 _NUMBER = re.compile(r"(?:[ \t]*(?:no\.?|number|nr\.?|#))?[ \t]*[:=#]?[ \t]*([A-Z]{0,2}[0-9](?:[ -]?[0-9]){5,16})", re.I)
-# Cues, found in these spellings.
+_PLAIN = re.compile(r"[ \t]*([A-Za-z0-9-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z]{2,10})(?![A-Za-z0-9])", re.I)
+_HANDLE = re.compile(r"[A-Za-z_](?:[A-Za-z0-9_]|[.-](?=[A-Za-z0-9_])){2,38}(?![A-Za-z0-9_@])")
+_PROFILE = re.compile(
+    r"(?:www\.|m\.|mobile\.)?(?:(?:twitter|x|github|gitlab|instagram|facebook)\.com/|t\.me/|linkedin\.com/in/"
+    r"|reddit\.com/u(?:ser)?/|(?:tiktok|youtube|medium)\.com/@)"
+    r"([A-Za-z0-9_](?:[A-Za-z0-9_]|[.-](?=[A-Za-z0-9_])){1,38})(?![A-Za-z0-9_])", re.I,
+)
+_SECRET = re.compile(r"[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*[\"']?([^\s\"',;]{6,})")
+_CLASSES = [re.compile(c) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+# Forms of published kinds of keys.
+_KEY = re.compile(
+    r"(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abp]-[0-9A-Za-z-]{10,}|[sr]k_live_[0-9A-Za-z]{16,}"
+    r"|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,30}PRIVATE KEY-----)(?![A-Za-z0-9])"
+)
+_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_NUMBERED = re.compile(r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]?(?: [A-Z][\w'.-]{0,30}){1,4}$")
+_TOWN = re.compile(
+    r"\.?(?:,? (?:Apt|Suite|Flat|Unit)\.? [0-9A-Za-z]{1,6})?"
+    r"(?:,\s[A-Z][a-z\u00C0-\u00FF'-]+(?: [A-Z][a-z\u00C0-\u00FF'-]+){0,2}"
+    r"(?:,? (?:[A-Z]{2} [0-9]{5}(?:-[0-9]{4})?|[A-Z]{1,2}[0-9][0-9A-Z]?(?: [0-9][A-Z]{2})?|[0-9]{4,6})(?![0-9A-Za-z]))?)?"
+)
+_HOUSE = re.compile(r"\.? [0-9]{1,4}[a-z]?(?![0-9A-Za-z])(?:, ?[0-9]{4,5} [A-Z\u00C0-\u00DE][\w-]+)?")
+STREET = 64  # characters before a street word that hold its number and name
+# Cues in lower case; names that no account has; at-words of programs and style sheets.
 CUES = {
-    "iban": "iban", "number": "ssn|social security|passport|tax id|account number|account no|routing number|driver's license",
-    "tel": "tel:", "login": "://", "spelled": "[at]|(at)|{at}",
+    "iban": "iban",
+    "number": "ssn|social security|passport|tax id|account number|account no|routing number|driver's license"
+    "|account|acct|konto|kontonummer|kundennummer|customer id|cuenta|compte",
+    "tel": "tel:", "login": "://", "spelled": "[at]|(at)|{at}", "plain": " at ",
+    "secret": "password|passwd|passphrase|pwd|api_key|api-key|apikey|secret_key|client_secret|secret|access_token"
+    "|accesstoken|auth_token|authtoken|token",
+    "key": "akia|asia|ghp_|gho_|ghu_|ghs_|ghr_|xoxa-|xoxb-|xoxp-|sk_live_|rk_live_|aiza|eyj|-----begin",
+    "street": " street| st| road| rd| avenue| ave| lane| drive| boulevard| blvd| square| terrace",
+    "house": "straße|strasse|str.",
 }
+NO_ACCOUNT = set("about explore features hashtag help home intent login pricing search settings share signup topics".split())
+NO_HANDLE = set(
+    "author charset classmethod deprecated font-face import interface keyframes media override page param property "
+    "return returns see since staticmethod supports throws".split()
+)
+_LOWER = {k: k + 32 for k in range(ord("A"), ord("Z") + 1)}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -53,8 +92,7 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("+", "plus")
     for kind, words in CUES.items():
         for w in words.split("|"):
-            for spelled in {w, w.upper(), w.capitalize(), w.title()}:
-                a.add_word(spelled, (kind, len(spelled)))
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
@@ -112,7 +150,14 @@ class Finder:
     def more(self, text: str, anchors: list) -> list[tuple[str, int, int]]:
         """What identifier cues, schemes and spelled-out signs add."""
         out = []
+        secret = key = key_run = 0  # where the next value, key or run of a failed key may begin
         for at, what in anchors:
+            if what == "at":
+                before = text[at - 1] if at else " "
+                if not (before in _LOCAL or before.isalnum() or before in "@/"):
+                    m = _HANDLE.match(text, at + 1)
+                    if m and m[0].lower() not in NO_HANDLE and not (m.end() < len(text) and text[m.end()].isalnum()):
+                        out.append(("account", at, m.end()))
             if isinstance(what, str):
                 continue
             kind, width = what
@@ -121,17 +166,46 @@ class Finder:
             if kind == "login":
                 if m := _LOGIN.match(text, end):
                     out.append(("account", end, m.end()))
-            elif kind == "spelled":
+                elif (m := _PROFILE.match(text, end)) and m[1].lower() not in NO_ACCOUNT:
+                    out.append(("account", end, m.end()))
+            elif kind in ("spelled", "plain"):
+                m = (_SPELLED if kind == "spelled" else _PLAIN).match(text, end)
+                if not m:
+                    continue
                 stop = start
                 while stop and text[stop - 1] in " \t":
                     stop -= 1
                 first = stop
                 while first and text[first - 1] in _LOCAL:
                     first -= 1
-                if first < stop and (m := _SPELLED.match(text, end)):
+                if first < stop:
                     out.append(("address", first, m.end(1)))
+            elif kind == "street":
+                if not text[end : end + 1].isalnum() and (m := _NUMBERED.search(text, max(0, start - STREET), start)):
+                    out.append(("place", m.start(), _TOWN.match(text, end).end()))
+            elif kind == "house":
+                if m := _HOUSE.match(text, end):
+                    first, least = start, max(0, start - STREET)
+                    while first > least and (text[first - 1].isalpha() or text[first - 1] == "-"):
+                        first -= 1
+                    if text[first].isupper():
+                        out.append(("place", first, m.end()))
             elif before.isalnum():
                 continue  # the cue is the end of a longer word
+            elif kind == "key":
+                if start < key or start < key_run and text[start] in "eE":
+                    continue
+                if m := _KEY.match(text, start):
+                    out.append(("secret", start, m.end()))
+                    key = m.end()
+                elif text[start] in "eE":  # no later token in this run has its dots either
+                    key_run = _RUN.match(text, start).end()
+            elif kind == "secret":
+                if start >= secret and (m := _SECRET.match(text, end)):
+                    secret = m.end()
+                    value = m[1].rstrip(".!?)]}")
+                    if len(value) >= 6 and sum(bool(c.search(value)) for c in _CLASSES) > 1:
+                        out.append(("secret", m.start(1), m.start(1) + len(value)))
             elif kind == "tel":
                 gap = _GAP.match(text, end).end()
                 if (m := _TEL.match(text, gap)) and 7 <= sum(c.isdigit() for c in m[0]) <= 15:
@@ -151,7 +225,7 @@ class Finder:
         return out
 
     def find(self, text: str) -> tuple[list, list]:
-        anchors = [(at, what) for at, what in self.anchors.iter(text)]
+        anchors = [(at, what) for at, what in self.anchors.iter(text.translate(_LOWER))]
         if not anchors:
             return [], []
         base = self.base(text, anchors)
