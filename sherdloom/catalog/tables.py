@@ -13,7 +13,7 @@ from ..operators import metrics as M, packing as P
 from ..operators.contact import contact_edges
 from ..operators.metrics import PART
 from ..plans import segmentation as SEG
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..sources import gallery as GA, mesh_files as MF, meshes as ME, results as R, splits as SP, store as ST
 from . import duck
 from .clouds import _SIZES
@@ -103,6 +103,7 @@ def mesh_folder(spark, sf):
 
 def mesh_folder_tables(rows, folder):
     """(pieces, vertices, faces, errors) of a folder's rows, objects under their numbers."""
+    rows = materialize(rows, "mesh-rows")  # every file is parsed once, however often its rows are read
     return [
         t.withColumn("name", F.col("name").cast("long"))
         for t in ME.tables_of(rows, folder.rsplit("/", 1)[1])

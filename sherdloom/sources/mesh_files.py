@@ -24,7 +24,7 @@ from pyspark.sql.datasource import (
 
 from .meshes import parse_obj, parse_ply
 
-GROUP_BYTES = 32 << 20  # files of one task
+GROUP_BYTES = 4 << 20  # files of one task
 KINDS = ("v", "f", "error")
 _SLICE = 1 << 16
 SCHEMA = "path string, kind string, idx long, x double, y double, z double, a long, b long, c long, error string"
@@ -163,7 +163,9 @@ def read_listed(files: DataFrame, path: str = "path") -> DataFrame:
             for p in b.column(0):
                 yield from mesh_batches(p.as_py(), KINDS)
 
-    return files.select(F.col(path).cast("string").alias("path")).mapInArrow(run, SCHEMA)
+    # Paths are short and files are not: a table of few bytes must not end up in one task.
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(F.col(path).cast("string").alias("path")).repartition(tasks).mapInArrow(run, SCHEMA)
 
 
 def write_meshes(texts: DataFrame, folder: str) -> None:

@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from sherdloom import fixtures
-from sherdloom.operators import contact, mesh, ordering
+from sherdloom.operators import contact, mesh, ordering, removal, sampling
 from sherdloom.session import materialize, tune, tune_tables
+from sherdloom.sources import mesh_files
 
 
 def test_a_table_of_small_files_is_not_broadcast(spark):
@@ -79,3 +80,34 @@ def test_fixture_faces_are_read_without_a_join(spark):
     v = fixtures.vertices(spark, "/root/testdata/sf0.001").groupBy("name", "part_idx").count()
     faces = f.groupBy("name", "part_idx").agg(F.count("*").alias("n"), F.max("c").alias("last"))
     assert v.join(faces, ["name", "part_idx"], "left").where("coalesce(n, 0) <> greatest(count - 2, 0) OR last <> count - 1").isEmpty()
+
+
+def test_objects_are_peeled_many_to_a_batch(spark):
+    """Objects are rows of one pass, not a cogroup each; the plan is that of each object alone."""
+    names = spark.range(300).select(F.col("id").alias("name"))
+    line = names.select("name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("name") % 5)).alias("part_idx"))
+    edges = line.where("part_idx > 0").select("name", (F.col("part_idx") - 1).alias("i"), F.col("part_idx").alias("j"))
+    plan = removal.removal_plan(line.withColumn("prio", F.col("part_idx")), edges)
+    assert "CoGroup" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in plan.collect():
+        got.setdefault(r.name, []).append((r.step, r.part_idx))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(s, s) for s in range(k % 5)] for k in range(300) if k % 5}
+
+
+def test_listed_files_are_read_by_many_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"{k}.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\n")
+    listed = spark.createDataFrame([(str(tmp_path / f"{k}.obj"),) for k in range(40)], "path string").coalesce(1)
+    rows = mesh_files.read_listed(listed)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1 and rows.count() == 40 * 4
+
+
+def test_a_point_looks_into_few_blocks_of_cells(spark):
+    """No pair is missed or met twice, and points are copied far less than into 27 cells."""
+    rng = random.Random(3)
+    rows = [(1, 0, k, rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(-3, 3), 0.4) for k in range(800)]
+    df = spark.createDataFrame(rows, "name long, part_idx long, pt_idx long, x double, y double, z double, radius double")
+    want = sorted((p[2], q[2]) for p in rows for q in rows if p[2] < q[2] and sum((p[i] - q[i]) ** 2 for i in (3, 4, 5)) < 0.16)
+    assert sorted((r.pt_idx, r.other) for r in sampling.close_pairs(df).collect()) == want
+    assert sampling._around(sampling._in_cells(df.withColumn("_h", F.lit(0)))).count() < 8 * 800
