@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
@@ -56,13 +57,11 @@ def _removable(neigh: list[set], alive: set) -> set:
     return {p for part in parts if len(part) == 1 for p in part} if len(parts) == 2 else set()
 
 
-def _peel(pieces: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    if pieces.empty:
-        return pd.DataFrame({"name": [], "step": [], "part_idx": []})
-    order = pieces.sort_values("prio")["part_idx"].tolist()
+def _peel(order: list, edges: Iterable[tuple]) -> list:
+    """The pieces that go, first to last; ``order`` lists the object's pieces by priority."""
     at = {p: n for n, p in enumerate(order)}
     neigh: list[set] = [set() for _ in order]
-    for i, j in zip(edges["i"], edges["j"]):
+    for i, j in edges:
         if i in at and j in at:
             neigh[at[i]].add(at[j])
             neigh[at[j]].add(at[i])
@@ -70,16 +69,17 @@ def _peel(pieces: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     while True:
         pick = min(_removable(neigh, alive), default=None)
         if pick is None:
-            break
+            return taken
         alive.discard(pick)
         taken.append(order[pick])
-    return pd.DataFrame(
-        {
-            "name": np.repeat(pieces["name"].iloc[0], len(taken)),
-            "step": np.arange(len(taken), dtype="int64"),
-            "part_idx": np.array(taken, dtype="int64"),
-        }
-    )
+
+
+def _peel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, taken) of rows (name, order, i, j)."""
+    for b in batches:
+        lists = zip(b.column(1), b.column(2), b.column(3))
+        taken = [_peel(order.as_py(), zip(i.as_py(), j.as_py())) for order, i, j in lists]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(taken, pa.list_(pa.int64()))], names=["name", "taken"])
 
 
 def _peel_distributed(pieces: DataFrame, edges: DataFrame) -> DataFrame:
@@ -149,11 +149,19 @@ def removal_plan(
     small = sized.where(F.col("_n") <= task_pieces).select(*PART, "prio")
     names = sized.select("name", "_n").distinct()
     near = edges.join(names.where(F.col("_n") <= task_pieces), "name", "left_semi")
-    plan = (
-        small.groupBy("name")
-        .cogroup(near.groupBy("name"))
-        .applyInPandas(_peel, f"name {name_type}, step long, part_idx long")
+    # An object is one row: its pieces in order and its edges.
+    order = small.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("prio", "part_idx"))).alias("_o"))
+    ends = near.groupBy("name").agg(F.collect_set(F.struct("i", "j")).alias("_e"))
+    none = F.array().cast("array<long>")
+    objects = order.join(ends, "name", "left").select(
+        "name", F.col("_o")["part_idx"].cast("array<long>").alias("order"),
+        *[F.coalesce(F.col("_e")[c].cast("array<long>"), none).alias(c) for c in "ij"],
     )
+    # Lists are short and their peel is not: few bytes must not end up in one task.
+    tasks = int(priority.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = objects.repartition(tasks, "name").mapInArrow(_peel_rows, f"name {name_type}, taken array<long>").select(
+        "name", F.posexplode("taken").alias("step", "part_idx")
+    ).withColumn("step", F.col("step").cast("long"))
     big = sized.where(F.col("_n") > task_pieces)
     if big.isEmpty():
         return plan
