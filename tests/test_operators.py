@@ -345,6 +345,32 @@ def test_even_sampling_fills_the_count(spark):
     assert sorted(got["pt_idx"]) == list(range(60)) and (got["frac"] == 0).all()
 
 
+def test_clouds_take_counts_and_draws_from_one_geometry(spark, monkeypatch):
+    """Faces meet their corners once, and draws carry no corners through running sums and merges."""
+    made, summed = [], []
+    real, real_sum = mesh.face_geometry, sampling.prefix_sum
+    for module in (mesh, sampling):
+        monkeypatch.setattr(module, "face_geometry", lambda v, f: made.append(1) or real(v, f))
+    monkeypatch.setattr(sampling, "prefix_sum", lambda df, *rest: summed.append(df.columns) or real_sum(df, *rest))
+    v, f = row_of_cubes(spark, 2)
+    points, parts = prepare.weighted_clouds(v, f, 100, 20, 2)
+    assert points.count() == 100 and sorted(r.n_points for r in parts.collect()) == [50, 50]
+    assert len(made) == 1 and not {"ax", "fnx", "volume"} & set(summed[0])
+
+
+def test_merge_writes_no_marks_but_the_last(spark, monkeypatch):
+    from sherdloom.operators import asof
+
+    written = []
+    monkeypatch.setattr(asof, "materialize", lambda df, tag: written.append(materialize(df, tag)) or written[-1])
+    marks = spark.range(5000).select(F.lit(1).alias("k"), (2 * F.col("id")).alias("at"), F.col("id").alias("mark"))
+    asked = spark.range(300).select(F.lit(1).alias("k"), (31 * F.col("id")).alias("at"), F.col("id").alias("n"))
+    got = asof.with_last_mark(asked, marks, ["k"], "at", "mark").collect()
+    assert sorted((r.n, r.mark) for r in got) == [(n, 31 * n // 2) for n in range(300)]
+    rows = written[0].groupBy("_pid").agg(F.count_if(F.col("_kind") == 0).alias("n")).collect()
+    assert max(r.n for r in rows) == 1
+
+
 def test_posed_points_return_home(spark):
     v, f = row_of_cubes(spark, 2)
     for made in (prepare.uniform_clouds(v, f, 40), prepare.weighted_clouds(v, f, 100, 5, 4)):
