@@ -1,8 +1,8 @@
 """Language-model scoring with Brown class-based bigrams.
 
 Exchange puts words into classes: word by word, the class whose neighbours fit best.
-Every word that training holds ``LEAST`` times or more and that makes up ``SHARE`` of
-its tokens or more is clustered, ties included.  The commonest of them, the core, are
+Every word that training holds ``LEAST`` times or more is clustered, whatever the size
+of the training table.  Those that make up ``CORE_SHARE`` of its tokens, the core, are
 exchanged over counted pairs until a round hardly raises the likelihood; then each of
 the others meets its neighbours' classes and moves to the class where it fits best.
 Words rarer than that belong to classes by their form, and so do unknown ones.  A
@@ -10,10 +10,11 @@ text's probability is the product of class transitions and of word emissions ins
 the class, both smoothed.
 
 Counts cover all training documents.  Words are counted in each task and then by
-shuffle; what tasks receive is the dictionary of the clustered words and class tables.
-No more than ``1 / SHARE`` words can have that share, however long the table.  Counts
-of all other words meet the documents in a shuffled join, one row per document and
-distinct word.
+shuffle.  Tasks and the driver hold the dictionary of the core and class tables: no
+more than ``1 / CORE_SHARE`` words can have that share, however long the table.  All
+other words keep their counts and classes in a table that meets the documents in a
+shuffled join, one row per document and distinct word; a document is the sequence of
+its words' classes from then on.
 
 Defined results: a null text is empty and is one end token; a null doc id is hashed
 as the empty text; without training documents every count is zero and scores are
@@ -36,17 +37,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize
 from .common import col, with_row_id
 
-SHARE = 2.0**-22  # of all training tokens, from which a word is clustered: at most 2^22 words
 CORE_SHARE = 2.0**-16  # from which it is exchanged over pair counts: at most 2^16 words
 LEAST = 3  # times a clustered word is seen at least; the others stand for unknown words
 CLASSES = 32  # classes of clustered words
 FORMS = 8  # classes of all other words, by form
 SETTLED = 2e-3  # gain of a round, in nats a token, at which the exchange has settled
-BLOCK_WORDS = 1024  # words whose exchanges one group evaluates
+BLOCK_WORDS = 1024  # words whose exchanges one group evaluates, on average
 TOGETHER = 256  # of them, in one array operation
+HOLE = 255  # class of a word that is not of the core, until the table of such words is met
 FOLDS = 10
 ADD = 0.1
-COUNTER_ROWS = 400_000  # distinct words or pairs that a task holds before it hands them on
+COUNTER_ROWS = 100_000  # distinct words or pairs that a task holds before it hands them on
 
 
 _DIGIT = re.compile(rb"[0-9]")
@@ -169,38 +170,6 @@ def pair_counts(training: DataFrame, symbols: Symbols) -> DataFrame:
 RIGHT, LEFT, OWN = 0, 1, 2
 
 
-def context_counts(training: DataFrame, symbols: Symbols, of: np.ndarray, core: int, total: int) -> DataFrame:
-    """(w, side, c, n): classes beside the clustered words outside the core."""
-    classes = training.sparkSession.sparkContext.broadcast(of.astype(np.int16))
-
-    def codes(s, ids):
-        c = classes.value[ids].astype(np.int64)
-        mine = (ids >= core) & (ids < s.first_form)
-        at = np.flatnonzero(mine)  # never a text's first or last symbol: those are ends
-        w = ids[at] * 3
-        twin = at[ids[at] == ids[at + 1]]
-        return np.r_[(w + RIGHT) * total + c[at + 1], (w + LEFT) * total + c[at - 1], (ids[twin] * 3 + OWN) * total]
-
-    return _counted_codes(
-        training, symbols.words, codes, ["w", "side", "c"], lambda x: (x // total // 3, x // total % 3, x % total)
-    )
-
-
-def class_pairs(training: DataFrame, symbols: Symbols, of: np.ndarray, total: int) -> np.ndarray:
-    """Counts of neighbouring classes."""
-    classes = training.sparkSession.sparkContext.broadcast(of.astype(np.int16))
-
-    def codes(s, ids):
-        c = classes.value[ids].astype(np.int64)
-        return c[:-1] * total + c[1:]
-
-    grid = np.zeros((total, total))
-    found = _counted_codes(training, symbols.words, codes, ["a", "b"], lambda x: (x // total, x % total))
-    for r in found.collect():  # one row per pair of classes
-        grid[r["a"], r["b"]] = r["n"]
-    return grid
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.where(x > 0, x, 1.0)), 0.0)
 
@@ -240,28 +209,36 @@ def best_class(a: int, right: np.ndarray, left: np.ndarray, own: float, grid: np
     return to, float(gain[to] - gain[a])
 
 
-def best_classes(beside: DataFrame, of: np.ndarray, grid: np.ndarray, classes: int) -> DataFrame:
-    """(w, to, gain): words of ``beside`` (w, side, c, n), their best class, all others at rest.
+def _best(dense: np.ndarray, of: np.ndarray, grid: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best class of words of classes ``of``, and what they gain there.
 
-    A word that comes from a form class has no gain: it leaves that class anyway.
+    ``dense`` counts their neighbours by word, side and class.  A word that comes from a
+    form class has no gain: it leaves that class anyway.
     """
+    best, gained = [np.zeros(0, int)], [np.zeros(0)]
+    for first in range(0, len(of), TOGETHER):
+        a, part = of[first : first + TOGETHER], dense[first : first + TOGETHER]
+        k, own = np.arange(len(a)), part[:, OWN].sum(1)
+        part[k, RIGHT, a] -= own
+        part[k, LEFT, a] -= own
+        gain = gains(a, part[:, RIGHT], part[:, LEFT], own, grid, classes)
+        to = gain.argmax(1)
+        here = np.where(a < classes, gain[k, np.minimum(a, classes - 1)], np.nan)
+        best.append(to)
+        gained.append(gain[k, to] - here)
+    return np.concatenate(best), np.concatenate(gained)
+
+
+def best_classes(beside: DataFrame, of: np.ndarray, grid: np.ndarray, classes: int) -> DataFrame:
+    """(w, to, gain): words of ``beside`` (w, side, c, n), their best class, all others at rest."""
     now, total = of.astype(np.int16), len(grid)  # go to every task
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
         words, at = np.unique(pdf["w"].to_numpy(np.int64), return_inverse=True)
-        found = []
         dense = np.zeros((len(words), 3, total))
         dense[at, pdf["side"].to_numpy(int), pdf["c"].to_numpy(int)] = pdf["n"].to_numpy(float)
-        for first in range(0, len(words), TOGETHER):
-            w, part = words[first : first + TOGETHER], dense[first : first + TOGETHER]
-            a, k, own = now[w].astype(int), np.arange(len(w)), part[:, OWN].sum(1)
-            part[k, RIGHT, a] -= own
-            part[k, LEFT, a] -= own
-            gain = gains(a, part[:, RIGHT], part[:, LEFT], own, grid, classes)
-            to = gain.argmax(1)
-            here = np.where(a < classes, gain[k, np.minimum(a, classes - 1)], np.nan)
-            found.append(pd.DataFrame({"w": w, "to": to, "gain": gain[k, to] - here}))
-        return pd.concat(found)
+        to, gain = _best(dense, now[words].astype(int), grid, classes)
+        return pd.DataFrame({"w": words, "to": to, "gain": gain})
 
     return beside.groupBy(F.floor(F.col("w") / BLOCK_WORDS)).applyInPandas(evaluate, "w long, to int, gain double")
 
@@ -319,92 +296,230 @@ def exchange(pairs: DataFrame, symbols: Symbols, classes: int, settled: float) -
     return of, grid
 
 
-def cluster(training: DataFrame, words: list[bytes], core: int, classes: int, settled: float) -> tuple[Symbols, np.ndarray, np.ndarray]:
-    """Symbols, their classes and the class-pair counts; the first ``core`` words are the core."""
-    symbols, total = Symbols(words), classes + FORMS + 1
-    inner = Symbols(words[:core])
-    pairs = materialize(pair_counts(training, inner), "pairs")
-    found, grid = exchange(pairs, inner, classes, settled)
-    if core == len(words):
-        return symbols, found, grid
-    fixed = np.arange(FORMS + 1) + classes
-    of = np.r_[found[:core], [classes + form_class(w) for w in words[core:]], fixed].astype(np.int64)
+def contexts(training: DataFrame, core: Symbols, of: np.ndarray, total: int) -> DataFrame:
+    """(word, beside, n): what stands beside the words outside the core.
 
-    moved = of.copy()
-    beside = context_counts(training, symbols, of, core, total)
-    for r in best_classes(beside, of, grid, classes).collect():  # no more than the clustered words
-        moved[r["w"]] = r["to"]
-    return symbols, moved, class_pairs(training, symbols, moved, total)
+    ``beside`` is the class on the left, the class on the right and whether the word itself
+    stands there, in one number.
+    """
+    shared = training.sparkSession.sparkContext.broadcast((core.words, of))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, of = shared.value
+        s = Symbols(words)
 
-class Model:
-    """Class tables and counts of clustered words, for scoring inside tasks."""
+        def batch(c):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in c], pa.binary()), pa.array([x for _, x in c], pa.int32()),
+                 pa.array(list(c.values()), pa.int64())],
+                names=["word", "beside", "n"],
+            )
+
+        found: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                w = _words(t.as_py())
+                ids = s.of(w)
+                at = np.flatnonzero(ids >= s.first_form)
+                c = of[np.r_[s.end, ids, s.end]]
+                mine = [w[k] for k in at]
+                w.append(b"")
+                twin = np.fromiter((w[k] == w[k + 1] for k in at), bool, len(at))
+                found.update(zip(mine, ((c[at] * total + c[at + 2]) * 2 + twin).tolist()))
+                if len(found) > COUNTER_ROWS:
+                    yield batch(found)
+                    found = Counter()
+        if found:
+            yield batch(found)
+
+    return training.select("text").mapInArrow(run, "word binary, beside int, n long")
+
+
+def placed_words(beside: DataFrame, others: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
+    """(word, n, class): the words ``others`` (word, form, n) in the class where they fit best."""
+    total = len(grid)
+    blocks = max(1, others.count() // BLOCK_WORDS)
+
+    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, words = pd.factorize(pdf["word"])
+        first = np.unique(at, return_index=True)[1]
+        x, k = pdf["beside"].to_numpy(int), pdf["k"].to_numpy(float)
+        dense = np.zeros((len(words), 3, total))
+        np.add.at(dense, (at, RIGHT, x // 2 % total), k)
+        np.add.at(dense, (at, LEFT, x // 2 // total), k)
+        np.add.at(dense, (at, OWN, 0), k * (x % 2))
+        to, _ = _best(dense, classes + pdf["form"].to_numpy(int)[first], grid, classes)
+        return pd.DataFrame({"word": words, "n": pdf["n"].to_numpy()[first], "class": to})
+
+    met = beside.withColumnRenamed("n", "k").join(others, "word")
+    block = F.pmod(F.xxhash64("word"), F.lit(blocks))
+    return met.groupBy(block).applyInPandas(evaluate, "word binary, n long, class int")
+
+
+class Learned:
+    """Classes and counts: of the core and the forms here, of all other words in the table ``placed``."""
 
-    def __init__(self, symbols, counts, of, grid, forms, tokens, vocabulary, ends) -> None:
-        """``forms``: (form, tokens, distinct words) of all other words."""
-        n = np.zeros(symbols.size)
+    def __init__(self, core, of, counts, placed, total, tokens, vocabulary, ends) -> None:
+        n = np.zeros(core.size)
         n[: len(counts)] = counts
-        n[symbols.end] = ends
-        self.symbols, self.of = symbols, of
-        total = len(grid)
+        n[core.end] = ends
+        self.core, self.of, self.n, self.placed, self.total = core, of, n, placed, total
+        self.tokens, self.vocabulary, self.ends = tokens, vocabulary, ends
         mass, kinds = np.zeros(total), np.zeros(total)
         np.add.at(mass, of[: len(counts)], n[: len(counts)])
         np.add.at(kinds, of[: len(counts)], 1)
-        for form, m, k in forms:
-            mass[of[symbols.first_form + form]] += m
-            kinds[of[symbols.first_form + form]] += k
-        self.step = np.log10((grid + ADD) / (grid.sum(1, keepdims=True) + ADD * total))
-        self.room = np.log10(np.maximum(mass + ADD * (kinds + 1), 1e-300))
-        self.tokens, self.vocabulary = tokens, vocabulary
-        self.floor = np.log10(tokens + ADD * (vocabulary + 1))
-        self.base = np.log10(n + ADD) - self.floor
-        self.emit = np.log10(n + ADD) - self.room[of]
-        self.emit[symbols.end] = 0.0  # the end is alone in its class
-        self.known = n > 0
-
-    def packed(self) -> dict:
-        """Plain values that tasks can read without this package."""
-        return {**self.__dict__, "symbols": self.symbols.words}
-
-    @classmethod
-    def unpacked(cls, values: dict) -> Model:
-        model = cls.__new__(cls)
-        model.__dict__.update(values, symbols=Symbols(values["symbols"]))
-        return model
-
-    def score(self, words: list[bytes]):
-        """(known, base, score, rare words with their counts) of one text.
-
-        Base and score leave out what hangs on the counts of words that are not clustered.
-        """
-        s = self.symbols
-        ids = np.r_[s.of(words), s.end]
-        rare = Counter(words[k] for k in np.flatnonzero(ids[:-1] >= s.first_form))
-        own = ids[(ids < s.first_form) | (ids == s.end)]
-        classes = np.r_[self.of[s.end], self.of[ids]]
-        score = self.step[classes[:-1], classes[1:]].sum() + self.emit[own].sum()
-        return int(self.known[own].sum()), float(self.base[own].sum()), float(score), rare
-
-
-def fit(
-    training: DataFrame, share: float = SHARE, core_share: float = CORE_SHARE, least: int = LEAST,
-    classes: int = CLASSES, settled: float = SETTLED,
-) -> tuple[Model, DataFrame]:
-    """The class model of the training texts and the counts of all other words."""
+        sums = placed.groupBy("class").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"))
+        for r in sums.collect():  # one row per class
+            mass[r["class"]] += r["m"]
+            kinds[r["class"]] += r["k"]
+        self.room = np.log10(mass + ADD * (kinds + 1))
+        self.floor = float(np.log10(tokens + ADD * (vocabulary + 1)))
+
+
+def learn(
+    training: DataFrame, core_share: float = CORE_SHARE, least: int = LEAST, classes: int = CLASSES, settled: float = SETTLED,
+) -> Learned:
+    """Classes of all words of the training texts."""
     counts = materialize(word_counts(training), "words")
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(least, share * tokens)
-    top = clustered_words(counts, least)
-    core = sum(r["n"] >= core_share * tokens for r in top)
-    ends = training.count()
-    symbols, of, grid = cluster(training, [bytes(r["word"]) for r in top], core, classes, settled)
-    rare = counts.where(F.col("n") < least)
-    forms = rare.groupBy("form").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k")).collect()
-    model = Model(
-        symbols, [r["n"] for r in top], of, grid, [tuple(r) for r in forms],
-        tokens + ends, kinds + (ends > 0), ends,
+    in_core = F.col("n") >= max(least, core_share * tokens)
+    top = clustered_words(counts, max(least, core_share * tokens))
+    ends, total = training.count(), classes + FORMS + 1
+    core = Symbols([bytes(r["word"]) for r in top])
+    of, grid = exchange(materialize(pair_counts(training, core), "pairs"), core, classes, settled)
+    others = counts.where((F.col("n") >= least) & ~in_core)
+    found = placed_words(contexts(training, core, of, total), others, grid, classes)
+    rare = counts.where(F.col("n") < least).select("word", "n", (F.col("form") + classes).alias("class"))
+    placed = materialize(found.unionByName(rare), "placed")
+    return Learned(core, of, [r["n"] for r in top], placed, total, tokens + ends, kinds + (ends > 0), ends)
+
+
+def as_classes(docs: DataFrame, learned: Learned) -> DataFrame:
+    """(doc_id, n_tokens, known, base, emitted, classes) of (doc_id, text) rows, written once.
+
+    ``classes`` holds one byte a word; ``emitted`` sums what words cost inside their classes.
+    """
+    spark = docs.sparkSession
+    core, of, room, floor = learned.core, learned.of, learned.room, learned.floor
+    base = np.log10(learned.n + ADD) - floor
+    emit = np.log10(learned.n + ADD) - room[of]
+    emit[core.end] = 0.0  # the end is alone in its class
+    shared = spark.sparkContext.broadcast((core.words, of, learned.n > 0, base, emit))
+    kept = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, emitted double, classes binary"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, of, known, base, emit = shared.value
+        s = Symbols(words)
+        for b in batches:
+            n, k, x, y, classes, holes, others, times = [], [], [], [], [], [], [], []
+            for t in b.column(1):
+                w = _words(t.as_py())
+                ids = s.of(w)
+                seen: dict[bytes, int] = {}
+                hole = [seen.setdefault(w[at], len(seen)) for at in np.flatnonzero(ids >= s.first_form)]
+                own = np.r_[ids[ids < s.first_form], s.end]
+                n.append(len(w) + 1)
+                k.append(int(known[own].sum()))
+                x.append(float(base[own].sum()))
+                y.append(float(emit[own].sum()))
+                classes.append(np.where(ids < s.first_form, of[ids], HOLE).astype(np.uint8).tobytes())
+                holes.append(np.array(hole, np.int32))
+                others.append(list(seen))
+                times.append(np.bincount(hole, minlength=len(seen)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(x, pa.float64()),
+                 pa.array(y, pa.float64()), pa.array(classes, pa.binary()), pa.array(holes, pa.list_(pa.int32())),
+                 pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
+                names=["doc_id", "n_tokens", "known", "base", "emitted", "classes", "holes", "words", "times"],
+            )
+
+    scanned = docs.select("doc_id", "text").mapInArrow(scan, f"{kept}, holes array<int>, words array<binary>, times array<int>")
+    rows, rid = with_row_id(scanned, "coded")
+    each = rows.select(F.col(rid).alias("rid"), F.posexplode("words").alias("at", "word"))
+    # A word that training lacks has no row to take its class from.
+    form = _form_column(F.col("word")) + (learned.total - FORMS - 1)
+    met = each.join(learned.placed, "word", "left").select(
+        "rid", F.struct("at", F.coalesce("class", form).alias("c"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).alias("x")
     )
-    return model, rare
+    met = met.groupBy("rid").agg(F.collect_list("x").alias("met"))  # the distinct words of one text
+    rows = rows.drop("words").withColumnRenamed(rid, "rid").join(met, "rid", "left")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known, base, emitted, classes = (b.column(c).to_pylist() for c in ("known", "base", "emitted", "classes"))
+            for k, (holes, times, met) in enumerate(zip(b.column("holes"), b.column("times"), b.column("met"))):
+                if met.as_py() is None:
+                    continue
+                at, c, n = (met.values.field(f).to_numpy() for f in range(3))
+                by_place = np.zeros(len(at), np.uint8)
+                by_place[at] = c
+                text = np.frombuffer(classes[k], np.uint8).copy()
+                text[text == HOLE] = by_place[holes.values.to_numpy()]
+                classes[k] = text.tobytes()
+                often = times.values.to_numpy()[at]
+                weight = np.log10(n + ADD)
+                known[k] += int(often[n > 0].sum())
+                base[k] += float((often * (weight - floor)).sum())
+                emitted[k] += float((often * (weight - room[c])).sum())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
+                 pa.array(emitted, pa.float64()), pa.array(classes, pa.binary())],
+                names=["doc_id", "n_tokens", "known", "base", "emitted", "classes"],
+            )
+
+    return materialize(rows.mapInArrow(fill, kept), "classes")
+
+
+def _steps(classes: bytes, end: int) -> np.ndarray:
+    return np.r_[end, np.frombuffer(classes, np.uint8), end].astype(np.int64)
+
+
+def class_pairs(texts: DataFrame, total: int) -> np.ndarray:
+    """Counts of neighbouring classes in the texts of ``as_classes``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(total * total, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                c = _steps(t.as_py(), total - 1)
+                found += np.bincount(c[:-1] * total + c[1:], minlength=total * total)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at // total), pa.array(at % total), pa.array(found[at])], names=["a", "b", "n"])
+
+    grid = np.zeros((total, total))
+    found = texts.select("classes").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # one row per pair of classes
+        grid[r["a"], r["b"]] = r["n"]
+    return grid
+
+
+def transitions(grid: np.ndarray) -> np.ndarray:
+    """Smoothed log10 probability of a class (column) after another one (row)."""
+    return np.log10((grid + ADD) / (grid.sum(1, keepdims=True) + ADD * len(grid)))
+
+
+class Model:
+    """Class tables and all clustered words in one place, to look into a model whose dictionary fits there."""
+
+    def __init__(self, learned: Learned, grid: np.ndarray, others: list) -> None:
+        core = learned.core
+        self.symbols = Symbols([*core.words, *(bytes(r["word"]) for r in others)])
+        self.of = np.r_[learned.of[: core.first_form], [r["class"] for r in others], learned.of[core.first_form :]].astype(np.int64)
+        n = np.r_[learned.n[: core.first_form], [r["n"] for r in others], learned.n[core.first_form :]]
+        self.step, self.room = transitions(grid), learned.room
+        self.emit = np.log10(n + ADD) - self.room[self.of]
+        self.emit[self.symbols.end] = 0.0
+
+
+def fit(training: DataFrame, least: int = LEAST, classes: int = CLASSES, **parameters) -> tuple[Model, DataFrame]:
+    """The class model of the training texts and the counts (word, form, n) of all other words.
+
+    ``score`` does without: it leaves words outside the core in their table.
+    """
+    learned = learn(training, least=least, classes=classes, **parameters)
+    texts = as_classes(training.select(F.lit(None).cast("long").alias("doc_id"), "text"), learned)
+    others = learned.placed.where(F.col("n") >= least).collect()
+    rare = learned.placed.where(F.col("n") < least).select("word", (F.col("class") - classes).alias("form"), "n")
+    return Model(learned, class_pairs(texts, learned.total), others), rare
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -413,61 +528,29 @@ def is_held_out(doc_id: Column) -> Column:
 
 def score(docs: DataFrame, **parameters) -> DataFrame:
     """One row per document with base and class-model log10 probabilities."""
-    spark = docs.sparkSession
     source = docs.select(col(docs, "doc_id").alias("doc_id"), col(docs, "text").cast("string").alias("text"))
-    model, rare = fit(source.where(~is_held_out(F.col("doc_id"))).select("text"), **parameters)
-    shared = spark.sparkContext.broadcast(model.packed())
+    learned = learn(source.where(~is_held_out(F.col("doc_id"))).select("text"), **parameters)
+    texts = as_classes(source, learned)
+    total = learned.total
+    step = transitions(class_pairs(texts.where(~is_held_out(F.col("doc_id"))), total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.unpacked(shared.value)
         for b in batches:
-            n, known, base, total, words, times, at = [], [], [], [], [], [], [0]
-            for t in b.column(1):
-                w = _words(t.as_py())
-                k, x, y, rest = m.score(w)
-                n.append(len(w) + 1)
-                known.append(k)
-                base.append(x)
-                total.append(y)
-                words += rest.keys()
-                times += rest.values()
-                at.append(len(words))
-            at = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(total, pa.float64()), pa.ListArray.from_arrays(at, pa.array(words, pa.binary())),
-                 pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))],
-                names=["doc_id", "n_tokens", "known", "base", "total", "words", "times"],
-            )
-
-    scanned = source.mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, "
-        "total double, words array<binary>, times array<int>",
+            found = []
+            for t, emitted in zip(b.column("classes"), b.column("emitted").to_pylist()):
+                c = _steps(t.as_py(), total - 1)
+                found.append(float(step[c[:-1], c[1:]].sum()) + emitted)
+            kept = ["doc_id", "n_tokens", "known", "base"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(found, pa.float64())], names=[*kept, "total"])
+
+    scored = texts.mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, total double"
     )
-    rows, rid = with_row_id(scanned, "scored")
-    each = rows.select(F.col(rid).alias("rid"), F.explode(F.arrays_zip("words", "times")).alias("x")).select(
-        "rid", F.col("x.words").alias("word"), F.col("x.times").alias("k")
-    )
-
-    # A word that training lacks has no row to take its form from.
-    room = F.array(*[F.lit(float(model.room[model.of[model.symbols.first_form + k]])) for k in range(FORMS)])
-    met = each.join(rare, "word", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    form = F.coalesce(F.col("form"), _form_column(F.col("word")))
-    weight = F.log10(n + ADD)
-    extra = met.select(
-        "rid", F.when(n > 0, F.col("k")).otherwise(0).alias("known2"),
-        (F.col("k") * (weight - float(model.floor))).alias("base2"),
-        (F.col("k") * (weight - F.get(room, form))).alias("total2"),
-    ).groupBy("rid").agg(F.sum("known2").alias("known2"), F.sum("base2").alias("base2"), F.sum("total2").alias("total2"))
-    zero = F.lit(0.0)
-    return rows.withColumnRenamed(rid, "rid").join(extra, "rid", "left").select(
-        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce("known2", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"),
-        (F.col("total") + F.coalesce("total2", zero)).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("total") + F.coalesce("total2", zero)) / F.col("n_tokens")).alias("perplexity"),
+    return scored.select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
+        F.lit(int(learned.tokens)).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), F.col("total").alias("score"),
+        F.pow(F.lit(10.0), -F.col("total") / F.col("n_tokens")).alias("perplexity"),
     )
 
 

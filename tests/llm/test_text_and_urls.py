@@ -260,6 +260,23 @@ def test_lm_score_against_brute_force(spark):
         assert r.score == pytest.approx(want)
 
 
+def test_clustered_words_do_not_hang_on_the_size(spark, monkeypatch):
+    """Three times are enough beside any number of other words, and only the core is a dictionary of the tasks."""
+    long = " ".join(f"w{k % 50}" for k in range(150_000))
+    rows = [("rare word here " * 3,), (long,)] + [(long,) for _ in range(3)]
+    frame = spark.createDataFrame(rows, "text string")
+    held = []
+    real = brown.Symbols.__init__
+    monkeypatch.setattr(brown.Symbols, "__init__", lambda self, words: held.append(len(words)) or real(self, words))
+    parameters = {"least": 3, "core_share": 2.0**-10, "classes": 3, "settled": 1.0}
+    learned = brown.learn(frame, **parameters)
+    assert {bytes(r.word): r.n for r in learned.placed.where("class < 3").collect()} == {b"rare": 3, b"word": 3, b"here": 3}
+    # 2**-22 of some 2**24 tokens was the least share of a clustered word
+    many = brown.learn(frame.crossJoin(spark.range(30)).where("id = 0 or text like 'w%'").select("text"), **parameters)
+    assert many.tokens > 2**24 and {bytes(r.word) for r in many.placed.where("class < 3").collect()} == {b"rare", b"word", b"here"}
+    assert max(held) == 50
+
+
 def test_model_is_a_distribution(spark):
     """Over all words, an unknown one of each form and the end, probabilities sum to one."""
     rows = [(f"the w{k} of w{k % 7} Ä{k % 3} 5",) for k in range(40)]
