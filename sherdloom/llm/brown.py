@@ -10,9 +10,9 @@ text's probability is the product of class transitions and of word emissions ins
 the class, both smoothed.
 
 Counts cover all training documents.  Words are counted in each task and then by
-shuffle.  Tasks and the driver hold the dictionary of the core and class tables: no
-more than ``1 / CORE_SHARE`` words can have that share, however long the table.  All
-other words keep their counts and classes in a table that meets the documents in a
+shuffle.  Tasks and the driver hold class tables and a dictionary, of the core and of
+words with a ``DICTIONARY``-th of its share: no more than ``DICTIONARY / CORE_SHARE``
+words can have that, however long the table.  All other words keep their counts and classes in a table that meets the documents in a
 shuffled join, one row per document and distinct word; a document is the sequence of
 its words' classes from then on.
 
@@ -26,6 +26,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +39,7 @@ from ..session import materialize
 from .common import col, with_row_id
 
 CORE_SHARE = 2.0**-16  # from which it is exchanged over pair counts: at most 2^16 words
+DICTIONARY = 4  # tasks look words up that have this fraction of the core's share; the others meet them in a join
 LEAST = 3  # times a clustered word is seen at least; the others stand for unknown words
 CLASSES = 32  # classes of clustered words
 FORMS = 8  # classes of all other words, by form
@@ -297,10 +299,10 @@ def exchange(pairs: DataFrame, symbols: Symbols, classes: int, settled: float) -
 
 
 def contexts(training: DataFrame, core: Symbols, of: np.ndarray, total: int) -> DataFrame:
-    """(word, beside, n): what stands beside the words outside the core.
+    """(word, beside): what stands beside the words outside the core.
 
-    ``beside`` is the class on the left, the class on the right and whether the word itself
-    stands there, in one number.
+    ``beside`` lists places: the class on the left, the class on the right and whether the
+    word itself stands there, in one number of four bytes.
     """
     shared = training.sparkSession.sparkContext.broadcast((core.words, of))
 
@@ -310,29 +312,33 @@ def contexts(training: DataFrame, core: Symbols, of: np.ndarray, total: int) ->
 
         def batch(c):
             return pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in c], pa.binary()), pa.array([x for _, x in c], pa.int32()),
-                 pa.array(list(c.values()), pa.int64())],
-                names=["word", "beside", "n"],
+                [pa.array(list(c), pa.binary()), pa.array([x.tobytes() for x in c.values()], pa.binary())], names=["word", "beside"]
             )
 
-        found: Counter = Counter()
+        found: dict[bytes, array] = {}
+        places = 0
         for b in batches:
             for t in b.column(0):
                 w = _words(t.as_py())
                 ids = s.of(w)
                 at = np.flatnonzero(ids >= s.first_form)
                 c = of[np.r_[s.end, ids, s.end]]
-                mine = [w[k] for k in at]
+                beside = (c[at] * total + c[at + 2]) * 2
                 w.append(b"")
-                twin = np.fromiter((w[k] == w[k + 1] for k in at), bool, len(at))
-                found.update(zip(mine, ((c[at] * total + c[at + 2]) * 2 + twin).tolist()))
-                if len(found) > COUNTER_ROWS:
+                for k, x in zip(at.tolist(), beside.tolist()):
+                    word = w[k]
+                    held = found.get(word)
+                    if held is None:
+                        held = found[word] = array("i")
+                    held.append(x + (word == w[k + 1]))
+                places += len(at)
+                if places > 10 * COUNTER_ROWS:
                     yield batch(found)
-                    found = Counter()
+                    found, places = {}, 0
         if found:
             yield batch(found)
 
-    return training.select("text").mapInArrow(run, "word binary, beside int, n long")
+    return training.select("text").mapInArrow(run, "word binary, beside binary")
 
 
 def placed_words(beside: DataFrame, others: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
@@ -341,17 +347,18 @@ def placed_words(beside: DataFrame, others: DataFrame, grid: np.ndarray, classes
     blocks = max(1, others.count() // BLOCK_WORDS)
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, words = pd.factorize(pdf["word"])
-        first = np.unique(at, return_index=True)[1]
-        x, k = pdf["beside"].to_numpy(int), pdf["k"].to_numpy(float)
+        row, words = pd.factorize(pdf["word"])
+        first = np.unique(row, return_index=True)[1]
+        x = np.frombuffer(b"".join(pdf["beside"]), np.int32)
+        at = np.repeat(row, pdf["beside"].str.len() // 4)
         dense = np.zeros((len(words), 3, total))
-        np.add.at(dense, (at, RIGHT, x // 2 % total), k)
-        np.add.at(dense, (at, LEFT, x // 2 // total), k)
-        np.add.at(dense, (at, OWN, 0), k * (x % 2))
+        np.add.at(dense, (at, RIGHT, x // 2 % total), 1)
+        np.add.at(dense, (at, LEFT, x // 2 // total), 1)
+        np.add.at(dense, (at, OWN, 0), x % 2)
         to, _ = _best(dense, classes + pdf["form"].to_numpy(int)[first], grid, classes)
         return pd.DataFrame({"word": words, "n": pdf["n"].to_numpy()[first], "class": to})
 
-    met = beside.withColumnRenamed("n", "k").join(others, "word")
+    met = beside.join(others, "word")
     block = F.pmod(F.xxhash64("word"), F.lit(blocks))
     return met.groupBy(block).applyInPandas(evaluate, "word binary, n long, class int")
 
@@ -359,7 +366,8 @@ def placed_words(beside: DataFrame, others: DataFrame, grid: np.ndarray, classes
 class Learned:
     """Classes and counts: of the core and the forms here, of all other words in the table ``placed``."""
 
-    def __init__(self, core, of, counts, placed, total, tokens, vocabulary, ends) -> None:
+    def __init__(self, core, of, counts, placed, total, tokens, vocabulary, ends, held) -> None:
+        """``held``: how often a word comes at least that the dictionary ``symbols`` holds beside the core."""
         n = np.zeros(core.size)
         n[: len(counts)] = counts
         n[core.end] = ends
@@ -374,6 +382,14 @@ class Learned:
             kinds[r["class"]] += r["k"]
         self.room = np.log10(mass + ADD * (kinds + 1))
         self.floor = float(np.log10(tokens + ADD * (vocabulary + 1)))
+        self.symbols, self.classes, self.counts = self.with_words(placed.where(F.col("n") >= held).collect())
+
+    def with_words(self, others: list) -> tuple[Symbols, np.ndarray, np.ndarray]:
+        """Symbols, classes and counts of the core and of further words (word, n, class)."""
+        k = self.core.first_form
+        symbols = Symbols([*self.core.words, *(bytes(r["word"]) for r in others)])
+        of = np.r_[self.of[:k], [r["class"] for r in others], self.of[k:]].astype(np.int64)
+        return symbols, of, np.r_[self.n[:k], [r["n"] for r in others], self.n[k:]]
 
 
 def learn(
@@ -391,7 +407,8 @@ def learn(
     found = placed_words(contexts(training, core, of, total), others, grid, classes)
     rare = counts.where(F.col("n") < least).select("word", "n", (F.col("form") + classes).alias("class"))
     placed = materialize(found.unionByName(rare), "placed")
-    return Learned(core, of, [r["n"] for r in top], placed, total, tokens + ends, kinds + (ends > 0), ends)
+    held = core_share / DICTIONARY * tokens
+    return Learned(core, of, [r["n"] for r in top], placed, total, tokens + ends, kinds + (ends > 0), ends, held)
 
 
 def as_classes(docs: DataFrame, learned: Learned) -> DataFrame:
@@ -400,11 +417,11 @@ def as_classes(docs: DataFrame, learned: Learned) -> DataFrame:
     ``classes`` holds one byte a word; ``emitted`` sums what words cost inside their classes.
     """
     spark = docs.sparkSession
-    core, of, room, floor = learned.core, learned.of, learned.room, learned.floor
-    base = np.log10(learned.n + ADD) - floor
-    emit = np.log10(learned.n + ADD) - room[of]
-    emit[core.end] = 0.0  # the end is alone in its class
-    shared = spark.sparkContext.broadcast((core.words, of, learned.n > 0, base, emit))
+    symbols, of, room, floor = learned.symbols, learned.classes, learned.room, learned.floor
+    base = np.log10(learned.counts + ADD) - floor
+    emit = np.log10(learned.counts + ADD) - room[of]
+    emit[symbols.end] = 0.0  # the end is alone in its class
+    shared = spark.sparkContext.broadcast((symbols.words, of, learned.counts > 0, base, emit))
     kept = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, emitted double, classes binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,37 +452,38 @@ def as_classes(docs: DataFrame, learned: Learned) -> DataFrame:
 
     scanned = docs.select("doc_id", "text").mapInArrow(scan, f"{kept}, holes array<int>, words array<binary>, times array<int>")
     rows, rid = with_row_id(scanned, "coded")
-    each = rows.select(F.col(rid).alias("rid"), F.posexplode("words").alias("at", "word"))
+    each = rows.select(F.col(rid).alias("rid"), F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")).select(
+        "rid", "at", F.col("x.words").alias("word"), F.col("x.times").alias("k")
+    )
     # A word that training lacks has no row to take its class from.
     form = _form_column(F.col("word")) + (learned.total - FORMS - 1)
+    c, n = F.coalesce("class", form), F.coalesce("n", F.lit(0))
+    weight, rooms = F.log10(n + ADD), F.array(*[F.lit(float(x)) for x in room])
     met = each.join(learned.placed, "word", "left").select(
-        "rid", F.struct("at", F.coalesce("class", form).alias("c"), F.coalesce("n", F.lit(0)).cast("long").alias("n")).alias("x")
+        "rid", (F.col("at").cast("long") * (HOLE + 1) + c).alias("x"), F.when(n > 0, F.col("k")).otherwise(0).alias("known2"),
+        (F.col("k") * (weight - floor)).alias("base2"), (F.col("k") * (weight - F.get(rooms, c))).alias("emitted2"),
+    )
+    met = met.groupBy("rid").agg(  # the distinct words of one text
+        F.collect_list("x").alias("met"), *[F.sum(c).alias(c) for c in ("known2", "base2", "emitted2")]
+    )
+    rows = rows.drop("words", "times").withColumnRenamed(rid, "rid").join(met, "rid", "left").select(
+        "doc_id", "n_tokens", *[(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in ("known", "base", "emitted")],
+        "classes", "holes", "met",
     )
-    met = met.groupBy("rid").agg(F.collect_list("x").alias("met"))  # the distinct words of one text
-    rows = rows.drop("words").withColumnRenamed(rid, "rid").join(met, "rid", "left")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known, base, emitted, classes = (b.column(c).to_pylist() for c in ("known", "base", "emitted", "classes"))
-            for k, (holes, times, met) in enumerate(zip(b.column("holes"), b.column("times"), b.column("met"))):
-                if met.as_py() is None:
-                    continue
-                at, c, n = (met.values.field(f).to_numpy() for f in range(3))
-                by_place = np.zeros(len(at), np.uint8)
-                by_place[at] = c
-                text = np.frombuffer(classes[k], np.uint8).copy()
-                text[text == HOLE] = by_place[holes.values.to_numpy()]
-                classes[k] = text.tobytes()
-                often = times.values.to_numpy()[at]
-                weight = np.log10(n + ADD)
-                known[k] += int(often[n > 0].sum())
-                base[k] += float((often * (weight - floor)).sum())
-                emitted[k] += float((often * (weight - room[c])).sum())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(emitted, pa.float64()), pa.array(classes, pa.binary())],
-                names=["doc_id", "n_tokens", "known", "base", "emitted", "classes"],
-            )
+            classes = b.column("classes").to_pylist()
+            for k, (holes, met) in enumerate(zip(b.column("holes"), b.column("met"))):
+                if met.is_valid:
+                    x = met.values.to_numpy()
+                    by_place = np.zeros(len(x), np.uint8)
+                    by_place[x // (HOLE + 1)] = x % (HOLE + 1)
+                    text = np.frombuffer(classes[k], np.uint8).copy()
+                    text[text == HOLE] = by_place[holes.values.to_numpy()]
+                    classes[k] = text.tobytes()
+            same = ["doc_id", "n_tokens", "known", "base", "emitted"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, same), pa.array(classes, pa.binary())], names=[*same, "classes"])
 
     return materialize(rows.mapInArrow(fill, kept), "classes")
 
@@ -501,10 +519,7 @@ class Model:
     """Class tables and all clustered words in one place, to look into a model whose dictionary fits there."""
 
     def __init__(self, learned: Learned, grid: np.ndarray, others: list) -> None:
-        core = learned.core
-        self.symbols = Symbols([*core.words, *(bytes(r["word"]) for r in others)])
-        self.of = np.r_[learned.of[: core.first_form], [r["class"] for r in others], learned.of[core.first_form :]].astype(np.int64)
-        n = np.r_[learned.n[: core.first_form], [r["n"] for r in others], learned.n[core.first_form :]]
+        self.symbols, self.of, n = learned.with_words(others)
         self.step, self.room = transitions(grid), learned.room
         self.emit = np.log10(n + ADD) - self.room[self.of]
         self.emit[self.symbols.end] = 0.0
