@@ -290,9 +290,9 @@ def gallery_manifest(spark, sf):
     return got.withColumn("pos", F.col("pos").cast("long"))
 
 
-def _last_poses(spark, sf):
+def _last_poses(spark, sf, trajectory):
     """True poses beside the last ones of the trajectory, which the documents are about."""
-    end = _trajectory(spark, sf).where("step = 19").select(*PART, *[F.col(c).alias(f"pr_{c}") for c in ("tx", "ty", "tz", "qw", "qx", "qy", "qz")])
+    end = trajectory.where("step = 19").select(*PART, *[F.col(c).alias(f"pr_{c}") for c in ("tx", "ty", "tz", "qw", "qx", "qy", "qz")])
     return fx.poses(spark, sf).select(*PART, *R.GT_COLS).join(end, PART)
 
 
@@ -300,16 +300,19 @@ def _write_documents(spark, sf):
     """Poses, metrics of the last poses, and the pieces taken away or added, of every object.
 
     The pieces of an object stand in a row; the plan takes the first one away, and the last of
-    three pieces or more is redundant.
+    three pieces or more is redundant.  The trajectory, its last poses and the sizes are written once:
+    every list of pieces reads them.
     """
     from ..operators.removal import removal_plan
     from ..plans.evaluate import evaluation_report
 
     path = fresh_path(spark, "results")
-    poses = _last_poses(spark, sf)
-    report = evaluation_report(fx.points(spark, sf), poses, part_sizes(spark, sf), F.col("redundancy")).drop("num_parts")
+    trajectory = materialize(_trajectory(spark, sf), "trajectory")
+    poses = materialize(_last_poses(spark, sf, trajectory), "poses")
+    parts = materialize(part_sizes(spark, sf), "sizes")
+    report = evaluation_report(fx.points(spark, sf), poses, parts, F.col("redundancy")).drop("num_parts")
     names = poses.select(*PART, F.concat(F.lit("piece_"), "part_idx").alias("piece"))
-    sizes = part_sizes(spark, sf).select(*PART, "num_parts", "redundancy")
+    sizes = parts.select(*PART, "num_parts", "redundancy")
     row = names.select("name", F.col("part_idx").alias("i"), (F.col("part_idx") + 1).alias("j"))
     row = row.join(names.select("name", F.col("part_idx").alias("j")), ["name", "j"], "left_semi")
     plan = removal_plan(names.select(*PART, F.col("part_idx").alias("prio")), row).where("step = 0")
@@ -320,7 +323,7 @@ def _write_documents(spark, sf):
     summary = listed.fillna("", ["removal_pieces", "redundant_pieces"]).join(report, "name").join(
         sizes.select("name", "num_parts").distinct(), "name"
     ).withColumn("mesh_scale", F.lit(1.0))
-    R.write_results(R.result_documents(poses, _trajectory(spark, sf), summary), path)
+    R.write_results(R.result_documents(poses, trajectory, summary), path)
     return R.read_results(spark, path)
 
 

@@ -11,8 +11,8 @@ from ..session import materialize
 from .contact import connected_components
 from .metrics import PART
 
-# Objects up to this many pieces are peeled inside one task; larger ones step
-# through distributed component counts.
+# Objects up to this many pieces are peeled inside one task, and larger ones that have no more pieces
+# and edges together than these can have; the others step through distributed component counts.
 TASK_PIECES = 1024
 
 
@@ -62,15 +62,24 @@ def _peel(order: list, edges: Iterable[tuple]) -> list:
     at = {p: n for n, p in enumerate(order)}
     neigh: list[set] = [set() for _ in order]
     for i, j in edges:
-        if i in at and j in at:
+        if i in at and j in at and i != j:
             neigh[at[i]].add(at[j])
             neigh[at[j]].add(at[i])
     alive, taken = set(range(len(order))), []
+    first = 0
     while True:
-        pick = min(_removable(neigh, alive), default=None)
+        # A removal leaves one component.  There the first piece may go at once if it hangs on one other.
+        while taken and first not in alive:
+            first += 1
+        if taken and len(alive) > 1 and len(neigh[first]) == 1:
+            pick = first
+        else:
+            pick = min(_removable(neigh, alive), default=None)
         if pick is None:
             return taken
         alive.discard(pick)
+        for n in neigh[pick]:
+            neigh[n].discard(pick)
         taken.append(order[pick])
 
 
@@ -146,9 +155,14 @@ def removal_plan(
     name_type = priority.schema["name"].dataType.simpleString()
     sizes = priority.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
     sized = materialize(priority.join(sizes, "name"), "priority")
-    small = sized.where(F.col("_n") <= task_pieces).select(*PART, "prio")
-    names = sized.select("name", "_n").distinct()
-    near = edges.join(names.where(F.col("_n") <= task_pieces), "name", "left_semi")
+    large = sized.where(F.col("_n") > task_pieces).select("name", "_n").distinct()
+    some = not large.isEmpty()
+    small, near = sized, edges
+    if some:
+        links = edges.join(large, "name", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("_e"))
+        size = F.col("_n") + F.coalesce("_e", F.lit(0))
+        large = materialize(large.join(links, "name", "left").where(size > task_pieces * (task_pieces + 1) // 2).select("name"), "large")
+        small, near = (rows.join(large, "name", "left_anti") for rows in (sized, edges))
     # An object is one row: its pieces in order and its edges.
     order = small.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("prio", "part_idx"))).alias("_o"))
     ends = near.groupBy("name").agg(F.collect_set(F.struct("i", "j")).alias("_e"))
@@ -162,8 +176,7 @@ def removal_plan(
     plan = objects.repartition(tasks, "name").mapInArrow(_peel_rows, f"name {name_type}, taken array<long>").select(
         "name", F.posexplode("taken").alias("step", "part_idx")
     ).withColumn("step", F.col("step").cast("long"))
-    big = sized.where(F.col("_n") > task_pieces)
-    if big.isEmpty():
+    if not some or large.isEmpty():
         return plan
-    far = edges.join(names.where(F.col("_n") > task_pieces), "name", "left_semi")
+    big, far = (rows.join(large, "name", "left_semi") for rows in (sized, edges))
     return plan.unionByName(_peel_distributed(big, far))

@@ -111,3 +111,19 @@ def test_a_point_looks_into_few_blocks_of_cells(spark):
     want = sorted((p[2], q[2]) for p in rows for q in rows if p[2] < q[2] and sum((p[i] - q[i]) ** 2 for i in (3, 4, 5)) < 0.16)
     assert sorted((r.pt_idx, r.other) for r in sampling.close_pairs(df).collect()) == want
     assert sampling._around(sampling._in_cells(df.withColumn("_h", F.lit(0)))).count() < 8 * 800
+
+
+def test_a_long_row_of_pieces_is_peeled_in_its_task(spark, monkeypatch):
+    """An object of more pieces but few edges is one row too, and its plan needs no search a step."""
+    searched = []
+    real = removal._removable
+    monkeypatch.setattr(removal, "_removable", lambda *a: searched.append(1) or real(*a))
+    n = 5000
+    assert removal._peel(list(range(n)), [(k, k + 1) for k in range(n - 1)]) == list(range(n - 1))
+    assert len(searched) <= 2
+    monkeypatch.undo()
+    monkeypatch.setattr(removal, "_peel_distributed", None)
+    line = spark.range(1500).select(F.lit(7).cast("long").alias("name"), F.col("id").alias("part_idx"), F.col("id").alias("prio"))
+    edges = line.where("part_idx > 0").select("name", (F.col("part_idx") - 1).alias("i"), F.col("part_idx").alias("j"))
+    plan = removal.removal_plan(line, edges)
+    assert sorted((r.step, r.part_idx) for r in plan.collect()) == [(k, k) for k in range(1499)]
