@@ -116,3 +116,12 @@ def test_messages_of_the_fixture(spark):
     kinds = {r["type"]: r["count"] for r in got.groupBy("type").count().collect()}
     assert set(kinds) == {*progress.EVENT_TYPES, None}
     assert {r.error for r in got.where(F.col("error").isNotNull()).collect()} == {"not JSON", "unknown type", "incomplete poses"}
+
+
+def test_messages_are_built_by_many_tasks(spark):
+    """A file of events is one task; the messages of a portion are dealt over several, with the same rows."""
+    from sherdloom import fixtures as fx
+
+    plain, dealt = (fx.messages(spark, "/root/testdata/sf0.001", spread=s) for s in (False, True))
+    assert "REPARTITION_BY_COL" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, dealt.collect()))
