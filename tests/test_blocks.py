@@ -127,3 +127,15 @@ def test_a_long_row_of_pieces_is_peeled_in_its_task(spark, monkeypatch):
     edges = line.where("part_idx > 0").select("name", (F.col("part_idx") - 1).alias("i"), F.col("part_idx").alias("j"))
     plan = removal.removal_plan(line, edges)
     assert sorted((r.step, r.part_idx) for r in plan.collect()) == [(k, k) for k in range(1499)]
+
+
+def test_faces_of_one_list_are_not_shuffled_again(spark):
+    """Strips across blocks are whole in one list; repeated faces count once."""
+    made = [_piece(p, range(2100), [(k, k + 1, k + 2) for k in range(2098)] + ([(5, 6, 7)] if p else [])) for p in (0, 1)]
+    v, f = _frames(spark, made)
+    f = f.unionByName(f.where("f_idx = 1022"))
+    found = mesh.face_geometry(v, f)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2
+    assert found.count() == 2098 * 2 + 1
+    got = contact.shared_faces(v, f).collect()
+    assert len(got) == len(set(got)) == 2098 * 2 + 1
