@@ -26,14 +26,13 @@ table gives no rows.
 from __future__ import annotations
 
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize
 from .common import col, with_row_id
@@ -45,12 +44,13 @@ CLASSES = 32  # classes of clustered words
 FORMS = 8  # classes of all other words, by form
 SETTLED = 2e-3  # gain of a round, in nats a token, at which the exchange has settled
 BLOCK_WORDS = 1024  # words whose exchanges one group evaluates, on average
+PLACED_WORDS = 4096  # words, rare ones counted, among which one group places those outside the core, on average
 TOGETHER = 256  # of them, in one array operation
 HOLE = 255  # class of a word that is not of the core, until the table of such words is met
 FOLDS = 10
 ADD = 0.1
-COUNTER_ROWS = 100_000  # distinct words or pairs that a task holds before it hands them on
-
+PIECE_BYTES = 1 << 23  # text that a task holds as words at once, unless one text is longer
+PIECE_STEPS = 1 << 20  # words that a task holds as classes at once, unless one text has more
 
 _DIGIT = re.compile(rb"[0-9]")
 
@@ -65,32 +65,69 @@ def form_class(word: bytes) -> int:
     return 3 if n < 5 else 4 if n < 8 else 5 if n < 11 else 6 if n < 16 else 7
 
 
+def _forms(words: pa.Array) -> np.ndarray:
+    """``form_class`` of many words."""
+    n = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    digit = pc.match_substring_regex(words, "[0-9]").to_numpy(zero_copy_only=False)
+    wide = ~pc.string_is_ascii(words.cast(pa.string())).to_numpy(zero_copy_only=False)
+    return np.select([digit, wide & (n < 9), wide, n < 5, n < 8, n < 11, n < 16], range(7), 7)
+
+
 def _words(text: str | None) -> list[bytes]:
+    """The words of one text; ``_tokens`` finds those of many."""
     return (text or "").encode().lower().split()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], texts: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces whose ``texts`` have ``size`` bytes together, or a single row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(texts)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, all their words as numbers of these, and how many words each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an edge leaves an empty word
+    parts = pc.list_value_length(split).to_numpy(zero_copy_only=False)  # one at least
+    lengths = np.add.reduceat(full.to_numpy(zero_copy_only=False), np.cumsum(parts) - parts, dtype=np.int64)
+    found = words.filter(full).dictionary_encode()
+    return found.dictionary.cast(pa.binary()), found.indices.to_numpy(zero_copy_only=False), lengths
+
+
+def _lined_up(values: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The texts' values one after another, with ``end`` before, between and after the texts."""
+    out = np.full(len(values) + len(lengths) + 1, end, values.dtype)
+    out[np.arange(1, len(values) + 1) + np.repeat(np.arange(len(lengths)), lengths)] = values
+    return out
+
+
+def _bytes(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary value for each of ``lengths``, of so many of the values."""
+    ends = np.r_[0, np.cumsum(lengths)] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, form, n) of all words of the training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(c):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.binary()), pa.array(list(map(form_class, c)), pa.int32()),
-                 pa.array(list(c.values()), pa.int64())],
-                names=["word", "form", "n"],
-            )
-
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0):
-                c.update(_words(t.as_py()))
-                if len(c) > COUNTER_ROWS:
-                    yield batch(c)
-                    c = Counter()
-        if c:
-            yield batch(c)
+        for b in _pieces(batches):
+            words, ids, _ = _tokens(b.column("text"))
+            n = np.bincount(ids, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
 
-    each = training.select("text").mapInArrow(run, "word binary, form int, n long")
-    return each.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
+    each = training.select("text").mapInArrow(run, "word binary, n long")
+    return each.groupBy("word").agg(F.sum("n").alias("n")).select("word", _form_column(F.col("word")).alias("form"), "n")
 
 
 def clustered_words(counts: DataFrame, least: float) -> list:
@@ -98,74 +135,50 @@ def clustered_words(counts: DataFrame, least: float) -> list:
     return sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))
 
 
-class _Index(dict):
-    """Word -> symbol; forms of words met in passing are kept for a while."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        super().__init__((w, k) for k, w in enumerate(words))
-        self.clustered = len(words)
-        self.passing: dict[bytes, int] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.passing.get(word)
-        if found is None:
-            if len(self.passing) > COUNTER_ROWS:
-                self.passing = {}
-            found = self.passing[word] = self.clustered + form_class(word)
-        return found
-
-
 class Symbols:
     """Numbers of words: clustered ones first, then forms, then the end of a text."""
 
     def __init__(self, words: list[bytes]) -> None:
-        self.words, self.index = words, _Index(words)
+        self.words = words
         self.first_form = len(words)
         self.end = len(words) + FORMS
         self.size = self.end + 1
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
+def _known(words: pa.Array, symbols: pa.Array) -> np.ndarray:
+    """Numbers of the words among ``symbols``; -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=symbols), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _counted_codes(training: DataFrame, words: list[bytes], codes_of, names: list[str], split) -> DataFrame:
-    """Counts of the codes that ``codes_of(symbols, ids)`` finds in the texts.
 
-    ``split`` turns an array of codes into the columns ``names``.  Texts begin after
-    the end symbol and end with it.
-    """
-    shared = training.sparkSession.sparkContext.broadcast(words)
+def _symbols(words: pa.Array, symbols: pa.Array) -> np.ndarray:
+    """Numbers of the words among ``symbols``, and behind these of the others' forms."""
+    found = _known(words, symbols)
+    other = np.flatnonzero(found < 0)
+    found[other] = len(symbols) + _forms(words.take(pa.array(other)))
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Symbols(shared.value)
-        held: list[np.ndarray] = []
 
-        def batch():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([*map(pa.array, split(codes)), pa.array(n)], names=[*names, "n"])
+def _shared(spark: SparkSession, words: list[bytes], *further):
+    """To tasks: the words of symbols as one array, and what goes with them."""
+    return spark.sparkContext.broadcast((pa.array(words, pa.binary()), *further))
 
-        rows = 0
-        for b in batches:
-            for t in b.column(0):
-                codes = codes_of(s, np.r_[s.end, s.of(_words(t.as_py())), s.end])
-                held.append(codes)
-                rows += len(codes)
-                if rows > 10 * COUNTER_ROWS:
-                    yield batch()
-                    held, rows = [], 0
-        if rows:
-            yield batch()
 
-    each = training.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "n")))
-    return each.groupBy(*names).agg(F.sum("n").alias("n"))
+def pair_counts(training: DataFrame, symbols: Symbols) -> DataFrame:
+    """(u, v, n) of neighbouring symbols.  Texts begin after the end symbol and end with it."""
+    size, end = symbols.size, symbols.end
+    shared = _shared(training.sparkSession, symbols.words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (core,) = shared.value
+        for b in _pieces(batches):
+            words, ids, lengths = _tokens(b.column("text"))
+            s = _lined_up(_symbols(words, core)[ids], lengths, end)
+            codes, n = pa.array(s[:-1] * size + s[1:]).value_counts().flatten()
+            codes = codes.to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(codes // size), pa.array(codes % size), n], names=["u", "v", "n"])
 
-def pair_counts(training: DataFrame, symbols: Symbols) -> DataFrame:
-    """(u, v, n) of neighbouring symbols."""
-    size = symbols.size
-    return _counted_codes(
-        training, symbols.words, lambda s, ids: ids[:-1] * size + ids[1:], ["u", "v"], lambda c: (c // size, c % size)
-    )
+    each = training.select("text").mapInArrow(run, "u long, v long, n long")
+    return each.groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
 # Sides of a word: its right and left neighbour, and itself as its right neighbour.
@@ -173,7 +186,8 @@ RIGHT, LEFT, OWN = 0, 1, 2
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.where(x > 0, x, 1.0)), 0.0)
+    """Of counts: whole numbers."""
+    return x * np.log(np.maximum(x, 1.0))
 
 
 def likelihood(grid: np.ndarray) -> float:
@@ -194,9 +208,18 @@ def gains(a: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, g
     out[k, a, a] -= own
     rows, cols = out.sum(2), out.sum(1)
     r, l = (right.sum(1) + own)[:, None], (left.sum(1) + own)[:, None]
-    cell = _xlogx(out)
-    gain = _xlogx(out[:, b] + right[:, None]).sum(2) - cell[:, b].sum(2)
-    gain += _xlogx(out[:, :, b] + left[:, :, None]).sum(1) - cell[:, :, b].sum(1)
+    # Cells differ from the grid's in the word's own class, and change beside its neighbours' classes.
+    cell = np.repeat(_xlogx(grid)[None], len(a), 0)
+    cell[k, a] = _xlogx(out[k, a])
+    cell[k, :, a] = _xlogx(out[k, :, a])
+    w, c = np.nonzero(right)
+    moved = cell[:, b]
+    moved[w, :, c] = _xlogx(out[w, :classes, c] + right[w, c, None])
+    gain = moved.sum(2) - cell[:, b].sum(2)
+    w, c = np.nonzero(left)
+    moved = cell[:, :, b]
+    moved[w, c] = _xlogx(out[w, c, :classes] + left[w, c, None])
+    gain += moved.sum(1) - cell[:, :, b].sum(1)
     # The diagonal cell changes once, by both sides.
     d, x, y = out[:, b, b], right[:, b], left[:, b]
     gain += _xlogx(d + x + y + own[:, None]) - _xlogx(d + x) - _xlogx(d + y) + _xlogx(d)
@@ -304,63 +327,48 @@ def contexts(training: DataFrame, core: Symbols, of: np.ndarray, total: int) ->
     ``beside`` lists places: the class on the left, the class on the right and whether the
     word itself stands there, in one number of four bytes.
     """
-    shared = training.sparkSession.sparkContext.broadcast((core.words, of))
+    shared, end = _shared(training.sparkSession, core.words, of), core.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of = shared.value
-        s = Symbols(words)
-
-        def batch(c):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), pa.binary()), pa.array([x.tobytes() for x in c.values()], pa.binary())], names=["word", "beside"]
+        core, of = shared.value
+        for b in _pieces(batches):
+            words, ids, lengths = _tokens(b.column("text"))
+            s = _symbols(words, core)
+            c = _lined_up(of[s][ids], lengths, of[end])
+            w = _lined_up(ids, lengths, -1)
+            at = np.flatnonzero(np.r_[s >= len(core), False][w])  # the end's -1 is none of them
+            beside = (c[at - 1] * total + c[at + 1]) * 2 + (w[at] == w[at + 1])
+            n = np.bincount(w[at], minlength=len(words))
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [words.take(pa.array(met)), _bytes(beside[np.argsort(w[at], kind="stable")].astype(np.int32), n[met])],
+                names=["word", "beside"],
             )
 
-        found: dict[bytes, array] = {}
-        places = 0
-        for b in batches:
-            for t in b.column(0):
-                w = _words(t.as_py())
-                ids = s.of(w)
-                at = np.flatnonzero(ids >= s.first_form)
-                c = of[np.r_[s.end, ids, s.end]]
-                beside = (c[at] * total + c[at + 2]) * 2
-                w.append(b"")
-                for k, x in zip(at.tolist(), beside.tolist()):
-                    word = w[k]
-                    held = found.get(word)
-                    if held is None:
-                        held = found[word] = array("i")
-                    held.append(x + (word == w[k + 1]))
-                places += len(at)
-                if places > 10 * COUNTER_ROWS:
-                    yield batch(found)
-                    found, places = {}, 0
-        if found:
-            yield batch(found)
-
     return training.select("text").mapInArrow(run, "word binary, beside binary")
 
 
-def placed_words(beside: DataFrame, others: DataFrame, grid: np.ndarray, classes: int) -> DataFrame:
-    """(word, n, class): the words ``others`` (word, form, n) in the class where they fit best."""
+def placed_words(beside: DataFrame, others: DataFrame, grid: np.ndarray, classes: int, blocks: int) -> DataFrame:
+    """(word, n, class): the words ``others`` (word, form, n) in the class where they fit best.
+
+    Words meet what stands beside them in ``blocks`` groups; those not of ``others`` are left out there.
+    """
     total = len(grid)
-    blocks = max(1, others.count() // BLOCK_WORDS)
 
-    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, words = pd.factorize(pdf["word"])
-        first = np.unique(row, return_index=True)[1]
-        x = np.frombuffer(b"".join(pdf["beside"]), np.int32)
-        at = np.repeat(row, pdf["beside"].str.len() // 4)
-        dense = np.zeros((len(words), 3, total))
-        np.add.at(dense, (at, RIGHT, x // 2 % total), 1)
-        np.add.at(dense, (at, LEFT, x // 2 // total), 1)
-        np.add.at(dense, (at, OWN, 0), x % 2)
-        to, _ = _best(dense, classes + pdf["form"].to_numpy(int)[first], grid, classes)
-        return pd.DataFrame({"word": words, "n": pdf["n"].to_numpy()[first], "class": to})
+    def evaluate(beside: pa.Table, others: pa.Table) -> pa.Table:
+        others = others.combine_chunks()
+        row = pc.index_in(beside["word"], value_set=others["word"].combine_chunks())
+        beside, row = beside.filter(row.is_valid()), row.drop_null().to_numpy().astype(np.int64)
+        x = np.frombuffer(b"".join(beside["beside"].to_pylist()), np.int32)
+        at = 3 * np.repeat(row, pc.binary_length(beside["beside"]).to_numpy() // 4)
+        places = [(at + RIGHT) * total + x // 2 % total, (at + LEFT) * total + x // 2 // total, ((at + OWN) * total)[x % 2 == 1]]
+        dense = np.bincount(np.concatenate(places), minlength=others.num_rows * 3 * total)
+        dense = dense.reshape(-1, 3, total).astype(float)
+        to, _ = _best(dense, classes + others["form"].to_numpy().astype(int), grid, classes)
+        return pa.table({"word": others["word"], "n": others["n"], "class": pa.array(to, pa.int32())})
 
-    met = beside.join(others, "word")
     block = F.pmod(F.xxhash64("word"), F.lit(blocks))
-    return met.groupBy(block).applyInPandas(evaluate, "word binary, n long, class int")
+    return beside.groupBy(block).cogroup(others.groupBy(block)).applyInArrow(evaluate, "word binary, n long, class int")
 
 
 class Learned:
@@ -404,7 +412,7 @@ def learn(
     core = Symbols([bytes(r["word"]) for r in top])
     of, grid = exchange(materialize(pair_counts(training, core), "pairs"), core, classes, settled)
     others = counts.where((F.col("n") >= least) & ~in_core)
-    found = placed_words(contexts(training, core, of, total), others, grid, classes)
+    found = placed_words(contexts(training, core, of, total), others, grid, classes, max(1, kinds // PLACED_WORDS))
     rare = counts.where(F.col("n") < least).select("word", "n", (F.col("form") + classes).alias("class"))
     placed = materialize(found.unionByName(rare), "placed")
     held = core_share / DICTIONARY * tokens
@@ -415,91 +423,85 @@ def as_classes(docs: DataFrame, learned: Learned) -> DataFrame:
     """(doc_id, n_tokens, known, base, emitted, classes) of (doc_id, text) rows, written once.
 
     ``classes`` holds one byte a word; ``emitted`` sums what words cost inside their classes.
+    The texts of a piece share one list of the words that tasks don't hold.  It is dealt over
+    their rows, each word meets its count and class once for all of them, and the texts of
+    the piece take these from there.
     """
-    spark = docs.sparkSession
     symbols, of, room, floor = learned.symbols, learned.classes, learned.room, learned.floor
     base = np.log10(learned.counts + ADD) - floor
     emit = np.log10(learned.counts + ADD) - room[of]
     emit[symbols.end] = 0.0  # the end is alone in its class
-    shared = spark.sparkContext.broadcast((symbols.words, of, learned.counts > 0, base, emit))
+    shared, end = _shared(docs.sparkSession, symbols.words, of, learned.counts > 0, base, emit), symbols.end
+    sums = ["known", "base", "emitted"]
     kept = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, base double, emitted double, classes binary"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of, known, base, emit = shared.value
-        s = Symbols(words)
-        for b in batches:
-            n, k, x, y, classes, holes, others, times = [], [], [], [], [], [], [], []
-            for t in b.column(1):
-                w = _words(t.as_py())
-                ids = s.of(w)
-                seen: dict[bytes, int] = {}
-                hole = [seen.setdefault(w[at], len(seen)) for at in np.flatnonzero(ids >= s.first_form)]
-                own = np.r_[ids[ids < s.first_form], s.end]
-                n.append(len(w) + 1)
-                k.append(int(known[own].sum()))
-                x.append(float(base[own].sum()))
-                y.append(float(emit[own].sum()))
-                classes.append(np.where(ids < s.first_form, of[ids], HOLE).astype(np.uint8).tobytes())
-                holes.append(np.array(hole, np.int32))
-                others.append(list(seen))
-                times.append(np.bincount(hole, minlength=len(seen)).astype(np.int32))
+        held, of, known, base, emit = shared.value
+        for b in _pieces(batches):
+            words, ids, lengths = _tokens(b.column("text"))
+            s, n = _known(words, held), len(lengths)
+            own = s >= 0
+            text = np.repeat(np.arange(n), lengths)
+
+            def summed(values):
+                return values[end] + np.bincount(text, np.where(own, values[s], 0)[ids], n)
+
+            hole = ~own[ids]
+            holes = (np.cumsum(~own) - 1)[ids[hole]].astype(np.int32)
+            others = words.take(pa.array(np.flatnonzero(~own)))
+            dealt = len(others) * np.arange(n + 1) // n
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(x, pa.float64()),
-                 pa.array(y, pa.float64()), pa.array(classes, pa.binary()), pa.array(holes, pa.list_(pa.int32())),
-                 pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                names=["doc_id", "n_tokens", "known", "base", "emitted", "classes", "holes", "words", "times"],
+                [b.column("doc_id"), pa.array(lengths + 1), pa.array(summed(known).astype(np.int64)), pa.array(summed(base)),
+                 pa.array(summed(emit)), _bytes(np.where(own, of[s], HOLE).astype(np.uint8)[ids], lengths),
+                 _lists(pa.array(holes), np.r_[0, np.cumsum(np.bincount(text[hole], minlength=n))]),
+                 pa.array(np.arange(n)), pa.array(dealt[:-1].astype(np.int32)), _lists(others, dealt)],
+                names=["doc_id", "n_tokens", *sums, "classes", "holes", "place", "before", "words"],
             )
 
-    scanned = docs.select("doc_id", "text").mapInArrow(scan, f"{kept}, holes array<int>, words array<binary>, times array<int>")
+    scanned = docs.select("doc_id", "text").mapInArrow(scan, f"{kept}, holes array<int>, place long, before int, words array<binary>")
     rows, rid = with_row_id(scanned, "coded")
-    each = rows.select(F.col(rid).alias("rid"), F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")).select(
-        "rid", "at", F.col("x.words").alias("word"), F.col("x.times").alias("k")
-    )
+    rows = rows.withColumn("piece", F.col(rid) - F.col("place"))  # the rows of a piece are numbered one after another
+    each = rows.select("piece", "before", F.posexplode("words").alias("at", "word"))
     # A word that training lacks has no row to take its class from.
     form = _form_column(F.col("word")) + (learned.total - FORMS - 1)
-    c, n = F.coalesce("class", form), F.coalesce("n", F.lit(0))
-    weight, rooms = F.log10(n + ADD), F.array(*[F.lit(float(x)) for x in room])
-    met = each.join(learned.placed, "word", "left").select(
-        "rid", (F.col("at").cast("long") * (HOLE + 1) + c).alias("x"), F.when(n > 0, F.col("k")).otherwise(0).alias("known2"),
-        (F.col("k") * (weight - floor)).alias("base2"), (F.col("k") * (weight - F.get(rooms, c))).alias("emitted2"),
-    )
-    met = met.groupBy("rid").agg(  # the distinct words of one text
-        F.collect_list("x").alias("met"), *[F.sum(c).alias(c) for c in ("known2", "base2", "emitted2")]
+    met = each.join(learned.placed.hint("shuffle_hash"), "word", "left").select(
+        F.col("piece").alias("met_piece"), (F.col("before") + F.col("at")).alias("at"), F.coalesce("class", form).alias("class"), F.coalesce("n", F.lit(0)).alias("n")
     )
-    rows = rows.drop("words", "times").withColumnRenamed(rid, "rid").join(met, "rid", "left").select(
-        "doc_id", "n_tokens", *[(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in ("known", "base", "emitted")],
-        "classes", "holes", "met",
-    )
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            classes = b.column("classes").to_pylist()
-            for k, (holes, met) in enumerate(zip(b.column("holes"), b.column("met"))):
-                if met.is_valid:
-                    x = met.values.to_numpy()
-                    by_place = np.zeros(len(x), np.uint8)
-                    by_place[x // (HOLE + 1)] = x % (HOLE + 1)
-                    text = np.frombuffer(classes[k], np.uint8).copy()
-                    text[text == HOLE] = by_place[holes.values.to_numpy()]
-                    classes[k] = text.tobytes()
-            same = ["doc_id", "n_tokens", "known", "base", "emitted"]
-            yield pa.RecordBatch.from_arrays([*map(b.column, same), pa.array(classes, pa.binary())], names=[*same, "classes"])
-
-    return materialize(rows.mapInArrow(fill, kept), "classes")
-
 
-def _steps(classes: bytes, end: int) -> np.ndarray:
-    return np.r_[end, np.frombuffer(classes, np.uint8), end].astype(np.int64)
+    def fill(docs: pa.Table, met: pa.Table) -> pa.Table:
+        docs, at = docs.combine_chunks(), met["at"].to_numpy()
+        of, n = np.zeros(len(at), np.uint8), np.zeros(len(at))
+        of[at], n[at] = met["class"].to_numpy(), met["n"].to_numpy()
+        weight = np.log10(n + ADD)
+        holes = docs["holes"].combine_chunks()
+        text = np.repeat(np.arange(len(docs)), pc.list_value_length(holes).to_numpy())
+        holes = holes.flatten().to_numpy()
+        filled = {}
+        for c, values in zip(sums, (n > 0, weight - floor, weight - room[of])):
+            filled[c] = docs[c].to_numpy() + np.bincount(text, values[holes], len(docs)).astype(docs[c].to_numpy().dtype)
+        classes = np.frombuffer(b"".join(docs["classes"].to_pylist()), np.uint8).copy()
+        classes[classes == HOLE] = of[holes]
+        filled["classes"] = _bytes(classes, pc.binary_length(docs["classes"]).to_numpy())
+        return pa.table({"doc_id": docs["doc_id"], "n_tokens": docs["n_tokens"], **filled})
+
+    texts = rows.select("piece", "doc_id", "n_tokens", *sums, "classes", "holes").groupBy("piece")
+    return materialize(texts.cogroup(met.groupBy("met_piece")).applyInArrow(fill, kept), "classes")
+
+
+def _steps(texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes that texts go from and to, step by step, and where each text's steps begin."""
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    c = _lined_up(np.frombuffer(b"".join(texts.to_pylist()), np.uint8).astype(np.int64), lengths, end)
+    return c[:-1], c[1:], np.cumsum(lengths + 1) - lengths - 1
 
 
 def class_pairs(texts: DataFrame, total: int) -> np.ndarray:
     """Counts of neighbouring classes in the texts of ``as_classes``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(total * total, np.int64)
-        for b in batches:
-            for t in b.column(0):
-                c = _steps(t.as_py(), total - 1)
-                found += np.bincount(c[:-1] * total + c[1:], minlength=total * total)
+        for b in _pieces(batches, "classes", PIECE_STEPS):
+            a, c, _ = _steps(b.column(0), total - 1)
+            found += np.bincount(a * total + c, minlength=total * total)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at // total), pa.array(at % total), pa.array(found[at])], names=["a", "b", "n"])
 
@@ -550,11 +552,9 @@ def score(docs: DataFrame, **parameters) -> DataFrame:
     step = transitions(class_pairs(texts.where(~is_held_out(F.col("doc_id"))), total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for t, emitted in zip(b.column("classes"), b.column("emitted").to_pylist()):
-                c = _steps(t.as_py(), total - 1)
-                found.append(float(step[c[:-1], c[1:]].sum()) + emitted)
+        for b in _pieces(batches, "classes", PIECE_STEPS):
+            a, c, first = _steps(b.column("classes"), total - 1)
+            found = np.add.reduceat(step[a, c], first) + b.column("emitted").to_numpy()
             kept = ["doc_id", "n_tokens", "known", "base"]
             yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(found, pa.float64())], names=[*kept, "total"])
 

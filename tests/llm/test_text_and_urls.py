@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +278,35 @@ def test_clustered_words_do_not_hang_on_the_size(spark, monkeypatch):
     assert max(held) == 50
 
 
+def test_words_of_a_piece_of_texts_are_listed_once(spark, monkeypatch):
+    """Tasks hold and send on the words outside the dictionary once for many texts, not for each of them."""
+    rows = [(k, "the " * 20 + " ".join(f"r{w}" for w in range(40))) for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    tables = {}
+    real = brown.with_row_id
+    monkeypatch.setattr(brown, "with_row_id", lambda df, tag: tables.setdefault(tag, real(df, tag)))
+    learned = brown.learn(frame.select("text"), least=3, core_share=0.2, classes=3, settled=1.0)
+    texts = brown.as_classes(frame, learned)
+    assert tables["coded"][0].select(F.sum(F.size("words"))).first()[0] == 40
+    assert {(r.n_tokens, r.known, len(r.classes)) for r in texts.collect()} == {(61, 61, 60)}
+
+
+def test_pieces_hold_every_row_and_little_text():
+    texts = ["a" * 10, None, "", "b" * 500, *["c" * 30] * 50]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    pieces = [p.column(0).to_pylist() for p in brown._pieces(iter([batch, batch.slice(0, 0)]), size=100)]
+    assert sum(pieces, []) == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 100 for p in pieces)
+
+
+def test_tokens_are_the_words_of_each_text(spark):
+    texts = [" a\x0bB\x1cc\x0c d\r\n", None, "", "  ", "Ä ä\u00a0x A a", "a\x85b 12 longerthan16letters\u00e9"]
+    words, ids, lengths = brown._tokens(pa.array(texts))
+    found = iter([words[int(k)].as_py() for k in ids])
+    assert [[next(found) for _ in range(n)] for n in lengths] == [brown._words(t) for t in texts]
+    assert list(brown._forms(words)) == [brown.form_class(w) for w in words.to_pylist()]
+
+
 def test_model_is_a_distribution(spark):
     """Over all words, an unknown one of each form and the end, probabilities sum to one."""
     rows = [(f"the w{k} of w{k % 7} Ä{k % 3} 5",) for k in range(40)]
