@@ -103,7 +103,6 @@ def mesh_folder(spark, sf):
 
 def mesh_folder_tables(rows, folder):
     """(pieces, vertices, faces, errors) of a folder's rows, objects under their numbers."""
-    rows = materialize(rows, "mesh-rows")  # every file is parsed once, however often its rows are read
     return [
         t.withColumn("name", F.col("name").cast("long"))
         for t in ME.tables_of(rows, folder.rsplit("/", 1)[1])

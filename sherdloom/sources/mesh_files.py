@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,8 +47,8 @@ class FileGroup(InputPartition):
     paths: list[str]
 
 
-def mesh_batches(path: str, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Rows of one file; a file that cannot be read or parsed gives one error row."""
+def _parsed(path: str) -> tuple[np.ndarray, np.ndarray] | str:
+    """Vertices and triangles of one file, or why it cannot be read or parsed."""
     try:
         system, inner = _open(path)
         with system.open_input_stream(inner) as file:
@@ -57,19 +57,62 @@ def mesh_batches(path: str, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         if len(tri) and (tri.min() < 0 or tri.max() >= len(xyz)):
             raise ValueError("face index out of range")
     except Exception as problem:  # a bad file becomes a row, not a failed job
+        return f"{type(problem).__name__}: {problem}"
+    return xyz, tri
+
+
+def _slices(path: str, kinds: tuple[str, ...]) -> Iterator[tuple[str, str, int, np.ndarray | str]]:
+    """(path, kind, first number, values) of one file, _SLICE rows at most; an error is its text."""
+    found = _parsed(path)
+    if isinstance(found, str):
         if "error" in kinds:
-            yield _batch(path, "error", 1, {"error": pa.array([f"{type(problem).__name__}: {problem}"])})
+            yield path, "error", 0, found
         return
-    for kind, values, names in (("v", xyz, "xyz"), ("f", tri, "abc")):
+    for kind, values in zip("vf", found):
         if kind in kinds:
             for lo in range(0, len(values), _SLICE):
-                part = values[lo : lo + _SLICE]
-                columns = {c: pa.array(np.ascontiguousarray(part[:, k])) for k, c in enumerate(names)}
-                yield _batch(path, kind, len(part), {"idx": pa.array(np.arange(lo, lo + len(part))), **columns})
-
-
-def _batch(path: str, kind: str, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    columns = {"path": pa.array([path] * n), "kind": pa.array([kind] * n), **columns}
+                yield path, kind, lo, values[lo : lo + _SLICE]
+
+
+def mesh_batches(paths: Iterable[str], kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of the files; a file that cannot be read or parsed gives one error row.
+
+    Small files share a batch, as a batch costs as much as the rows of a hundred of them.
+    """
+    held, n = [], 0
+    for path in paths:
+        for part in _slices(path, kinds):
+            size = 1 if part[1] == "error" else len(part[3])
+            if held and n + size > _SLICE:
+                yield _batch(held)
+                held, n = [], 0
+            held.append(part)
+            n += size
+    if held:
+        yield _batch(held)
+
+
+def _batch(parts: list[tuple[str, str, int, np.ndarray | str]]) -> pa.RecordBatch:
+    paths, kinds, firsts, values = zip(*parts)
+    sizes = np.array([1 if k == "error" else len(v) for k, v in zip(kinds, values)])
+    start = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    of = np.repeat(np.arange(len(parts)), sizes)  # the part of every row
+    kind = np.array([KINDS.index(k) for k in kinds])[of]
+    columns = {
+        "path": pa.DictionaryArray.from_arrays(pa.array(of), pa.array(paths, pa.string())).cast(pa.string()),
+        "kind": pa.DictionaryArray.from_arrays(pa.array(kind), pa.array(KINDS, pa.string())).cast(pa.string()),
+        "idx": pa.array(np.arange(n) - (start - np.array(firsts))[of], mask=kind == KINDS.index("error")),
+    }
+    for name, letters, dtype in (("v", "xyz", np.float64), ("f", "abc", np.int64)):
+        own = kind == KINDS.index(name)
+        table = np.zeros((n, 3), dtype)
+        if own.any():
+            table[own] = np.concatenate([v for k, v in zip(kinds, values) if k == name])
+        columns |= {c: pa.array(np.ascontiguousarray(table[:, k]), mask=~own) for k, c in enumerate(letters)}
+    errors = [v if k == "error" else None for k, v in zip(kinds, values)]
+    if any(e is not None for e in errors):
+        columns["error"] = pa.array(errors, pa.string()).take(pa.array(of))
     return pa.RecordBatch.from_arrays(
         [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW
     )
@@ -105,8 +148,7 @@ class MeshReader(DataSourceReader):
         return groups or [FileGroup([])]
 
     def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
-        for path in partition.paths:
-            yield from mesh_batches(path, self.kinds)
+        yield from mesh_batches(partition.paths, self.kinds)
 
 
 class MeshWriter(DataSourceWriter):
@@ -159,9 +201,7 @@ def read_listed(files: DataFrame, path: str = "path") -> DataFrame:
     """The same rows for a table of file paths, however long: every task reads the files of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for p in b.column(0):
-                yield from mesh_batches(p.as_py(), KINDS)
+        yield from mesh_batches((p.as_py() for b in batches for p in b.column(0)), KINDS)
 
     # Paths are short and files are not: a table of few bytes must not end up in one task.
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))

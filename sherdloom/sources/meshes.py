@@ -64,23 +64,47 @@ def _triangles(data: bytes, at: int, count: int, props: list) -> tuple[np.ndarra
     return table[corners].astype("int64").reshape(-1, 3), at + dtype.itemsize * count
 
 
+def _even_lines(lines: list[str], count: int, width: int, dtype: type) -> np.ndarray | None:
+    """Lines of equally many plain numbers, ``width`` at least, read as one table; None for others."""
+    if count < 1 or len(lines) != count:
+        return None
+    try:
+        table = np.loadtxt(lines, dtype, comments=None, ndmin=2)
+    except ValueError:
+        return None
+    return table if len(table) == count and table.shape[1] >= width else None
+
+
 def parse_ply(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Vertices (V, 3) and triangles (F, 3) of an ascii or little-endian PLY file."""
     fmt, elements, at = _ply_header(data)
     if fmt not in ("ascii", "binary_little_endian"):
         raise ValueError(f"unsupported PLY format {fmt}")
-    lines = iter(data[at:].decode("ascii").split("\n")) if fmt == "ascii" else None
+    lines = data[at:].decode("ascii").split("\n") if fmt == "ascii" else None
+    line = 0
     xyz, polygons, triangles = np.empty((0, 3)), [], None
     for name, count, props in elements:
         has_list = any(p[0] == "list" for p in props)
         if lines is not None:
-            rows = [next(lines).split() for _ in range(count)]
+            held = lines[line : line + max(count, 0)]
+            line += len(held)
+            if len(held) < count:
+                raise StopIteration
             if name == "vertex":
                 order = [p[-1] for p in props]
                 cols = [order.index(c) for c in "xyz"]
-                xyz = np.array([[float(r[c]) for c in cols] for r in rows]).reshape(-1, 3)
+                table = _even_lines(held, count, max(cols) + 1, float)
+                if table is not None:
+                    xyz = table[:, cols]
+                else:
+                    xyz = np.array([[float(r[c]) for c in cols] for r in map(str.split, held)]).reshape(-1, 3)
             elif name == "face":
-                polygons = [[int(v) for v in r[1 : 1 + int(r[0])]] for r in rows]
+                table = _even_lines(held, count, 4, np.int64)
+                if table is not None and (table[:, 0] == 3).all():
+                    triangles = table[:, 1:4]
+                else:
+                    triangles = None
+                    polygons = [[int(v) for v in r[1 : 1 + int(r[0])]] for r in map(str.split, held)]
         elif not has_list:
             dtype = np.dtype([(p[-1], _PLY_TYPES[p[0]]) for p in props])
             table = np.frombuffer(data, dtype, count, at)
@@ -177,18 +201,21 @@ def tables_of(rows: DataFrame, root: str = "") -> tuple[DataFrame, DataFrame, Da
     name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     if root:
         name = F.regexp_replace(name, r"^.*?" + root.strip("/") + "/", "")
-    rows = rows.withColumn("name", name).withColumn(
-        "piece", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    )
-    errors = rows.where("kind = 'error'").select("name", "piece", "error")
-    good = rows.join(errors.select("name").distinct(), "name", "left_anti")
-    stems = good.select("name", "piece").distinct().withColumn("_len", F.length("piece"))
+
+    def named(table: DataFrame) -> DataFrame:
+        return table.withColumn("name", name).withColumn("piece", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))
+
+    # Names are taken from a path once a file, not once a row.
+    errors = materialize(named(rows.where("kind = 'error'")).select("name", "piece", "error"), "mesh-errors")
+    files = materialize(named(rows.select("path").distinct()), "mesh-names")
+    good = files.select("name", "piece").distinct().join(errors.select("name").distinct(), "name", "left_anti")
+    stems = good.withColumn("_len", F.length("piece"))
     pieces = materialize(
         with_rank(stems, ["name"], ["_len", "piece"], "part_idx").drop("_len"), "pieces"
     )
-    numbered = good.join(pieces, ["name", "piece"])
-    vertices = numbered.where("kind = 'v'").select(*PART, F.col("idx").alias("v_idx"), "x", "y", "z")
-    faces = numbered.where("kind = 'f'").select(*PART, F.col("idx").alias("f_idx"), "a", "b", "c")
+    numbered = materialize(files.join(pieces, ["name", "piece"]).select("path", *PART), "mesh-files")
+    vertices = rows.where("kind = 'v'").join(numbered, "path").select(*PART, F.col("idx").alias("v_idx"), "x", "y", "z")
+    faces = rows.where("kind = 'f'").join(numbered, "path").select(*PART, F.col("idx").alias("f_idx"), "a", "b", "c")
     return pieces, vertices, faces, errors
 
 

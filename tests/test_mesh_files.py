@@ -111,3 +111,56 @@ def test_binary_triangles_are_read_as_a_table():
     mixed = [*f.tolist()[:5], [1, 2, 3, 4], *f.tolist()[5:9]]
     _, tri = meshes.parse_ply(binary_ply(v.tolist(), mixed))
     assert len(tri) == 11 and tri[5:7].tolist() == [[1, 2, 3], [1, 3, 4]]
+
+
+def test_small_files_share_a_batch(spark, tmp_path):
+    """Rows keep their order and numbers, whatever files and kinds a batch holds."""
+    quads = ([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)], [(0, 1, 2, 3)])
+    files = {f"p{k}.ply": ascii_ply(*TETRA) for k in range(50)} | {
+        "q.ply": ascii_ply(*quads), "r.obj": obj(*TETRA), "s.ply": "ply", "t.ply": ascii_ply(TETRA[0], []),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    paths = [str(tmp_path / name) for name in (*files, "gone.ply")]
+    batches = list(mesh_files.mesh_batches(paths, mesh_files.KINDS))
+    assert len(batches) == 1
+    rows = [(r["path"].rsplit("/", 1)[1], r["kind"], r["idx"], *[r[c] for c in "xyzabc" if r[c] is not None]) for r in batches[0].to_pylist()]
+    assert rows[: 8 * 50] == [r for k in range(50) for r in expected(f"p{k}.ply")]
+    assert [r for r in rows if r[:2] == ("q.ply", "f")] == [("q.ply", "f", 0, 0, 1, 2), ("q.ply", "f", 1, 0, 2, 3)]
+    assert [r[:3] for r in rows if r[1] == "error"] == [("s.ply", "error", None), ("gone.ply", "error", None)]
+    assert [r for r in rows if r[0] == "t.ply"] == expected("t.ply")[:4]
+    assert all((r["error"] is None) == (r["kind"] != "error") for r in batches[0].to_pylist())
+    large = tmp_path / "large.ply"
+    large.write_text(ascii_ply([(k, 0, 0.5) for k in range(70_000)], [(0, 1, 2)] * 3))
+    got = [b.to_pylist() for b in mesh_files.mesh_batches([paths[0], str(large), paths[0]], ("v",))]
+    assert max(map(len, got)) <= 1 << 16 and sum(map(len, got)) == 70_008
+    assert [(r["idx"], r["x"]) for b in got for r in b if r["path"] == str(large)] == [(k, float(k)) for k in range(70_000)]
+
+
+def test_lines_of_other_forms_are_read_as_before():
+    """Plain even lines are read as a table; all others line by line, with the same numbers and refusals."""
+    head = "ply\nformat ascii 1.0\nelement vertex 3\nproperty double z\nproperty double x\nproperty double y\nelement face {}\nproperty list uchar int vertex_indices\nend_header\n"
+    body = "3 1 2\n6  4e0\t5\r\n9 7 -8.5 99\n"
+    for spelled in (body, body.replace(" 99", ""), body.replace("4e0", "4_0")):
+        xyz, tri = meshes.parse_ply((head.format(3) + spelled + "3 0 1 2\n4 0 1 2 0\n2 0 1\n").encode())
+        assert xyz.tolist() == [[1, 2, 3], [40.0 if "_" in spelled else 4, 5, 6], [7, -8.5, 9]]
+        assert tri.tolist() == [[0, 1, 2], [0, 1, 2], [0, 2, 0]]
+    _, tri = meshes.parse_ply((head.format(2) + body + "3 0 1 2\n3 2 1 0\n").encode())
+    assert tri.tolist() == [[0, 1, 2], [2, 1, 0]]
+    for bad, problem in (("3 0 1 2.0\n", ValueError), ("3 0 1 2\n", StopIteration), ("", StopIteration)):
+        try:
+            meshes.parse_ply((head.format(1 if "." in bad else 3) + body + bad).encode())
+        except problem:
+            continue
+        raise AssertionError(bad)
+
+
+def test_names_are_taken_once_a_file(spark):
+    """Only the paths of files meet the patterns for object and piece, not every row."""
+    folder = folder_of(spark, {"a/p0.ply": ascii_ply(*TETRA), "a/p1.ply": ascii_ply(*TETRA), "b/p0.ply": "ply"})
+    _, vertices, faces, errors = meshes.tables_of(mesh_files.read_meshes(spark, folder), folder.rsplit("/", 1)[1])
+    for table in (vertices, faces):
+        assert "regexp" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert vertices.count() == 8 and [tuple(r)[:2] for r in errors.collect()] == [("b", "p0")]
+    twice = mesh_files.read_meshes(spark, folder)
+    assert meshes.tables_of(twice.unionByName(twice), folder.rsplit("/", 1)[1])[2].count() == 16
