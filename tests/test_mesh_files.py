@@ -164,3 +164,17 @@ def test_names_are_taken_once_a_file(spark):
     assert vertices.count() == 8 and [tuple(r)[:2] for r in errors.collect()] == [("b", "p0")]
     twice = mesh_files.read_meshes(spark, folder)
     assert meshes.tables_of(twice.unionByName(twice), folder.rsplit("/", 1)[1])[2].count() == 16
+
+
+def test_preparation_reads_written_meshes(spark, monkeypatch):
+    """The joins that number the pieces run once, not once for each table of the store."""
+    from sherdloom.plans import prepare
+
+    folder = folder_of(spark, {"a/p0.ply": ascii_ply(*TETRA), "a/p1.obj": obj(*TETRA)})
+    _, vertices, faces, _ = meshes.tables_of(mesh_files.read_meshes(spark, folder), folder.rsplit("/", 1)[1])
+    made = prepare.prepare_objects(vertices, faces)
+    for name in ("vertices", "faces", "measures"):
+        assert "mesh-rows" not in " ".join(made[name].inputFiles()), name
+    assert "Join" not in made["vertices"]._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.part_idx, r.area > 0) for r in made["measures"].collect()} == {(0, True), (1, True)}
+    assert [tuple(r) for r in made["edges"].collect()] == [("a", 0, 1)] and made["faces"].where("shared_with >= 0").count() == 8
