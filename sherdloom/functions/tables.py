@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..operators.sampling import OVERSAMPLE, WEIGHT_UNITS
-from .rand import DEFAULT_SEED, key_of, uniform_of
+from ..operators.thinning import thin
+from .rand import DEFAULT_SEED, keys_of, uniforms_of
 
 _CORNERS = [f"{p}{x}" for p in "abc" for x in "xyz"]
 _NORMAL = ["fnx", "fny", "fnz"]
@@ -49,79 +51,61 @@ class SampleSurface:
     def __init__(self) -> None:
         self.pieces: dict[tuple, tuple[int, list]] = {}
         self.strategy, self.seed = "uniform", DEFAULT_SEED
+        self.pick = None  # takes FACE_COLUMNS out of a row; a row looks a name up in all its names
 
     def eval(self, faces, strategy="uniform", seed=DEFAULT_SEED):
-        self.strategy, self.seed = strategy, seed
-        held = self.pieces.setdefault((faces["name"], faces["part_idx"]), (faces["n_points"], []))
-        if faces["area"] is not None and faces["area"] > 0:
-            held[1].append(tuple(faces[c] for c in ("f_idx", "area", *_CORNERS, *_NORMAL)))
+        if self.pick is None:
+            self.strategy, self.seed = strategy, seed
+            self.pick = itemgetter(*map(faces.__fields__.index, FACE_COLUMNS))
+        name, part_idx, f_idx, n_points, area, *values = self.pick(tuple(faces))
+        held = self.pieces.get((name, part_idx))
+        if held is None:
+            held = self.pieces[name, part_idx] = (n_points, [])
+        if area is not None and area > 0:
+            held[1].append((f_idx, area, *values))
 
     def terminate(self):
         for piece, (n, rows) in self.pieces.items():
             if rows:
                 sampler = Piece(piece, rows, self.seed)
-                draw = sampler.even if self.strategy == "poisson" else sampler.uniform
-                for pt_idx, (f_idx, *values) in enumerate(draw(n)):
-                    yield (*piece, pt_idx, int(f_idx), *map(float, values))
+                f_idx, values = (sampler.even if self.strategy == "poisson" else sampler.uniform)(n)
+                for pt_idx, (face, row) in enumerate(zip(f_idx.tolist(), values.tolist())):
+                    yield (*piece, pt_idx, face, *row)
 
 
 class Piece:
-    """The faces of one piece and the draws on them."""
+    """The faces of one piece and the draws on them: face numbers, and points with normals."""
 
     def __init__(self, piece: tuple, rows: list[tuple], seed: int) -> None:
         self.piece, self.seed = piece, seed
-        self.faces = sorted(rows)
-        area = np.array([r[1] for r in self.faces])
+        rows = sorted(rows)
+        self.f_idx = np.array([r[0] for r in rows])
+        faces = np.array([r[1:] for r in rows], dtype=np.float64)
+        area = faces[:, 0]
+        self.corners, self.normals = faces[:, 1:10].reshape(-1, 3, 3), faces[:, 10:]
         self.area = math.fsum(area)
         weights = np.ceil(area / area.max() * WEIGHT_UNITS).astype(np.int64)
         hi = np.cumsum(weights)
         self.lo, self.total = hi - weights, int(hi[-1])
 
-    def uniform(self, n: int, stream: str = "uniform", first: int = 0) -> list[tuple]:
-        out = []
-        for pt_idx in range(first, first + n):
-            def draw(suffix, at=pt_idx - first):
-                return uniform_of(self.seed, stream + suffix, *self.piece, at)
-
-            at = min(math.floor(draw("") * self.total), self.total - 1)
-            f_idx, _, *v = self.faces[int(np.searchsorted(self.lo, at, "right")) - 1]
-            s, t = draw("1"), draw("2")
-            if s + t > 1:
-                s, t = 1 - s, 1 - t
-            a, b, c, normal = v[0:3], v[3:6], v[6:9], v[9:12]
-            out.append((f_idx, *(p + ((q - p) * s + (r - p) * t) for p, q, r in zip(a, b, c)), *normal))
-        return out
-
-    def even(self, n: int) -> list[tuple]:
+    def uniform(self, n: int, stream: str = "uniform") -> tuple[np.ndarray, np.ndarray]:
+        draw, s, t = (uniforms_of(self.seed, n, stream + suffix, *self.piece) for suffix in ("", "1", "2"))
+        at = np.minimum(np.floor(draw * self.total).astype(np.int64), self.total - 1)
+        face = np.searchsorted(self.lo, at, "right") - 1
+        fold = s + t > 1
+        s, t = (np.where(fold, 1 - v, v)[:, None] for v in (s, t))
+        a, b, c = (self.corners[face, k] for k in range(3))
+        return self.f_idx[face], np.concatenate([a + ((b - a) * s + (c - a) * t), self.normals[face]], axis=1)
+
+    def even(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Candidates thinned in rounds, the first ``n`` of what is kept, and uniform draws for the rest."""
-        radius = math.sqrt(self.area / (OVERSAMPLE * n)) if n else 1.0
-        candidates = self.uniform(OVERSAMPLE * n, "even")
-        # In the order of their hashes, by cell.
-        order = sorted((key_of(self.seed, "prio", *self.piece, k), k) for k in range(len(candidates)))
-        cells: dict[tuple, list] = {}
-        for h, k in order:
-            cells.setdefault(tuple(math.floor(c / radius) for c in candidates[k][1:4]), []).append((h, k))
-
-        def met(cell, k, held):
-            x = candidates[k][1:4]
-            for dx in (-1, 0, 1):
-                for dy in (-1, 0, 1):
-                    for dz in (-1, 0, 1):
-                        for h, other in held.get((cell[0] + dx, cell[1] + dy, cell[2] + dz), ()):
-                            if sum((p - q) * (p - q) for p, q in zip(x, candidates[other][1:4])) < radius * radius:
-                                yield h, other
-
-        kept: list[int] = []
-        while cells:
-            ahead = {cell: held[:1] for cell, held in cells.items()}
-            chosen = {cell: held for cell, held in ahead.items() if all(held[0] <= o for o in met(cell, held[0][1], ahead))}
-            kept += [held[0][1] for held in chosen.values()]
-            cells = {
-                cell: left for cell, held in cells.items()
-                if (left := [o for o in held if next(met(cell, o[1], chosen), None) is None])
-            }
-        spread = [candidates[k] for k in sorted(kept)[:n]]
-        return spread + self.uniform(n - len(spread), "top-up")
+        radius = math.sqrt(self.area / (OVERSAMPLE * n)) if n > 0 else 1.0
+        f_idx, values = self.uniform(OVERSAMPLE * n, "even")
+        m = len(f_idx)
+        keys = keys_of(self.seed, m, "prio", *self.piece)
+        kept = np.flatnonzero(thin(np.zeros(m, np.int64), np.arange(m), keys, values[:, :3], np.full(m, radius)))[: max(n, 0)]
+        more, rest = self.uniform(n - len(kept), "top-up")
+        return np.concatenate([f_idx[kept], more]), np.concatenate([values[kept], rest])
 
 
 def register(spark: SparkSession) -> list[str]:
