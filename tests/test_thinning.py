@@ -6,6 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import Row, functions as F
 
+from sherdloom.catalog import clouds
 from sherdloom.functions import tables
 from sherdloom.functions.rand import key_of, keys_of, uniform_of, uniforms_of
 from sherdloom.operators import sampling
@@ -76,6 +77,16 @@ def test_parts_are_thinned_in_a_task_and_large_ones_by_joins(spark, monkeypatch)
         assert all([p[1] for p in sorted(held)] == list(range(len(held))) for held in placed.values())
 
 
+def test_even_sampling_spreads_its_points_once(spark, monkeypatch):
+    spread, weighed = [], []
+    real_spread, real_weights = sampling.spread_points, sampling.face_weights
+    monkeypatch.setattr(sampling, "spread_points", lambda *a, **k: spread.append(1) or real_spread(*a, **k))
+    monkeypatch.setattr(sampling, "face_weights", lambda *a, **k: weighed.append(1) or real_weights(*a, **k))
+    rows = clouds.even_invariants(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.numbered and r.spaced and r.on_surface for r in rows)
+    assert (len(spread), len(weighed)) == (1, 1)
+
+
 def test_draws_of_numbers_below_n():
     assert keys_of(5, 300, "even", 12, "a b").tolist() == [key_of(5, "even", 12, "a b", k) for k in range(300)]
     assert uniforms_of(5, 300, "u", None).tolist() == [uniform_of(5, "u", None, k) for k in range(300)]
